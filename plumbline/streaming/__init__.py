@@ -1,0 +1 @@
+"""No streaming operators: the data model is finished depth profiles, read in batch."""
