@@ -17,6 +17,10 @@ def _text(prefix, column):
     return F.concat(F.lit(prefix), F.col(column).cast("string"))
 
 
+def _site():
+    return F.concat(F.lit("W"), F.floor(F.col("user_id") / 4).cast("string"))
+
+
 def cast_samples(spark, sf):
     """One cast per user of `events`: depth noisily descending, conductivity rising."""
     events = table(spark, sf, "events").select("user_id", "ts", "event_id", "value")
@@ -25,8 +29,7 @@ def cast_samples(spark, sf):
     rows = rows.withColumn("depth_m", F.floor(step * 100.0).cast("double") / F.lit(100.0))
     d4 = F.col("depth_m") * F.col("depth_m") * F.col("depth_m") * F.col("depth_m")
     return rows.select(
-        F.concat(F.lit("W"), (F.col("user_id") % 50).cast("string")).alias("site"),
-        _text("W", "user_id").alias("well_id"),
+        _site().alias("site"), F.concat(_site(), F.char(F.col("user_id") % 4 + 65)).alias("well_id"),
         F.when(F.col("user_id") % 2 == 0, "2022_02").otherwise("2022_08").alias("campaign"),
         (F.col("rn") + 1).alias("seq"), "depth_m",
         (300 + 50000.0 * d4 / (d4 + 4096.0) + (F.col("value") - 50.0)).alias("sec_us_cm"),
@@ -37,7 +40,7 @@ CAST_SAMPLES = """
 SELECT site, well_id, campaign, seq, depth_m,
  300 + CAST(50000 AS DOUBLE)*d4/(d4+CAST(4096 AS DOUBLE)) + (value - CAST(50 AS DOUBLE)) AS sec_us_cm FROM (
  SELECT *, depth_m*depth_m*depth_m*depth_m AS d4 FROM (
-  SELECT concat('W', CAST(user_id % 50 AS VARCHAR)) AS site, concat('W', CAST(user_id AS VARCHAR)) AS well_id,
+  SELECT concat('W', CAST(user_id // 4 AS VARCHAR)) AS site, concat('W', CAST(user_id // 4 AS VARCHAR), chr(CAST(65 + user_id % 4 AS INT))) AS well_id,
    CASE WHEN user_id % 2 = 0 THEN '2022_02' ELSE '2022_08' END AS campaign, rn AS seq, value,
    floor((CAST(rn AS DOUBLE)*CAST(0.25 AS DOUBLE) - CAST(1 AS DOUBLE) + value/CAST(100 AS DOUBLE))*CAST(100 AS DOUBLE))/CAST(100 AS DOUBLE) AS depth_m
   FROM (SELECT user_id, value, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS rn FROM events) a) b) c
@@ -163,6 +166,57 @@ FROM (SELECT p_brand AS transect, CAST(p_size % 5 * 10 AS DOUBLE) AS x, p_retail
 """
 
 
+def _frac(x):
+    return x - F.floor(x).cast("double")
+
+
+def fits(spark, sf):
+    """Saved sweep rows: one per order, wells are customers, three trials of growing size."""
+    orders = table(spark, sf, "orders").select("o_custkey", "o_orderkey", "o_totalprice")
+    rows = lay(orders, ["o_custkey"], ["o_orderkey"]).scan(rn=row_number()).df
+    p, n = F.col("o_totalprice") / 1000.0, F.floor(F.col("rn") / 3).cast("int")
+    bic = 1000.0 - 120.0 * F.col("n") + 13.0 * F.col("n") * F.col("n") + _frac(p * 7.0) * 50.0
+    each = lambda f: F.transform(F.col("_i"), f)
+    real = lambda i: i.cast("double")
+    return rows.withColumn("n", n).withColumn(
+        "_i", F.when(F.col("n") >= 1, F.sequence(F.lit(1), F.col("n"))).otherwise(F.array().cast("array<int>"))
+    ).select(
+        _text("S", "o_custkey").alias("well_id"), F.lit("2022_02").alias("campaign"),
+        F.lit("savgol").alias("smoothing"),
+        F.concat(F.lit("trial_"), (F.col("rn") % 3 + 1).cast("string")).alias("trial"),
+        (F.col("rn") % 3).cast("int").alias("seed"), F.col("n").alias("n_breakpoints"),
+        (F.col("o_orderkey") % 11 != 10).alias("converged"),
+        F.when(F.col("o_orderkey") % 11 != 10, bic).alias("bic"),
+        (10.0 / (1.0 + F.col("n")) + _frac(p)).alias("rss"),
+        (2.0 + _frac(p)).alias("const"), (0.1 * _frac(p * 3.0)).alias("alpha1"),
+        each(lambda i: real(i) * 1.5 + _frac(p * real(i))).alias("psis"),
+        each(lambda i: _frac(p * (real(i) + 1.0)) - 0.5).alias("betas"),
+        each(lambda i: real(i) * 1.5 + _frac(p * real(i)) - 0.1).alias("ci_low"),
+        each(lambda i: real(i) * 1.5 + _frac(p * real(i)) + 0.2 * _frac(p * real(i))).alias("ci_high"),
+    )
+
+
+def _sql_frac(x):
+    return f"({x} - floor({x}))"
+
+
+_P, _I = "p", "CAST(i AS DOUBLE)"
+_PSI = f"{_I}*CAST(1.5 AS DOUBLE) + {_sql_frac(f'p*{_I}')}"
+FITS = f"""
+SELECT concat('S', CAST(o_custkey AS VARCHAR)) AS well_id, '2022_02' AS campaign, 'savgol' AS smoothing,
+ concat('trial_', CAST(rn % 3 + 1 AS VARCHAR)) AS trial, CAST(rn % 3 AS INT) AS seed, n AS n_breakpoints, o_orderkey % 11 <> 10 AS converged,
+ CASE WHEN o_orderkey % 11 <> 10 THEN CAST(1000 AS DOUBLE) - CAST(120 AS DOUBLE)*n + CAST(13 AS DOUBLE)*n*n + {_sql_frac('p*CAST(7 AS DOUBLE)')}*CAST(50 AS DOUBLE) END AS bic,
+ CAST(10 AS DOUBLE)/(CAST(1 AS DOUBLE)+n) + {_sql_frac('p')} AS rss, CAST(2 AS DOUBLE) + {_sql_frac('p')} AS const,
+ CAST(0.1 AS DOUBLE)*{_sql_frac('p*CAST(3 AS DOUBLE)')} AS alpha1,
+ list_transform(range(1, n+1), lambda i: {_PSI}) AS psis,
+ list_transform(range(1, n+1), lambda i: {_sql_frac(f'p*({_I}+CAST(1 AS DOUBLE))')} - CAST(0.5 AS DOUBLE)) AS betas,
+ list_transform(range(1, n+1), lambda i: {_PSI} - CAST(0.1 AS DOUBLE)) AS ci_low,
+ list_transform(range(1, n+1), lambda i: {_PSI} + CAST(0.2 AS DOUBLE)*{_sql_frac(f'p*{_I}')}) AS ci_high
+FROM (SELECT *, CAST(rn // 3 AS INT) AS n FROM (SELECT o_custkey, o_orderkey, o_totalprice/CAST(1000 AS DOUBLE) AS p,
+  row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) - 1 AS rn FROM orders) a) b
+"""
+
+
 def notes(spark, sf):
     """Depth-token notes per conversation; every third row continues the one before."""
     turn = F.col("turn").cast("string")
@@ -190,6 +244,7 @@ SQL = {
     "zones": ((), ZONES),
     "ert_samples": ((), ERT_SAMPLES),
     "notes": ((), NOTES),
+    "fits": ((), FITS),
 }
 
 
