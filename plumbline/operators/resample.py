@@ -22,9 +22,9 @@ def pchip_slopes(track, x, y):
         _nh=lead(F.col("_hr")), _nd=lead(F.col("_dr")), _ph=lag(F.col("_hl")), _pd=lag(F.col("_dl"))
     )
     hl, hr, dl, dr = (F.col(c) for c in ("_hl", "_hr", "_dl", "_dr"))
-    left, right = hl + 2 * hr, 2 * hl + hr
+    near_left, near_right = hl + 2 * hr, 2 * hl + hr
     inner = F.when(F.signum(dl) * F.signum(dr) <= 0, F.lit(0.0)).otherwise(
-        (right + left) / (right / dl + left / dr)
+        (near_left + near_right) / (near_left / dl + near_right / dr)
     )
     first = _end_slope(hr, F.col("_nh"), dr, F.col("_nd"))
     last = _end_slope(hl, F.col("_ph"), dl, F.col("_pd"))

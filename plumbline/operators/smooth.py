@@ -90,12 +90,8 @@ def segmented_savgol(df, keys, z, v, window=11, order=3, gradient_factor=20.0,
 def _tricube_fit(x, y, k, degree, robust):
     """One LOWESS pass over sorted x: local fits on the k nearest rows of each point."""
     n = len(x)
-    left = np.zeros(n, dtype=np.int64)
-    lo = 0
-    for i in range(n):
-        while lo + k < n and x[lo + k] - x[i] < x[i] - x[lo]:
-            lo += 1
-        left[i] = lo
+    # The window moves right while the row beyond its end is nearer than its first row.
+    left = np.searchsorted(x[k:] + x[:n - k], 2 * x, side="left")
     out = np.empty(n)
     step = max(1, 2_000_000 // k)
     for a in range(0, n, step):
@@ -269,3 +265,27 @@ def lowess_profiles(df, keys, z="depth_m", v="sec_us_cm", seq="seq", frac=0.05,
     )
     smooth = lowess(grid, keys, z, v, frac, degree, robust_passes, layout=layout)
     return add_log10(isotonic(smooth, keys, z, v, layout=layout).drop("was_changed"), v)
+
+
+def window_sensitivity(grid, keys, windows, z="depth_m", v="sec_us_cm", order=3, delta_m=0.5,
+                       layout=None, **sweep_options):
+    """Robustness of breakpoints to the smoothing window: the window is a column of the result.
+
+    Every window smooths the same resampled profiles, and its own fits feed its clusters.
+    """
+    from plumbline.operators.cluster import robustness
+    from plumbline.operators.sweep import sweep
+
+    keys = [*keys]
+    layout = layout or Layout.of(grid, keys)
+    stacked = None
+    for window in windows:
+        one = savgol(grid, keys, z, v, window, order, layout=layout).withColumn("window", F.lit(window))
+        stacked = one if stacked is None else stacked.unionByName(one)
+    group = [*keys, "window"]
+    fits = sweep(add_log10(stacked, v), group, z, "log10_sec", layout=layout, **sweep_options)
+    records = fits.where("converged").select(
+        *group, F.lit("savgol").alias("smoothing"), "n_breakpoints",
+        F.posexplode("psis").alias("record_id", "depth_bgl_m"),
+    )
+    return robustness(records, group, delta_m, tie=("n_breakpoints", "record_id"), layout=layout)

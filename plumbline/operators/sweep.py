@@ -23,6 +23,7 @@ FIT_FIELDS = [
     ("psis", T.ArrayType(T.DoubleType())), ("betas", T.ArrayType(T.DoubleType())),
     ("ci_low", T.ArrayType(T.DoubleType())), ("ci_high", T.ArrayType(T.DoubleType())),
 ]
+NO_FIT = {n: None for n, _ in FIT_FIELDS[5:]}
 
 
 def fit_schema(schema, keys):
@@ -197,7 +198,7 @@ def sweep(df, keys, x="depth_m", y="log10_sec", max_breakpoints=10, trials=3, re
             found = fit_profile(px, py, n, seed, restarts, tolerance, min_distance)
             out.append({
                 **head, "trial": f"trial_{trial + 1}", "seed": seed, "n_breakpoints": n,
-                "converged": found is not None, "n_obs": len(px), **(found or {}),
+                "converged": found is not None, "n_obs": len(px), **(found or NO_FIT),
             })
         return pd.DataFrame(out, columns=schema.names)
 
@@ -222,7 +223,7 @@ def refit(df, fits, keys, x="depth_m", y="log10_sec", tolerance=1e-5, min_distan
             out.append({
                 **{k: getattr(row, k) for k in keys}, "trial": row.trial, "seed": row.seed,
                 "n_breakpoints": len(start), "converged": found is not None, "n_obs": len(px),
-                **(found or {}),
+                **(found or NO_FIT),
             })
         return pd.DataFrame(out, columns=schema.names)
 

@@ -9,7 +9,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
 
-from plumbline.operators.sweep import MAX_ITERATIONS, fit_schema, muggeo_step, unscale
+from plumbline.operators.sweep import MAX_ITERATIONS, NO_FIT, fit_schema, muggeo_step, unscale
 from plumbline.plans.session import ensure_checkpoint_dir
 
 
@@ -110,10 +110,10 @@ def _move(state, psi, moments, span, tolerance, min_distance):
 def _estimates(row):
     """Estimates of a finished fit, in data units; nothing when it did not converge."""
     if row["state"] != "done" or row["moments"] is None:
-        return {}
+        return NO_FIT
     psi = np.asarray(row["psi"], float)
     step = muggeo_step(_tails(row["moments"], len(psi)), psi)
     if step is None:
-        return {}
+        return NO_FIT
     found = unscale(psi, *step[:3], row["n_obs"], row["x0"], row["span"], row["base"], row["unit"])
     return {"converged": True, **found}
