@@ -2,6 +2,7 @@
 
 from pyspark.sql import functions as F
 
+from plumbline.functions.numeric import settle
 from plumbline.plans.layout import Layout, exact_quantiles, finish, lag, lay, row_number, running_sum
 
 METHODS = ("savgol", "lowess")
@@ -55,12 +56,11 @@ def summarise_clusters(clustered, keys, z="depth_bgl_m", methods=METHODS, layout
         F.count_distinct(F.when(F.col("smoothing") == m, F.col("n_breakpoints"))).alias(f"n_{m}")
         for m in methods
     ]
-    counts = clustered.groupBy(*group).agg(
-        F.min(z).alias("depth_min"), F.max(z).alias("depth_max"),
-        F.count("*").alias("n_bp_total"), *sizes,
-    )
+    counts = [
+        F.min(z).alias("depth_min"), F.max(z).alias("depth_max"), F.count("*").alias("n_bp_total"), *sizes,
+    ]
     wanted = {"depth_median": (F.col(z), 0.5), "_q1": (F.col(z), 0.25), "_q3": (F.col(z), 0.75)}
-    summary = exact_quantiles(clustered, group, wanted, layout).join(counts, group)
+    summary = exact_quantiles(clustered, group, wanted, layout, counts)
     each = [F.col(f"n_{m}") for m in methods]
     width = F.col("depth_max") - F.col("depth_min")
     return summary.select(
@@ -102,7 +102,7 @@ def robust_depths(summary, keys, top=3):
     return ranked_clusters(summary, keys, top).groupBy(*keys).agg(
         F.concat_ws(", ", F.transform(
             F.sort_array(F.collect_list(F.struct("rank", "depth_median"))),
-            lambda s: F.format_string("%.2f", s["depth_median"]),
+            lambda s: F.format_string("%.2f", settle(s["depth_median"], 2)),
         )).alias("top_depths")
     )
 

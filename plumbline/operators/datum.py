@@ -18,18 +18,18 @@ def extract_offsets(casts, keys, ground="depth_gl_m", vertical="depth_m", tolera
     layout = layout or Layout.of(casts, keys)
     gap = F.col(ground) - F.col(vertical)
     rows = casts.withColumn("_gap", gap)
-    sums = rows.groupBy(*keys).agg(
+    moments = [
         F.stddev_pop("_gap").alias("offset_std_m"), F.count("_gap").alias("n_samples"),
         F.count(ground).alias("_ground"), F.count(vertical).alias("_vertical"),
-    )
-    medians = exact_quantiles(rows.where("_gap is not null"), keys, {"offset_m": (F.col("_gap"), 0.5)}, layout)
+    ]
+    found = exact_quantiles(rows, keys, {"offset_m": (F.col("_gap"), 0.5)}, layout, moments)
     status = (
         F.when(F.col("_ground") == 0, "missing_ground_depth")
         .when(F.col("_vertical") == 0, "missing_vertical_position")
         .when(F.col("n_samples") == 0, "no_samples")
         .when(F.col("offset_std_m") > tolerance_m, "inconsistent").otherwise("ok")
     )
-    return sums.join(medians, keys, "left").withColumn("offset_status", status).select(
+    return found.withColumn("offset_status", status).select(
         *keys, "offset_m", "offset_std_m", "n_samples", "offset_status"
     )
 

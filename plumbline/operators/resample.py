@@ -65,12 +65,7 @@ def step_statistics(df, keys, z, layout=None):
     gaps = track.df.where("_next is not null").select(*keys, (F.col("_next") - F.col(z)).alias("dz"))
     wanted = {"dz_p95": (F.col("dz"), 0.95), "dz_median": (F.col("dz"), 0.5)}
     moments = [F.avg("dz").alias("dz_mean"), F.min("dz").alias("dz_min")]
-    if not track.layout.split:
-        exact = [F.percentile(x, q).alias(n) for n, (x, q) in wanted.items()]
-        return gaps.groupBy(*keys).agg(*exact, *moments)
-    return exact_quantiles(gaps, keys, wanted, track.layout).join(
-        gaps.groupBy(*keys).agg(*moments), [*keys]
-    )
+    return exact_quantiles(gaps, keys, wanted, track.layout, moments)
 
 
 def resample(df, keys, z="depth_m", v="sec_us_cm", kind="pchip", dz=None, layout=None):

@@ -248,9 +248,11 @@ def finish(track: Track) -> DataFrame:
     return track.df.drop(PART, BLOCK)
 
 
-def exact_quantiles(df: DataFrame, by, wanted, layout: Layout | None = None) -> DataFrame:
+def exact_quantiles(df, by, wanted, layout: Layout | None = None, also=()) -> DataFrame:
     """Exact interpolated quantiles per group: wanted is {name: (column, fraction)}.
 
+    `also` lists named plain aggregates to take in the same pass.
+
     Small groups use the built-in `percentile`.  It keeps a group's distinct values in
     one task, so large groups are ranked in split order instead and the two ranks that
     surround each quantile are picked out.
@@ -259,9 +261,9 @@ def exact_quantiles(df: DataFrame, by, wanted, layout: Layout | None = None) ->
     layout = layout or Layout.of(df, by)
     if not layout.split:
         return df.groupBy(*by).agg(
-            *[F.percentile(x, q).alias(n) for n, (x, q) in wanted.items()]
+            *[F.percentile(x, q).alias(n) for n, (x, q) in wanted.items()], *also
         )
-    out = None
+    out = df.groupBy(*by).agg(*also) if also else df.select(*by).distinct()
     for name, (x, q) in wanted.items():
         ranked = (
             lay(df.select(*by, x.cast("double").alias("_v")).where("_v is not null"),
@@ -286,5 +288,5 @@ def exact_quantiles(df: DataFrame, by, wanted, layout: Layout | None = None) ->
                 .alias(name),
             )
         )
-        out = picked if out is None else out.join(picked, by, "full")
+        out = out.join(picked, by, "left")
     return out
