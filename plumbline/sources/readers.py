@@ -17,11 +17,11 @@ DATUM_ALIASES = {
     "vertical": ["Vertical Position m", "vertical_position_m"],
 }
 CANONICAL = {"depth": "depth_m", "conductivity": "sec_us_cm"}
-FIT_SCHEMA = (
-    "df struct<n_breakpoints:map<string,int>,bic:map<string,double>,rss:map<string,double>,"
-    "converged:map<string,boolean>,estimates:map<string,map<string,"
-    "struct<estimate:double,confidence_interval:array<double>>>>>"
+SWEEP_JSON = (
+    "map<string,struct<df:struct<n_breakpoints:map<string,int>,bic:map<string,double>,"
+    "rss:map<string,double>,converged:map<string,boolean>,estimates:map<string,map<string,string>>>>>"
 )
+ESTIMATE = "struct<estimate:double,confidence_interval:array<double>>"
 
 
 def resolve_column(columns, concept, aliases=ALIASES, strict=True, trim=False):
@@ -63,18 +63,19 @@ def require(df, columns, what):
     return df
 
 
-def read_casts(spark, paths_by_header, aliases=ALIASES):
+def read_casts(spark, paths_by_header, aliases=ALIASES, name=None):
     """Raw cast CSV files, grouped by header variant: {name: (path or paths, schema or None)}.
 
     Each variant is one scan over all its files; the file name gives site, type, probe and
     date.  Names that do not parse stay in the result with null keys for `unparsed_casts`.
+    `name` replaces the file name by another expression over `_metadata`.
     """
+    name = F.col("_metadata.file_name") if name is None else name
     stacked = None
     for paths, schema in paths_by_header.values():
         reader = spark.read.option("header", True).option("recursiveFileLookup", True)
         reader = reader.schema(schema) if schema else reader.option("inferSchema", True)
         raw = reader.csv(paths)
-        name = F.col("_metadata.file_name")
         picked = {
             "depth_m": F.col(f"`{resolve_column(raw.columns, 'depth', aliases)}`").cast("double"),
             "sec_us_cm": F.col(f"`{resolve_column(raw.columns, 'conductivity', aliases)}`").cast("double"),
@@ -162,13 +163,27 @@ def read_annotations(spark, path, well=None):
     return df if well is None else df.where(F.col("well") == well)
 
 
-def read_sweep_json(spark, path):
-    """Sweep files {trial: {df: columns keyed by row}}: one row per trial and fit."""
-    raw = spark.read.option("wholetext", True).text(path)
-    trials = raw.select(
-        F.col("_metadata.file_name").alias("file_name"),
-        F.explode(F.from_json("value", f"map<string,struct<{FIT_SCHEMA.replace('df struct', 'df:struct', 1)}>>")).alias("trial", "t"),
+def read_sweep_json(spark, path, whole_file=True):
+    """Sweep documents {trial: {df: columns keyed by row}}: one row per trial and fit.
+
+    Estimates may be plain numbers or structs with an interval; NaN becomes null.
+    """
+    raw = spark.read.option("wholetext", whole_file).text(path)
+    return explode_sweep(raw.select(F.col("_metadata.file_name").alias("file_name"), "value"))
+
+
+def explode_sweep(documents):
+    """Rows of sweep documents held in a text column `value`; other columns stay."""
+    others = [c for c in documents.columns if c != "value"]
+    trials = documents.select(*others, F.explode(F.from_json("value", SWEEP_JSON)).alias("trial", "t"))
+    rows = trials.select(*others, "trial", "t.df", F.explode("t.df.n_breakpoints").alias("row", "n_breakpoints"))
+    at = lambda c: F.try_element_at(F.col(f"df.{c}"), F.col("row"))
+    number = lambda x: F.when(~F.isnan(x), x)
+    plain = lambda v: F.struct(number(v.try_cast("double")).alias("estimate"), F.lit(None).cast("array<double>").alias("confidence_interval"))
+    estimates = F.transform_values(
+        at("estimates"), lambda k, v: F.when(v.startswith("{"), F.from_json(v, ESTIMATE)).otherwise(plain(v))
+    )
+    return rows.select(
+        *others, "trial", "n_breakpoints", number(at("bic")).alias("bic"), number(at("rss")).alias("rss"),
+        at("converged").alias("converged"), estimates.alias("estimates"),
     )
-    rows = trials.select("file_name", "trial", "t.df", F.explode("t.df.n_breakpoints").alias("row", "n_breakpoints"))
-    at = lambda c: F.try_element_at(F.col(f"df.{c}"), F.col("row")).alias(c)
-    return rows.select("file_name", "trial", "n_breakpoints", at("bic"), at("rss"), at("converged"), at("estimates"))

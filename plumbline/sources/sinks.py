@@ -26,6 +26,26 @@ def write_text_export(df, folder, decimals=None, mode="errorifexists"):
     df.write.mode(mode).option("header", True).csv(folder)
 
 
-def sweep_as_json(fits):
-    """Sweep rows with the estimate map as JSON text."""
-    return fits.withColumn("estimates", F.to_json("estimates"))
+def sweep_documents(fits, keys):
+    """One JSON document per profile, {trial: {df: columns keyed by row}}, column `value`.
+
+    A profile has as many fits as trials times sizes, so a document is small.
+    """
+    entry = lambda c: F.map_from_entries(F.transform(
+        "_fits", lambda f: F.struct(f["n_breakpoints"].cast("string"), f[c])
+    )).alias(c)
+    columns = ["n_breakpoints", "bic", "rss", "converged", "estimates"]
+    trials = fits.groupBy(*keys, "trial").agg(
+        F.sort_array(F.collect_list(F.struct(*[
+            "n_breakpoints", "bic", "rss", "converged", F.to_json("estimates").alias("estimates")
+        ]))).alias("_fits")
+    )
+    trials = trials.select(*keys, "trial", F.struct(F.struct(
+        *[entry(c) for c in columns[:-1]],
+        F.map_from_entries(F.transform(F.filter("_fits", lambda f: f["estimates"].isNotNull()), lambda f: F.struct(
+            f["n_breakpoints"].cast("string"), F.from_json(f["estimates"], "map<string,struct<estimate:double,confidence_interval:array<double>>>")
+        ))).alias("estimates"),
+    ).alias("df")).alias("_doc"))
+    return trials.groupBy(*keys).agg(
+        F.to_json(F.map_from_entries(F.collect_list(F.struct("trial", "_doc")))).alias("value")
+    )

@@ -1,6 +1,6 @@
 """Queries that run each operator on the given tables, with SQL to check them."""
 
-FAMILIES = ("caliper", "casts", "clusters", "curves")
+FAMILIES = ("caliper", "casts", "clusters", "curves", "records")
 
 
 def load():

@@ -313,7 +313,7 @@ def job_slopes(spark, sf):
 
 
 @query("bps_18_canonical_summary", ZONE + f"""
-SELECT fl.well_id, fl.bp_index, {r('p.depth_m')} AS depth_wt_m, {r(f"p.depth_m + {C(2)} + {C(0.25)}*(p.bp_index % 1) + {C(0.5)}*length(fl.well_id)")} AS depth_bgl_m,
+SELECT fl.well_id, fl.bp_index, {r('p.depth_m')} AS depth_wt_m, {r(f"p.depth_m + {C(2)} + {C(0.5)}*length(fl.well_id)")} AS depth_bgl_m,
  is_top_of_mixing AND fl.bp_index < mz.n AS is_top_of_mixing, is_bottom_of_mixing AND fl.bp_index < mz.n AS is_bottom_of_mixing, CASE WHEN mz.n > 1 THEN 'ok' ELSE 'artefacts_differ' END AS check_status
 FROM fl JOIN breakpoints p ON fl.well_id = p.well_id AND fl.bp_index = p.bp_index JOIN mz ON mz.well_id = fl.well_id""", ["breakpoints"])
 def canonical_summary(spark, sf):
