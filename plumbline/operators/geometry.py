@@ -150,7 +150,7 @@ def promote_pair_flags(breakpoints, pairs, keys, index="bp_index"):
     }).drop("_points", "_chords", "_fits")
 
 
-def resistivity_zone(df, keys, z="depth_m", rho="resist_ohm_m", bottom=10.0, layout=None):
+def resistivity_zone(df, keys, z="depth_bgl_m", rho="resist_ohm_m", bottom=10.0, layout=None):
     """Mixing zone on log10 resistivity: low resistivity is salt, so BOTTOM needs rho <= bottom.
 
     Fewer than three points, or a flat curve, select nothing; a profile with a

@@ -15,7 +15,9 @@ from pyspark.sql import types as T
 
 from plumbline.plans.layout import Layout
 
-MAX_ITERATIONS = 30
+MAX_ITERATIONS = 100
+FULL_STEPS = 40
+ROOM = 0.45
 FIT_FIELDS = [
     ("trial", T.StringType()), ("seed", T.IntegerType()), ("n_breakpoints", T.IntegerType()),
     ("converged", T.BooleanType()), ("n_obs", T.LongType()), ("rss", T.DoubleType()),
@@ -66,33 +68,58 @@ def normal_equations(moments, psi):
 
 
 def muggeo_step(moments, psi):
-    """Coefficients at psi and the breakpoints the step proposes, or None."""
+    """Gram matrix at psi, the continuous fit there, and the breakpoints the step proposes."""
     gram, right = normal_equations(moments, psi)
+    n = len(psi)
     try:
-        coefficient = np.linalg.solve(gram, right)
+        full = np.linalg.solve(gram, right)
+        line = np.linalg.solve(gram[:2 + n, :2 + n], right[:2 + n])
     except np.linalg.LinAlgError:
         return None
-    n = len(psi)
+    if not (np.isfinite(full).all() and np.isfinite(line).all()):
+        return None
     with np.errstate(divide="ignore", invalid="ignore"):
-        moved = psi + coefficient[2 + n:] / coefficient[2:2 + n]
-    rss = max(moments[0, 5] - coefficient @ right, 0.0)
-    return (coefficient, gram, rss, moved) if np.isfinite(coefficient).all() else None
+        moved = psi + full[2 + n:] / full[2:2 + n]
+    rss = max(moments[0, 5] - line @ right[:2 + n], 0.0)
+    return {"gram": gram, "full": full, "line": line, "rss": rss, "moved": moved}
+
+
+def next_breakpoints(psi, moved, low, high):
+    """Move every breakpoint by its step, at most ROOM of the way to its neighbour."""
+    edges = np.concatenate([[low], psi, [high]])
+    step = np.where(np.isfinite(moved), moved - psi, 0.0)
+    return psi + np.clip(step, -ROOM * (psi - edges[:-2]), ROOM * (edges[2:] - psi))
+
+
+def apart(psi, low, high, min_gap):
+    """All breakpoints inside the range and at least min_gap from each other and its ends."""
+    return bool((np.diff(np.concatenate([[low], psi, [high]])) >= min_gap).all())
+
+
+def damping(turn):
+    """Full steps first; shorter ones later, which end cycles between two states."""
+    return 0.5 ** (turn // FULL_STEPS)
+
+
+def settled(psi, new, rss, before, tolerance):
+    """Breakpoints at rest, or a residual sum that no longer changes (Muggeo's criterion)."""
+    return np.max(np.abs(new - psi)) < tolerance or (
+        before is not None and abs(before - rss) <= tolerance * rss
+    )
 
 
 def iterate(x, sums, psi, tolerance, min_gap):
     """Run to convergence on one set of sums; the breakpoints, or None."""
-    for _ in range(MAX_ITERATIONS):
+    before = None
+    for turn in range(MAX_ITERATIONS):
         step = muggeo_step(_tails(x, sums, psi), psi)
-        if step is None or not np.isfinite(step[3]).all():
+        if step is None:
             return None
-        new = np.sort(step[3])
-        edges = np.concatenate([[x[0]], new, [x[-1]]])
-        if (np.diff(edges) < min_gap).any():
-            return None
-        done = np.max(np.abs(new - psi)) < tolerance
-        psi = new
-        if done:
-            return psi
+        moved = psi + (step["moved"] - psi) * damping(turn)
+        new = next_breakpoints(psi, moved, x[0], x[-1])
+        if settled(psi, new, step["rss"], before, tolerance):
+            return psi if apart(psi, x[0], x[-1], min_gap) else None
+        psi, before = new, step["rss"]
     return None
 
 
@@ -116,7 +143,7 @@ def fit_profile(x, y, n, seed, restarts, tolerance, min_distance, start=None):
     def keep(psi):
         nonlocal best
         step = None if psi is None else muggeo_step(_tails(u, sums, psi), psi)
-        if step is not None and (best is None or step[2] < best[1][2]):
+        if step is not None and (best is None or step["rss"] < best[1]["rss"]):
             best = (psi, step)
 
     if n == 0:
@@ -125,43 +152,48 @@ def fit_profile(x, y, n, seed, restarts, tolerance, min_distance, start=None):
         keep(try_from((np.sort(np.asarray(start, float)) - x[0]) / span, sums))
     else:
         rng = np.random.default_rng(seed)
-        first = np.sort(rng.uniform(0.02, 0.98, n))
-        keep(try_from(first, sums))
+        keep(try_from(random_start(rng, n), sums))
         for _ in range(restarts):
+            if best is None:
+                keep(try_from(random_start(rng, n), sums))
+                continue
             weight = np.bincount(rng.integers(0, len(u), len(u)), minlength=len(u)).astype(float)
-            fresh = np.sort(rng.uniform(0.02, 0.98, n))
-            origin = best[0] if best is not None else fresh
-            keep(try_from(try_from(origin, running_sums(u, v, weight)), sums))
+            keep(try_from(try_from(best[0], running_sums(u, v, weight)), sums))
     if best is None:
         return None
-    psi, (coefficient, gram, rss, _) = best
-    return unscale(psi, coefficient, gram, rss, len(x), x[0], span, base, unit)
+    return unscale(*best, len(x), x[0], span, base, unit)
 
 
-def unscale(psi, coefficient, gram, rss, size, origin, span, base, unit):
+def unscale(psi, step, size, origin, span, base, unit):
     """Fit in data units with 95% intervals for the breakpoints (delta method)."""
+    line, full, rss = step["line"], step["full"], step["rss"]
     n = len(psi)
     freedom = max(size - 2 - 2 * n, 1)
     low = high = np.empty(0)
     if n:
-        cov = np.linalg.pinv(gram) * rss / freedom
-        beta, gamma = coefficient[2:2 + n], coefficient[2 + n:]
+        cov = np.linalg.pinv(step["gram"]) * rss / freedom
+        beta, gamma = full[2:2 + n], full[2 + n:]
         bb, gg = np.diag(cov)[2:2 + n], np.diag(cov)[2 + n:]
         bg = cov[np.arange(2, 2 + n), np.arange(2 + n, 2 + 2 * n)]
         ratio = gamma / beta
         variance = (gg + bb * ratio**2 - 2 * ratio * bg) / beta**2
         half = t_quantile(freedom) * np.sqrt(np.maximum(variance, 0.0)) * span
         low, high = origin + psi * span - half, origin + psi * span + half
-    slope = coefficient[1] * unit / span
+    slope = line[1] * unit / span
     rss = max(rss * unit**2, 0.0)
     bic = size * np.log(rss / size) + (2 + 2 * n) * np.log(size) if rss > 0 else None
     return {
-        "rss": rss, "bic": bic, "const": coefficient[0] * unit + base - slope * origin,
-        "alpha1": slope, "psis": origin + psi * span, "betas": coefficient[2:2 + n] * unit / span,
+        "rss": rss, "bic": bic, "const": line[0] * unit + base - slope * origin,
+        "alpha1": slope, "psis": origin + psi * span, "betas": line[2:] * unit / span,
         "ci_low": low, "ci_high": high,
     }
 
 
+def random_start(rng, n):
+    """One uniform draw in each of n equal strata of 0..1."""
+    return (np.arange(n) + rng.uniform(0.1, 0.9, n)) / n
+
+
 def t_quantile(freedom):
     """97.5% Student quantile from the normal one (Cornish-Fisher)."""
     z = 1.959963984540054

@@ -9,7 +9,10 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
 
-from plumbline.operators.sweep import MAX_ITERATIONS, NO_FIT, fit_schema, muggeo_step, unscale
+from plumbline.operators.sweep import (
+    MAX_ITERATIONS, NO_FIT, apart, damping, fit_schema, muggeo_step, next_breakpoints,
+    random_start, settled, unscale,
+)
 from plumbline.plans.session import ensure_checkpoint_dir
 
 
@@ -33,25 +36,27 @@ def sweep_long(rows, keys, grid, tolerance, min_distance):
         F.struct(F.lit(f"trial_{t + 1}").alias("trial"), F.lit(s).alias("seed"), F.lit(n).alias("n_breakpoints"))
         for t, s, n in grid
     ]))).select(*scale.columns, "task.*").join(tasks, ["trial", "seed", "n_breakpoints"])
-    fits = fits.withColumn("state", F.lit("active")).checkpoint()
+    fits = fits.withColumns(
+        {"state": F.lit("active"), "rss": F.lit(None).cast("double")}
+    ).checkpoint()
     fit_keys, schema = [*keys, "trial", "seed", "n_breakpoints"], fits.schema
 
-    def advance(batches):
+    def advance(batches, turn):
         for pdf in batches:
-            moved = [
-                _move(state, psi, moments, span, tolerance, min_distance)
-                for state, psi, moments, span in zip(pdf["state"], pdf["psi"], pdf["moments"], pdf["span"])
-            ]
+            moved = [_move(row, tolerance, min_distance, turn) for row in pdf.to_dict("records")]
             pdf = pdf.drop(columns="moments")
-            pdf["psi"], pdf["state"] = [m[0] for m in moved], [m[1] for m in moved]
+            for place, column in enumerate(("psi", "state", "rss")):
+                pdf[column] = [m[place] for m in moved]
             yield pdf[schema.names]
 
-    for _ in range(MAX_ITERATIONS):
+    for turn in range(MAX_ITERATIONS):
         active = fits.where("state = 'active'")
         if active.isEmpty():
             break
         moments = _moments(scaled, active, keys, fit_keys)
-        fits = fits.join(moments, fit_keys, "left").mapInPandas(advance, schema).checkpoint()
+        fits = fits.join(moments, fit_keys, "left").mapInPandas(
+            lambda batches, turn=turn: advance(batches, turn), schema
+        ).checkpoint()
     final = fits.join(_moments(scaled, fits.where("state = 'done'"), keys, fit_keys), fit_keys, "left")
     result = fit_schema(rows.schema, keys)
 
@@ -67,7 +72,7 @@ def sweep_long(rows, keys, grid, tolerance, min_distance):
 
 
 def _start(seed, n):
-    return np.sort(np.random.default_rng(seed).uniform(0.02, 0.98, n)).tolist()
+    return random_start(np.random.default_rng(seed), n).tolist()
 
 
 def _moments(scaled, fits, keys, fit_keys):
@@ -92,19 +97,23 @@ def _tails(moments, n):
     return tails
 
 
-def _move(state, psi, moments, span, tolerance, min_distance):
-    psi = np.asarray(psi, float)
-    if state != "active":
-        return psi, state
+def _move(row, tolerance, min_distance, turn):
+    """Next breakpoints, state and residual sum of one fit."""
+    psi = np.asarray(row["psi"], float)
+    if row["state"] != "active":
+        return psi, row["state"], row["rss"]
     if len(psi) == 0:
-        return psi, "done"
-    step = None if moments is None else muggeo_step(_tails(moments, len(psi)), psi)
-    if step is None or not np.isfinite(step[3]).all():
-        return psi, "failed"
-    new = np.sort(step[3])
-    if (np.diff(np.concatenate([[0.0], new, [1.0]])) < min_distance / span).any():
-        return psi, "failed"
-    return new, "done" if np.max(np.abs(new - psi)) < tolerance else "active"
+        return psi, "done", None
+    step = None if row["moments"] is None else muggeo_step(_tails(row["moments"], len(psi)), psi)
+    if step is None:
+        return psi, "failed", None
+    moved = psi + (step["moved"] - psi) * damping(turn)
+    new = next_breakpoints(psi, moved, 0.0, 1.0)
+    before = row["rss"] if row["rss"] == row["rss"] else None
+    if settled(psi, new, step["rss"], before, tolerance):
+        good = apart(psi, 0.0, 1.0, min_distance / row["span"])
+        return psi, "done" if good else "failed", step["rss"]
+    return new, "active", step["rss"]
 
 
 def _estimates(row):
@@ -115,5 +124,5 @@ def _estimates(row):
     step = muggeo_step(_tails(row["moments"], len(psi)), psi)
     if step is None:
         return NO_FIT
-    found = unscale(psi, *step[:3], row["n_obs"], row["x0"], row["span"], row["base"], row["unit"])
+    found = unscale(psi, step, row["n_obs"], row["x0"], row["span"], row["base"], row["unit"])
     return {"converged": True, **found}
