@@ -51,7 +51,7 @@ def summarise_clusters(clustered, keys, z="depth_bgl_m", methods=METHODS, layout
     the smallest of those counts.
     """
     group = [*keys, "cluster_id"]
-    layout = layout or Layout.of(clustered, group)
+    layout = layout or Layout.of(clustered, keys)
     sizes = [
         F.count_distinct(F.when(F.col("smoothing") == m, F.col("n_breakpoints"))).alias(f"n_{m}")
         for m in methods
@@ -97,9 +97,9 @@ def ranked_clusters(summary, keys, top=None, layout=None):
     return ranked if top is None else ranked.where(F.col("rank") <= top)
 
 
-def robust_depths(summary, keys, top=3):
+def robust_depths(summary, keys, top=3, layout=None):
     """The best few cluster depths of a profile as text, best first."""
-    return ranked_clusters(summary, keys, top).groupBy(*keys).agg(
+    return ranked_clusters(summary, keys, top, layout).groupBy(*keys).agg(
         F.concat_ws(", ", F.transform(
             F.sort_array(F.collect_list(F.struct("rank", "depth_median"))),
             lambda s: F.format_string("%.2f", settle(s["depth_median"], 2)),

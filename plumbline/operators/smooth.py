@@ -10,6 +10,7 @@ from plumbline.operators.clean import add_log10, clean_casts
 from plumbline.operators.resample import resample
 from plumbline.plans.layout import (
     Layout, finish, lag, last_known, lay, lead, next_known, row_number, running_max, running_sum,
+    spread,
 )
 
 
@@ -121,10 +122,10 @@ def lowess_values(x, y, frac=0.05, degree=1, robust_passes=2):
     robust = np.ones(n)
     fit = _tricube_fit(x, y, k, degree, robust)
     for _ in range(robust_passes):
-        spread = 6 * np.median(np.abs(y - fit))
-        if spread == 0:
+        scale = 6 * np.median(np.abs(y - fit))
+        if scale == 0:
             break
-        robust = np.clip(1 - ((y - fit) / spread) ** 2, 0, None) ** 2
+        robust = np.clip(1 - ((y - fit) / scale) ** 2, 0, None) ** 2
         fit = _tricube_fit(x, y, k, degree, robust)
     return fit
 
@@ -144,7 +145,7 @@ def lowess(df, keys, z, v, frac=0.05, degree=1, robust_passes=2, out=None, layou
             x, y = pdf[z].to_numpy(float), pdf[v].to_numpy(float)
             return pdf.assign(**{out: lowess_values(x, y, frac, degree, robust_passes)})
 
-        return df.groupBy(*keys).applyInPandas(fit, _with_double(df.schema, out))
+        return spread(df, keys).groupBy(*keys).applyInPandas(fit, _with_double(df.schema, out))
     track = lay(df, keys, [z], layout).scan(_i=row_number()).per_profile(_n=F.count("*"))
     k = F.least(F.col("_n"), F.greatest(F.floor(F.lit(frac) * F.col("_n")), F.lit(degree + 2)))
     track = track.with_columns(_k=k, _w=F.lit(1.0), _fit=F.lit(0.0))
@@ -164,7 +165,7 @@ def lowess(df, keys, z, v, frac=0.05, degree=1, robust_passes=2, out=None, layou
             pdf["_fit"] = _tricube_fit(x, y, size, degree, w)
             return pdf[pdf["_own"]]
 
-        fitted = rows.groupBy(*parts).applyInPandas(one_pass, rows.schema)
+        fitted = spread(rows, parts).groupBy(*parts).applyInPandas(one_pass, rows.schema)
         track = track.on(fitted.drop("_own", "_block").checkpoint())
     done = track.with_columns(**{out: F.when(F.col("_n") < degree + 2, F.col(v)).otherwise(F.col("_fit"))})
     return finish(done.on_drop("_i", "_n", "_k", "_w", "_fit"))
@@ -208,7 +209,7 @@ def isotonic(df, keys, z, v, out=None, layout=None):
             return pdf.assign(**{out: new, "was_changed": np.abs(new - y) > 1e-9})
 
         schema = _with_double(df.schema, out).add("was_changed", T.BooleanType())
-        return df.groupBy(*keys).applyInPandas(fit, schema)
+        return spread(df, keys).groupBy(*keys).applyInPandas(fit, schema)
     track = lay(df, keys, [z], layout).scan(_i=row_number())
     blocks = track.df.select(
         *keys, F.col("_i").alias("_from"), F.col(v).cast("double").alias("_level"),

@@ -13,11 +13,12 @@ import pandas as pd
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from plumbline.plans.layout import Layout
+from plumbline.plans.layout import Layout, spread
 
 MAX_ITERATIONS = 100
 FULL_STEPS = 40
 ROOM = 0.45
+BATCH_VALUES = 20_000_000
 FIT_FIELDS = [
     ("trial", T.StringType()), ("seed", T.IntegerType()), ("n_breakpoints", T.IntegerType()),
     ("converged", T.BooleanType()), ("n_obs", T.LongType()), ("rss", T.DoubleType()),
@@ -43,57 +44,76 @@ def running_sums(x, y, weight=None):
     return np.concatenate([tail, np.zeros((6, 1))], axis=1)
 
 
-def normal_equations(moments, psi):
-    """Gram matrix and right side of the Muggeo design from tail moments.
+def tails_at(x, sums, psi):
+    """Moments of all rows and of the rows deeper than each breakpoint: (fits, n + 1, 6).
 
-    moments: (N + 1, 6) rows for "everything" and "deeper than psi_k", psi ascending.
+    `sums` is one table of running sums, or one per fit.
     """
-    n = len(psi)
-    gram, right = np.zeros((2 + 2 * n, 2 + 2 * n)), np.zeros(2 + 2 * n)
-    m0, mx, mxx, my, mxy, _ = moments[0]
-    gram[0, 0], gram[0, 1], gram[1, 1] = m0, mx, mxx
-    right[0], right[1] = my, mxy
+    places = np.zeros((len(psi), psi.shape[1] + 1), dtype=np.int64)
+    places[:, 1:] = np.searchsorted(x, psi, side="right")
+    if sums.ndim == 2:
+        return sums.T[places]
+    return np.take_along_axis(sums.transpose(0, 2, 1), places[:, :, None], axis=1)
+
+
+def normal_equations(moments, psi):
+    """Gram matrices and right sides of the Muggeo design from tail moments, one per fit."""
+    fits, n = psi.shape
+    gram, right = np.zeros((fits, 2 + 2 * n, 2 + 2 * n)), np.zeros((fits, 2 + 2 * n))
+    m0, mx, mxx, my, mxy, _ = moments[:, 0].T
+    gram[:, 0, 0], gram[:, 0, 1], gram[:, 1, 0], gram[:, 1, 1] = m0, mx, mx, mxx
+    right[:, 0], right[:, 1] = my, mxy
     if n:
-        t0, tx, txx, ty, txy = moments[1:, :5].T
+        t0, tx, txx, ty, txy = moments[:, 1:, :5].transpose(2, 0, 1)
         h, g = slice(2, 2 + n), slice(2 + n, 2 + 2 * n)
-        gram[0, h], gram[1, h] = tx - psi * t0, txx - psi * tx
-        gram[0, g], gram[1, g] = -t0, -tx
         deep = np.maximum.outer(np.arange(n), np.arange(n))
-        gram[h, h] = txx[deep] - np.add.outer(psi, psi) * tx[deep] + np.multiply.outer(psi, psi) * t0[deep]
-        gram[h, g] = -(tx[deep] - psi[:, None] * t0[deep])
-        gram[g, g] = t0[deep]
-        right[h], right[g] = txy - psi * ty, -ty
-    gram = np.triu(gram) + np.triu(gram, 1).T
+        pair, product = psi[:, :, None] + psi[:, None, :], psi[:, :, None] * psi[:, None, :]
+        jump = -(tx[:, deep] - psi[:, :, None] * t0[:, deep])
+        gram[:, h, h] = txx[:, deep] - pair * tx[:, deep] + product * t0[:, deep]
+        gram[:, g, g] = t0[:, deep]
+        gram[:, h, g], gram[:, g, h] = jump, jump.transpose(0, 2, 1)
+        for row, bend, step in ((0, tx - psi * t0, -t0), (1, txx - psi * tx, -tx)):
+            gram[:, row, h] = gram[:, h, row] = bend
+            gram[:, row, g] = gram[:, g, row] = step
+        right[:, h], right[:, g] = txy - psi * ty, -ty
     return gram, right
 
 
-def muggeo_step(moments, psi):
-    """Gram matrix at psi, the continuous fit there, and the breakpoints the step proposes."""
-    gram, right = normal_equations(moments, psi)
-    n = len(psi)
+def solve_each(gram, right):
+    """Solutions of a stack of systems; NaN where a matrix is singular."""
     try:
-        full = np.linalg.solve(gram, right)
-        line = np.linalg.solve(gram[:2 + n, :2 + n], right[:2 + n])
+        return np.linalg.solve(gram, right[:, :, None])[:, :, 0]
     except np.linalg.LinAlgError:
-        return None
-    if not (np.isfinite(full).all() and np.isfinite(line).all()):
-        return None
+        if len(gram) == 1:
+            return np.full_like(right, np.nan)
+        return np.concatenate([solve_each(gram[i:i + 1], right[i:i + 1]) for i in range(len(gram))])
+
+
+def muggeo_steps(moments, psi):
+    """Per fit: Gram matrix, both solutions, RSS of the continuous fit, proposed breakpoints."""
+    gram, right = normal_equations(moments, psi)
+    n = psi.shape[1]
+    full = solve_each(gram, right)
+    line = solve_each(gram[:, :2 + n, :2 + n], right[:, :2 + n])
     with np.errstate(divide="ignore", invalid="ignore"):
-        moved = psi + full[2 + n:] / full[2:2 + n]
-    rss = max(moments[0, 5] - line @ right[:2 + n], 0.0)
+        moved = psi + full[:, 2 + n:] / full[:, 2:2 + n]
+    rss = np.maximum(moments[:, 0, 5] - (line * right[:, :2 + n]).sum(axis=1), 0.0)
     return {"gram": gram, "full": full, "line": line, "rss": rss, "moved": moved}
 
 
 def next_breakpoints(psi, moved, low, high):
     """Move every breakpoint by its step, at most ROOM of the way to its neighbour."""
-    edges = np.concatenate([[low], psi, [high]])
+    edges = np.pad(psi, ((0, 0), (1, 1)))
+    edges[:, 0], edges[:, -1] = low, high
     step = np.where(np.isfinite(moved), moved - psi, 0.0)
-    return psi + np.clip(step, -ROOM * (psi - edges[:-2]), ROOM * (edges[2:] - psi))
+    return psi + np.clip(step, -ROOM * (psi - edges[:, :-2]), ROOM * (edges[:, 2:] - psi))
 
 
 def apart(psi, low, high, min_gap):
     """All breakpoints inside the range and at least min_gap from each other and its ends."""
-    return bool((np.diff(np.concatenate([[low], psi, [high]])) >= min_gap).all())
+    edges = np.pad(psi, ((0, 0), (1, 1)))
+    edges[:, 0], edges[:, -1] = low, high
+    return (np.diff(edges, axis=1) >= min_gap).all(axis=1)
 
 
 def damping(turn):
@@ -101,67 +121,81 @@ def damping(turn):
     return 0.5 ** (turn // FULL_STEPS)
 
 
-def settled(psi, new, rss, before, tolerance):
+def at_rest(psi, new, rss, before, tolerance):
     """Breakpoints at rest, or a residual sum that no longer changes (Muggeo's criterion)."""
-    return np.max(np.abs(new - psi)) < tolerance or (
-        before is not None and abs(before - rss) <= tolerance * rss
-    )
+    still = np.abs(new - psi).max(axis=1) < tolerance
+    return still | (np.abs(before - rss) <= tolerance * rss)
 
 
 def iterate(x, sums, psi, tolerance, min_gap):
-    """Run to convergence on one set of sums; the breakpoints, or None."""
-    before = None
+    """Run every fit of a batch to convergence: final breakpoints, NaN rows where it fails."""
+    out = np.full_like(psi, np.nan)
+    live, before = np.arange(len(psi)), np.full(len(psi), np.nan)
     for turn in range(MAX_ITERATIONS):
-        step = muggeo_step(_tails(x, sums, psi), psi)
-        if step is None:
-            return None
+        table = sums if sums.ndim == 2 else sums[live]
+        step = muggeo_steps(tails_at(x, table, psi), psi)
+        good = np.isfinite(step["full"]).all(axis=1) & np.isfinite(step["rss"])
         moved = psi + (step["moved"] - psi) * damping(turn)
         new = next_breakpoints(psi, moved, x[0], x[-1])
-        if settled(psi, new, step["rss"], before, tolerance):
-            return psi if apart(psi, x[0], x[-1], min_gap) else None
-        psi, before = new, step["rss"]
-    return None
-
+        rest = good & at_rest(psi, new, step["rss"], before, tolerance)
+        keep = rest & apart(psi, x[0], x[-1], min_gap)
+        out[live[keep]] = psi[keep]
+        going = good & ~rest
+        live, psi, before = live[going], new[going], step["rss"][going]
+        if not len(live):
+            break
+    return out
 
-def _tails(x, sums, psi):
-    places = np.concatenate([[0], np.searchsorted(x, psi, side="right")])
-    return sums[:, places].T
 
+def fit_size(x, y, n, seeds, restarts, tolerance, min_distance, starts=None):
+    """Best fit of size n for every seed: a seeded start, then bootstrap restarts.
 
-def fit_profile(x, y, n, seed, restarts, tolerance, min_distance, start=None):
-    """Best of a seeded start and its bootstrap restarts, on x and y scaled to 0..1."""
+    All seeds and restarts run as one batch.  `starts` gives breakpoints to begin from
+    instead, one array per entry of `seeds`, and then there are no restarts.
+    """
+    count, nothing = len(seeds), [None] * len(seeds)
     span, base, unit = x[-1] - x[0], y.mean(), y.std()
     if len(x) < 2 * n + 3 or span <= 0 or unit == 0:
-        return None
+        return nothing
     u, v = (x - x[0]) / span, (y - base) / unit
     sums, gap = running_sums(u, v), min_distance / span
-    best = None
-
-    def try_from(psi, using):
-        return iterate(u, using, psi, tolerance, gap) if psi is not None else None
-
-    def keep(psi):
-        nonlocal best
-        step = None if psi is None else muggeo_step(_tails(u, sums, psi), psi)
-        if step is not None and (best is None or step["rss"] < best[1]["rss"]):
-            best = (psi, step)
+    best = [None] * count
+
+    def keep(owner, psi):
+        good = ~np.isnan(psi).any(axis=1)
+        if not good.any():
+            return
+        owner, psi = np.asarray(owner)[good], psi[good]
+        step = muggeo_steps(tails_at(u, sums, psi), psi)
+        for i, who in enumerate(owner):
+            mine = {k: a[i] for k, a in step.items()}
+            if np.isfinite(mine["rss"]) and (best[who] is None or mine["rss"] < best[who][1]["rss"]):
+                best[who] = (psi[i], mine)
 
     if n == 0:
-        keep(np.empty(0))
-    elif start is not None:
-        keep(try_from((np.sort(np.asarray(start, float)) - x[0]) / span, sums))
+        keep(range(count), np.empty((count, 0)))
+    elif starts is not None:
+        first = np.stack([(np.sort(np.asarray(s, float)) - x[0]) / span for s in starts])
+        keep(range(count), iterate(u, sums, first, tolerance, gap))
     else:
-        rng = np.random.default_rng(seed)
-        keep(try_from(random_start(rng, n), sums))
-        for _ in range(restarts):
-            if best is None:
-                keep(try_from(random_start(rng, n), sums))
-                continue
-            weight = np.bincount(rng.integers(0, len(u), len(u)), minlength=len(u)).astype(float)
-            keep(try_from(try_from(best[0], running_sums(u, v, weight)), sums))
-    if best is None:
-        return None
-    return unscale(*best, len(x), x[0], span, base, unit)
+        rngs = [np.random.default_rng(seed) for seed in seeds]
+        first = np.stack([random_start(rng, n) for rng in rngs])
+        keep(range(count), iterate(u, sums, first, tolerance, gap))
+        tasks = [who for who in range(count) for _ in range(restarts)]
+        block = max(1, BATCH_VALUES // (6 * len(u)))
+        for a in range(0, len(tasks), block):
+            owner = tasks[a:a + block]
+            begin, tables = [], []
+            for who in owner:
+                rng = rngs[who]
+                weight = np.bincount(rng.integers(0, len(u), len(u)), minlength=len(u))
+                begin.append(random_start(rng, n) if best[who] is None else best[who][0])
+                tables.append(running_sums(u, v, weight.astype(float)))
+            moved = iterate(u, np.stack(tables), np.stack(begin), tolerance, gap)
+            lost = np.isnan(moved).any(axis=1)
+            moved[lost] = np.stack(begin)[lost]
+            keep(owner, iterate(u, sums, moved, tolerance, gap))
+    return [None if b is None else unscale(*b, len(x), x[0], span, base, unit) for b in best]
 
 
 def unscale(psi, step, size, origin, span, base, unit):
@@ -225,16 +259,17 @@ def sweep(df, keys, x="depth_m", y="log10_sec", max_breakpoints=10, trials=3, re
         pdf = pdf.sort_values(["_x", "_y"])
         px, py = pdf["_x"].to_numpy(), pdf["_y"].to_numpy()
         head = {k: pdf[k].iloc[0] for k in keys}
-        out = []
-        for trial, seed, n in grid:
-            found = fit_profile(px, py, n, seed, restarts, tolerance, min_distance)
-            out.append({
-                **head, "trial": f"trial_{trial + 1}", "seed": seed, "n_breakpoints": n,
-                "converged": found is not None, "n_obs": len(px), **(found or NO_FIT),
-            })
+        seeds, out = [start_seed + t for t in range(trials)], []
+        for n in sizes:
+            found = fit_size(px, py, n, seeds, restarts, tolerance, min_distance)
+            out += [
+                {**head, "trial": f"trial_{t + 1}", "seed": seed, "n_breakpoints": n,
+                 "converged": one is not None, "n_obs": len(px), **(one or NO_FIT)}
+                for t, (seed, one) in enumerate(zip(seeds, found))
+            ]
         return pd.DataFrame(out, columns=schema.names)
 
-    return rows.groupBy(*keys).applyInPandas(fit, schema)
+    return spread(rows, keys).groupBy(*keys).applyInPandas(fit, schema)
 
 
 def refit(df, fits, keys, x="depth_m", y="log10_sec", tolerance=1e-5, min_distance=0.01):
@@ -251,7 +286,7 @@ def refit(df, fits, keys, x="depth_m", y="log10_sec", tolerance=1e-5, min_distan
             start = [] if row.psis is None else list(row.psis)
             found = None
             if len(px):
-                found = fit_profile(px, py, len(start), 0, 0, tolerance, min_distance, start)
+                found = fit_size(px, py, len(start), [0], 0, tolerance, min_distance, [start])[0]
             out.append({
                 **{k: getattr(row, k) for k in keys}, "trial": row.trial, "seed": row.seed,
                 "n_breakpoints": len(start), "converged": found is not None, "n_obs": len(px),
@@ -260,7 +295,8 @@ def refit(df, fits, keys, x="depth_m", y="log10_sec", tolerance=1e-5, min_distan
         return pd.DataFrame(out, columns=schema.names)
 
     saved = fits.where("converged").select(*keys, "trial", "seed", "psis")
-    return rows.groupBy(*keys).cogroup(saved.groupBy(*keys)).applyInPandas(fit, schema)
+    left, right = spread(rows, keys), spread(saved, keys)
+    return left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(fit, schema)
 
 
 def discover_seed(fits, keys):

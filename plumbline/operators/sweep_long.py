@@ -10,8 +10,8 @@ import pandas as pd
 from pyspark.sql import functions as F
 
 from plumbline.operators.sweep import (
-    MAX_ITERATIONS, NO_FIT, apart, damping, fit_schema, muggeo_step, next_breakpoints,
-    random_start, settled, unscale,
+    MAX_ITERATIONS, NO_FIT, apart, at_rest, damping, fit_schema, muggeo_steps, next_breakpoints,
+    random_start, unscale,
 )
 from plumbline.plans.session import ensure_checkpoint_dir
 
@@ -104,24 +104,30 @@ def _move(row, tolerance, min_distance, turn):
         return psi, row["state"], row["rss"]
     if len(psi) == 0:
         return psi, "done", None
-    step = None if row["moments"] is None else muggeo_step(_tails(row["moments"], len(psi)), psi)
+    step = _step(row["moments"], psi)
     if step is None:
         return psi, "failed", None
     moved = psi + (step["moved"] - psi) * damping(turn)
-    new = next_breakpoints(psi, moved, 0.0, 1.0)
-    before = row["rss"] if row["rss"] == row["rss"] else None
-    if settled(psi, new, step["rss"], before, tolerance):
-        good = apart(psi, 0.0, 1.0, min_distance / row["span"])
-        return psi, "done" if good else "failed", step["rss"]
-    return new, "active", step["rss"]
+    new = next_breakpoints(psi[None], moved[None], 0.0, 1.0)
+    before = np.nan if row["rss"] is None else row["rss"]
+    if at_rest(psi[None], new, step["rss"], before, tolerance)[0]:
+        good = apart(psi[None], 0.0, 1.0, min_distance / row["span"])[0]
+        return psi, "done" if good else "failed", float(step["rss"])
+    return new[0], "active", float(step["rss"])
+
+
+def _step(moments, psi):
+    """The Muggeo step of one fit, None when its equations have no solution."""
+    if moments is None:
+        return None
+    step = muggeo_steps(_tails(moments, len(psi))[None], psi[None])
+    return {k: a[0] for k, a in step.items()} if np.isfinite(step["full"]).all() else None
 
 
 def _estimates(row):
     """Estimates of a finished fit, in data units; nothing when it did not converge."""
-    if row["state"] != "done" or row["moments"] is None:
-        return NO_FIT
     psi = np.asarray(row["psi"], float)
-    step = muggeo_step(_tails(row["moments"], len(psi)), psi)
+    step = _step(row["moments"], psi) if row["state"] == "done" else None
     if step is None:
         return NO_FIT
     found = unscale(psi, step, row["n_obs"], row["x0"], row["span"], row["base"], row["unit"])

@@ -290,3 +290,14 @@ def exact_quantiles(df, by, wanted, layout: Layout | None = None, also=()) -> Da
         )
         out = out.join(picked, by, "left")
     return out
+
+
+def spread(df: DataFrame, keys) -> DataFrame:
+    """Hash profiles over a fixed number of tasks ahead of a grouped-map worker.
+
+    Profiles are few bytes and much computation, so adaptive coalescing by size would put
+    them all into one task; an explicit number is left alone, and the grouping reuses it.
+    """
+    spark = df.sparkSession
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 2 * spark.sparkContext.defaultParallelism)
+    return df.repartition(tasks, *keys)

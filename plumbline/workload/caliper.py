@@ -4,16 +4,20 @@ from pyspark.sql import functions as F
 
 from plumbline.functions.numeric import settle
 from plumbline.operators import baseline, detect, noise
-from plumbline.plans.layout import Layout
 from plumbline.sources import readers
 from plumbline.workload.registry import query, r
 from plumbline.workload.shared_sql import hermite, pchip_knots
-from plumbline.workload.views import caliper_log, table
+from plumbline.workload.views import caliper_log, sized, table
 
 KEYS = ["well_id"]
 FLOOR = F.col("auger_in") * F.lit(baseline.INCH_CM)
 RULE = detect.DetectionRule()
 
+
+def layout_of(spark, sf):
+    return sized(spark, sf, "caliper_log")
+
+
 # Shared SQL: validity, zones and running minimum per zone (x: rows, b: baselines).
 FLAGGED = f"""
 WITH fences AS (SELECT well_id, quantile_cont(caliper_cm, 0.25) AS q1, quantile_cont(caliper_cm, 0.75) AS q3
@@ -51,7 +55,7 @@ z AS (SELECT runs.*, pk.baseline_cm AS pb, pk.threshold_cm AS pt FROM runs JOIN
 
 
 def _flagged(spark, sf):
-    return detect.analyse_logs(caliper_log(spark, sf), KEYS, RULE)
+    return detect.analyse_logs(caliper_log(spark, sf), KEYS, RULE, layout=layout_of(spark, sf))
 
 
 @query("cal_06_zone_table", ZONE_SQL + f"""
@@ -59,7 +63,7 @@ SELECT well_id, {r('lo_z')} AS depth_shallow, {r('hi_z')} AS depth_deep, {r('pea
  {r('peak_cm - pb - CAST(0.5 AS DOUBLE)')} AS peak_excess_cm, {r('peak_cm - pt')} AS peak_excess_over_threshold_cm, n_saturated,
  n_pp_mild, n_pp_moderate, n_pp_severe, sub_zone FROM z""", ["caliper_log"])
 def zone_table(spark, sf):
-    zones = detect.zone_table(_flagged(spark, sf), KEYS, RULE, nominal=FLOOR)
+    zones = detect.zone_table(_flagged(spark, sf), KEYS, RULE, nominal=FLOOR, layout=layout_of(spark, sf))
     reals = ["depth_shallow", "depth_deep", "peak_cm", "baseline_at_peak_cm", "peak_excess_cm",
              "peak_excess_over_threshold_cm"]
     return zones.select(
@@ -74,7 +78,7 @@ SELECT well_id, {r('hi_z')} AS z_top, {r('lo_z')} AS z_bot, {r('(lo_z+hi_z)/2')}
  CAST(0.5 AS DOUBLE) AS offset_cm, CAST(3 AS DOUBLE) AS k_sigma, CAST(0.1 AS DOUBLE) AS sigma_inst_cm,
  CAST(2 AS DOUBLE) AS mild_max_excess_cm, CAST(5 AS DOUBLE) AS moderate_max_excess_cm, {r('peak_cm-nominal')} AS peak_excess_vs_nominal_cm FROM z""", ["caliper_log"])
 def zone_output(spark, sf):
-    zones = detect.zone_table(_flagged(spark, sf), KEYS, RULE, nominal=FLOOR)
+    zones = detect.zone_table(_flagged(spark, sf), KEYS, RULE, nominal=FLOOR, layout=layout_of(spark, sf))
     return zones.select(
         "well_id", *[settle(F.col(c)).alias(c) for c in ("z_top", "z_bot", "z_centre", "thickness_m")],
         "severity", "offset_cm", "k_sigma", "sigma_inst_cm", "mild_max_excess_cm",
@@ -113,7 +117,7 @@ SELECT well_id, seq, {r('min(caliper_cm) OVER (PARTITION BY well_id ORDER BY dep
  {r('min(caliper_cm) OVER (PARTITION BY well_id ORDER BY depth_m DESC)')} AS cummin_up FROM caliper_log""", ["caliper_log"])
 def running_minimum(spark, sf):
     log = caliper_log(spark, sf)
-    layout = Layout.of(log, KEYS)
+    layout = layout_of(spark, sf)
     down = baseline.running_minimum(log, KEYS, "depth_m", "caliper_cm", layout=layout)
     both = baseline.running_minimum(
         down.withColumnRenamed("running_min", "down"), KEYS, "depth_m", "caliper_cm", "bottom_up", layout
@@ -125,7 +129,7 @@ def running_minimum(spark, sf):
 SELECT well_id, seq, {r('caliper_cm')} AS caliper_cm FROM (SELECT *, min(caliper_cm) OVER (PARTITION BY well_id ORDER BY depth_m
  ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS pm FROM caliper_log) t WHERE pm IS NULL OR caliper_cm < pm""", ["caliper_log"])
 def anchor_rows(spark, sf):
-    rows = baseline.anchors(caliper_log(spark, sf), KEYS, "depth_m", "caliper_cm").where("is_anchor")
+    rows = baseline.anchors(caliper_log(spark, sf), KEYS, "depth_m", "caliper_cm", layout=layout_of(spark, sf)).where("is_anchor")
     return rows.select("well_id", "seq", settle(F.col("caliper_cm")).alias("caliper_cm"))
 
 
@@ -137,7 +141,7 @@ hi AS (SELECT lo.*, k.ax AS x1, k.ay AS y1 FROM lo ASOF LEFT JOIN k ON lo.well_i
 SELECT well_id, seq, {r('CASE WHEN x0 IS NULL THEN y1 WHEN x1 IS NULL THEN y0 WHEN x1=x0 THEN y0 ELSE y0+(y1-y0)*(depth_m-x0)/(x1-x0) END')} AS baseline_cm FROM hi""", ["caliper_log"])
 def anchor_interpolation(spark, sf):
     rows = baseline.single_zone_baseline(
-        caliper_log(spark, sf), KEYS, "depth_m", "caliper_cm", "linear", "bottom_up"
+        caliper_log(spark, sf), KEYS, "depth_m", "caliper_cm", "linear", "bottom_up", layout=layout_of(spark, sf)
     )
     return rows.select("well_id", "seq", settle(F.col("baseline_cm")).alias("baseline_cm"))
 
@@ -149,7 +153,7 @@ SELECT well_id, seq, zone_label, {r('coalesce(cm, fv)')} AS baseline_cm FROM (
 
 @query("win_07_step_fill", FLAGGED.split("knots AS")[0].rstrip().rstrip(",") + STEP_SQL, ["caliper_log"])
 def step_fill(spark, sf):
-    rows = baseline.two_zone_baseline(caliper_log(spark, sf), KEYS, kind="step")
+    rows = baseline.two_zone_baseline(caliper_log(spark, sf), KEYS, kind="step", layout=layout_of(spark, sf))
     return rows.select("well_id", "seq", "zone_label", settle(F.col("baseline_cm")).alias("baseline_cm"))
 
 
@@ -159,7 +163,7 @@ SELECT well_id, {r('min(depth_m)')} AS run_start, {r('max(depth_m)')} AS run_end
  FROM caliper_log) t WHERE caliper_cm > 15.4 GROUP BY well_id, g HAVING count(*) >= 2""", ["caliper_log"])
 def runs_of_true(spark, sf):
     log = caliper_log(spark, sf).withColumn("wide", F.col("caliper_cm") > 15.4)
-    runs = detect.runs_of_true(log, KEYS, "depth_m", "wide", 2)
+    runs = detect.runs_of_true(log, KEYS, "depth_m", "wide", 2, layout=layout_of(spark, sf))
     return runs.select("well_id", settle(F.col("run_start")).alias("run_start"), settle(F.col("run_end")).alias("run_end"), "n_points")
 
 
@@ -169,7 +173,7 @@ isl AS (SELECT *, row_number() OVER (PARTITION BY well_id ORDER BY depth_m) - ro
 SELECT well_id, severity_per_sample, {r('min(depth_m) - max(dz)/2')} AS run_top, {r('max(depth_m) + max(dz)/2')} AS run_bottom, count(*) AS n_points
 FROM isl JOIN dz USING (well_id) WHERE severity_per_sample <> 'none' GROUP BY well_id, severity_per_sample, g""", ["caliper_log"])
 def severity_runs(spark, sf):
-    runs = detect.severity_runs(_flagged(spark, sf), KEYS, "depth_m", "severity_per_sample")
+    runs = detect.severity_runs(_flagged(spark, sf), KEYS, "depth_m", "severity_per_sample", layout=layout_of(spark, sf))
     return runs.select("well_id", "severity_per_sample", settle(F.col("run_top")).alias("run_top"),
                        settle(F.col("run_bottom")).alias("run_bottom"), "n_points")
 
@@ -187,7 +191,7 @@ ma AS (SELECT pos.well_id, pos.i, avg(n0.caliper_cm) AS trend FROM pos JOIN n0 O
 SELECT n0.well_id, seq, {r('trend')} AS smooth_cm FROM n0 JOIN ma ON n0.well_id = ma.well_id AND n0.i = ma.i""", ["caliper_log"])
 def moving_average(spark, sf):
     points = F.when(F.col("trim_depth_m") == 5, 20).otherwise(15)
-    rows = noise.moving_average(caliper_log(spark, sf), KEYS, "depth_m", "caliper_cm", points, "smooth_cm")
+    rows = noise.moving_average(caliper_log(spark, sf), KEYS, "depth_m", "caliper_cm", points, "smooth_cm", layout=layout_of(spark, sf))
     return rows.select("well_id", "seq", settle(F.col("smooth_cm")).alias("smooth_cm"))
 
 
@@ -196,7 +200,7 @@ SELECT well_id, {r('sum(d*dn)/sum(d*d)')} AS lag1_autocorr FROM (
  SELECT well_id, d, lead(d) OVER (PARTITION BY well_id ORDER BY depth_m) AS dn FROM (
   SELECT *, caliper_cm - avg(caliper_cm) OVER (PARTITION BY well_id) AS d FROM caliper_log) a) b GROUP BY well_id""", ["caliper_log"])
 def autocorrelation(spark, sf):
-    rows = noise.lag1_autocorrelation(caliper_log(spark, sf), KEYS, "depth_m", "caliper_cm")
+    rows = noise.lag1_autocorrelation(caliper_log(spark, sf), KEYS, "depth_m", "caliper_cm", layout=layout_of(spark, sf))
     return rows.select("well_id", settle(F.col("lag1_autocorr")).alias("lag1_autocorr"))
 
 
@@ -211,7 +215,7 @@ val AS (SELECT num.*, one.x, one.y, one.d, one.x1, one.y1, one.d1 FROM num LEFT
 @query("smo_03_pchip_baseline", PCHIP_BASELINE + f"""
 SELECT well_id, seq, zone_label, {r(f"CASE WHEN x1 IS NULL THEN y ELSE {hermite('depth_m')} END")} AS baseline_cm FROM val""", ["caliper_log"])
 def pchip_baseline(spark, sf):
-    rows = baseline.two_zone_baseline(caliper_log(spark, sf), KEYS, kind="pchip")
+    rows = baseline.two_zone_baseline(caliper_log(spark, sf), KEYS, kind="pchip", layout=layout_of(spark, sf))
     return rows.select("well_id", "seq", "zone_label", settle(F.col("baseline_cm")).alias("baseline_cm"))
 
 
@@ -230,7 +234,7 @@ noise AS (SELECT well_id, count(*) AS n, avg(caliper_cm) AS cal_mean, stddev_sam
 
 
 def _noise(spark, sf):
-    return noise.noise_in_interval(caliper_log(spark, sf), KEYS, "depth_m", "caliper_cm", 2, 12, 1.0)
+    return noise.noise_in_interval(caliper_log(spark, sf), KEYS, "depth_m", "caliper_cm", 2, 12, 1.0, layout=layout_of(spark, sf))
 
 
 @query("cal_01_interval_noise", NOISE_SQL + f"""
@@ -258,12 +262,12 @@ def noise_comparison(spark, sf):
 
 @query("cal_03_validity_mask", FLAGGED + "SELECT well_id, seq, is_valid FROM s", ["caliper_log"])
 def validity(spark, sf):
-    return baseline.two_zone_baseline(caliper_log(spark, sf), KEYS).select("well_id", "seq", "is_valid")
+    return baseline.two_zone_baseline(caliper_log(spark, sf), KEYS, layout=layout_of(spark, sf)).select("well_id", "seq", "is_valid")
 
 
 @query("cal_04_two_zone_baseline", FLAGGED + f"SELECT well_id, seq, zone_label, {r('baseline_cm')} AS baseline_cm FROM s", ["caliper_log"])
 def two_zone(spark, sf):
-    rows = baseline.two_zone_baseline(caliper_log(spark, sf), KEYS)
+    rows = baseline.two_zone_baseline(caliper_log(spark, sf), KEYS, layout=layout_of(spark, sf))
     return rows.select("well_id", "seq", "zone_label", settle(F.col("baseline_cm")).alias("baseline_cm"))
 
 
@@ -294,7 +298,7 @@ def sample_output(spark, sf):
 g AS (SELECT well_id, CASE WHEN n_saturated > 0 THEN 'severe' WHEN peak_cm - pb - CAST(0.5 AS DOUBLE) <= 2 THEN 'mild' WHEN peak_cm - pb - CAST(0.5 AS DOUBLE) <= 5 THEN 'moderate' ELSE 'severe' END AS sv FROM z)
 SELECT well_id, count(*) FILTER (sv='mild') AS mild, count(*) FILTER (sv='moderate') AS moderate, count(*) FILTER (sv='severe') AS severe FROM g GROUP BY well_id""", ["caliper_log"])
 def severity_counts(spark, sf):
-    return detect.severity_counts(detect.zone_table(_flagged(spark, sf), KEYS, RULE, nominal=FLOOR), KEYS)
+    return detect.severity_counts(detect.zone_table(_flagged(spark, sf), KEYS, RULE, nominal=FLOOR, layout=layout_of(spark, sf)), KEYS)
 
 
 @query("prj_06_sign_normalisation", f"""
@@ -306,7 +310,7 @@ def sign_normalisation(spark, sf):
     log = caliper_log(spark, sf).withColumn(
         "depth_m", F.when(kind == 0, -F.col("depth_m")).when(kind == 1, F.col("depth_m")).otherwise(F.col("depth_m") - 5)
     )
-    rows = detect.normalise_signs(log, KEYS, "depth_m")
+    rows = detect.normalise_signs(log, KEYS, "depth_m", layout=layout_of(spark, sf))
     return rows.select("well_id", "seq", settle(F.col("depth_m")).alias("depth_m"), "sign_status")
 
 
@@ -316,5 +320,5 @@ WITH f AS (SELECT well_id, quantile_cont(caliper_cm, 0.25) AS q1, quantile_cont(
 SELECT well_id, seq, coalesce(caliper_cm < auger_in*CAST(2.54 AS DOUBLE) AND caliper_cm < q1 - CAST(1.5 AS DOUBLE)*(q3-q1), false) AS is_outlier
 FROM caliper_log LEFT JOIN f USING (well_id)""", ["caliper_log"])
 def outlier_flag(spark, sf):
-    rows = detect.outlier_flags(caliper_log(spark, sf), KEYS, "caliper_cm", FLOOR)
+    rows = detect.outlier_flags(caliper_log(spark, sf), KEYS, "caliper_cm", FLOOR, layout=layout_of(spark, sf))
     return rows.select("well_id", "seq", "is_outlier")

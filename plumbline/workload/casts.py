@@ -3,17 +3,20 @@
 from pyspark.sql import functions as F
 
 from plumbline.functions.numeric import log10_positive, settle
-from plumbline.operators import catalogue, clean, cluster, datum, resample, segments, smooth, sweep
-from plumbline.plans.layout import Layout, exact_quantiles
+from plumbline.operators import catalogue, clean, cluster, datum, resample, smooth, sweep
 from plumbline.sources import names, readers
 from plumbline.workload.registry import query, r
 from plumbline.workload.shared_sql import hermite, pchip_knots
-from plumbline.workload.views import cast_samples, table
+from plumbline.workload.views import cast_samples, sized, table
 
 KEYS = ["well_id", "campaign"]
 C = "CAST({} AS DOUBLE)".format
 
 
+def layout_of(spark, sf):
+    return sized(spark, sf, "cast_samples")
+
+
 def settled(df, reals, others=()):
     return df.select(*others, *[settle(F.col(c)).alias(c) for c in reals])
 
@@ -37,8 +40,8 @@ pc AS (SELECT grid.well_id, grid.campaign, grid_index, g, CASE WHEN x1 IS NULL T
 
 
 def _clean(spark, sf):
-    samples = cast_samples(spark, sf)
-    return clean.clean_casts(samples, KEYS), Layout.of(samples, KEYS)
+    layout = layout_of(spark, sf)
+    return clean.clean_casts(cast_samples(spark, sf), KEYS, layout=layout), layout
 
 
 def _grid(spark, sf, kind="pchip"):
@@ -117,7 +120,7 @@ def chronological_order(spark, sf):
         "user_id", "event_id", F.date_format("ts", "HH:mm:ss").alias("time"),
         (F.date_format("ts", "SSSSSS").cast("double") / 1e6).alias("time_frac"),
     )
-    out = clean.chronological(rows, ["user_id"], "time", "time_frac", "event_id")
+    out = clean.chronological(rows, ["user_id"], "time", "time_frac", "event_id", layout=layout_of(spark, sf))
     return out.select("user_id", "event_id", "seq", "order_status")
 
 
@@ -125,7 +128,7 @@ def chronological_order(spark, sf):
 SELECT well_id, campaign, seq, {r('z')} AS depth_m FROM mark WHERE m IS NULL OR z >= m - {C(0.002)}""", ["cast_samples"])
 def descent(spark, sf):
     rows = clean.drop_negative_depths(clean.adjust_depth(cast_samples(spark, sf)))
-    return settled(clean.descent_filter(rows, KEYS, "depth_m", "seq"), ["depth_m"], [*KEYS, "seq"])
+    return settled(clean.descent_filter(rows, KEYS, "depth_m", "seq", layout=layout_of(spark, sf)), ["depth_m"], [*KEYS, "seq"])
 
 
 @query("win_02_descent_statistics", CLEAN + f"""
@@ -133,7 +136,7 @@ SELECT well_id, campaign, count(*) AS n_total, count(*) FILTER (m IS NULL OR z >
  {r(f'count(*) FILTER (z < m - {C(0.002)})*{C(100)}/count(*)')} AS pct_removed, {r('max(greatest(coalesce(m - z, 0), 0))')} AS max_reversal_m FROM mark GROUP BY well_id, campaign""", ["cast_samples"])
 def descent_statistics(spark, sf):
     rows = clean.drop_negative_depths(clean.adjust_depth(cast_samples(spark, sf)))
-    out = clean.descent_statistics(rows, KEYS, "depth_m", "seq")
+    out = clean.descent_statistics(rows, KEYS, "depth_m", "seq", layout=layout_of(spark, sf))
     return settled(out, ["pct_removed", "max_reversal_m"], [*KEYS, "n_total", "n_kept", "n_removed"])
 
 
@@ -234,7 +237,7 @@ SELECT well_id, campaign, n_raw, coalesce(n_nn, 0) AS n_non_negative, coalesce(n
 FROM raw LEFT JOIN cnt USING (well_id, campaign) LEFT JOIN fl USING (well_id, campaign)""", ["cast_samples"])
 def profile_diagnostics(spark, sf):
     samples = cast_samples(spark, sf)
-    layout = Layout.of(samples, KEYS)
+    layout = layout_of(spark, sf)
     counts = clean.cleaning_counts(samples, KEYS, layout=layout)
     flat = clean.clean_casts(samples, KEYS, layout=layout)
     ranges = flat.groupBy(*KEYS).agg(
@@ -376,14 +379,14 @@ def isotonic(spark, sf):
 @query("smo_08_savgol_profiles", CLEAN + PCHIP + "," + segmented_sql("pc", "g", "sec", 11, 20, 1000) + f"""
 SELECT well_id, campaign, grid_index, {r('g')} AS depth_m, {r('fit', 4)} AS sec_us_cm, {r('CASE WHEN fit > 0 THEN log10(fit) END')} AS log10_sec FROM seg""", ["cast_samples"])
 def savgol_profiles(spark, sf):
-    out = smooth.savgol_profiles(cast_samples(spark, sf), KEYS)
+    out = smooth.savgol_profiles(cast_samples(spark, sf), KEYS, layout=layout_of(spark, sf))
     return out.select(*KEYS, "grid_index", settle(F.col("depth_m")).alias("depth_m"),
                       settle(F.col("sec_us_cm"), 4).alias("sec_us_cm"), settle(F.col("log10_sec")).alias("log10_sec"))
 
 
 @query("smo_09_lowess_profiles")
 def lowess_profiles(spark, sf):
-    out = smooth.lowess_profiles(cast_samples(spark, sf), KEYS, frac=0.1)
+    out = smooth.lowess_profiles(cast_samples(spark, sf), KEYS, frac=0.1, layout=layout_of(spark, sf))
     return out.select(*KEYS, "grid_index", settle(F.col("depth_m")).alias("depth_m"), settle(F.col("log10_sec")).alias("log10_sec"))
 
 
@@ -397,19 +400,19 @@ def window_sensitivity(spark, sf):
 
 
 def _smoothed(spark, sf):
-    return smooth.savgol_profiles(cast_samples(spark, sf), KEYS)
+    return smooth.savgol_profiles(cast_samples(spark, sf), KEYS, layout=layout_of(spark, sf))
 
 
 @query("bps_01_model_sweep")
 def model_sweep(spark, sf):
-    fits = sweep.sweep(_smoothed(spark, sf), KEYS, max_breakpoints=4, trials=2, restarts=3)
+    fits = sweep.sweep(_smoothed(spark, sf), KEYS, max_breakpoints=4, trials=2, restarts=3, layout=layout_of(spark, sf))
     return fits.select(*KEYS, "trial", "n_breakpoints", "converged", "rss", "bic")
 
 
 @query("bps_11_warm_refit")
 def warm_refit(spark, sf):
     smoothed = _smoothed(spark, sf)
-    fits = sweep.sweep(smoothed, KEYS, sizes=(2,), trials=1, restarts=3)
+    fits = sweep.sweep(smoothed, KEYS, sizes=(2,), trials=1, restarts=3, layout=layout_of(spark, sf))
     return sweep.refit(smoothed, fits, KEYS).select(*KEYS, "trial", "n_breakpoints", "converged", "rss")
 
 

@@ -4,14 +4,17 @@ from pyspark.sql import functions as F
 
 from plumbline.functions.numeric import overlap_length, settle
 from plumbline.operators import cluster, converge
-from plumbline.plans.layout import Layout
 from plumbline.workload.registry import query, r
-from plumbline.workload.views import bp_records, fits, zones
+from plumbline.workload.views import bp_records, fits, sized, zones
 
 KEYS = ["well_id"]
 C = "CAST({} AS DOUBLE)".format
 
 
+def layout_of(spark, sf):
+    return sized(spark, sf, "bp_records")
+
+
 def settled(df, reals, others=()):
     return df.select(*others, *[settle(F.col(c)).alias(c) for c in reals])
 
@@ -38,12 +41,12 @@ SUMMARY_SQL = f"""cluster_id, {r('depth_median')} AS depth_median, {r('depth_min
 
 
 def _clusters(spark, sf):
-    return cluster.robustness(bp_records(spark, sf), KEYS)
+    return cluster.robustness(bp_records(spark, sf), KEYS, layout=layout_of(spark, sf))
 
 
 @query("win_12_single_linkage", CLUSTERS + "SELECT well_id, record_id, cluster_id FROM cl", ["bp_records"])
 def single_linkage(spark, sf):
-    rows = cluster.cluster_depths(bp_records(spark, sf), KEYS, tie=["record_id"])
+    rows = cluster.cluster_depths(bp_records(spark, sf), KEYS, tie=["record_id"], layout=layout_of(spark, sf))
     return rows.select("well_id", "record_id", "cluster_id")
 
 
@@ -91,7 +94,7 @@ rk AS (SELECT *, row_number() OVER (PARTITION BY well_id ORDER BY agreement DESC
 @query("agg_04_robust_depths", RANKED + f"""
 SELECT well_id, string_agg(printf('%.2f', {r('depth_median', 2)}), ', ' ORDER BY rank) AS top_depths FROM rk WHERE rank <= 3 GROUP BY well_id""", ["bp_records"])
 def robust_depths(spark, sf):
-    return cluster.robust_depths(_clusters(spark, sf), KEYS)
+    return cluster.robust_depths(_clusters(spark, sf), KEYS, layout=layout_of(spark, sf))
 
 
 @query("agg_05_robustness", CLUSTERS + f"SELECT well_id, {C(0.5)} AS delta_m, {SUMMARY_SQL} FROM clusters", ["bp_records"])
@@ -103,7 +106,7 @@ SENSITIVITY = "WITH grid AS (SELECT *, unnest([CAST(0.3 AS DOUBLE), CAST(0.5 AS
 
 
 def _sensitivity(spark, sf):
-    return cluster.robustness_sensitivity(bp_records(spark, sf), KEYS)
+    return cluster.robustness_sensitivity(bp_records(spark, sf), KEYS, layout=layout_of(spark, sf))
 
 
 @query("agg_06_delta_sensitivity", SENSITIVITY + f"SELECT well_id, delta_m, {SUMMARY_SQL} FROM clusters", ["bp_records"])
@@ -122,7 +125,7 @@ def clusters_per_delta(spark, sf):
 
 @query("agg_08_top_clusters", RANKED + f"SELECT well_id, cluster_id, CAST(rank AS INT) AS rank, {r('depth_median')} AS depth_median, agreement, persistence FROM rk WHERE rank <= 5", ["bp_records"])
 def top_clusters(spark, sf):
-    out = cluster.ranked_clusters(_clusters(spark, sf), KEYS, 5)
+    out = cluster.ranked_clusters(_clusters(spark, sf), KEYS, 5, layout=layout_of(spark, sf))
     return settled(out, ["depth_median"], ["well_id", "cluster_id", "rank", "agreement", "persistence"])
 
 
@@ -141,7 +144,7 @@ def depth_histogram(spark, sf):
 ), ["bp_records"])
 def stacked_deltas(spark, sf):
     rows = bp_records(spark, sf)
-    layout = Layout.of(rows, KEYS)
+    layout = layout_of(spark, sf)
     first, second = (cluster.robustness(rows, KEYS, d, layout=layout) for d in (0.3, 1.0))
     return settled(first.unionByName(second), ["depth_median"], ["well_id", "delta_m", "cluster_id", "persistence"])
 
@@ -177,7 +180,7 @@ def _matches(spark, sf, rule="hybrid"):
 @query("src_10_zone_numbers", "SELECT well_id, z_bot, z_top, CAST(row_number() OVER (PARTITION BY well_id ORDER BY z_bot, z_top, zone_id) AS INT) AS zone_id FROM zones".replace("z_bot, z_top, CAST", f"{r('z_bot')} AS z_bot, {r('z_top')} AS z_top, CAST"), ["zones"])
 def zone_numbers(spark, sf):
     rows = zones(spark, sf).withColumnRenamed("zone_id", "source_row")
-    out = converge.number_zones(rows, KEYS, tie=("source_row",))
+    out = converge.number_zones(rows, KEYS, tie=("source_row",), layout=layout_of(spark, sf))
     return settled(out, ["z_bot", "z_top"], ["well_id", "zone_id"])
 
 

@@ -5,13 +5,17 @@ from pyspark.sql import functions as F
 from plumbline.functions.numeric import estimate_of, hinge_value, settle
 from plumbline.operators import catalogue, geometry, segments, sweep
 from plumbline.workload.registry import query, r
-from plumbline.workload.views import breakpoints, caliper_log, fits, table
+from plumbline.workload.views import breakpoints, caliper_log, fits, sized, table
 
 KEYS = ["well_id"]
 C = "CAST({} AS DOUBLE)".format
 LIMIT = 20_000.0
 
 
+def layout_of(spark, sf):
+    return sized(spark, sf, "breakpoints")
+
+
 def settled(df, reals, others=()):
     return df.select(*others, *[settle(F.col(c)).alias(c) for c in reals])
 
@@ -26,7 +30,7 @@ ch AS (SELECT *, lead(depth_m) OVER w AS z1, lead(log10_sec) OVER w AS y1, pow(1
 SELECT well_id, bp_index AS pair_idx, {r('depth_m')} AS depth_top, {r('z1')} AS depth_bottom, {r('(y1-log10_sec)/(z1-depth_m)')} AS slope_log10,
  {r('(s1-s0)/(z1-depth_m)', 5)} AS slope_linear_us_cm_per_m, CAST(sign(y1-log10_sec) AS INT) AS slope_sign, CASE WHEN z1 > depth_m THEN 'ok' ELSE 'not_ascending' END AS pair_status FROM ch WHERE z1 IS NOT NULL""", ["breakpoints"])
 def chord_slopes(spark, sf):
-    out = geometry.chord_slopes(breakpoints(spark, sf), KEYS)
+    out = geometry.chord_slopes(breakpoints(spark, sf), KEYS, layout=layout_of(spark, sf))
     return out.select("well_id", "pair_idx", *[settle(F.col(c)).alias(c) for c in ("depth_top", "depth_bottom", "slope_log10")],
                       settle(F.col("slope_linear_us_cm_per_m"), 5).alias("slope_linear_us_cm_per_m"), "slope_sign", "pair_status")
 
@@ -45,7 +49,7 @@ ang AS (SELECT *, acos(greatest(-1, least(1, (ux*vx+uy*vy)/nullif(sqrt(ux*ux+uy*
 @query("win_14_turning_angles", "WITH " + angle_sql("breakpoints", "bp_index", "depth_m", "log10_sec").strip() + f"""
 SELECT well_id, bp_index, {r('a', 5)} AS turning_angle FROM ang""", ["breakpoints"])
 def turning_angles(spark, sf):
-    out = geometry.turning_angles(breakpoints(spark, sf), KEYS)
+    out = geometry.turning_angles(breakpoints(spark, sf), KEYS, layout=layout_of(spark, sf))
     return out.select("well_id", "bp_index", settle(F.col("turning_angle"), 5).alias("turning_angle"))
 
 
@@ -61,7 +65,7 @@ fl AS (SELECT p.well_id, p.bp_index, coalesce(p.bp_index = t, false) AS is_top_o
 
 
 def _flags(spark, sf):
-    return geometry.transition_zone(breakpoints(spark, sf), KEYS, bottom=LIMIT, top=150_000.0)
+    return geometry.transition_zone(breakpoints(spark, sf), KEYS, bottom=LIMIT, top=150_000.0, layout=layout_of(spark, sf))
 
 
 @query("win_15_transition_zone", ZONE + "SELECT * FROM fl", ["breakpoints"])
@@ -73,7 +77,7 @@ def transition_zone(spark, sf):
 SELECT well_id, bp_index, is_top_of_mixing AND bp_index < n AS is_top_of_mixing, is_bottom_of_mixing AND bp_index < n AS is_bottom_of_mixing FROM fl JOIN (SELECT well_id, n FROM mz) q USING (well_id)""", ["breakpoints"])
 def promoted_flags(spark, sf):
     points = breakpoints(spark, sf)
-    pairs = geometry.flag_pairs(points, KEYS, bottom=LIMIT, top=150_000.0)
+    pairs = geometry.flag_pairs(points, KEYS, bottom=LIMIT, top=150_000.0, layout=layout_of(spark, sf))
     out = geometry.promote_pair_flags(points, pairs, KEYS)
     return out.select("well_id", "bp_index", "is_top_of_mixing", "is_bottom_of_mixing")
 
@@ -303,7 +307,7 @@ SELECT lim.well_id, coalesce(n, 0) AS n_points, t AS top_index, coalesce(b, e) A
 def job_slopes(spark, sf):
     jobs = catalogue.job_settings(_jobs(spark, sf), {"bottom": LIMIT}, {"bottom": 40_000.0})
     rows = breakpoints(spark, sf).join(jobs.select("well_id", F.col("bottom").alias("lower")), "well_id")
-    flagged = geometry.transition_zone(rows, KEYS, bottom=F.col("lower"))
+    flagged = geometry.transition_zone(rows, KEYS, bottom=F.col("lower"), layout=layout_of(spark, sf))
     found = flagged.groupBy("well_id").agg(
         F.count("*").alias("n_points"),
         F.max(F.when(F.col("is_top_of_mixing"), F.col("bp_index"))).alias("top_index"),
@@ -318,7 +322,7 @@ SELECT fl.well_id, fl.bp_index, {r('p.depth_m')} AS depth_wt_m, {r(f"p.depth_m +
 FROM fl JOIN breakpoints p ON fl.well_id = p.well_id AND fl.bp_index = p.bp_index JOIN mz ON mz.well_id = fl.well_id""", ["breakpoints"])
 def canonical_summary(spark, sf):
     points = breakpoints(spark, sf)
-    pairs = geometry.flag_pairs(points, KEYS, bottom=LIMIT, top=150_000.0)
+    pairs = geometry.flag_pairs(points, KEYS, bottom=LIMIT, top=150_000.0, layout=layout_of(spark, sf))
     offsets = points.select("well_id").distinct().withColumn("vadose_m", F.lit(2.0) + 0.5 * F.length("well_id"))
     out = segments.breakpoint_summary(points, pairs, offsets, KEYS, KEYS)
     return settled(out, ["depth_wt_m", "depth_bgl_m"], ["well_id", "bp_index", "is_top_of_mixing", "is_bottom_of_mixing", "check_status"])

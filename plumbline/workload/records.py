@@ -47,7 +47,7 @@ def _ground_casts(spark, sf):
 
 
 def _offsets(spark, sf):
-    return datum.extract_offsets(_ground_casts(spark, sf), CAST_KEYS)
+    return datum.extract_offsets(_ground_casts(spark, sf), CAST_KEYS, layout=views.sized(spark, sf, "cast_samples"))
 
 
 @query("dat_01_extracted_offsets", "WITH " + OFFSETS.strip() + f"SELECT site, well_id, campaign, cast_no, {r('offset_m')} AS offset_m, {r('sd')} AS offset_std_m, n AS n_samples, offset_status FROM st", ["cast_samples"])
@@ -306,7 +306,7 @@ mg AS (SELECT sheet, CAST(entry AS INT) AS entry, min(dt) AS depth_top, max(coal
 
 @query("txt_03_merged_notes", MERGED + f"SELECT *, {r('(depth_top+depth_bottom)/2')} AS centre FROM mg", ["notes"])
 def merged_notes(spark, sf):
-    out = note_ops.merge_continuations(views.notes(spark, sf), ["sheet"])
+    out = note_ops.merge_continuations(views.notes(spark, sf), ["sheet"], layout=views.sized(spark, sf, "notes"))
     return out.withColumn("centre", settle(F.col("centre")))
 
 
@@ -318,7 +318,7 @@ def note_table(spark, sf):
 
 @query("prj_09_centre_window", MERGED + "SELECT sheet, entry, note FROM mg WHERE (depth_top+depth_bottom)/2 BETWEEN 2 AND 6 AND entry % 2 = 1", ["notes"])
 def centre_window(spark, sf):
-    out = note_ops.merge_continuations(views.notes(spark, sf), ["sheet"])
+    out = note_ops.merge_continuations(views.notes(spark, sf), ["sheet"], layout=views.sized(spark, sf, "notes"))
     out = out.withColumn("kind", F.when(F.col("entry") % 2 == 1, "note").otherwise("conductivity"))
     return note_ops.centre_between(out, 2, 6, ["conductivity"]).select("sheet", "entry", "note")
 
@@ -340,7 +340,7 @@ def _annotations(spark, sf):
 nx AS (SELECT *, CASE WHEN kind = 'lithology' THEN lead(depth_m) OVER (PARTITION BY well_id, kind ORDER BY depth_m, event_id) ELSE depth_m END AS bt FROM an)
 SELECT well_id, event_id, kind, {r('depth_m')} AS depth_top, {r('bt')} AS depth_bottom, {r('(depth_m + coalesce(bt, depth_m))/2')} AS centre FROM nx""")
 def extended_intervals(spark, sf):
-    out = note_ops.extend_intervals(_annotations(spark, sf), ["well_id"], tie=["event_id"])
+    out = note_ops.extend_intervals(_annotations(spark, sf), ["well_id"], tie=["event_id"], layout=views.sized(spark, sf, "cast_samples"))
     return settled(out, ["depth_top", "depth_bottom", "centre"], ["well_id", "event_id", "kind"])
 
 
@@ -440,7 +440,7 @@ FROM ok JOIN fin USING (transect, x) LEFT JOIN top USING (transect, x) LEFT JOIN
 @query("win_17_resistivity_zone", _rho_zone(), ["ert_samples"])
 def resistivity_zone(spark, sf):
     rows = ert.to_positive_depth(ert_samples(spark, sf))
-    out = geometry.resistivity_zone(rows, ERT_KEYS, bottom=RHO_LIMIT)
+    out = geometry.resistivity_zone(rows, ERT_KEYS, bottom=RHO_LIMIT, layout=views.sized(spark, sf, "ert_samples"))
     return out.select(*ERT_KEYS, "bp_index", "is_top_of_mixing", "is_bottom_of_mixing", "mz_status")
 
 

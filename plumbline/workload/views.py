@@ -6,7 +6,31 @@ Every view reads all rows of its base table, so its size grows with the data.
 from pyspark.sql import functions as F
 
 from plumbline.functions.numeric import settle
-from plumbline.plans.layout import lay, row_number
+from plumbline.plans.layout import Layout, lay, row_number
+
+# Base table and profile key of each view.
+PROFILE_KEYS = {
+    "cast_samples": ("events", ("user_id",)),
+    "breakpoints": ("events", ("user_id",)),
+    "caliper_log": ("lineitem", ("l_suppkey",)),
+    "bp_records": ("orders", ("o_custkey",)),
+    "zones": ("orders", ("o_custkey",)),
+    "fits": ("orders", ("o_custkey",)),
+    "ert_samples": ("part", ("p_brand", "p_size % 5")),
+    "notes": ("conversations", ("conv_id",)),
+}
+_SIZES = {}
+
+
+def sized(spark, sf, view):
+    """Layout of a view's profiles, counted once per session on the narrow base column."""
+    name, keys = PROFILE_KEYS[view]
+    limit = spark.conf.get("spark.plumbline.rowsPerSplit", "")
+    key = (spark.sparkContext.applicationId, sf, name, keys, limit)
+    if key not in _SIZES:
+        base = table(spark, sf, name).selectExpr(*[f"{k} AS k{i}" for i, k in enumerate(keys)])
+        _SIZES[key] = Layout.of(base, base.columns)
+    return _SIZES[key]
 
 
 def table(spark, sf, name):
@@ -24,7 +48,7 @@ def _site():
 def cast_samples(spark, sf):
     """One cast per user of `events`: depth noisily descending, conductivity rising."""
     events = table(spark, sf, "events").select("user_id", "ts", "event_id", "value")
-    rows = lay(events, ["user_id"], ["ts", "event_id"]).scan(rn=row_number()).df
+    rows = lay(events, ["user_id"], ["ts", "event_id"], sized(spark, sf, "cast_samples")).scan(rn=row_number()).df
     step = (F.col("rn") + 1).cast("double") * 0.25 - 1.0 + F.col("value") / 100.0
     rows = rows.withColumn("depth_m", F.floor(step * 100.0).cast("double") / F.lit(100.0))
     d4 = F.col("depth_m") * F.col("depth_m") * F.col("depth_m") * F.col("depth_m")
@@ -51,7 +75,7 @@ def caliper_log(spark, sf):
     """One width log per supplier of `lineitem`, with wash-outs and sub-nominal rows."""
     order = ["l_orderkey", "l_linenumber", "l_partkey", "l_extendedprice", "l_discount",
              "l_tax", "l_shipdate", "l_quantity"]
-    rows = lay(table(spark, sf, "lineitem").select("l_suppkey", *order), ["l_suppkey"], order)
+    rows = lay(table(spark, sf, "lineitem").select("l_suppkey", *order), ["l_suppkey"], order, sized(spark, sf, "caliper_log"))
     rows = rows.scan(rn=row_number()).df
     width = (
         15.0 + F.col("l_tax") * 10.0
@@ -106,7 +130,7 @@ def breakpoints(spark, sf):
         settle(F.avg(z), 4).alias("depth_m"),
         settle(F.avg(2.5 + 2.3 * d4 / (d4 + 4096.0)), 6).alias("log10_sec"),
     )
-    rows = lay(means, ["well_id"], ["depth_m"]).scan(i=row_number()).df
+    rows = lay(means, ["well_id"], ["depth_m"], sized(spark, sf, "breakpoints")).scan(i=row_number()).df
     return rows.select("well_id", (F.col("i") + 1).cast("int").alias("bp_index"), "depth_m", "log10_sec")
 
 
@@ -150,7 +174,7 @@ def ert_samples(spark, sf):
         F.col("p_brand").alias("transect"), (F.col("p_size") % 5 * 10).cast("double").alias("x"),
         "p_partkey", "p_retailprice",
     )
-    rows = lay(part, ["transect", "x"], ["p_partkey"]).scan(rn=row_number()).df
+    rows = lay(part, ["transect", "x"], ["p_partkey"], sized(spark, sf, "ert_samples")).scan(rn=row_number()).df
     n = (F.col("rn") + 1).cast("double")
     return rows.select(
         "transect", "x", (-0.5 * n).alias("depth"),
@@ -173,7 +197,7 @@ def _frac(x):
 def fits(spark, sf):
     """Saved sweep rows: one per order, wells are customers, three trials of growing size."""
     orders = table(spark, sf, "orders").select("o_custkey", "o_orderkey", "o_totalprice")
-    rows = lay(orders, ["o_custkey"], ["o_orderkey"]).scan(rn=row_number()).df
+    rows = lay(orders, ["o_custkey"], ["o_orderkey"], sized(spark, sf, "fits")).scan(rn=row_number()).df
     p, n = F.col("o_totalprice") / 1000.0, F.floor(F.col("rn") / 3).cast("int")
     bic = 1000.0 - 120.0 * F.col("n") + 13.0 * F.col("n") * F.col("n") + _frac(p * 7.0) * 50.0
     each = lambda f: F.transform(F.col("_i"), f)
