@@ -81,7 +81,8 @@ def turning_angle(ux, uy, vx, vy) -> Column:
     """Angle between two successive chords, in radians."""
     lengths = F.sqrt(ux * ux + uy * uy) * F.sqrt(vx * vx + vy * vy)
     cosine = F.try_divide(ux * vx + uy * vy, lengths)
-    return F.acos(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), cosine)))
+    # least and greatest skip nulls, so a missing chord must be kept apart.
+    return F.when(cosine.isNotNull(), F.acos(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), cosine))))
 
 
 def grid_point(start: Column, step: Column, k: Column) -> Column:

@@ -6,13 +6,13 @@ from plumbline.functions.numeric import log10_positive, shift_probe, to_below_gr
 from plumbline.plans.layout import finish, lay, row_number, running_max
 
 
-def chronological(df, keys, time=None, fraction=None, row="row_no", layout=None):
-    """Number the rows of a cast by (time, fraction, source row).
+def chronological(df, keys, time=None, fraction=None, rows=("row_no",), layout=None):
+    """Number the rows of a cast by (time, fraction, source position).
 
     Without a time column the source order stands and `order_status` says so.
     """
     timed = [c for c in (time, fraction) if c in df.columns]
-    track = lay(df, keys, [*timed, row], layout).scan(seq=row_number())
+    track = lay(df, keys, [*timed, *rows], layout).scan(seq=row_number())
     status = "by_time" if time in df.columns else "no_time_column"
     return finish(track.with_columns(order_status=F.lit(status)))
 

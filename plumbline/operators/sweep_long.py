@@ -23,8 +23,8 @@ def sweep_long(rows, keys, grid, tolerance, min_distance):
     scale = rows.groupBy(*keys).agg(
         F.min("_x").alias("x0"), (F.max("_x") - F.min("_x")).alias("span"),
         F.avg("_y").alias("base"), F.stddev_pop("_y").alias("unit"), F.count("*").alias("n_obs"),
-    ).where("span > 0 and unit > 0").checkpoint()
-    scaled = rows.join(scale, keys).select(
+    ).checkpoint()
+    scaled = rows.join(scale.where("span > 0 and unit > 0"), keys).select(
         *keys, ((F.col("_x") - F.col("x0")) / F.col("span")).alias("u"),
         ((F.col("_y") - F.col("base")) / F.col("unit")).alias("v"),
     )
@@ -32,12 +32,13 @@ def sweep_long(rows, keys, grid, tolerance, min_distance):
         [(f"trial_{t + 1}", s, n, _start(s, n)) for t, s, n in grid],
         "trial string, seed int, n_breakpoints int, psi array<double>",
     )
+    fittable = (F.col("span") > 0) & (F.col("unit") > 0) & (F.col("n_obs") >= 2 * F.col("n_breakpoints") + 3)
     fits = scale.withColumn("task", F.explode(F.array(*[
         F.struct(F.lit(f"trial_{t + 1}").alias("trial"), F.lit(s).alias("seed"), F.lit(n).alias("n_breakpoints"))
         for t, s, n in grid
     ]))).select(*scale.columns, "task.*").join(tasks, ["trial", "seed", "n_breakpoints"])
     fits = fits.withColumns(
-        {"state": F.lit("active"), "rss": F.lit(None).cast("double")}
+        {"state": F.when(fittable, "active").otherwise("failed"), "rss": F.lit(None).cast("double")}
     ).checkpoint()
     fit_keys, schema = [*keys, "trial", "seed", "n_breakpoints"], fits.schema
 

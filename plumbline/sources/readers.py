@@ -68,7 +68,8 @@ def read_casts(spark, paths_by_header, aliases=ALIASES, name=None):
 
     Each variant is one scan over all its files; the file name gives site, type, probe and
     date.  Names that do not parse stay in the result with null keys for `unparsed_casts`.
-    `name` replaces the file name by another expression over `_metadata`.
+    `name` replaces the file name by another expression over `_metadata`.  The source order
+    of a file's rows is (block_start, row_no): ids rise within a block, blocks by offset.
     """
     name = F.col("_metadata.file_name") if name is None else name
     stacked = None
@@ -105,7 +106,7 @@ def casts_of(casts, well_id, campaign=None, probe=None):
         out = out.where(F.col("campaign") == campaign)
     if probe is not None:
         out = out.where(F.col("suffix") == probe)
-    return out.orderBy("cast_date", "suffix", "row_no")
+    return out.orderBy("cast_date", "suffix", "file_path", "block_start", "row_no")
 
 
 def unparsed_casts(casts):

@@ -120,7 +120,7 @@ def chronological_order(spark, sf):
         "user_id", "event_id", F.date_format("ts", "HH:mm:ss").alias("time"),
         (F.date_format("ts", "SSSSSS").cast("double") / 1e6).alias("time_frac"),
     )
-    out = clean.chronological(rows, ["user_id"], "time", "time_frac", "event_id", layout=layout_of(spark, sf))
+    out = clean.chronological(rows, ["user_id"], "time", "time_frac", ["event_id"], layout=layout_of(spark, sf))
     return out.select("user_id", "event_id", "seq", "order_status")
 
 

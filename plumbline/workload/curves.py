@@ -42,7 +42,8 @@ def angle_sql(source, index, z, y, keys="well_id"):
 sc AS (SELECT *, ({z} - min({z}) OVER k)/nullif(max({z}) OVER k - min({z}) OVER k, 0) AS sx, ({y} - min({y}) OVER k)/nullif(max({y}) OVER k - min({y}) OVER k, 0) AS sy,
   count(*) OVER k AS n, row_number() OVER (PARTITION BY {keys} ORDER BY {index}) AS rn FROM {source} WINDOW k AS (PARTITION BY {keys})),
 uv AS (SELECT *, sx - lag(sx) OVER w AS ux, sy - lag(sy) OVER w AS uy, lead(sx) OVER w - sx AS vx, lead(sy) OVER w - sy AS vy FROM sc WINDOW w AS ({w})),
-ang AS (SELECT *, acos(greatest(-1, least(1, (ux*vx+uy*vy)/nullif(sqrt(ux*ux+uy*uy)*sqrt(vx*vx+vy*vy), 0)))) AS a FROM uv)
+cosine AS (SELECT *, (ux*vx+uy*vy)/nullif(sqrt(ux*ux+uy*uy)*sqrt(vx*vx+vy*vy), 0) AS cv FROM uv),
+ang AS (SELECT *, CASE WHEN cv IS NOT NULL THEN acos(greatest(-1, least(1, cv))) END AS a FROM cosine)
 """
 
 
