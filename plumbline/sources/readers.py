@@ -1,5 +1,6 @@
 """Readers: files in, one typed DataFrame of many profiles out."""
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from plumbline.functions.numeric import clean_nan
@@ -109,6 +110,19 @@ def casts_of(casts, well_id, campaign=None, probe=None):
     return out.orderBy("cast_date", "suffix", "file_path", "block_start", "row_no")
 
 
+def cast_index(casts):
+    """One row per cast with its place in the well's (date, probe) order, rows and depths.
+
+    A well has few casts, so numbering them is a small window over the aggregated rows.
+    """
+    keys = ["well_id", "cast_date", "suffix", "instrument", "file_name"]
+    each = casts.where("well_id is not null").groupBy(*keys).agg(
+        F.count("*").alias("n_rows"), F.min("depth_m").alias("depth_min"), F.max("depth_m").alias("depth_max")
+    )
+    order = Window.partitionBy("well_id").orderBy("cast_date", "suffix", "file_name")
+    return each.withColumn("cast_no", F.row_number().over(order))
+
+
 def unparsed_casts(casts):
     return casts.where("well_id is null").select("file_name").distinct()
 

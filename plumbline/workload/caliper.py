@@ -10,7 +10,12 @@ from plumbline.workload.shared_sql import hermite, pchip_knots
 from plumbline.workload.views import caliper_log, sized, table
 
 KEYS = ["well_id"]
-FLOOR = F.col("auger_in") * F.lit(baseline.INCH_CM)
+
+
+def auger_floor():
+    return F.col("auger_in") * F.lit(baseline.INCH_CM)
+
+
 RULE = detect.DetectionRule()
 
 
@@ -63,7 +68,7 @@ SELECT well_id, {r('lo_z')} AS depth_shallow, {r('hi_z')} AS depth_deep, {r('pea
  {r('peak_cm - pb - CAST(0.5 AS DOUBLE)')} AS peak_excess_cm, {r('peak_cm - pt')} AS peak_excess_over_threshold_cm, n_saturated,
  n_pp_mild, n_pp_moderate, n_pp_severe, sub_zone FROM z""", ["caliper_log"])
 def zone_table(spark, sf):
-    zones = detect.zone_table(_flagged(spark, sf), KEYS, RULE, nominal=FLOOR, layout=layout_of(spark, sf))
+    zones = detect.zone_table(_flagged(spark, sf), KEYS, RULE, nominal=auger_floor(), layout=layout_of(spark, sf))
     reals = ["depth_shallow", "depth_deep", "peak_cm", "baseline_at_peak_cm", "peak_excess_cm",
              "peak_excess_over_threshold_cm"]
     return zones.select(
@@ -78,7 +83,7 @@ SELECT well_id, {r('hi_z')} AS z_top, {r('lo_z')} AS z_bot, {r('(lo_z+hi_z)/2')}
  CAST(0.5 AS DOUBLE) AS offset_cm, CAST(3 AS DOUBLE) AS k_sigma, CAST(0.1 AS DOUBLE) AS sigma_inst_cm,
  CAST(2 AS DOUBLE) AS mild_max_excess_cm, CAST(5 AS DOUBLE) AS moderate_max_excess_cm, {r('peak_cm-nominal')} AS peak_excess_vs_nominal_cm FROM z""", ["caliper_log"])
 def zone_output(spark, sf):
-    zones = detect.zone_table(_flagged(spark, sf), KEYS, RULE, nominal=FLOOR, layout=layout_of(spark, sf))
+    zones = detect.zone_table(_flagged(spark, sf), KEYS, RULE, nominal=auger_floor(), layout=layout_of(spark, sf))
     return zones.select(
         "well_id", *[settle(F.col(c)).alias(c) for c in ("z_top", "z_bot", "z_centre", "thickness_m")],
         "severity", "offset_cm", "k_sigma", "sigma_inst_cm", "mild_max_excess_cm",
@@ -283,7 +288,7 @@ def sample_severity(spark, sf):
 SELECT well_id, count(*) AS n_samples, count(*) FILTER (caliper_cm < auger_in*CAST(2.54 AS DOUBLE)) AS n_below_auger,
  count(*) FILTER (is_valid) AS n_valid, count(*) FILTER (is_anomaly) AS n_anomaly FROM s GROUP BY well_id""", ["caliper_log"])
 def log_counts(spark, sf):
-    return detect.log_counts(_flagged(spark, sf), KEYS, FLOOR)
+    return detect.log_counts(_flagged(spark, sf), KEYS, auger_floor())
 
 
 @query("cal_08_sample_output", FLAGGED + f"""
@@ -298,7 +303,7 @@ def sample_output(spark, sf):
 g AS (SELECT well_id, CASE WHEN n_saturated > 0 THEN 'severe' WHEN peak_cm - pb - CAST(0.5 AS DOUBLE) <= 2 THEN 'mild' WHEN peak_cm - pb - CAST(0.5 AS DOUBLE) <= 5 THEN 'moderate' ELSE 'severe' END AS sv FROM z)
 SELECT well_id, count(*) FILTER (sv='mild') AS mild, count(*) FILTER (sv='moderate') AS moderate, count(*) FILTER (sv='severe') AS severe FROM g GROUP BY well_id""", ["caliper_log"])
 def severity_counts(spark, sf):
-    return detect.severity_counts(detect.zone_table(_flagged(spark, sf), KEYS, RULE, nominal=FLOOR, layout=layout_of(spark, sf)), KEYS)
+    return detect.severity_counts(detect.zone_table(_flagged(spark, sf), KEYS, RULE, nominal=auger_floor(), layout=layout_of(spark, sf)), KEYS)
 
 
 @query("prj_06_sign_normalisation", f"""
@@ -320,5 +325,5 @@ WITH f AS (SELECT well_id, quantile_cont(caliper_cm, 0.25) AS q1, quantile_cont(
 SELECT well_id, seq, coalesce(caliper_cm < auger_in*CAST(2.54 AS DOUBLE) AND caliper_cm < q1 - CAST(1.5 AS DOUBLE)*(q3-q1), false) AS is_outlier
 FROM caliper_log LEFT JOIN f USING (well_id)""", ["caliper_log"])
 def outlier_flag(spark, sf):
-    rows = detect.outlier_flags(caliper_log(spark, sf), KEYS, "caliper_cm", FLOOR, layout=layout_of(spark, sf))
+    rows = detect.outlier_flags(caliper_log(spark, sf), KEYS, "caliper_cm", auger_floor(), layout=layout_of(spark, sf))
     return rows.select("well_id", "seq", "is_outlier")

@@ -384,10 +384,15 @@ def savgol_profiles(spark, sf):
                       settle(F.col("sec_us_cm"), 4).alias("sec_us_cm"), settle(F.col("log10_sec")).alias("log10_sec"))
 
 
-@query("smo_09_lowess_profiles")
+@query("smo_09_lowess_profiles", CLEAN + PCHIP + "," + lowess_sql("pc", "g", "sec", 0.3, 2) + f""",
+c AS (SELECT well_id, campaign, x, fit AS sec, row_number() OVER w AS i, sum(fit) OVER w AS cs FROM f2 JOIN l0 USING (well_id, campaign, i) WINDOW w AS (PARTITION BY well_id, campaign ORDER BY x)),
+jk AS (SELECT a.well_id, a.campaign, a.i AS j, b.i AS k, (b.cs - a.cs + a.sec)/(b.i - a.i + 1) AS m FROM c a JOIN c b ON a.well_id = b.well_id AND a.campaign = b.campaign AND b.i >= a.i),
+mm AS (SELECT well_id, campaign, k AS i, min(m) OVER (PARTITION BY well_id, campaign, j ORDER BY k DESC) AS lo FROM jk),
+g9 AS (SELECT well_id, campaign, i, max(lo) AS fit FROM mm GROUP BY ALL)
+SELECT well_id, campaign, i - 1 AS grid_index, {r('x')} AS depth_m, {r('CASE WHEN fit > 0 THEN log10(fit) END', 5)} AS log10_sec FROM g9 JOIN c USING (well_id, campaign, i)""", ["cast_samples"])
 def lowess_profiles(spark, sf):
-    out = smooth.lowess_profiles(cast_samples(spark, sf), KEYS, frac=0.1, layout=layout_of(spark, sf))
-    return out.select(*KEYS, "grid_index", settle(F.col("depth_m")).alias("depth_m"), settle(F.col("log10_sec")).alias("log10_sec"))
+    out = smooth.lowess_profiles(cast_samples(spark, sf), KEYS, frac=0.3, layout=layout_of(spark, sf))
+    return out.select(*KEYS, "grid_index", settle(F.col("depth_m")).alias("depth_m"), settle(F.col("log10_sec"), 5).alias("log10_sec"))
 
 
 @query("smo_10_window_sensitivity")
@@ -409,6 +414,17 @@ def model_sweep(spark, sf):
     return fits.select(*KEYS, "trial", "n_breakpoints", "converged", "rss", "bic")
 
 
+@query("bps_01_straight_lines", CLEAN + f""",
+ln AS (SELECT well_id, campaign, regr_slope(log10(sec), z) AS b, regr_intercept(log10(sec), z) AS a, count(*) AS n, count(DISTINCT sec) AS ns FROM flat WHERE sec > 0 GROUP BY well_id, campaign),
+rs AS (SELECT well_id, campaign, max(a) AS a, max(b) AS b, max(n) AS n, sum(pow(log10(sec) - a - b*z, 2)) AS rss FROM flat JOIN ln USING (well_id, campaign) WHERE sec > 0 GROUP BY well_id, campaign)
+SELECT well_id, campaign, n AS n_obs, {r('a', 5)} AS const, {r('b', 5)} AS alpha1, {r('rss', 5)} AS rss, {r('n*ln(rss/n) + 2*ln(n)', 4)} AS bic FROM rs WHERE n >= 3""", ["cast_samples"])
+def straight_lines(spark, sf):
+    flat, layout = _clean(spark, sf)
+    fits = sweep.sweep(clean.add_log10(flat), KEYS, sizes=(0,), trials=1, layout=layout).where("converged")
+    five = [settle(F.col(c), 5).alias(c) for c in ("const", "alpha1", "rss")]
+    return fits.select(*KEYS, "n_obs", *five, settle(F.col("bic"), 4).alias("bic"))
+
+
 @query("bps_11_warm_refit")
 def warm_refit(spark, sf):
     smoothed = _smoothed(spark, sf)
@@ -417,10 +433,10 @@ def warm_refit(spark, sf):
 
 
 @query("bps_07_profile_accessor", CLEAN + "," + VADOSE.strip() + f"""
-SELECT f.well_id, f.campaign, {r('z')} AS depth_m, {r('sec', 5)} AS sec_us_cm, {r('z + vadose_m')} AS depth_bgl_m FROM flat f LEFT JOIN vadose v ON f.well_id = v.well_id AND f.campaign = v.campaign WHERE f.campaign = '2022_02'""", ["cast_samples"])
+SELECT f.well_id, f.campaign, {r('z')} AS depth_m, {r('sec', 5)} AS sec_us_cm, {r('z + vadose_m')} AS depth_bgl_m FROM flat f LEFT JOIN vadose v ON f.well_id = v.well_id AND f.campaign = v.campaign""", ["cast_samples"])
 def profile_accessor(spark, sf):
     flat, _ = _clean(spark, sf)
-    rows = datum.attach_offset(flat.where("campaign = '2022_02'"), _vadose(spark, sf))
+    rows = datum.attach_offset(flat, _vadose(spark, sf))
     out = clean.add_below_ground(rows)
     return out.select(*KEYS, settle(F.col("depth_m")).alias("depth_m"), settle(F.col("sec_us_cm"), 5).alias("sec_us_cm"),
                       settle(F.col("depth_bgl_m")).alias("depth_bgl_m"))

@@ -71,7 +71,7 @@ def latest_cast(spark, sf):
     return out.select("site", "well_id", "campaign", "cast_no", "offset_status")
 
 
-META = f"SELECT c_custkey, CASE WHEN c_custkey % 2 = 0 THEN '2022_02' ELSE '2022_08' END AS campaign, CASE WHEN c_custkey % 5 = 0 THEN NULL ELSE {C(1)} + {C(0.25)}*(c_custkey % 12) END AS vadose_m, CASE WHEN c_acctbal < 1000 THEN 'manual' ELSE 'computed' END AS source FROM customer"
+META = f"SELECT c_custkey, c_mktsegment, CASE WHEN c_custkey % 2 = 0 THEN '2022_02' ELSE '2022_08' END AS campaign, CASE WHEN c_custkey % 5 = 0 THEN NULL ELSE {C(1)} + {C(0.25)}*(c_custkey % 12) END AS vadose_m, CASE WHEN c_acctbal < 1000 THEN 'manual' ELSE 'computed' END AS source FROM customer"
 
 
 def _metadata(spark, sf):
@@ -108,8 +108,8 @@ def extraction_issues(spark, sf):
 
 
 UPSERT = f"""
-WITH old AS (SELECT {WELL} AS well_id, campaign, vadose_m, source FROM ({META}) t WHERE c_custkey % 3 <> 0),
-new AS (SELECT {WELL} AS well_id, campaign, {C(9)} + c_custkey % 7 AS v FROM ({META}) t WHERE c_custkey % 3 <> 1),
+WITH old AS (SELECT {WELL} AS well_id, campaign, vadose_m, source FROM ({META}) t WHERE c_mktsegment <> 'MACHINERY'),
+new AS (SELECT {WELL} AS well_id, campaign, {C(9)} + c_custkey % 7 AS v FROM ({META}) t WHERE c_mktsegment <> 'BUILDING'),
 j AS (SELECT coalesce(old.well_id, new.well_id) AS well_id, coalesce(old.campaign, new.campaign) AS campaign, old.vadose_m AS o, old.source AS os, old.well_id IS NOT NULL AS has, v,
   coalesce(old.source = 'manual', false) AND old.vadose_m IS NOT NULL AS man FROM old FULL JOIN new ON old.well_id = new.well_id AND old.campaign = new.campaign)
 SELECT well_id, campaign, {r('CASE WHEN man THEN o ELSE coalesce(v, o) END')} AS vadose_m, CASE WHEN man THEN os WHEN v IS NOT NULL THEN 'computed' ELSE os END AS source,
@@ -117,12 +117,13 @@ SELECT well_id, campaign, {r('CASE WHEN man THEN o ELSE coalesce(v, o) END')} AS
 
 
 def _upserted(spark, sf):
-    number = table(spark, sf, "customer").select("c_custkey")
-    wells = datum.well_metadata(_metadata(spark, sf)).join(
-        number.select(F.concat(F.lit("M"), F.floor(F.col("c_custkey") / 4).cast("string"), F.char(F.col("c_custkey") % 4 + 65)).alias("well_id"), "c_custkey"), "well_id"
+    customers = table(spark, sf, "customer").select("c_custkey", "c_mktsegment")
+    well = F.concat(F.lit("M"), F.floor(F.col("c_custkey") / 4).cast("string"), F.char(F.col("c_custkey") % 4 + 65))
+    wells = datum.well_metadata(_metadata(spark, sf)).join(customers.withColumn("well_id", well), "well_id")
+    extracted = wells.where("c_mktsegment <> 'BUILDING'").select(
+        "well_id", "campaign", (9.0 + F.col("c_custkey") % 7).alias("vadose_m")
     )
-    extracted = wells.where("c_custkey % 3 <> 1").select("well_id", "campaign", (9.0 + F.col("c_custkey") % 7).alias("vadose_m"))
-    existing = wells.where("c_custkey % 3 <> 0").select("well_id", "campaign", "vadose_m", "source")
+    existing = wells.where("c_mktsegment <> 'MACHINERY'").select("well_id", "campaign", "vadose_m", "source")
     return datum.upsert_offsets(existing, extracted, ["well_id", "campaign"])
 
 
@@ -316,10 +317,10 @@ def note_table(spark, sf):
     return rows.groupBy("sheet").agg(F.count("*").alias("n_rows"), F.count("depth_token").alias("n_depths"), F.max(F.length("note")).cast("long").alias("longest"))
 
 
-@query("prj_09_centre_window", MERGED + "SELECT sheet, entry, note FROM mg WHERE (depth_top+depth_bottom)/2 BETWEEN 2 AND 6 AND entry % 2 = 1", ["notes"])
+@query("prj_09_centre_window", MERGED + "SELECT sheet, entry, note FROM mg WHERE (depth_top+depth_bottom)/2 BETWEEN 2 AND 6 AND depth_top < depth_bottom", ["notes"])
 def centre_window(spark, sf):
     out = note_ops.merge_continuations(views.notes(spark, sf), ["sheet"], layout=views.sized(spark, sf, "notes"))
-    out = out.withColumn("kind", F.when(F.col("entry") % 2 == 1, "note").otherwise("conductivity"))
+    out = out.withColumn("kind", F.when(F.col("depth_top") < F.col("depth_bottom"), "note").otherwise("conductivity"))
     return note_ops.centre_between(out, 2, 6, ["conductivity"]).select("sheet", "entry", "note")
 
 
@@ -504,9 +505,11 @@ def raw_cast_files(spark, sf):
     )
 
 
-@query("src_04_casts_of_well", f"SELECT well_id, instrument, {r('depth_m')} AS depth_m FROM (SELECT *, 'YSI' AS instrument FROM cast_samples) t WHERE well_id = 'W3A'", ["cast_samples"])
-def casts_of_well(spark, sf):
-    return settled(readers.casts_of(_cast_files(spark, sf), "W3A"), ["depth_m"], ["well_id", "instrument"])
+@query("src_04_cast_index", f"""
+SELECT well_id, '20220201' AS cast_date, 'YSI' AS instrument, CAST(1 AS INT) AS cast_no, count(*) AS n_rows, {r('min(depth_m)')} AS depth_min, {r('max(depth_m)')} AS depth_max FROM cast_samples GROUP BY well_id""", ["cast_samples"])
+def cast_index(spark, sf):
+    out = readers.cast_index(_cast_files(spark, sf))
+    return settled(out, ["depth_min", "depth_max"], ["well_id", "cast_date", "instrument", "cast_no", "n_rows"])
 
 
 @query("src_18_sweep_documents", f"""
@@ -523,12 +526,12 @@ def sweep_documents(spark, sf):
     )
 
 
-@query("snk_01_profile_table", f"SELECT well_id, campaign, 'raw' AS smoothing, seq, {r('depth_m')} AS depth_m FROM cast_samples WHERE campaign = '2022_08'", ["cast_samples"])
+@query("snk_01_profile_table", f"SELECT well_id, campaign, 'raw' AS smoothing, seq, {r('depth_m')} AS depth_m FROM cast_samples", ["cast_samples"])
 def profile_table(spark, sf):
     folder = shared_folder(spark)
     sinks.write_profiles(cast_samples(spark, sf).withColumn("smoothing", F.lit("raw")), folder)
     back = spark.read.schema("site string, well_id string, seq long, depth_m double, sec_us_cm double, campaign string, smoothing string").parquet(folder)
-    return settled(back.where("campaign = '2022_08'"), ["depth_m"], ["well_id", "campaign", "smoothing", "seq"])
+    return settled(back, ["depth_m"], ["well_id", "campaign", "smoothing", "seq"])
 
 
 @query("snk_02_sweep_table", f"SELECT well_id, trial, n_breakpoints, {r('alpha1')} AS alpha1, {r('list_sum(psis)', 5)} AS position_sum FROM fits WHERE converged", ["fits"])
