@@ -52,8 +52,10 @@ def summarise_clusters(clustered, keys, z="depth_bgl_m", methods=METHODS, layout
     """
     group = [*keys, "cluster_id"]
     layout = layout or Layout.of(clustered, keys)
+    # Model sizes are few, so their set is small; a set also spares the row expansion of
+    # several distinct counts.
     sizes = [
-        F.count_distinct(F.when(F.col("smoothing") == m, F.col("n_breakpoints"))).alias(f"n_{m}")
+        F.size(F.collect_set(F.when(F.col("smoothing") == m, F.col("n_breakpoints")))).cast("long").alias(f"n_{m}")
         for m in methods
     ]
     counts = [

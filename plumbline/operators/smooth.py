@@ -234,7 +234,8 @@ def isotonic(df, keys, z, v, out=None, layout=None):
         if ranked.where("_before > _level").isEmpty():
             break
         ranked = ranked.withColumn("_run", F.floor((F.col("_rank") + shift) / size))
-        blocks = ranked.groupBy(*keys, "_run").applyInPandas(pool, schema).checkpoint()
+        runs = spread(ranked, [*keys, "_run"]).groupBy(*keys, "_run")
+        blocks = runs.applyInPandas(pool, schema).checkpoint()
         shift = layout.rows_per_split // 2 - shift
     starts = blocks.select(*keys, F.col("_from").alias("_i"), "_level")
     joined = track.on(track.df.join(starts, [*keys, "_i"], "left")).scan(

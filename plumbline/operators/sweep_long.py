@@ -13,13 +13,14 @@ from plumbline.operators.sweep import (
     MAX_ITERATIONS, NO_FIT, apart, at_rest, damping, fit_schema, muggeo_steps, next_breakpoints,
     random_start, unscale,
 )
-from plumbline.plans.session import ensure_checkpoint_dir
+from plumbline.plans.session import ensure_checkpoint_dir, ship_package
 
 
 def sweep_long(rows, keys, grid, tolerance, min_distance):
     """Seeded starts only: a bootstrap restart would re-read every row per restart."""
     spark, keys = rows.sparkSession, [*keys]
     ensure_checkpoint_dir(spark)
+    ship_package(spark)
     scale = rows.groupBy(*keys).agg(
         F.min("_x").alias("x0"), (F.max("_x") - F.min("_x")).alias("span"),
         F.avg("_y").alias("base"), F.stddev_pop("_y").alias("unit"), F.count("*").alias("n_obs"),

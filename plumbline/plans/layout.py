@@ -21,13 +21,13 @@ from dataclasses import dataclass, replace
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from plumbline.plans.session import ensure_checkpoint_dir
+from plumbline.plans.session import ensure_checkpoint_dir, ship_package
 
 ROWS_PER_SPLIT = 2_000_000
 PART = "_part"
 BLOCK = "_block"
 
-_FIRST, _LAST = Window.unboundedPreceding, Window.unboundedFollowing
+_FIRST = Window.unboundedPreceding
 
 
 @dataclass(frozen=True)
@@ -51,22 +51,26 @@ class Layout:
 
 @dataclass(frozen=True)
 class Scan:
-    """One ordered computation: its per-window form and how parts are stitched."""
+    """One ordered computation: its per-window form and how parts are stitched.
 
-    local: object  # window -> Column
+    Every form gets the window in ascending order and the same one reversed.  Looking ahead
+    is a running frame over the reversed window: Spark restarts a frame that ends at the last
+    row for every row, which is quadratic in the length of a profile.
+    """
+
+    local: object  # (window, reversed window) -> Column
     summary: object  # order struct -> aggregate Column over one part
-    carry: object  # (summary Column, window over parts) -> Column
+    carry: object  # (summary Column, window over parts, reversed) -> Column
     combine: object  # (local Column, carry Column) -> Column
 
 
 def running(agg, x, merge, reverse=False, exclusive=False):
     edge = 1 if exclusive else 0
-    frame = (edge, _LAST) if reverse else (_FIRST, -edge)
-    outer = (1, _LAST) if reverse else (_FIRST, -1)
+    pick = (lambda w, back: back) if reverse else (lambda w, back: w)
     return Scan(
-        lambda w: agg(x).over(w.rowsBetween(*frame)),
+        lambda w, back: agg(x).over(pick(w, back).rowsBetween(_FIRST, -edge)),
         lambda order: agg(x),
-        lambda s, w: agg(s).over(w.rowsBetween(*outer)),
+        lambda s, w, back: agg(s).over(pick(w, back).rowsBetween(_FIRST, -1)),
         merge,
     )
 
@@ -92,9 +96,9 @@ def row_number():
     """0-based index of the row inside its profile."""
     one = F.lit(1).cast("long")
     return Scan(
-        lambda w: (F.row_number().over(w) - 1).cast("long"),
+        lambda w, back: (F.row_number().over(w) - 1).cast("long"),
         lambda order: F.sum(one),
-        lambda s, w: F.sum(s).over(w.rowsBetween(_FIRST, -1)),
+        lambda s, w, back: F.sum(s).over(w.rowsBetween(_FIRST, -1)),
         lambda here, before: here + F.coalesce(before, F.lit(0)),
     )
 
@@ -102,9 +106,9 @@ def row_number():
 def lag(x):
     boxed = F.struct(x.alias("v"))
     return Scan(
-        lambda w: F.lag(boxed).over(w),
+        lambda w, back: F.lag(boxed).over(w),
         lambda order: F.max_by(boxed, order),
-        lambda s, w: F.lag(s).over(w),
+        lambda s, w, back: F.lag(s).over(w),
         lambda here, before: F.coalesce(here, before)["v"],
     )
 
@@ -112,9 +116,9 @@ def lag(x):
 def lead(x):
     boxed = F.struct(x.alias("v"))
     return Scan(
-        lambda w: F.lead(boxed).over(w),
+        lambda w, back: F.lead(boxed).over(w),
         lambda order: F.min_by(boxed, order),
-        lambda s, w: F.lead(s).over(w),
+        lambda s, w, back: F.lead(s).over(w),
         lambda here, after: F.coalesce(here, after)["v"],
     )
 
@@ -123,20 +127,20 @@ def last_known(x, exclusive=False):
     """Nearest non-null value at or before the row."""
     edge = -1 if exclusive else 0
     return Scan(
-        lambda w: F.last(x, True).over(w.rowsBetween(_FIRST, edge)),
+        lambda w, back: F.last(x, True).over(w.rowsBetween(_FIRST, edge)),
         lambda order: F.max_by(x, F.when(x.isNotNull(), order)),
-        lambda s, w: F.last(s, True).over(w.rowsBetween(_FIRST, -1)),
+        lambda s, w, back: F.last(s, True).over(w.rowsBetween(_FIRST, -1)),
         F.coalesce,
     )
 
 
 def next_known(x, exclusive=False):
     """Nearest non-null value at or after the row."""
-    edge = 1 if exclusive else 0
+    edge = -1 if exclusive else 0
     return Scan(
-        lambda w: F.first(x, True).over(w.rowsBetween(edge, _LAST)),
+        lambda w, back: F.last(x, True).over(back.rowsBetween(_FIRST, edge)),
         lambda order: F.min_by(x, F.when(x.isNotNull(), order)),
-        lambda s, w: F.first(s, True).over(w.rowsBetween(1, _LAST)),
+        lambda s, w, back: F.last(s, True).over(back.rowsBetween(_FIRST, -1)),
         F.coalesce,
     )
 
@@ -172,20 +176,25 @@ class Track:
         return replace(self, keys=tuple(keys))
 
     def scan(self, **specs) -> "Track":
-        window = Window.partitionBy(*self.window_keys).orderBy(*self.order)
+        whole = Window.partitionBy(*self.window_keys)
+        windows = (
+            whole.orderBy(*self.order),
+            whole.orderBy(*[F.col(c).desc_nulls_last() for c in self.order]),
+        )
         if not self.layout.split:
             return self.with_columns(
-                **{n: _unbox(s, s.local(window)) for n, s in specs.items()}
+                **{n: _unbox(s, s.local(*windows)) for n, s in specs.items()}
             )
         order = F.struct(*[F.col(c) for c in self.order])
-        local = self.df.withColumns({f"_here_{n}": s.local(window) for n, s in specs.items()})
-        parts = Window.partitionBy(*self.keys).orderBy(PART)
+        local = self.df.withColumns({f"_here_{n}": s.local(*windows) for n, s in specs.items()})
+        over_parts = Window.partitionBy(*self.keys)
+        parts = (over_parts.orderBy(PART), over_parts.orderBy(F.desc(PART)))
         carried = (
             self.df.groupBy(*self.window_keys)
             .agg(*[s.summary(order).alias(n) for n, s in specs.items()])
             .select(
                 *self.window_keys,
-                *[s.carry(F.col(n), parts).alias(f"_far_{n}") for n, s in specs.items()],
+                *[s.carry(F.col(n), *parts).alias(f"_far_{n}") for n, s in specs.items()],
             )
         )
         joined = local.join(carried, self.window_keys, "left")
@@ -205,7 +214,8 @@ class Track:
     def quantiles(self, **wanted) -> "Track":
         """Attach exact whole-profile quantiles: name=(column, fraction)."""
         if not self.layout.split:
-            return self.per_profile(**{n: F.percentile(x, q) for n, (x, q) in wanted.items()})
+            packs, picks = _packed(wanted)
+            return self.per_profile(**packs).with_columns(**picks).on_drop(*packs)
         table = exact_quantiles(self.df, self.keys, wanted, self.layout)
         return self.on(self.df.join(table, [*self.keys], "left").checkpoint())
 
@@ -225,6 +235,18 @@ class Track:
         return df, [*self.keys, BLOCK], F.col(BLOCK) == block
 
 
+def _packed(wanted):
+    """Quantiles of one column share one pass: aggregates, and how to read them."""
+    columns, packs, picks = {}, {}, {}
+    for name, (x, q) in wanted.items():
+        columns.setdefault(str(x), (x, []))[1].append((name, float(q)))
+    for i, (x, items) in enumerate(columns.values()):
+        packs[f"_pack{i}"] = F.percentile(x, F.array(*[F.lit(q) for _, q in items]))
+        for place, (name, _) in enumerate(items):
+            picks[name] = F.get(f"_pack{i}", F.lit(place))
+    return packs, picks
+
+
 def _unbox(spec, local):
     return spec.combine(local, F.lit(None))
 
@@ -260,9 +282,9 @@ def exact_quantiles(df, by, wanted, layout: Layout | None = None, also=()) -> Da
     by = list(by)
     layout = layout or Layout.of(df, by)
     if not layout.split:
-        return df.groupBy(*by).agg(
-            *[F.percentile(x, q).alias(n) for n, (x, q) in wanted.items()], *also
-        )
+        packs, picks = _packed(wanted)
+        out = df.groupBy(*by).agg(*[p.alias(n) for n, p in packs.items()], *also)
+        return out.withColumns(picks).drop(*packs)
     out = df.groupBy(*by).agg(*also) if also else df.select(*by).distinct()
     for name, (x, q) in wanted.items():
         ranked = (
@@ -299,5 +321,6 @@ def spread(df: DataFrame, keys) -> DataFrame:
     them all into one task; an explicit number is left alone, and the grouping reuses it.
     """
     spark = df.sparkSession
+    ship_package(spark)
     tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 2 * spark.sparkContext.defaultParallelism)
     return df.repartition(tasks, *keys)

@@ -1,6 +1,8 @@
 """Session settings used by the bench, the tests and stand-alone jobs."""
 
+import shutil
 import tempfile
+from pathlib import Path
 
 from pyspark.sql import SparkSession
 
@@ -32,3 +34,21 @@ def ensure_checkpoint_dir(spark):
             raise ValueError("set spark.checkpoint.dir to a folder all executors share")
         folder = tempfile.mkdtemp(prefix="plumbline-checkpoint-")
     context.setCheckpointDir(folder)
+
+
+_SHIPPED = set()
+
+
+def ship_package(spark):
+    """Send this package to the Python workers, once per application.
+
+    Grouped-map workers import it by name, wherever the job was started from.
+    """
+    application = spark.sparkContext.applicationId
+    if application in _SHIPPED:
+        return
+    package = Path(__file__).resolve().parents[1]
+    target = Path(tempfile.mkdtemp(prefix="plumbline-package-")) / package.name
+    archive = shutil.make_archive(str(target), "zip", package.parent, package.name)
+    spark.sparkContext.addPyFile(archive)
+    _SHIPPED.add(application)

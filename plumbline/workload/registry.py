@@ -1,5 +1,8 @@
 """Query registry: Spark callables beside the SQL that checks them."""
 
+from functools import wraps
+
+from plumbline.plans.session import ship_package
 from plumbline.workload import views
 
 QUERIES = {}
@@ -10,7 +13,12 @@ def query(name, sql=None, using=()):
     """Register fn(spark, sf_dir) -> DataFrame; `using` names the views the SQL reads."""
 
     def register(fn):
-        QUERIES[name] = fn
+        @wraps(fn)
+        def run(spark, sf):
+            ship_package(spark)
+            return fn(spark, sf)
+
+        QUERIES[name] = run
         if sql is not None:
             ORACLES[name] = views.with_views(using, sql)
         return fn
