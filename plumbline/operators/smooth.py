@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from plumbline.operators.clean import add_log10, clean_casts
+from plumbline.operators.lowess_long import local_values, lowess_long, tricube_moments
 from plumbline.operators.resample import resample
 from plumbline.plans.layout import (
     Layout, finish, lag, last_known, lay, lead, next_known, row_number, running_max, running_sum,
@@ -99,17 +100,8 @@ def _tricube_fit(x, y, k, degree, robust):
         cols = left[a:a + step, None] + np.arange(k)
         dx = x[cols] - x[a:a + step, None]
         reach = np.maximum(np.abs(dx[:, 0]), np.abs(dx[:, -1]))
-        u = np.abs(dx) / np.where(reach > 0, reach, 1.0)[:, None]
-        w = np.clip(1 - u**3, 0, None) ** 3 * robust[cols]
-        scaled = dx / np.where(reach > 0, reach, 1.0)[:, None]
-        design = scaled[:, :, None] ** np.arange(degree + 1)
-        gram = np.einsum("nk,nki,nkj->nij", w, design, design)
-        right = np.einsum("nk,nki,nk->ni", w, design, y[cols])
-        good = np.abs(np.linalg.det(gram)) > 1e-12 * np.maximum(gram[:, 0, 0], 1e-300) ** (degree + 1)
-        value = y[a:a + step].copy()
-        if good.any():
-            value[good] = np.linalg.solve(gram[good], right[good][:, :, None])[:, 0, 0]
-        out[a:a + step] = value
+        moments = tricube_moments(dx, reach, robust[cols], y[cols], degree)
+        out[a:a + step] = local_values(moments, y[a:a + step], degree)
     return out
 
 
@@ -133,9 +125,7 @@ def lowess_values(x, y, frac=0.05, degree=1, robust_passes=2):
 def lowess(df, keys, z, v, frac=0.05, degree=1, robust_passes=2, out=None, layout=None):
     """Cleveland's LOWESS per profile.
 
-    Whole profiles run in one grouped-map pass.  Long profiles run pass by pass: each
-    block of rows gets the k neighbours it needs, and the median residual between passes
-    is an exact distributed quantile.
+    Whole profiles run in one grouped-map pass; see `lowess_long` for the others.
     """
     out = out or v
     layout = layout or Layout.of(df, keys)
@@ -146,29 +136,7 @@ def lowess(df, keys, z, v, frac=0.05, degree=1, robust_passes=2, out=None, layou
             return pdf.assign(**{out: lowess_values(x, y, frac, degree, robust_passes)})
 
         return spread(df, keys).groupBy(*keys).applyInPandas(fit, _with_double(df.schema, out))
-    track = lay(df, keys, [z], layout).scan(_i=row_number()).per_profile(_n=F.count("*"))
-    k = F.least(F.col("_n"), F.greatest(F.floor(F.lit(frac) * F.col("_n")), F.lit(degree + 2)))
-    track = track.with_columns(_k=k, _w=F.lit(1.0), _fit=F.lit(0.0))
-    for turn in range(robust_passes + 1):
-        if turn:
-            residual = F.abs(F.col(v) - F.col("_fit"))
-            track = track.with_columns(_a=residual).quantiles(_s=(F.col("_a"), 0.5))
-            bell = F.greatest(F.lit(0.0), 1 - F.try_divide(F.col("_a"), 6 * F.col("_s")) ** 2) ** 2
-            track = track.with_columns(_w=F.coalesce(bell, F.lit(1.0))).on_drop("_a", "_s")
-        rows, parts, own = track.neighbourhood("_i", F.col("_k"))
-        rows = rows.withColumn("_own", own)
-
-        def one_pass(pdf):
-            pdf = pdf.sort_values("_i")
-            x, y, w = (pdf[c].to_numpy(float) for c in (z, v, "_w"))
-            size = int(min(pdf["_k"].iloc[0], len(x)))
-            pdf["_fit"] = _tricube_fit(x, y, size, degree, w)
-            return pdf[pdf["_own"]]
-
-        fitted = spread(rows, parts).groupBy(*parts).applyInPandas(one_pass, rows.schema)
-        track = track.on(fitted.drop("_own", "_block").checkpoint())
-    done = track.with_columns(**{out: F.when(F.col("_n") < degree + 2, F.col(v)).otherwise(F.col("_fit"))})
-    return finish(done.on_drop("_i", "_n", "_k", "_w", "_fit"))
+    return lowess_long(df, keys, z, v, frac, degree, robust_passes, out, layout)
 
 
 def _with_double(schema, name):

@@ -48,6 +48,8 @@ def ship_package(spark):
     if application in _SHIPPED:
         return
     package = Path(__file__).resolve().parents[1]
+    if not package.is_dir():  # already imported from a shipped archive
+        return
     target = Path(tempfile.mkdtemp(prefix="plumbline-package-")) / package.name
     archive = shutil.make_archive(str(target), "zip", package.parent, package.name)
     spark.sparkContext.addPyFile(archive)
