@@ -183,7 +183,7 @@ def read_sweep_json(spark, path, whole_file=True):
 
     Estimates may be plain numbers or structs with an interval; NaN becomes null.
     """
-    raw = spark.read.option("wholetext", whole_file).text(path)
+    raw = spark.read.text(path, wholetext=whole_file)
     return explode_sweep(raw.select(F.col("_metadata.file_name").alias("file_name"), "value"))
 
 
