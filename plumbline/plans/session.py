@@ -42,7 +42,8 @@ _SHIPPED = set()
 def ship_package(spark):
     """Send this package to the Python workers, once per application.
 
-    Grouped-map workers import it by name, wherever the job was started from.
+    Grouped-map workers import it by name, wherever the job was started from.  The archive
+    is built on the driver, and Spark copies it to the executors.
     """
     application = spark.sparkContext.applicationId
     if application in _SHIPPED:
