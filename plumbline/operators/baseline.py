@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 from plumbline.functions.numeric import lerp
 from plumbline.operators.resample import hermite, pchip_slopes
 from plumbline.plans.layout import (
-    finish, lag, last_known, lay, lead, next_known, row_number, running_min, running_sum,
+    finish, last_known, lay, lead, next_known, row_number, running_min, running_sum,
 )
 
 INCH_CM = 2.54

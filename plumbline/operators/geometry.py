@@ -94,7 +94,6 @@ def _flag_zone(track, index, z, value, side, bottom, top):
     other = F.col("_eligible") & ~F.coalesce(F.col(index) == F.col("_top.i"), F.lit(False))
     track = track.with_columns(_other=other).per_profile(
         _bottom=_first_max("turning_angle", index, F.col("_other")),
-        _candidates=F.count_if(F.col("_other") & F.col("turning_angle").isNotNull()),
     )
     bottom_index = F.coalesce(F.col("_bottom.i"), F.when(F.col("_n") <= 3, F.col("_best_end")))
     close = (
@@ -113,7 +112,7 @@ def _flag_zone(track, index, z, value, side, bottom, top):
         is_bottom_of_mixing=F.coalesce(F.col(index) == bottom_index, F.lit(False)),
         bot_tie=F.col("_ties") > 0,
         mz_status=status,
-    ).on_drop("_top", "_bent", "_best_end", "_bottom", "_candidates", "_ties", "_close", "_other",
+    ).on_drop("_top", "_bent", "_best_end", "_bottom", "_ties", "_close", "_other",
               "_eligible", "_may_top", "_n", "_span", "_i")
 
 

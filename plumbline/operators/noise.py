@@ -3,7 +3,7 @@
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from plumbline.plans.layout import Layout, exact_quantiles, finish, lay, lead, row_number
+from plumbline.plans.layout import Layout, finish, lay, lead, row_number
 
 MAD_TO_SIGMA = 1.4826
 LEAST_ROWS = 3

@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from plumbline.functions.numeric import grid_point, lerp
-from plumbline.plans.layout import exact_quantiles, finish, lag, lay, lead
+from plumbline.plans.layout import exact_quantiles, lag, lay, lead
 
 GRID_BLOCK = 100_000
 

@@ -1,7 +1,6 @@
 """Profile smoothers: Savitzky-Golay (plain, segmented), LOWESS, isotonic."""
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T

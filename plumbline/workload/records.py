@@ -5,7 +5,7 @@ import uuid
 from pyspark.sql import functions as F
 
 from plumbline.functions.numeric import settle
-from plumbline.operators import catalogue, converge, datum, ert, geometry, ledger, notes as note_ops, sweep
+from plumbline.operators import catalogue, datum, ert, geometry, ledger, notes as note_ops, sweep
 from plumbline.plans.session import ensure_checkpoint_dir
 from plumbline.sources import names, readers, sinks
 from plumbline.workload import views
