@@ -64,7 +64,8 @@ def dedup_lines(docs, id_column="doc_id", text_column="text", lines=LINES, words
     gone = settle(repeated_lines(docs, id_column, text_column, lines, words), "gone").select(
         F.col("d").alias("d_"), F.col("th").alias("th_"), F.col("gone").alias("gone_"))
     text = F.col(text_column).cast("string")
-    joined = docs.join(gone, F.col(id_column).cast("long").eqNullSafe(F.col("d_")) & (F.xxhash64(text) == F.col("th_")), "left")
+    # a sort-merge join at every size: the deleted lines grow with the texts, so they are never sent to all tasks
+    joined = docs.join(gone.hint("merge"), F.col(id_column).cast("long").eqNullSafe(F.col("d_")) & (F.xxhash64(text) == F.col("th_")), "left")
     lines_of = F.split(text, "\n", -1)
     before = F.concat(F.array(F.lit(-1)), F.col("gone_"))
     after = F.concat(F.col("gone_"), F.array(F.size(lines_of)))
