@@ -78,11 +78,12 @@ def numbered_estimates(estimates: Column, prefix: str, n: Column) -> Column:
 
 
 def turning_angle(ux, uy, vx, vy) -> Column:
-    """Angle between two successive chords, in radians."""
+    """Angle between two successive chords, in radians; a chord without length turns by nothing."""
     lengths = F.sqrt(ux * ux + uy * uy) * F.sqrt(vx * vx + vy * vy)
     cosine = F.try_divide(ux * vx + uy * vy, lengths)
     # least and greatest skip nulls, so a missing chord must be kept apart.
-    return F.when(cosine.isNotNull(), F.acos(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), cosine))))
+    angle = F.acos(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), cosine)))
+    return F.when(cosine.isNotNull(), angle).when(lengths == 0, 0.0)
 
 
 def grid_point(start: Column, step: Column, k: Column) -> Column:

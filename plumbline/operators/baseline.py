@@ -16,7 +16,7 @@ KINDS = ("step", "linear", "pchip")
 def running_minimum(df, keys, z, v, direction="top_down", layout=None):
     """Cumulative minimum of v along z, from the top or from the bottom."""
     _check(direction, DIRECTIONS)
-    track = lay(df, keys, [z], layout).scan(
+    track = lay(df, keys, [z, v], layout).scan(
         running_min=running_min(F.col(v), reverse=direction == "bottom_up")
     )
     return finish(track)
@@ -24,7 +24,7 @@ def running_minimum(df, keys, z, v, direction="top_down", layout=None):
 
 def anchors(df, keys, z, v, direction="top_down", layout=None):
     """Rows where the running minimum strictly drops, and the first row."""
-    track = _with_anchor(lay(df, keys, [z], layout), F.col(v), direction)
+    track = _with_anchor(lay(df, keys, [z, v], layout), F.col(v), direction)
     return finish(track.on(track.df.drop("anchor_y")))
 
 
@@ -43,7 +43,7 @@ def single_zone_baseline(df, keys, z, v, kind="linear", direction="top_down", la
     """Baseline of one zone: step, linear or PCHIP through the anchors."""
     _check(kind, KINDS)
     _check(direction, DIRECTIONS)
-    return finish(_baseline(lay(df, keys, [z], layout), z, F.col(v), kind, direction))
+    return finish(_baseline(lay(df, keys, [z, v], layout), z, F.col(v), kind, direction))
 
 
 def _baseline(track, z, v, kind, direction):
@@ -88,11 +88,16 @@ def _baseline(track, z, v, kind, direction):
 
 
 def valid_samples(track, v, floor, iqr_k):
-    """is_valid: at or above the floor and the lower fence of floor-passing samples."""
+    """is_valid: at or above the floor and the lower fence of floor-passing samples.
+
+    `iqr_k` None switches the fence off.
+    """
     passing = F.when(F.col(v) >= floor, F.col(v))
     track = track.quantiles(_q1=(passing, 0.25), _q3=(passing, 0.75))
-    fence = F.col("_q1") - F.lit(float(iqr_k)) * (F.col("_q3") - F.col("_q1"))
-    ok = F.coalesce((F.col(v) >= floor) & (F.col(v) >= fence), F.lit(False))
+    ok = F.col(v) >= floor
+    if iqr_k is not None:
+        ok = ok & (F.col(v) >= F.col("_q1") - F.lit(float(iqr_k)) * (F.col("_q3") - F.col("_q1")))
+    ok = F.coalesce(ok, F.lit(False))
     return track.with_columns(is_valid=ok).on_drop("_q1", "_q3")
 
 
@@ -108,7 +113,7 @@ def two_zone_baseline(
     _check(kind, KINDS)
     _check(direction, DIRECTIONS)
     floor = F.col("auger_in") * F.lit(INCH_CM) if floor is None else floor
-    track = valid_samples(lay(df, keys, [z], layout), v, floor, iqr_k)
+    track = valid_samples(lay(df, keys, [z, v], layout), v, floor, iqr_k)
     shallow = F.col(z) < F.col(trim)
     good = F.col("is_valid").cast("int")
     track = track.per_profile(

@@ -54,7 +54,5 @@ def normalise_campaign(text):
 
 
 def trial_index(name):
-    """trial_3 -> 3; a bare number is itself; otherwise null."""
-    return F.coalesce(
-        F.regexp_extract(name, r"^trial_(\d+)$", 1).try_cast("int"), name.try_cast("int")
-    )
+    """The digits a name ends with (trial_3 -> 3, x_3 -> 3, 3 -> 3); 1 without any."""
+    return F.coalesce(F.regexp_extract(name.cast("string"), r"(\d+)$", 1).try_cast("int"), F.lit(1))

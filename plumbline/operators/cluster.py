@@ -27,10 +27,13 @@ def cluster_depths(df, keys, z="depth_bgl_m", delta_m=0.5, tie=(), layout=None):
     return finish(track.with_columns(cluster_id=F.col("cluster_id").cast("int")).on_drop("_before"))
 
 
-def pool_breakpoints(fits, keys, trial="trial_1", z="depth_bgl_m"):
-    """Breakpoint records of one trial over all methods and sizes."""
+def pool_breakpoints(fits, keys, trial="trial_1", z="depth_bgl_m", sizes=None):
+    """Breakpoint records of one trial over all methods and sizes, or those from sizes[0] to sizes[1]."""
+    wanted = F.col("trial") == trial
+    if sizes is not None:
+        wanted = wanted & F.col("n_breakpoints").between(*sizes)
     return (
-        fits.where(F.col("trial") == trial)
+        fits.where(wanted)
         .select(*keys, "smoothing", "n_breakpoints", F.posexplode("psis").alias("_p", z))
         .withColumn("bp_index", (F.col("_p") + 1).cast("int")).drop("_p")
     )

@@ -78,8 +78,8 @@ def find_matches(clusters, zones, keys=("well_id",), rule="hybrid", tolerance_m=
     )
 
 
-def best_match(matches, keys=("well_id",), priority="overlap", weights=WEIGHTS):
-    """Best zone of every cluster, by aggregation so that busy clusters combine map-side."""
+def _best(priority, weights):
+    """Aggregate: the best zone of a cluster; it combines map-side, so busy clusters do too."""
     check_options(priority=priority)
     near = [F.col("overlap_m"), -F.col("center_distance_m"), -F.col("zone_id")]
     order = {
@@ -87,18 +87,32 @@ def best_match(matches, keys=("well_id",), priority="overlap", weights=WEIGHTS):
         "severity": [_weight(F.col("severity"), weights), *near],
         "peak": [F.col("peak_excess_cm"), *near],
     }[priority]
-    best = F.max_by(F.struct(*ZONE_COLUMNS, "overlap_m", "center_distance_m"), F.struct(*order))
-    return matches.groupBy(*keys, "cluster_id").agg(best.alias("_b")).select(*keys, "cluster_id", "_b.*")
+    return F.max_by(F.struct(*ZONE_COLUMNS, "overlap_m", "center_distance_m"), F.struct(*order))
 
 
-def score_matches(matches, clusters, keys=("well_id",), weights=WEIGHTS):
-    """Match count, strongest severity and agreement x weight of every cluster."""
+def best_match(matches, keys=("well_id",), priority="overlap", weights=WEIGHTS):
+    """Best zone of every cluster."""
+    best = matches.groupBy(*keys, "cluster_id").agg(_best(priority, weights).alias("_b"))
+    return best.select(*keys, "cluster_id", "_b.*")
+
+
+def best_matches(matches, keys=("well_id",), priorities=PRIORITIES, weights=WEIGHTS):
+    """Best zone of every cluster by each priority, from one pass over the matches."""
+    best = matches.groupBy(*keys, "cluster_id").agg(*[_best(p, weights).alias(p) for p in priorities])
+    each = F.explode(F.array(*[F.struct(F.lit(p).alias("priority"), F.col(p).alias("_b")) for p in priorities]))
+    return best.select(*keys, "cluster_id", each.alias("_e")).select(*keys, "cluster_id", "_e.priority", "_e._b.*")
+
+
+def _scores(weights):
     w = _weight(F.col("severity"), weights)
-    found = matches.groupBy(*keys, "cluster_id").agg(
+    return [
         F.count("*").alias("n_zones_matched"), F.max(w).alias("max_weight"),
         F.min_by("severity", F.struct(-w, F.col("severity"))).alias("max_severity"),
         F.concat_ws(",", F.sort_array(F.collect_set("severity"))).alias("severities"),
-    )
+    ]
+
+
+def _scored(clusters, found, keys):
     scored = clusters.select(*keys, "cluster_id", "agreement").join(found, [*keys, "cluster_id"], "left")
     return scored.withColumns({
         "n_zones_matched": F.coalesce("n_zones_matched", F.lit(0)),
@@ -107,6 +121,11 @@ def score_matches(matches, clusters, keys=("well_id",), weights=WEIGHTS):
     }).drop("max_weight")
 
 
+def score_matches(matches, clusters, keys=("well_id",), weights=WEIGHTS):
+    """Match count, strongest severity and agreement x weight of every cluster."""
+    return _scored(clusters, matches.groupBy(*keys, "cluster_id").agg(*_scores(weights)), keys)
+
+
 def unmatched_zones(zones, matches, keys=("well_id",), min_severity=None, weights=WEIGHTS):
     """Zones that no cluster matched, optionally only from a severity upward."""
     if min_severity is not None:
@@ -130,14 +149,24 @@ def well_summary(cluster_matches, keys=("well_id",), levels=SEVERITIES[1:]):
 def convergence(clusters, zones, keys=("well_id",), rule="hybrid", priority="overlap",
                 tolerance_m=0.5, agreement_min=0, severities=None, weights=WEIGHTS,
                 min_unmatched=None):
-    """Cluster matches, well summary and unmatched zones, as three DataFrames."""
+    """Cluster matches, well summary and unmatched zones, as three DataFrames.
+
+    One aggregate over the matches gives the scores and the best zone of every cluster.  The
+    zone brings its thickness, its severity weight and how it matched; texts of clusters without
+    a match are empty.
+    """
     check_options(rule, priority, tolerance_m, weights, agreement_min)
     clusters, kept = eligible(clusters, zones, agreement_min, severities)
     matches = find_matches(clusters, kept, keys, rule, tolerance_m)
-    best = best_match(matches, keys, priority, weights)
-    cluster_matches = score_matches(matches, clusters, keys, weights).join(
-        best, [*keys, "cluster_id"], "left"
-    )
+    found = matches.groupBy(*keys, "cluster_id").agg(*_scores(weights), _best(priority, weights).alias("_b"))
+    scored = _scored(clusters, found, keys)
+    cluster_matches = scored.select(*[c for c in scored.columns if c != "_b"], "_b.*").withColumns({
+        "thickness_m": F.col("z_top") - F.col("z_bot"),
+        "severity_weight": _weight(F.col("severity"), weights), "has_match": F.col("zone_id").isNotNull(),
+        "is_overlap": F.coalesce(F.col("overlap_m") > 0, F.lit(False)),
+        "is_near": F.coalesce(F.col("center_distance_m") <= tolerance_m, F.lit(False)),
+        **{c: F.coalesce(c, F.lit("")) for c in ("severity", "max_severity", "severities")},
+    })
     return (
         cluster_matches, well_summary(cluster_matches, keys),
         unmatched_zones(kept, matches, keys, min_unmatched, weights),

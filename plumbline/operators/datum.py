@@ -65,7 +65,13 @@ def extraction_issues(casts_seen, offsets, file_key):
 
 
 def upsert_offsets(existing, extracted, keys):
-    """Merge extracted offsets into the metadata: manual rows win, new keys are added."""
+    """Merge extracted offsets into the metadata.
+
+    An extraction that is `ok` or `inconsistent` (every one, without a status column) replaces
+    the row of its key or adds it; other rows stay, manual ones among them.
+    """
+    if "offset_status" in extracted.columns:
+        extracted = extracted.where(F.col("offset_status").isin("ok", "inconsistent"))
     old = existing.select(
         *keys, F.col("vadose_m").alias("_old"), F.col("source").alias("_old_source"), F.lit(1).alias("_in_old")
     )
@@ -73,23 +79,23 @@ def upsert_offsets(existing, extracted, keys):
     manual = F.coalesce(F.col("_old_source") == "manual", F.lit(False)) & F.col("_old").isNotNull()
     return old.join(new, [*keys], "full").select(
         *keys,
-        F.when(manual, F.col("_old")).otherwise(F.coalesce("_new", "_old")).alias("vadose_m"),
-        F.when(manual, F.col("_old_source")).when(F.col("_new").isNotNull(), "computed")
-        .otherwise(F.col("_old_source")).alias("source"),
-        F.when(manual, "kept_manual").when(F.col("_in_old").isNull(), "added")
-        .when(F.col("_new").isNull(), "kept").otherwise("updated").alias("action"),
+        F.coalesce("_new", "_old").alias("vadose_m"),
+        F.when(F.col("_new").isNotNull(), "computed").otherwise(F.col("_old_source")).alias("source"),
+        F.when(F.col("_in_old").isNull(), "added").when(F.col("_new").isNotNull(), "updated")
+        .when(manual, "kept_manual").otherwise("kept").alias("action"),
     )
 
 
 def resolve_offsets(requests, explicit, computed, fallback_campaign, key="well_id"):
     """Three-level lookup: explicit (well, campaign), computed from a cast, fallback campaign.
 
-    Rows nothing resolves keep a null offset and source `unresolved`.
+    Rows nothing resolves keep a null offset and source `unresolved`.  Of repeated metadata
+    rows of a key the smallest offset counts, so requests stay one row each.
     """
     known = explicit.where(F.col("vadose_m").isNotNull() & ~F.isnan("vadose_m"))
-    first = known.select(key, "campaign", F.col("vadose_m").alias("_explicit"))
-    second = computed.where("offset_status = 'ok'").select(key, "campaign", F.col("offset_m").alias("_computed"))
-    third = known.where(F.col("campaign") == fallback_campaign).select(key, F.col("vadose_m").alias("_fallback"))
+    first = known.groupBy(key, "campaign").agg(F.min("vadose_m").alias("_explicit"))
+    second = computed.where("offset_status = 'ok'").groupBy(key, "campaign").agg(F.min("offset_m").alias("_computed"))
+    third = known.where(F.col("campaign") == fallback_campaign).groupBy(key).agg(F.min("vadose_m").alias("_fallback"))
     joined = requests.join(first, [key, "campaign"], "left").join(second, [key, "campaign"], "left").join(third, [key], "left")
     source = (
         F.when(F.col("_explicit").isNotNull(), "explicit").when(F.col("_computed").isNotNull(), "computed")

@@ -25,7 +25,10 @@ class DetectionRule:
 
 
 def flag_samples(df, rule: DetectionRule, v="caliper_cm"):
-    """Threshold, detection flag and severity of every sample with a baseline."""
+    """Threshold, detection flag and severity of every sample with a baseline.
+
+    An excess that equals a class limit belongs to the higher class.
+    """
     start = F.col("baseline_cm") + F.lit(rule.offset_cm)
     excess = F.col(v) - start
     saturated = F.col(v) >= F.lit(rule.saturation_cm)
@@ -37,8 +40,8 @@ def flag_samples(df, rule: DetectionRule, v="caliper_cm"):
     detected = F.coalesce(F.col(v) > F.col("threshold_cm"), F.lit(False))
     level = (
         F.when(~detected, "none").when(saturated, "severe")
-        .when(excess <= rule.mild_max_excess_cm, "mild")
-        .when(excess <= rule.moderate_max_excess_cm, "moderate").otherwise("severe")
+        .when(excess < rule.mild_max_excess_cm, "mild")
+        .when(excess < rule.moderate_max_excess_cm, "moderate").otherwise("severe")
     )
     return df.withColumns({"is_anomaly": detected, "severity_per_sample": level})
 
@@ -52,9 +55,12 @@ def sample_table(flagged, keys, z="depth_m", v="caliper_cm"):
     )
 
 
-def runs_of_true(df, keys, z, flag, min_points=1, layout=None):
-    """Unbroken runs of TRUE: first and last position, and number of rows."""
-    track = lay(df, keys, [z], layout)
+def runs_of_true(df, keys, z, flag, min_points=1, tie=(), layout=None):
+    """Unbroken runs of TRUE: first and last position, and number of rows.
+
+    `tie` orders rows at one position; then come those that are not TRUE.
+    """
+    track = lay(df, keys, [z, *tie, flag], layout)
     runs = _run_ids(track, F.col(flag)).df.where(F.col(flag))
     return (
         runs.groupBy(*keys, "_run")
@@ -76,13 +82,15 @@ def zone_table(
     """One row per anomaly zone that is long enough.
 
     z_top is the deeper end and z_bot the shallower one (depth grows downward);
-    depth_shallow and depth_deep say the same without the ambiguity.
+    depth_shallow and depth_deep say the same without the ambiguity.  peak_excess_cm is
+    measured from the baseline, peak_excess_over_threshold_cm from baseline and offset;
+    the latter gives the severity.
     """
-    track = lay(flagged, keys, [z], layout).scan(_next=lead(F.col(z)))
+    track = lay(flagged, keys, [z, v], layout).scan(_next=lead(F.col(z)))
     track = track.quantiles(_dz=(F.col("_next") - F.col(z), 0.5))
     runs = _run_ids(track, F.col("is_anomaly")).df.where("is_anomaly")
     peak = F.max_by(
-        F.struct(F.col(v).alias("v"), F.col("baseline_cm").alias("b"), F.col("threshold_cm").alias("t")),
+        F.struct(F.col(v).alias("v"), F.col("baseline_cm").alias("b")),
         F.struct(F.col(v), -F.col(z)),
     )
 
@@ -98,19 +106,19 @@ def zone_table(
         F.max("_dz").alias("_dz"), F.max(nominal).alias("_nominal"),
     )
     least_points = F.greatest(F.lit(1), F.bround(F.lit(rule.min_length_m) / F.col("_dz")))
-    excess = F.col("_peak.v") - F.col("_peak.b") - F.lit(rule.offset_cm)
+    over = F.col("_peak.v") - F.col("_peak.b") - F.lit(rule.offset_cm)
     return zones.where(F.col("n_points") >= F.coalesce(least_points, F.lit(1))).select(
         *keys,
         F.col("depth_deep").alias("z_top"), F.col("depth_shallow").alias("z_bot"),
         ((F.col("depth_shallow") + F.col("depth_deep")) / 2).alias("z_centre"),
         (F.col("depth_deep") - F.col("depth_shallow")).alias("thickness_m"),
         F.col("_peak.v").alias("peak_cm"), F.col("_peak.b").alias("baseline_at_peak_cm"),
-        excess.alias("peak_excess_cm"),
-        (F.col("_peak.v") - F.col("_peak.t")).alias("peak_excess_over_threshold_cm"),
+        (F.col("_peak.v") - F.col("_peak.b")).alias("peak_excess_cm"),
+        over.alias("peak_excess_over_threshold_cm"),
         "n_saturated",
         F.when(F.col("n_saturated") > 0, "severe")
-        .when(excess <= rule.mild_max_excess_cm, "mild")
-        .when(excess <= rule.moderate_max_excess_cm, "moderate").otherwise("severe").alias("severity"),
+        .when(over < rule.mild_max_excess_cm, "mild")
+        .when(over < rule.moderate_max_excess_cm, "moderate").otherwise("severe").alias("severity"),
         "n_pp_mild", "n_pp_moderate", "n_pp_severe",
         F.lit(rule.offset_cm).alias("offset_cm"), F.lit(rule.k_sigma).alias("k_sigma"),
         F.lit(rule.sigma_inst_cm).alias("sigma_inst_cm"),
@@ -146,7 +154,7 @@ def severity_counts(table, keys, severity="severity", levels=SEVERITIES[1:]):
 
 def severity_runs(df, keys, z, severity, levels=SEVERITIES[1:], layout=None):
     """Runs of equal severity, each end padded by half the median spacing."""
-    track = lay(df, keys, [z], layout).scan(_before=lag(F.col(severity)), _next=lead(F.col(z)))
+    track = lay(df, keys, [z, severity], layout).scan(_before=lag(F.col(severity)), _next=lead(F.col(z)))
     track = track.quantiles(_dz=(F.abs(F.col("_next") - F.col(z)), 0.5))
     change = F.when(F.col("_before").eqNullSafe(F.col(severity)), 0).otherwise(1)
     track = track.scan(_run=running_sum(change))

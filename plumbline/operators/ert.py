@@ -31,8 +31,8 @@ def require_traces(df, x, tolerance=X_TOLERANCE):
     """select_traces, raising with the positions on offer when none matches."""
     chosen = select_traces(df, x, tolerance=tolerance)
     if chosen.isEmpty():
-        offered = [r[0] for r in df.select("x").distinct().orderBy("x").limit(20).collect()]
-        raise ValueError(f"no trace at x={x}; positions include {offered}")
+        offered = df.agg(F.array_join(F.array_sort(F.collect_set("x")).cast("array<string>"), ", ")).first()[0]
+        raise ValueError(f"no trace at x={x}; positions are {offered}")
     return chosen
 
 

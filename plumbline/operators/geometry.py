@@ -69,16 +69,18 @@ def transition_zone(df, keys, index="bp_index", z="depth_m", y="log10_sec",
     """Flag the top and bottom breakpoints of the mixing zone.
 
     TOP has the largest turning angle (among values below `top` when given); BOTTOM has
-    the largest angle among the other points with value >= `bottom`.  Two or one chords
-    leave one or no interior point: then BOTTOM falls to the deepest point if that reaches
-    the threshold.  `bottom` and `top` may be columns.
+    the largest angle among the other points with value >= `bottom`.  End points never
+    bend, so short profiles have one candidate: the interior one of three points, the first
+    of two (it opens the only pair).  It is TOP, whatever `top` says, and BOTTOM as well
+    if it reaches the threshold.  `bottom` and `top` may be columns.
     """
     track = _angles(lay(df, keys, [index], layout), z, y).scan(_i=row_number())
     value = F.pow(F.lit(10.0), F.col(y))
-    return finish(_flag_zone(track, index, z, value, "high", bottom, top))
+    return finish(_flag_zone(track, index, value, "high", bottom, top, lone=True))
 
 
-def _flag_zone(track, index, z, value, side, bottom, top):
+def _flag_zone(track, index, value, side, bottom, top, lone=False):
+    """`lone`: a profile's only candidate may be both ends of the zone."""
     column = lambda t: t if t is None or not isinstance(t, (int, float)) else F.lit(float(t))
     bottom, top = column(bottom), column(top)
     eligible = value >= bottom if side == "high" else value <= bottom
@@ -86,16 +88,18 @@ def _flag_zone(track, index, z, value, side, bottom, top):
     track = track.with_columns(
         _eligible=F.coalesce(eligible, F.lit(False)), _may_top=F.coalesce(below_top, F.lit(False))
     )
-    track = track.per_profile(
-        _top=_first_max("turning_angle", index, F.col("_may_top")),
-        _bent=F.count("turning_angle"),
-        _best_end=F.min(F.when(F.col("_eligible") & F.col("turning_angle").isNull() & (F.col("_i") > 0), F.col(index))),
+    single = ((F.col("_n") == 2) & (F.col("_i") == 0)) | ((F.col("_n") == 3) & F.col("turning_angle").isNotNull())
+    single = F.coalesce(single, F.lit(False)) & F.lit(lone)
+    track = track.with_columns(_single=single).per_profile(
+        _best=_first_max("turning_angle", index, F.col("_may_top")), _bent=F.count("turning_angle"),
+        _lone=F.min(F.when(F.col("_single"), F.struct(F.col(index).alias("i"), (~F.col("_eligible")).alias("dry")))),
     )
-    other = F.col("_eligible") & ~F.coalesce(F.col(index) == F.col("_top.i"), F.lit(False))
+    track = track.with_columns(_top=F.coalesce(F.col("_lone.i"), F.col("_best.i")))
+    other = F.col("_eligible") & ~F.coalesce(F.col(index) == F.col("_top"), F.lit(False))
     track = track.with_columns(_other=other).per_profile(
         _bottom=_first_max("turning_angle", index, F.col("_other")),
     )
-    bottom_index = F.coalesce(F.col("_bottom.i"), F.when(F.col("_n") <= 3, F.col("_best_end")))
+    bottom_index = F.when(F.col("_lone").isNull(), F.col("_bottom.i")).when(~F.col("_lone.dry"), F.col("_lone.i"))
     close = (
         F.col("_other") & (F.col(index) != F.col("_bottom.i"))
         & (F.abs(F.col("turning_angle") - F.col("_bottom.a")) <= TIE * F.abs(F.col("_bottom.a")))
@@ -103,16 +107,16 @@ def _flag_zone(track, index, z, value, side, bottom, top):
     track = track.with_columns(_close=F.coalesce(close, F.lit(False))).per_profile(_ties=F.count_if("_close"))
     status = (
         F.when(F.col("_n") < 2, "too_few_points")
-        .when(F.col("_span") == 0, "flat")
+        .when((F.col("_span") == 0) & F.col("_lone").isNull(), "flat")
         .when(F.col("_top").isNull() & (F.col("_bent") > 0), "no_top_candidate")
         .when(bottom_index.isNull(), "no_bottom_candidate").otherwise("ok")
     )
     return track.with_columns(
-        is_top_of_mixing=F.coalesce(F.col(index) == F.col("_top.i"), F.lit(False)),
+        is_top_of_mixing=F.coalesce(F.col(index) == F.col("_top"), F.lit(False)),
         is_bottom_of_mixing=F.coalesce(F.col(index) == bottom_index, F.lit(False)),
         bot_tie=F.col("_ties") > 0,
         mz_status=status,
-    ).on_drop("_top", "_bent", "_best_end", "_bottom", "_ties", "_close", "_other",
+    ).on_drop("_top", "_best", "_bent", "_lone", "_single", "_bottom", "_ties", "_close", "_other",
               "_eligible", "_may_top", "_n", "_span", "_i")
 
 
@@ -152,7 +156,8 @@ def promote_pair_flags(breakpoints, pairs, keys, index="bp_index"):
 def resistivity_zone(df, keys, z="depth_bgl_m", rho="resist_ohm_m", bottom=10.0, layout=None):
     """Mixing zone on log10 resistivity: low resistivity is salt, so BOTTOM needs rho <= bottom.
 
-    Fewer than three points, or a flat curve, select nothing; a profile with a
+    End points are never selected, so three points have a TOP only.  Fewer than three
+    points, or a flat curve, select nothing; a profile with a
     non-positive resistivity gets status `not_positive`.
     """
     track = lay(df, keys, [z], layout).scan(_i=row_number())
@@ -165,7 +170,7 @@ def resistivity_zone(df, keys, z="depth_bgl_m", rho="resist_ohm_m", bottom=10.0,
     track = track.with_columns(turning_angle=F.when(usable, F.col("turning_angle")))
     short = F.col("_n") < 3
     track = track.with_columns(_short=short)
-    done = _flag_zone(track, "bp_index", z, F.when(usable, F.col(rho)), "low", bottom, None)
+    done = _flag_zone(track, "bp_index", F.when(usable, F.col(rho)), "low", bottom, None)
     some = F.col("_short") | F.col("_any_bad")
     done = done.with_columns(
         is_bottom_of_mixing=F.when(some, False).otherwise(F.col("is_bottom_of_mixing")),

@@ -16,15 +16,35 @@ def run_id(params_json):
     return F.substring(F.sha1(params_json), 1, 8)
 
 
-def method_signature(method, window=None, order=None, frac=None, passes=None):
-    """Readable method text, one form per smoothing method."""
-    absent = F.lit(None).cast("string")
-    text = lambda c: absent if c is None else c.cast("string")
-    return (
-        F.when(method == "savgol", F.concat_ws("_", F.lit("savgol"), F.concat(F.lit("w"), text(window)), F.concat(F.lit("p"), text(order))))
-        .when(method == "lowess", F.concat_ws("_", F.lit("lowess"), F.concat(F.lit("f"), text(frac)), F.concat(F.lit("it"), text(passes))))
-        .otherwise(method)
-    )
+#: Parameters a method's text names, with the mark before each value; other methods name all they have.
+SIGNATURES = {
+    "savgol": {"window": "w", "order": "p"}, "lowess": {"frac": "f", "passes": "it"},
+    "breakpoints": {"size": "n", "trial": "t"}, "convergence": {"delta": "d", "tolerance": "tol"},
+}
+FLAGS = ("segmented", "monotone")
+
+
+def method_signature(method, window=None, order=None, frac=None, passes=None, **others):
+    """Readable method text: the name, its parameters and the flags that are set, joined by `_`.
+
+    Every method has its own short marks (`SIGNATURES`); one without lists the parameters that
+    are not null in alphabetical order as name and value.  Flags are boolean columns named in FLAGS.
+    """
+    given = {"window": window, "order": order, "frac": frac, "passes": passes, **others}
+    given = {k: v for k, v in given.items() if v is not None}
+    values = {k: v.cast("string") for k, v in given.items() if k not in FLAGS}
+    flags = [F.when(given[k], F.lit(k)) for k in FLAGS if k in given]
+    text = F.concat_ws("_", method, *[F.concat(F.lit(k), values[k]) for k in sorted(values)], *flags)
+    for name, marks in SIGNATURES.items():
+        parts = [F.concat(F.lit(mark), values[k]) for k, mark in marks.items() if k in values]
+        text = F.when(method == name, F.concat_ws("_", F.lit(name), *parts, *flags)).otherwise(text)
+    return text
+
+
+def output_filename(well_id, date, signature, stage, extension="csv"):
+    """Name of an artefact: well, date, stage and method text; parts that are null are left out."""
+    stem = F.concat_ws("_", well_id, date, stage, signature)
+    return F.concat(F.regexp_replace(stem, r"[^A-Za-z0-9._-]", "-"), F.lit(f".{extension}"))
 
 
 def append_run(entries, folder):

@@ -11,6 +11,9 @@ from pyspark.sql import functions as F
 
 from plumbline.plans.layout import exact_quantiles, finish, lay, row_number, running_sum, spread
 
+#: Keeps the robust scale above zero where half of the residuals vanish.
+SCALE_FLOOR = 1e-12
+
 
 def tricube_moments(dx, reach, weight, y, degree):
     """Sums of w u^p (p <= 2 degree) and w u^p y (p <= degree) along the last axis."""
@@ -58,7 +61,7 @@ def lowess_long(df, keys, z, v, frac, degree, robust_passes, out, layout):
         if turn:
             residual = fitted.withColumn("miss", F.abs(F.col("y") - F.col("fit")))
             spreads = exact_quantiles(residual, keys, {"half": (F.col("miss"), 0.5)}, layout)
-            bell = 1 - F.try_divide(F.col("miss"), 6 * F.col("half")) ** 2
+            bell = 1 - (F.col("miss") / (6 * F.col("half") + SCALE_FLOOR)) ** 2
             fitted = residual.join(spreads, keys).withColumn(
                 "weight", F.coalesce(F.when(bell > 0, bell ** 2).when(bell <= 0, 0.0), F.lit(1.0))
             ).drop("miss", "half")

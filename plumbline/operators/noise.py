@@ -17,7 +17,7 @@ def moving_average(df, keys, z, v, points, out="smooth", layout=None):
     frame serves every profile.  Rows near an end are repeated at their mirrored indices.
     """
     points = F.lit(points) if isinstance(points, (int, float)) else points
-    track = lay(df, keys, [z], layout).scan(_i=row_number()).per_profile(_n=F.count("*"))
+    track = lay(df, keys, [z, v], layout).scan(_i=row_number()).per_profile(_n=F.count("*"))
     return finish(_moving_average(track, v, points, out)).drop("_i", "_n")
 
 
@@ -49,14 +49,14 @@ def noise_in_interval(df, keys, z, v, z_low, z_high, detrend_window_m=1.0, layou
     Profiles with fewer than three samples there get status `too_few_samples`.
     """
     layout = layout or Layout.of(df, keys)
-    track = lay(df.where(F.col(z).between(z_low, z_high)), keys, [z], layout)
+    track = lay(df.where(F.col(z).between(z_low, z_high)), keys, [z, v], layout)
     track = track.scan(_next=lead(F.col(z)), _i=row_number())
     track = track.quantiles(_dz=(F.col("_next") - F.col(z), 0.5)).per_profile(_n=F.count("*"))
     points = F.greatest(F.lit(1), F.coalesce(F.bround(F.lit(detrend_window_m) / F.col("_dz")), F.lit(1)))
     points = F.when(points % 2 == 0, points + 1).otherwise(points).cast("long")
     track = _moving_average(track.with_columns(_points=points), v, F.col("_points"), "_trend")
     track = track.with_columns(_r=F.col(v) - F.col("_trend"))
-    track = lay(track.df, keys, [z], layout) if layout.split else track
+    track = lay(track.df, keys, [z, v], layout) if layout.split else track
     track = track.quantiles(_med=(F.col("_r"), 0.5)).per_profile(_mean=F.avg("_r"))
     track = track.quantiles(_mad=(F.abs(F.col("_r") - F.col("_med")), 0.5))
     track = track.with_columns(_d=F.col("_r") - F.col("_mean")).scan(_d_next=lead(F.col("_d")))
@@ -78,7 +78,7 @@ def noise_in_interval(df, keys, z, v, z_low, z_high, detrend_window_m=1.0, layou
 
 def lag1_autocorrelation(df, keys, z, r, layout=None):
     """Lag-1 autocorrelation about the whole-series mean, over the sum of squares."""
-    track = lay(df, keys, [z], layout).per_profile(_mean=F.avg(r))
+    track = lay(df, keys, [z, r], layout).per_profile(_mean=F.avg(r))
     track = track.with_columns(_d=F.col(r) - F.col("_mean")).scan(_d_next=lead(F.col("_d")))
     d = F.col("_d")
     return track.df.groupBy(*keys).agg(

@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from plumbline.plans.layout import lay, finish, lead, running_sum
+from plumbline.plans.layout import finish, lay, lead, row_number, running_sum
 
 NUMBER = r"(\d+(?:\.\d+)?)"
 DASHES = "-–—"
@@ -23,15 +23,17 @@ def parse_depth(token):
     return top, F.coalesce(bottom, top)
 
 
-def merge_continuations(df, keys, row="row_no", token="depth_token", text="note", layout=None):
+def merge_continuations(df, keys, row="row_no", token="depth_token", text="note", replacements=None, layout=None):
     """Append notes without a depth to the entry before them, joined by "; ".
 
-    The running count of depths numbers the entries; notes before the first depth go.
-    Trailing dots and blanks of all but the last piece are stripped before joining.
+    Rows without a note are skipped before their depth is looked at; notes are trimmed and
+    repaired by `replacements`.  The running count of depths numbers the entries; notes before the
+    first depth go.  Trailing dots and blanks of all but the last piece are stripped before
+    joining.  `position` is the entry's place by centre.
     """
     top, bottom = parse_depth(F.col(token))
-    rows = df.withColumns({"_top": top, "_bottom": bottom})
-    rows = rows.where(F.col(text).isNotNull() | F.col("_top").isNotNull())
+    note = fix_text(F.regexp_replace(text, r"^\s+|\s+$", ""), replacements or {})
+    rows = df.withColumns({"_top": top, "_bottom": bottom, text: note}).where(F.length(text) > 0)
     track = lay(rows, keys, [row], layout).scan(
         entry=running_sum(F.col("_top").isNotNull().cast("int"))
     )
@@ -41,14 +43,16 @@ def merge_continuations(df, keys, row="row_no", token="depth_token", text="note"
         F.sort_array(F.collect_list(piece)).alias("_pieces"),
     )
     strip = lambda t: F.regexp_replace(t, r"[. ]+$", "")
-    texts = F.filter(F.transform("_pieces", lambda p: p["t"]), lambda t: t.isNotNull())
+    texts = F.transform("_pieces", lambda p: p["t"])
     joined = F.array_join(
         F.transform(texts, lambda t, i: F.when(i < F.size(texts) - 1, strip(t)).otherwise(t)), "; "
     )
-    return entries.select(
+    done = entries.select(
         *keys, F.col("entry").cast("int").alias("entry"), "depth_top", "depth_bottom",
         ((F.col("depth_top") + F.col("depth_bottom")) / 2).alias("centre"), joined.alias("note"),
     )
+    placed = lay(done, keys, ["centre", "entry"], layout).scan(position=row_number())
+    return finish(placed.with_columns(position=(F.col("position") + 1).cast("int")))
 
 
 def extend_intervals(df, keys, z="depth_m", kind="kind", interval_kind="lithology", tie=(), layout=None):

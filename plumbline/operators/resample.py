@@ -68,13 +68,18 @@ def step_statistics(df, keys, z, layout=None):
     return exact_quantiles(gaps, keys, wanted, track.layout, moments)
 
 
-def resample(df, keys, z="depth_m", v="sec_us_cm", kind="pchip", dz=None, layout=None):
+SPACINGS = ("p95", "median", "mean", "min")
+
+
+def resample(df, keys, z="depth_m", v="sec_us_cm", kind="pchip", dz=None, spacing="p95", layout=None):
     """Values of each profile on a uniform grid from its first to its last depth.
 
     Every interval between two samples produces the grid points it contains, so no range
-    join is needed.  The spacing defaults to the 95th percentile of the profile's own.
-    A profile needs two distinct depths.
+    join is needed.  Without `dz` the spacing is a statistic of the profile's own: the 95th
+    percentile, or the median, mean or minimum.  A profile needs two distinct depths.
     """
+    if spacing not in SPACINGS:
+        raise ValueError(f"unknown spacing {spacing!r}")
     if kind not in ("pchip", "linear"):
         raise ValueError(f"unknown resampling kind {kind!r}")
     track = lay(df.select(*keys, F.col(z).alias("x0"), F.col(v).alias("y0")), keys, ["x0"], layout)
@@ -84,8 +89,11 @@ def resample(df, keys, z="depth_m", v="sec_us_cm", kind="pchip", dz=None, layout
         track = track.with_columns(d0=F.lit(0.0))
     track = track.scan(x1=lead(F.col("x0")), y1=lead(F.col("y0")), d1=lead(F.col("d0")))
     track = track.per_profile(_start=F.min("x0"), _end=F.max("x0"))
-    if dz is None:
-        track = track.quantiles(_dz=(F.col("x1") - F.col("x0"), 0.95))
+    gap = F.col("x1") - F.col("x0")
+    if dz is None and spacing in ("p95", "median"):
+        track = track.quantiles(_dz=(gap, 0.95 if spacing == "p95" else 0.5))
+    elif dz is None:
+        track = track.per_profile(_dz=F.avg(gap) if spacing == "mean" else F.min(gap))
     else:
         track = track.with_columns(_dz=F.lit(float(dz)))
     start, step = F.col("_start"), F.col("_dz")

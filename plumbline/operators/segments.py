@@ -118,24 +118,33 @@ def select_trial(fits, keys, metric="bic"):
 
 
 def global_metrics(df, keys, y, yhat, p):
-    """RSS, TSS, R2 and adjusted R2 with p predictors; undefined ratios are null."""
+    """RSS, TSS, R2 and adjusted R2; undefined ratios are null.
+
+    `p` is the number of predictors, or the name of a column that has it for each profile.
+    """
+    predictors = F.max(p) if isinstance(p, str) else F.lit(p)
     means = df.groupBy(*keys).agg(F.avg(y).alias("_mean"))
     rows = df.join(means, [*keys])
     sums = rows.groupBy(*keys).agg(
         F.sum((F.col(y) - F.col(yhat)) ** 2).alias("rss"),
         F.sum((F.col(y) - F.col("_mean")) ** 2).alias("tss"), F.count("*").alias("n"),
+        predictors.alias("_p"),
     )
     r2 = 1 - F.try_divide(F.col("rss"), F.col("tss"))
-    freedom = F.col("n") - F.lit(p) - 1
+    freedom = F.col("n") - F.col("_p") - 1
     adjusted = 1 - (1 - F.col("r2")) * F.try_divide((F.col("n") - 1).cast("double"), freedom)
-    return sums.withColumn("r2", r2).withColumn("r2_adjusted", F.when(freedom > 0, adjusted))
+    return sums.withColumn("r2", r2).withColumn("r2_adjusted", F.when(freedom > 0, adjusted)).drop("_p")
 
 
 def assign_segments(samples, fits, keys, x="depth_m"):
-    """Segment 1.. of each sample; a sample on a breakpoint belongs to the segment above it."""
-    rows = samples.join(fits.select(*keys, "psis"), [*keys])
+    """Segment 1.. of each sample; a sample on a breakpoint belongs to the segment above it.
+
+    Samples of profiles without a fit stay, with a null segment.
+    """
+    rows = samples.join(fits.select(*keys, "psis"), [*keys], "left")
     deeper = F.filter("psis", lambda p: F.col(x) > p)
-    return rows.withColumn("segment", F.size(deeper) + 1).drop("psis")
+    segment = F.when(F.col("psis").isNotNull(), F.size(deeper) + 1)
+    return rows.withColumn("segment", segment).drop("psis")
 
 
 def segment_regressions(segmented, keys, x="depth_m", y="log10_sec"):
@@ -143,8 +152,9 @@ def segment_regressions(segmented, keys, x="depth_m", y="log10_sec"):
 
     The second pass takes residuals from the fitted line, as the one-pass formula would
     lose digits; segments of one sample have no slope.
+    Samples without a segment are left out.
     """
-    group = [*keys, "segment"]
+    group, segmented = [*keys, "segment"], segmented.where("segment is not null")
     lines = segmented.groupBy(*group).agg(
         F.regr_slope(y, x).alias("slope"), F.regr_intercept(y, x).alias("intercept"),
         F.count("*").alias("n"), F.avg(y).alias("_mean"), (F.max(y) - F.min(y)).alias("_range"),

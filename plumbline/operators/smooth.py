@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from plumbline.operators.clean import add_log10, clean_casts
-from plumbline.operators.lowess_long import local_values, lowess_long, tricube_moments
+from plumbline.operators.lowess_long import SCALE_FLOOR, local_values, lowess_long, tricube_moments
 from plumbline.operators.resample import resample
 from plumbline.plans.layout import (
     Layout, finish, lag, last_known, lay, lead, next_known, row_number, running_max, running_sum,
@@ -28,9 +28,10 @@ def hat_matrix(window, order):
 def savgol(df, keys, z, v, window=11, order=3, out=None, layout=None):
     """Savitzky-Golay with end rows read off the first and last full window.
 
-    Profiles shorter than the window stay as they are.
+    Profiles shorter than the window stay as they are.  Rows whose window holds a null get
+    null; rows at one depth follow the order of their values.
     """
-    track = lay(df, keys, [z], layout).scan(_i=row_number()).per_profile(_n=F.count("*"))
+    track = lay(df, keys, [z, v], layout).scan(_i=row_number()).per_profile(_n=F.count("*"))
     return finish(_savgol(track, [*keys], v, odd_window(window), order, out or v)).drop("_i", "_n")
 
 
@@ -48,12 +49,12 @@ def _savgol(track, group, v, window, order, out):
     frame = Window.partitionBy(*parts).orderBy("_i").rowsBetween(-(window - 1), window - 1)
     base = Window.partitionBy(*parts).orderBy("_i").rowsBetween(-(window - 1), 0)
     rows = rows.withColumns({
-        "_around": F.collect_list(v).over(frame), "_head": F.min("_i").over(base), "_own": own,
+        "_around": F.collect_list(F.struct(F.col(v).alias("v"))).over(frame), "_head": F.min("_i").over(base), "_own": own,
     }).where("_own")
     start = F.greatest(F.lit(0), F.least(F.col("_i") - h, F.col("_n") - window))
     values = F.slice("_around", (start - F.col("_head") + 1).cast("int"), window)
     weights = F.try_element_at(matrix, (F.col("_i") - start + 1).cast("int"))
-    smooth = F.aggregate(F.zip_with(weights, values, lambda a, b: a * b), F.lit(0.0), lambda s, t: s + t)
+    smooth = F.aggregate(F.zip_with(weights, values, lambda a, b: a * b["v"]), F.lit(0.0), lambda s, t: s + t)
     rows = rows.withColumn(out, F.when(F.col("_n") >= window, smooth).otherwise(F.col(v)))
     return track.on(rows.drop("_around", "_head", "_own", "_block"))
 
@@ -67,7 +68,7 @@ def segmented_savgol(df, keys, z, v, window=11, order=3, gradient_factor=20.0,
     guards is smoothed on its own when it is at least one window long.
     """
     window, h = odd_window(window), odd_window(window) // 2
-    track = lay(df, keys, [z], layout).scan(_row=row_number(), _next=lead(F.col(v)))
+    track = lay(df, keys, [z, v], layout).scan(_row=row_number(), _next=lead(F.col(v)))
     track = track.with_columns(_jump=F.abs(F.col("_next") - F.col(v)))
     track = track.quantiles(_mid=(F.col("_jump"), 0.5))
     limit = F.greatest(F.col("_mid") * F.lit(float(gradient_factor)), F.lit(float(min_gradient)))
@@ -113,9 +114,7 @@ def lowess_values(x, y, frac=0.05, degree=1, robust_passes=2):
     robust = np.ones(n)
     fit = _tricube_fit(x, y, k, degree, robust)
     for _ in range(robust_passes):
-        scale = 6 * np.median(np.abs(y - fit))
-        if scale == 0:
-            break
+        scale = 6 * np.median(np.abs(y - fit)) + SCALE_FLOOR
         robust = np.clip(1 - ((y - fit) / scale) ** 2, 0, None) ** 2
         fit = _tricube_fit(x, y, k, degree, robust)
     return fit

@@ -4,10 +4,13 @@ Muggeo's iteration (2003) fits y = c + a x + sum b_k (x - psi_k)+ by repeated le
 squares with the extra columns -1(x > psi_k), whose coefficients move the breakpoints.
 Every Gram entry of that design is a sum over rows deeper than some psi, so running
 sums of (1, x, x^2, y, xy, y^2) replace the n-row design: an iteration costs O(N^2)
-whatever the length of the profile.  Restarts bootstrap the rows (Wood 2001) with the
-seed of the trial.
+whatever the length of the profile.  Restarts bootstrap the rows (Wood 2001): a row's
+weight is a Poisson number from a hash of its rank, the seed of the trial and the restart, so
+profiles of every length, in one task or in many, take the same restarts.
 """
 
+import math
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
@@ -21,12 +24,16 @@ ROOM = 0.45
 BATCH_VALUES = 20_000_000
 FIT_FIELDS = [
     ("trial", T.StringType()), ("seed", T.IntegerType()), ("n_breakpoints", T.IntegerType()),
-    ("converged", T.BooleanType()), ("n_obs", T.LongType()), ("rss", T.DoubleType()),
+    ("converged", T.BooleanType()), ("status", T.StringType()), ("n_obs", T.LongType()), ("rss", T.DoubleType()),
     ("bic", T.DoubleType()), ("const", T.DoubleType()), ("alpha1", T.DoubleType()),
     ("psis", T.ArrayType(T.DoubleType())), ("betas", T.ArrayType(T.DoubleType())),
     ("ci_low", T.ArrayType(T.DoubleType())), ("ci_high", T.ArrayType(T.DoubleType())),
 ]
-NO_FIT = {n: None for n, _ in FIT_FIELDS[5:]}
+NO_FIT = {n: None for n, _ in FIT_FIELDS[6:]}
+#: Cumulative Poisson probabilities at mean 1: a uniform number's weight is how many it reaches.
+POISSON = np.cumsum([np.exp(-1) / math.factorial(k) for k in range(13)])
+# The constants of XXH64, which `xxhash64` of Spark computes.
+XXH64 = (0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x85EBCA77C2B2AE63, 0x27D4EB2F165667C5)
 
 
 def fit_schema(schema, keys):
@@ -35,6 +42,35 @@ def fit_schema(schema, keys):
     )
 
 
+def hash_longs(values, seed):
+    """XXH64 of 8-byte integers, as `xxhash64` of Spark chains it over columns."""
+    one, two, three, four, five = (np.uint64(p) for p in XXH64)
+    turn = lambda h, n: (h << np.uint64(n)) | (h >> np.uint64(64 - n))
+    h = np.uint64(seed) + five + np.uint64(8)
+    h = h ^ (turn(values * two, 31) * one)
+    h = turn(h, 27) * one + four
+    h = (h ^ (h >> np.uint64(33))) * two
+    h = (h ^ (h >> np.uint64(29))) * three
+    return h ^ (h >> np.uint64(32))
+
+
+def bootstrap_weights(n, seed, restart):
+    """Poisson weights of the rows of rank 0..n-1."""
+    with np.errstate(over="ignore"):
+        h = np.array([42], np.uint64)
+        for part in (seed, restart):
+            h = hash_longs(np.array([part], np.int64).view(np.uint64), h[0])
+        h = hash_longs(np.arange(n, dtype=np.uint64), h[0])
+    return np.searchsorted(POISSON, (h >> np.uint64(11)) / 2.0**53, side="right").astype(float)
+
+
+def bootstrap_weight(rank, seed, restart):
+    """The same weight as a column expression."""
+    mixed = F.xxhash64(seed.cast("long"), restart.cast("long"), rank.cast("long"))
+    share = F.shiftrightunsigned(mixed, 11).cast("double") / F.lit(2.0**53)
+    return sum((F.when(share >= float(p), 1.0).otherwise(0.0) for p in POISSON), F.lit(0.0))
+
+
 def running_sums(x, y, weight=None):
     """Totals of (1, x, x^2, y, xy, y^2) from each row to the end; last row is zero."""
     cols = np.stack([np.ones_like(x), x, x * x, y, x * y, y * y])
@@ -127,11 +163,14 @@ def at_rest(psi, new, rss, before, tolerance):
     return still | (np.abs(before - rss) <= tolerance * rss)
 
 
-def iterate(x, sums, psi, tolerance, min_gap):
-    """Run every fit of a batch to convergence: final breakpoints, NaN rows where it fails."""
+def iterate(x, sums, psi, tolerance, min_gap, most=MAX_ITERATIONS):
+    """Run every fit of a batch to convergence: final breakpoints, NaN rows where it fails.
+
+    Second result: the fits that still move after `most` iterations.
+    """
     out = np.full_like(psi, np.nan)
     live, before = np.arange(len(psi)), np.full(len(psi), np.nan)
-    for turn in range(MAX_ITERATIONS):
+    for turn in range(most):
         table = sums if sums.ndim == 2 else sums[live]
         step = muggeo_steps(tails_at(x, table, psi), psi)
         good = np.isfinite(step["full"]).all(axis=1) & np.isfinite(step["rss"])
@@ -144,22 +183,25 @@ def iterate(x, sums, psi, tolerance, min_gap):
         live, psi, before = live[going], new[going], step["rss"][going]
         if not len(live):
             break
-    return out
+    moving = np.zeros(len(out), bool)
+    moving[live] = True
+    return out, moving
 
 
-def fit_size(x, y, n, seeds, restarts, tolerance, min_distance, starts=None):
-    """Best fit of size n for every seed: a seeded start, then bootstrap restarts.
+def fit_size(x, y, n, seeds, restarts, tolerance, min_distance, starts=None, most=MAX_ITERATIONS):
+    """Best fit of size n for every seed: a seeded start, then bootstrap restarts from it.
 
     All seeds and restarts run as one batch.  `starts` gives breakpoints to begin from
-    instead, one array per entry of `seeds`, and then there are no restarts.
+    instead, one array per entry of `seeds`, and then there are no restarts.  Each result has
+    a status: ok, failed, moving (the iterations ran out) or unfit (too few rows, or flat).
     """
-    count, nothing = len(seeds), [None] * len(seeds)
+    count = len(seeds)
     span, base, unit = x[-1] - x[0], y.mean(), y.std()
     if len(x) < 2 * n + 3 or span <= 0 or unit == 0:
-        return nothing
+        return [{"status": "unfit", **NO_FIT}] * count
     u, v = (x - x[0]) / span, (y - base) / unit
     sums, gap = running_sums(u, v), min_distance / span
-    best = [None] * count
+    best, moving = [None] * count, np.zeros(count, bool)
 
     def keep(owner, psi):
         good = ~np.isnan(psi).any(axis=1)
@@ -176,26 +218,32 @@ def fit_size(x, y, n, seeds, restarts, tolerance, min_distance, starts=None):
         keep(range(count), np.empty((count, 0)))
     elif starts is not None:
         first = np.stack([(np.sort(np.asarray(s, float)) - x[0]) / span for s in starts])
-        keep(range(count), iterate(u, sums, first, tolerance, gap))
+        found, moving = iterate(u, sums, first, tolerance, gap, most)
+        keep(range(count), found)
     else:
-        rngs = [np.random.default_rng(seed) for seed in seeds]
-        first = np.stack([random_start(rng, n) for rng in rngs])
-        keep(range(count), iterate(u, sums, first, tolerance, gap))
-        tasks = [who for who in range(count) for _ in range(restarts)]
+        first = np.stack([random_start(seed, n) for seed in seeds])
+        found, moving = iterate(u, sums, first, tolerance, gap, most)
+        keep(range(count), found)
+        origin = [None if b is None else b[0] for b in best]
+        tasks = [(who, k) for who in range(count) for k in range(restarts)]
         block = max(1, BATCH_VALUES // (6 * len(u)))
         for a in range(0, len(tasks), block):
-            owner = tasks[a:a + block]
-            begin, tables = [], []
-            for who in owner:
-                rng = rngs[who]
-                weight = np.bincount(rng.integers(0, len(u), len(u)), minlength=len(u))
-                begin.append(random_start(rng, n) if best[who] is None else best[who][0])
-                tables.append(running_sums(u, v, weight.astype(float)))
-            moved = iterate(u, np.stack(tables), np.stack(begin), tolerance, gap)
+            owner = [who for who, _ in tasks[a:a + block]]
+            begin = np.stack([
+                random_start((seeds[who], k + 1), n) if origin[who] is None else origin[who] for who, k in tasks[a:a + block]
+            ])
+            tables = np.stack([
+                running_sums(u, v, bootstrap_weights(len(u), seeds[who], k)) for who, k in tasks[a:a + block]
+            ])
+            moved, _ = iterate(u, tables, begin, tolerance, gap, most)
             lost = np.isnan(moved).any(axis=1)
-            moved[lost] = np.stack(begin)[lost]
-            keep(owner, iterate(u, sums, moved, tolerance, gap))
-    return [None if b is None else unscale(*b, len(x), x[0], span, base, unit) for b in best]
+            moved[lost] = begin[lost]
+            keep(owner, iterate(u, sums, moved, tolerance, gap, most)[0])
+    return [
+        {"status": "moving" if late else "failed", **NO_FIT} if b is None
+        else {"status": "ok", **unscale(*b, len(x), x[0], span, base, unit)}
+        for b, late in zip(best, moving)
+    ]
 
 
 def unscale(psi, step, size, origin, span, base, unit):
@@ -223,8 +271,9 @@ def unscale(psi, step, size, origin, span, base, unit):
     }
 
 
-def random_start(rng, n):
+def random_start(seed, n):
     """One uniform draw in each of n equal strata of 0..1."""
+    rng = np.random.default_rng(seed)
     return (np.arange(n) + rng.uniform(0.1, 0.9, n)) / n
 
 
@@ -238,11 +287,12 @@ def t_quantile(freedom):
 
 
 def sweep(df, keys, x="depth_m", y="log10_sec", max_breakpoints=10, trials=3, restarts=20,
-          tolerance=1e-5, min_distance=0.01, start_seed=0, sizes=None, layout=None):
+          tolerance=1e-5, min_distance=0.01, start_seed=0, sizes=None, max_iterations=MAX_ITERATIONS, layout=None):
     """Fit sizes 0..max_breakpoints for every trial of every profile.
 
-    Fits that do not converge stay as rows without estimates.  A profile too long for one
-    task goes through `sweep_long`, where each iteration is one aggregate over its rows.
+    Fits that do not converge stay as rows without estimates; `status` says why.  Profiles too
+    long for one task, and only those, go through `sweep_long`, where each iteration is one
+    aggregate over their rows; starts and restarts are the same.
     """
     rows = df.select(*keys, F.col(x).cast("double").alias("_x"), F.col(y).cast("double").alias("_y"))
     rows = rows.where("_x is not null and _y is not null")
@@ -250,10 +300,12 @@ def sweep(df, keys, x="depth_m", y="log10_sec", max_breakpoints=10, trials=3, re
     sizes = list(range(max_breakpoints + 1)) if sizes is None else list(sizes)
     grid = [(t, start_seed + t, n) for t in range(trials) for n in sizes]
     layout = layout or Layout.of(df, keys)
+    others = None
     if layout.split:
         from plumbline.operators.sweep_long import sweep_long
 
-        return sweep_long(rows, keys, grid, tolerance, min_distance)
+        rows, long = by_length(rows, keys, layout.rows_per_split)
+        others = sweep_long(long, keys, grid, restarts, tolerance, min_distance, max_iterations, layout)
 
     def fit(pdf):
         pdf = pdf.sort_values(["_x", "_y"])
@@ -261,19 +313,31 @@ def sweep(df, keys, x="depth_m", y="log10_sec", max_breakpoints=10, trials=3, re
         head = {k: pdf[k].iloc[0] for k in keys}
         seeds, out = [start_seed + t for t in range(trials)], []
         for n in sizes:
-            found = fit_size(px, py, n, seeds, restarts, tolerance, min_distance)
+            found = fit_size(px, py, n, seeds, restarts, tolerance, min_distance, most=max_iterations)
             out += [
                 {**head, "trial": f"trial_{t + 1}", "seed": seed, "n_breakpoints": n,
-                 "converged": one is not None, "n_obs": len(px), **(one or NO_FIT)}
+                 "converged": one["status"] == "ok", "n_obs": len(px), **one}
                 for t, (seed, one) in enumerate(zip(seeds, found))
             ]
         return pd.DataFrame(out, columns=schema.names)
 
-    return spread(rows, keys).groupBy(*keys).applyInPandas(fit, schema)
+    done = spread(rows, keys).groupBy(*keys).applyInPandas(fit, schema)
+    return done if others is None else done.unionByName(others)
+
+
+def by_length(rows, keys, limit):
+    """Rows of the profiles that fit one task, and rows of the others."""
+    sizes = rows.groupBy(*keys).count().where(F.col("count") > limit).select(*keys)
+    return rows.join(sizes, [*keys], "left_anti"), rows.join(sizes, [*keys], "left_semi")
+
 
+def refit(df, fits, keys, x="depth_m", y="log10_sec", tolerance=1e-5, min_distance=0.01,
+          max_iterations=MAX_ITERATIONS, layout=None):
+    """Warm start: refit saved breakpoints (column psis of `fits`) without restarts.
 
-def refit(df, fits, keys, x="depth_m", y="log10_sec", tolerance=1e-5, min_distance=0.01):
-    """Warm start: refit saved breakpoints (column psis of `fits`) without restarts."""
+    Long profiles are refitted by aggregates, as in `sweep`.
+    """
+    keys = [*keys]
     rows = df.select(*keys, F.col(x).cast("double").alias("_x"), F.col(y).cast("double").alias("_y"))
     rows = rows.where("_x is not null and _y is not null")
     schema = fit_schema(rows.schema, keys)
@@ -284,19 +348,29 @@ def refit(df, fits, keys, x="depth_m", y="log10_sec", tolerance=1e-5, min_distan
         out = []
         for row in right.itertuples(index=False):
             start = [] if row.psis is None else list(row.psis)
-            found = None
+            found = {"status": "unfit", **NO_FIT}
             if len(px):
-                found = fit_size(px, py, len(start), [0], 0, tolerance, min_distance, [start])[0]
+                found = fit_size(px, py, len(start), [0], 0, tolerance, min_distance, [start], max_iterations)[0]
             out.append({
                 **{k: getattr(row, k) for k in keys}, "trial": row.trial, "seed": row.seed,
-                "n_breakpoints": len(start), "converged": found is not None, "n_obs": len(px),
-                **(found or NO_FIT),
+                "n_breakpoints": len(start), "converged": found["status"] == "ok", "n_obs": len(px),
+                **found,
             })
         return pd.DataFrame(out, columns=schema.names)
 
     saved = fits.where("converged").select(*keys, "trial", "seed", "psis")
+    layout = layout or Layout.of(rows, keys)
+    others = None
+    if layout.split:
+        from plumbline.operators.sweep_long import refit_long
+
+        rows, long = by_length(rows, keys, layout.rows_per_split)
+        far = saved.join(long.select(*keys).distinct(), keys, "left_semi")
+        saved = saved.join(long.select(*keys).distinct(), keys, "left_anti")
+        others = refit_long(long, far, keys, tolerance, min_distance, max_iterations)
     left, right = spread(rows, keys), spread(saved, keys)
-    return left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(fit, schema)
+    done = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(fit, schema)
+    return done if others is None else done.unionByName(others)
 
 
 def discover_seed(fits, keys):

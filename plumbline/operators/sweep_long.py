@@ -2,7 +2,7 @@
 
 Each Muggeo iteration needs, per fit, six moments of the rows in each segment.  Those are
 one grouped aggregate with map-side combine over all rows, after which a few numbers per
-fit reach the update step.
+fit reach the update step.  Bootstrap restarts weight the rows in the same aggregate.
 """
 
 import numpy as np
@@ -10,38 +10,95 @@ import pandas as pd
 from pyspark.sql import functions as F
 
 from plumbline.operators.sweep import (
-    MAX_ITERATIONS, NO_FIT, apart, at_rest, damping, fit_schema, muggeo_steps, next_breakpoints,
+    NO_FIT, apart, at_rest, bootstrap_weight, damping, fit_schema, muggeo_steps, next_breakpoints,
     random_start, unscale,
 )
+from plumbline.plans.layout import finish, lay, row_number
 from plumbline.plans.session import ensure_checkpoint_dir, ship_package
 
+FIT = ["trial", "seed", "n_breakpoints"]
 
-def sweep_long(rows, keys, grid, tolerance, min_distance):
-    """Seeded starts only: a bootstrap restart would re-read every row per restart."""
-    spark, keys = rows.sparkSession, [*keys]
+
+def sweep_long(rows, keys, grid, restarts, tolerance, min_distance, most, layout):
+    """Seeded starts, then all restarts of all fits at once, each from the start's result."""
+    keys = [*keys]
+    ranked = finish(lay(rows, keys, ["_x", "_y"], layout).scan(_i=row_number()))
+    scaled, scale = _scaled(ranked, keys)
+    tasks = rows.sparkSession.createDataFrame(
+        [(f"trial_{t + 1}", s, n, random_start(s, n).tolist()) for t, s, n in grid],
+        "trial string, seed int, n_breakpoints int, psi array<double>",
+    )
+    each = F.explode(F.array(*[
+        F.struct(F.lit(f"trial_{t + 1}").alias("trial"), F.lit(s).alias("seed"), F.lit(n).alias("n_breakpoints"))
+        for t, s, n in grid
+    ]))
+    fits = scale.withColumn("task", each).select(*scale.columns, "task.*").join(tasks, FIT)
+    first = _run(scaled, _opened(fits), keys, tolerance, min_distance, most)
+    tried = first
+    if restarts and any(n for _, _, n in grid):
+        begin = first.where("state <> 'unfit' and n_breakpoints > 0").withColumn(
+            "restart", F.explode(F.sequence(F.lit(0), F.lit(restarts - 1)))
+        )
+        begin = begin.mapInPandas(_begin, begin.schema).checkpoint()
+        moved = _run(scaled, begin, keys, tolerance, min_distance, most, weighted=True)
+        names = [*keys, *FIT, "restart"]
+        known = begin.select(*names, F.col("psi").alias("begin"))
+        psi = F.when(F.col("state") == "done", F.col("psi")).otherwise(F.col("begin"))
+        again = moved.join(known, names).withColumns(
+            {"psi": psi, "state": F.lit("active"), "rss": F.lit(None).cast("double")}
+        ).select(*begin.columns)
+        tried = first.unionByName(_run(scaled, again, keys, tolerance, min_distance, most))
+    return _reported(scaled, rows, first, tried, keys)
+
+
+def refit_long(rows, saved, keys, tolerance, min_distance, most):
+    """Saved breakpoints as starts, without restarts."""
+    keys = [*keys]
+    scaled, scale = _scaled(rows.withColumn("_i", F.lit(0)), keys)
+    psi = F.array_sort(F.transform(F.coalesce("psis", F.array().cast("array<double>")), lambda p: (p - F.col("x0")) / F.col("span")))
+    fits = saved.join(scale, keys).withColumns({"n_breakpoints": F.size(F.coalesce("psis", F.array())), "psi": psi})
+    first = _run(scaled, _opened(fits.drop("psis")), keys, tolerance, min_distance, most)
+    return _reported(scaled, rows, first, first, keys)
+
+
+def _scaled(ranked, keys):
+    spark = ranked.sparkSession
     ensure_checkpoint_dir(spark)
     ship_package(spark)
-    scale = rows.groupBy(*keys).agg(
+    scale = ranked.groupBy(*keys).agg(
         F.min("_x").alias("x0"), (F.max("_x") - F.min("_x")).alias("span"),
         F.avg("_y").alias("base"), F.stddev_pop("_y").alias("unit"), F.count("*").alias("n_obs"),
     ).checkpoint()
-    scaled = rows.join(scale.where("span > 0 and unit > 0"), keys).select(
-        *keys, ((F.col("_x") - F.col("x0")) / F.col("span")).alias("u"),
+    scaled = ranked.join(scale.where("span > 0 and unit > 0"), keys).select(
+        *keys, "_i", ((F.col("_x") - F.col("x0")) / F.col("span")).alias("u"),
         ((F.col("_y") - F.col("base")) / F.col("unit")).alias("v"),
     )
-    tasks = spark.createDataFrame(
-        [(f"trial_{t + 1}", s, n, _start(s, n)) for t, s, n in grid],
-        "trial string, seed int, n_breakpoints int, psi array<double>",
-    )
-    fittable = (F.col("span") > 0) & (F.col("unit") > 0) & (F.col("n_obs") >= 2 * F.col("n_breakpoints") + 3)
-    fits = scale.withColumn("task", F.explode(F.array(*[
-        F.struct(F.lit(f"trial_{t + 1}").alias("trial"), F.lit(s).alias("seed"), F.lit(n).alias("n_breakpoints"))
-        for t, s, n in grid
-    ]))).select(*scale.columns, "task.*").join(tasks, ["trial", "seed", "n_breakpoints"])
-    fits = fits.withColumns(
-        {"state": F.when(fittable, "active").otherwise("failed"), "rss": F.lit(None).cast("double")}
-    ).checkpoint()
-    fit_keys, schema = [*keys, "trial", "seed", "n_breakpoints"], fits.schema
+    return scaled.checkpoint(), scale
+
+
+def _opened(fits):
+    """Fits as tasks of the iteration; those that cannot be fitted are closed at once."""
+    fit = (F.col("span") > 0) & (F.col("unit") > 0) & (F.col("n_obs") >= 2 * F.col("n_breakpoints") + 3)
+    return fits.withColumns({
+        "restart": F.lit(-1), "state": F.when(fit, "active").otherwise("unfit"), "rss": F.lit(None).cast("double"),
+    })
+
+
+def _begin(batches):
+    """Where each restart begins: at the result of the start, else at a draw of its own."""
+    for pdf in batches:
+        pdf["psi"] = [
+            psi if state == "done" else random_start((seed, restart + 1), n)
+            for psi, state, seed, restart, n in zip(pdf["psi"], pdf["state"], pdf["seed"], pdf["restart"], pdf["n_breakpoints"])
+        ]
+        pdf["state"], pdf["rss"] = "active", None
+        yield pdf
+
+
+def _run(scaled, fits, keys, tolerance, min_distance, most, weighted=False):
+    """Iterate all active tasks until they are at rest, failed, or `most` iterations old."""
+    names = [*keys, *FIT, "restart"]
+    fits, schema = fits.checkpoint(), fits.schema
 
     def advance(batches, turn):
         for pdf in batches:
@@ -51,42 +108,29 @@ def sweep_long(rows, keys, grid, tolerance, min_distance):
                 pdf[column] = [m[place] for m in moved]
             yield pdf[schema.names]
 
-    for turn in range(MAX_ITERATIONS):
+    for turn in range(most):
         active = fits.where("state = 'active'")
         if active.isEmpty():
             break
-        moments = _moments(scaled, active, keys, fit_keys)
-        fits = fits.join(moments, fit_keys, "left").mapInPandas(
+        moments = _moments(scaled, active, keys, names, weighted)
+        fits = fits.join(moments, names, "left").mapInPandas(
             lambda batches, turn=turn: advance(batches, turn), schema
         ).checkpoint()
-    final = fits.join(_moments(scaled, fits.where("state = 'done'"), keys, fit_keys), fit_keys, "left")
-    result = fit_schema(rows.schema, keys)
-
-    def report(batches):
-        for pdf in batches:
-            out = [
-                {**{k: row[k] for k in fit_keys}, "n_obs": row["n_obs"], "converged": False, **_estimates(row)}
-                for row in pdf.to_dict("records")
-            ]
-            yield pd.DataFrame(out, columns=result.names)
-
-    return final.mapInPandas(report, result)
+    return fits
 
 
-def _start(seed, n):
-    return random_start(np.random.default_rng(seed), n).tolist()
-
-
-def _moments(scaled, fits, keys, fit_keys):
-    """Per fit: six moments of each segment, at most one row per segment."""
-    pairs = scaled.join(fits.select(*fit_keys, "psi"), keys)
+def _moments(scaled, fits, keys, names, weighted=False):
+    """Per task: six moments of each segment, at most one row per segment."""
+    pairs = scaled.join(fits.select(*names, "psi"), keys)
     u, v = F.col("u"), F.col("v")
-    pairs = pairs.withColumn("segment", F.size(F.filter("psi", lambda p: u > p)))
-    sums = pairs.groupBy(*fit_keys, "segment").agg(
-        F.sum(F.lit(1.0)).alias("a"), F.sum(u).alias("b"), F.sum(u * u).alias("c"),
-        F.sum(v).alias("d"), F.sum(u * v).alias("e"), F.sum(v * v).alias("f"),
+    w = bootstrap_weight(F.col("_i"), F.col("seed"), F.col("restart")) if weighted else F.lit(1.0)
+    pairs = pairs.withColumns({"segment": F.size(F.filter("psi", lambda p: u > p)), "w": w})
+    w = F.col("w")
+    sums = pairs.groupBy(*names, "segment").agg(
+        F.sum(w).alias("a"), F.sum(w * u).alias("b"), F.sum(w * u * u).alias("c"),
+        F.sum(w * v).alias("d"), F.sum(w * u * v).alias("e"), F.sum(w * v * v).alias("f"),
     )
-    return sums.groupBy(*fit_keys).agg(
+    return sums.groupBy(*names).agg(
         F.collect_list(F.array(F.col("segment").cast("double"), *"abcdef")).alias("moments")
     )
 
@@ -100,12 +144,12 @@ def _tails(moments, n):
 
 
 def _move(row, tolerance, min_distance, turn):
-    """Next breakpoints, state and residual sum of one fit."""
+    """Next breakpoints, state and residual sum of one task."""
     psi = np.asarray(row["psi"], float)
     if row["state"] != "active":
         return psi, row["state"], row["rss"]
     if len(psi) == 0:
-        return psi, "done", None
+        return psi, "done", 0.0
     step = _step(row["moments"], psi)
     if step is None:
         return psi, "failed", None
@@ -119,18 +163,42 @@ def _move(row, tolerance, min_distance, turn):
 
 
 def _step(moments, psi):
-    """The Muggeo step of one fit, None when its equations have no solution."""
+    """The Muggeo step of one task, None when its equations have no solution."""
     if moments is None:
         return None
     step = muggeo_steps(_tails(moments, len(psi))[None], psi[None])
     return {k: a[0] for k, a in step.items()} if np.isfinite(step["full"]).all() else None
 
 
+def _reported(scaled, rows, first, tried, keys):
+    """The best finished task of every fit in data units; fits without one keep a status."""
+    names = [*keys, *FIT]
+    best = tried.where("state = 'done'").groupBy(*names).agg(
+        F.min_by("psi", F.struct("rss", "restart")).alias("best")
+    )
+    state = F.when(F.col("best").isNotNull(), "done").otherwise(F.col("state"))
+    fits = first.join(best, names, "left").withColumns({"psi": F.coalesce("best", "psi"), "state": state}).drop("best")
+    fits = fits.checkpoint()
+    final = fits.join(_moments(scaled, fits.where("state = 'done'"), keys, [*names, "restart"]), [*names, "restart"], "left")
+    result = fit_schema(rows.schema, keys)
+    said = {"unfit": "unfit", "active": "moving"}
+
+    def report(batches):
+        for pdf in batches:
+            out = []
+            for row in pdf.to_dict("records"):
+                found = _estimates(row)
+                status = "ok" if found is not NO_FIT else said.get(row["state"], "failed")
+                out.append({**{k: row[k] for k in names}, "n_obs": row["n_obs"], "converged": status == "ok", "status": status, **found})
+            yield pd.DataFrame(out, columns=result.names)
+
+    return final.mapInPandas(report, result)
+
+
 def _estimates(row):
     """Estimates of a finished fit, in data units; nothing when it did not converge."""
     psi = np.asarray(row["psi"], float)
     step = _step(row["moments"], psi) if row["state"] == "done" else None
     if step is None:
         return NO_FIT
-    found = unscale(psi, step, row["n_obs"], row["x0"], row["span"], row["base"], row["unit"])
-    return {"converged": True, **found}
+    return unscale(psi, step, row["n_obs"], row["x0"], row["span"], row["base"], row["unit"])

@@ -1,6 +1,6 @@
 """Readers: files in, one typed DataFrame of many profiles out."""
 
-from pyspark.sql import Window
+from pyspark.sql import Column, Window
 from pyspark.sql import functions as F
 
 from plumbline.functions.numeric import clean_nan
@@ -9,7 +9,11 @@ from plumbline.sources.names import parse_cast_name, parse_ert_name, well_of_sou
 # Column spellings, first match wins; callers pass their own table for other firmware.
 ALIASES = {
     "depth": ["Vertical Position m", "Depth (m)", "depth_m", "Depth m"],
-    "conductivity": ["SpCond uS/cm", "SpCond (uS/cm)", "sec_us_cm", "Conductivity"],
+    "conductivity": [
+        "SpCond uS/cm", "SpCond (uS/cm)", "SpCond µS/cm", "Corrected sp Cond [uS/cm]",
+        "Corrected sp Cond (uS/cm)", "Corrected Conductivity (uS/cm)", "Corrected Conductivity [uS/cm]",
+        "Corrected Conductivity", "sec_us_cm", "Conductivity",
+    ],
     "time": ["Time (HH:mm:ss)", "time"],
     "time_frac": ["Time (Fract. Sec)", "time_frac"],
 }
@@ -158,14 +162,17 @@ def read_table(spark, path, columns, what):
 
 
 def read_ert(spark, path, transect=None):
-    """Resistivity CSV files: sign flipped, position and variant from the file name."""
+    """Resistivity CSV files: sign flipped, position and variant from the file name.
+
+    `transect` is a text for all files or a column, say one that the folders carry.
+    """
     raw = require(
         spark.read.option("header", True).option("inferSchema", True).csv(path),
         ["x_requested", "x_extracted", "depth", "resist", "resistlog10"], "resistivity file",
     )
     variant, x = parse_ert_name(F.col("_metadata.file_name"))
     return raw.select(
-        F.lit(transect).alias("transect"), variant.alias("variant"), x.alias("x_name"),
+        (transect if isinstance(transect, Column) else F.lit(transect)).alias("transect"), variant.alias("variant"), x.alias("x_name"),
         F.col("x_extracted").cast("double").alias("x"), (-F.col("depth")).alias("depth_bgl_m"),
         F.col("resist").cast("double").alias("resist_ohm_m"),
     )

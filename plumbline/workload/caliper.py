@@ -7,7 +7,7 @@ from plumbline.operators import baseline, detect, noise
 from plumbline.sources import readers
 from plumbline.workload.registry import query, r
 from plumbline.workload.shared_sql import hermite, pchip_knots
-from plumbline.workload.views import caliper_log, sized, table
+from plumbline.workload.views import caliper_log, sized, stored, table
 
 KEYS = ["well_id"]
 
@@ -42,8 +42,8 @@ b AS (SELECT *, CASE WHEN x0 IS NULL THEN y1 WHEN x1 IS NULL THEN y0 WHEN x1 = x
 t AS (SELECT *, baseline_cm + CAST(0.5 AS DOUBLE) + CAST({RULE.k_sigma * RULE.sigma_inst_cm!r} AS DOUBLE) AS threshold_cm,
    caliper_cm - (baseline_cm + CAST(0.5 AS DOUBLE)) AS excess_cm FROM b),
 d AS (SELECT *, coalesce(caliper_cm > threshold_cm, false) AS is_anomaly FROM t),
-s AS (SELECT *, CASE WHEN NOT is_anomaly THEN 'none' WHEN caliper_cm >= 30 THEN 'severe' WHEN excess_cm <= 2 THEN 'mild'
-   WHEN excess_cm <= 5 THEN 'moderate' ELSE 'severe' END AS severity_per_sample FROM d)
+s AS (SELECT *, CASE WHEN NOT is_anomaly THEN 'none' WHEN caliper_cm >= 30 THEN 'severe' WHEN excess_cm < 2 THEN 'mild'
+   WHEN excess_cm < 5 THEN 'moderate' ELSE 'severe' END AS severity_per_sample FROM d)
 """
 
 ZONE_SQL = FLAGGED + """,
@@ -65,7 +65,7 @@ def _flagged(spark, sf):
 
 @query("cal_06_zone_table", ZONE_SQL + f"""
 SELECT well_id, {r('lo_z')} AS depth_shallow, {r('hi_z')} AS depth_deep, {r('peak_cm')} AS peak_cm, {r('pb')} AS baseline_at_peak_cm,
- {r('peak_cm - pb - CAST(0.5 AS DOUBLE)')} AS peak_excess_cm, {r('peak_cm - pt')} AS peak_excess_over_threshold_cm, n_saturated,
+ {r('peak_cm - pb')} AS peak_excess_cm, {r('peak_cm - pb - CAST(0.5 AS DOUBLE)')} AS peak_excess_over_threshold_cm, n_saturated,
  n_pp_mild, n_pp_moderate, n_pp_severe, sub_zone FROM z""", ["caliper_log"])
 def zone_table(spark, sf):
     zones = detect.zone_table(_flagged(spark, sf), KEYS, RULE, nominal=auger_floor(), layout=layout_of(spark, sf))
@@ -79,7 +79,7 @@ def zone_table(spark, sf):
 
 @query("cal_09_zone_output", ZONE_SQL + f"""
 SELECT well_id, {r('hi_z')} AS z_top, {r('lo_z')} AS z_bot, {r('(lo_z+hi_z)/2')} AS z_centre, {r('hi_z-lo_z')} AS thickness_m,
- CASE WHEN n_saturated > 0 THEN 'severe' WHEN peak_cm - pb - CAST(0.5 AS DOUBLE) <= 2 THEN 'mild' WHEN peak_cm - pb - CAST(0.5 AS DOUBLE) <= 5 THEN 'moderate' ELSE 'severe' END AS severity,
+ CASE WHEN n_saturated > 0 THEN 'severe' WHEN peak_cm - pb - CAST(0.5 AS DOUBLE) < 2 THEN 'mild' WHEN peak_cm - pb - CAST(0.5 AS DOUBLE) < 5 THEN 'moderate' ELSE 'severe' END AS severity,
  CAST(0.5 AS DOUBLE) AS offset_cm, CAST(3 AS DOUBLE) AS k_sigma, CAST(0.1 AS DOUBLE) AS sigma_inst_cm,
  CAST(2 AS DOUBLE) AS mild_max_excess_cm, CAST(5 AS DOUBLE) AS moderate_max_excess_cm, {r('peak_cm-nominal')} AS peak_excess_vs_nominal_cm FROM z""", ["caliper_log"])
 def zone_output(spark, sf):
@@ -99,18 +99,19 @@ def width_master(spark, sf):
     log = caliper_log(spark, sf)
     raw = log.select(
         F.concat("well_id", F.lit("_log_"), F.col("seq").cast("string")).alias("source_file"),
-        "depth_m", F.col("caliper_cm").alias("calibrated_cm"), F.col("auger_in").alias("Diameter_auger_in"),
+        F.col("depth_m").alias("Depth [m]"), F.col("caliper_cm").alias("calibrated_cm"),
+        F.col("auger_in").alias("Diameter_auger_in"),
     )
-    out = readers.width_log(raw)
+    out = readers.read_width_master(spark, stored(raw, "csv"))
     return out.select("well_id", settle(F.col("depth_m")).alias("depth_m"), settle(F.col("caliper_cm")).alias("caliper_cm"), "auger_in")
 
 
 @query("src_08_sample_scan", FLAGGED + f"""
 SELECT well_id, count(*) AS n_rows, count(baseline_cm) AS n_baseline, {r('max(threshold_cm)')} AS max_threshold FROM s GROUP BY well_id""", ["caliper_log"])
 def sample_scan(spark, sf):
-    rows = detect.sample_table(_flagged(spark, sf), KEYS)
-    readers.require(rows, ["well_id", "depth_m", "caliper_cm", "baseline_cm", "threshold_cm",
-                           "excess_from_threshold_cm", "severity_per_sample", "zone_label"], "samples")
+    rows = readers.read_table(spark, stored(detect.sample_table(_flagged(spark, sf), KEYS), "parquet"), [
+        "well_id", "depth_m", "caliper_cm", "baseline_cm", "threshold_cm",
+        "excess_from_threshold_cm", "severity_per_sample", "zone_label"], "samples")
     return rows.groupBy("well_id").agg(
         F.count("*").alias("n_rows"), F.count("baseline_cm").alias("n_baseline"),
         settle(F.max("threshold_cm")).alias("max_threshold"),
@@ -300,7 +301,7 @@ def sample_output(spark, sf):
 
 
 @query("cal_10_severity_counts", ZONE_SQL + """,
-g AS (SELECT well_id, CASE WHEN n_saturated > 0 THEN 'severe' WHEN peak_cm - pb - CAST(0.5 AS DOUBLE) <= 2 THEN 'mild' WHEN peak_cm - pb - CAST(0.5 AS DOUBLE) <= 5 THEN 'moderate' ELSE 'severe' END AS sv FROM z)
+g AS (SELECT well_id, CASE WHEN n_saturated > 0 THEN 'severe' WHEN peak_cm - pb - CAST(0.5 AS DOUBLE) < 2 THEN 'mild' WHEN peak_cm - pb - CAST(0.5 AS DOUBLE) < 5 THEN 'moderate' ELSE 'severe' END AS sv FROM z)
 SELECT well_id, count(*) FILTER (sv='mild') AS mild, count(*) FILTER (sv='moderate') AS moderate, count(*) FILTER (sv='severe') AS severe FROM g GROUP BY well_id""", ["caliper_log"])
 def severity_counts(spark, sf):
     return detect.severity_counts(detect.zone_table(_flagged(spark, sf), KEYS, RULE, nominal=auger_floor(), layout=layout_of(spark, sf)), KEYS)

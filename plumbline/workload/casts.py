@@ -399,7 +399,7 @@ def lowess_profiles(spark, sf):
 def window_sensitivity(spark, sf):
     grid, layout = _grid(spark, sf)
     out = smooth.window_sensitivity(
-        grid, KEYS, (7, 11, 15), layout=layout, sizes=(1, 2, 3), trials=1, restarts=2
+        grid, KEYS, (7, 11, 15), layout=layout
     )
     return settled(out, ["depth_median", "cluster_diameter_m"], [*KEYS, "window", "cluster_id", "persistence", "n_bp_total"])
 
@@ -410,8 +410,8 @@ def _smoothed(spark, sf):
 
 @query("bps_01_model_sweep")
 def model_sweep(spark, sf):
-    fits = sweep.sweep(_smoothed(spark, sf), KEYS, max_breakpoints=4, trials=2, restarts=3, layout=layout_of(spark, sf))
-    return fits.select(*KEYS, "trial", "n_breakpoints", "converged", "rss", "bic")
+    fits = sweep.sweep(_smoothed(spark, sf), KEYS, layout=layout_of(spark, sf))
+    return fits.select(*KEYS, "trial", "n_breakpoints", "converged", "status", "rss", "bic")
 
 
 @query("bps_01_straight_lines", CLEAN + f""",
@@ -428,8 +428,8 @@ def straight_lines(spark, sf):
 @query("bps_11_warm_refit")
 def warm_refit(spark, sf):
     smoothed = _smoothed(spark, sf)
-    fits = sweep.sweep(smoothed, KEYS, sizes=(2,), trials=1, restarts=3, layout=layout_of(spark, sf))
-    return sweep.refit(smoothed, fits, KEYS).select(*KEYS, "trial", "n_breakpoints", "converged", "rss")
+    fits = sweep.sweep(smoothed, KEYS, layout=layout_of(spark, sf))
+    return sweep.refit(smoothed, fits, KEYS, layout=layout_of(spark, sf)).select(*KEYS, "trial", "n_breakpoints", "converged", "rss")
 
 
 @query("bps_07_profile_accessor", CLEAN + "," + VADOSE.strip() + f"""

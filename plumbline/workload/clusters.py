@@ -4,8 +4,9 @@ from pyspark.sql import functions as F
 
 from plumbline.functions.numeric import overlap_length, settle
 from plumbline.operators import cluster, converge
+from plumbline.sources.readers import read_table
 from plumbline.workload.registry import query, r
-from plumbline.workload.views import bp_records, fits, sized, zones
+from plumbline.workload.views import bp_records, fits, sized, stored, zones
 
 KEYS = ["well_id"]
 C = "CAST({} AS DOUBLE)".format
@@ -52,9 +53,7 @@ def single_linkage(spark, sf):
 
 @query("src_09_cluster_scan", CLUSTERS + "SELECT well_id, count(*) AS n_clusters, max(agreement) AS best_agreement FROM clusters GROUP BY well_id", ["bp_records"])
 def cluster_scan(spark, sf):
-    from plumbline.sources.readers import require
-
-    table = require(_clusters(spark, sf), [
+    table = read_table(spark, stored(_clusters(spark, sf), "parquet"), [
         "well_id", "delta_m", "cluster_id", "depth_median", "depth_min", "depth_max", "agreement"], "clusters")
     return table.groupBy("well_id").agg(F.count("*").alias("n_clusters"), F.max("agreement").alias("best_agreement"))
 
@@ -233,10 +232,7 @@ BEST = PAIRED + ",\n" + ",\n".join(
     f"SELECT '{p}' AS priority, well_id, cluster_id, zone_id, severity, {r('ov')} AS overlap_m FROM b_{p}" for p in converge.PRIORITIES
 ), ["bp_records", "zones"])
 def best_match(spark, sf):
-    matches, out = _matches(spark, sf), None
-    for priority in converge.PRIORITIES:
-        one = converge.best_match(matches, KEYS, priority).withColumn("priority", F.lit(priority))
-        out = one if out is None else out.unionByName(one)
+    out = converge.best_matches(_matches(spark, sf), KEYS)
     return settled(out, ["overlap_m"], ["priority", "well_id", "cluster_id", "zone_id", "severity"])
 
 
@@ -263,10 +259,12 @@ def unmatched_zones(spark, sf):
 
 
 @query("jon_05_convergence", SCORED + f"""
-SELECT cm.well_id, cm.cluster_id, cm.n_zones_matched, {r('cm.score')} AS score, b.zone_id, b.severity, {r('b.ov')} AS overlap_m FROM cm LEFT JOIN b_overlap b USING (well_id, cluster_id)""", ["bp_records", "zones"])
+SELECT cm.well_id, cm.cluster_id, cm.n_zones_matched, {r('cm.score')} AS score, b.zone_id, coalesce(b.severity, '') AS severity, {r('b.ov')} AS overlap_m,
+ {r('b.z_top - b.z_bot')} AS thickness_m, coalesce(b.w, {C(0)}) AS severity_weight, b.zone_id IS NOT NULL AS has_match, coalesce(b.ov > 0, false) AS is_overlap, coalesce(b.cd <= {C(0.5)}, false) AS is_near FROM cm LEFT JOIN b_overlap b USING (well_id, cluster_id)""", ["bp_records", "zones"])
 def convergence(spark, sf):
     matched, _, _ = converge.convergence(_clusters(spark, sf), zones(spark, sf), KEYS)
-    return settled(matched, ["score", "overlap_m"], ["well_id", "cluster_id", "n_zones_matched", "zone_id", "severity"])
+    return settled(matched, ["score", "overlap_m", "thickness_m"], [
+        "well_id", "cluster_id", "n_zones_matched", "zone_id", "severity", "severity_weight", "has_match", "is_overlap", "is_near"])
 
 
 @query("agg_12_well_summary", SCORED + f"""

@@ -43,7 +43,7 @@ sc AS (SELECT *, ({z} - min({z}) OVER k)/nullif(max({z}) OVER k - min({z}) OVER
   count(*) OVER k AS n, row_number() OVER (PARTITION BY {keys} ORDER BY {index}) AS rn FROM {source} WINDOW k AS (PARTITION BY {keys})),
 uv AS (SELECT *, sx - lag(sx) OVER w AS ux, sy - lag(sy) OVER w AS uy, lead(sx) OVER w - sx AS vx, lead(sy) OVER w - sy AS vy FROM sc WINDOW w AS ({w})),
 cosine AS (SELECT *, (ux*vx+uy*vy)/nullif(sqrt(ux*ux+uy*uy)*sqrt(vx*vx+vy*vy), 0) AS cv FROM uv),
-ang AS (SELECT *, CASE WHEN cv IS NOT NULL THEN acos(greatest(-1, least(1, cv))) END AS a FROM cosine)
+ang AS (SELECT *, CASE WHEN cv IS NOT NULL THEN acos(greatest(-1, least(1, cv))) WHEN ux + uy + vx + vy IS NOT NULL THEN 0 END AS a FROM cosine)
 """
 
 
@@ -58,8 +58,9 @@ ZONE = "WITH " + angle_sql("breakpoints", "bp_index", "depth_m", "log10_sec").st
 top AS (SELECT well_id, bp_index AS t FROM (SELECT *, row_number() OVER (PARTITION BY well_id ORDER BY a DESC, bp_index) AS k FROM ang WHERE a IS NOT NULL AND pow(10, log10_sec) < 150000) q WHERE k = 1),
 bot AS (SELECT well_id, bp_index AS b FROM (SELECT ang.*, row_number() OVER (PARTITION BY ang.well_id ORDER BY a DESC, bp_index) AS k FROM ang LEFT JOIN top USING (well_id)
   WHERE a IS NOT NULL AND pow(10, log10_sec) >= {C(LIMIT)} AND bp_index IS DISTINCT FROM t) q WHERE k = 1),
-fin AS (SELECT well_id, max(bp_index) FILTER (rn = n AND n <= 3 AND n > 1 AND pow(10, log10_sec) >= {C(LIMIT)}) AS e, max(n) AS n FROM ang GROUP BY well_id),
-mz AS (SELECT well_id, t, coalesce(b, e) AS b, n FROM fin LEFT JOIN top USING (well_id) LEFT JOIN bot USING (well_id)),
+one AS (SELECT *, n = 2 AND rn = 1 OR n = 3 AND a IS NOT NULL AS lone FROM ang),
+fin AS (SELECT well_id, max(bp_index) FILTER (lone) AS o, max(bp_index) FILTER (lone AND pow(10, log10_sec) >= {C(LIMIT)}) AS e, max(n) AS n FROM one GROUP BY well_id),
+mz AS (SELECT well_id, coalesce(o, t) AS t, CASE WHEN o IS NULL THEN b ELSE e END AS b, n FROM fin LEFT JOIN top USING (well_id) LEFT JOIN bot USING (well_id)),
 fl AS (SELECT p.well_id, p.bp_index, coalesce(p.bp_index = t, false) AS is_top_of_mixing, coalesce(p.bp_index = b, false) AS is_bottom_of_mixing,
   CASE WHEN n < 2 THEN 'too_few_points' WHEN b IS NULL THEN 'no_bottom_candidate' ELSE 'ok' END AS mz_status FROM breakpoints p JOIN mz USING (well_id))
 """
@@ -206,16 +207,21 @@ def trial_optima(spark, sf):
     return segments.trial_optima(fits(spark, sf), KEYS)
 
 
-# One saved fit per well (trial_1, three breakpoints) against the width log of that well.
-FIT3 = "f3 AS (SELECT well_id, const, alpha1, betas, psis FROM fits WHERE trial = 'trial_1' AND n_breakpoints = 3)"
+# The saved fit of the smallest BIC of every well against the width log of that well.
+BEST = """best AS (SELECT well_id, n_breakpoints AS size, const, alpha1, betas, psis FROM (
+  SELECT *, row_number() OVER (PARTITION BY well_id ORDER BY bic, n_breakpoints, trial) AS k FROM fits WHERE converged AND bic IS NOT NULL) t WHERE k = 1)"""
 SAMPLES = f"""
-WITH {FIT3},
-sm AS (SELECT c.well_id, depth_m AS x, caliper_cm AS y, CAST(1 + len(list_filter(psis, lambda p: depth_m > p)) AS INT) AS segment, {model_sql('depth_m')} AS yhat FROM caliper_log c JOIN f3 USING (well_id))
+WITH {BEST},
+sm AS (SELECT c.well_id, 2 + 2*size AS p, depth_m AS x, caliper_cm AS y, CASE WHEN psis IS NOT NULL THEN CAST(1 + len(list_filter(psis, lambda p: depth_m > p)) AS INT) END AS segment, {model_sql('depth_m')} AS yhat FROM caliper_log c LEFT JOIN best USING (well_id))
 """
 
 
-def _fit3(spark, sf):
-    return fits(spark, sf).where("trial = 'trial_1' and n_breakpoints = 3").select("well_id", "const", "alpha1", "betas", "psis")
+def _best_fit(spark, sf):
+    row = F.struct(F.col("n_breakpoints").alias("size"), "const", "alpha1", "betas", "psis")
+    found = fits(spark, sf).where("converged and bic is not null").groupBy("well_id").agg(
+        F.min_by(row, F.struct("bic", "n_breakpoints", "trial")).alias("best")
+    )
+    return found.select("well_id", "best.*")
 
 
 def _samples(spark, sf):
@@ -223,50 +229,51 @@ def _samples(spark, sf):
 
 
 @query("bps_10_global_metrics", SAMPLES + f""",
-q AS (SELECT well_id, sum((y-yhat)*(y-yhat)) AS rss, sum((y-my)*(y-my)) AS tss, count(*) AS n FROM (SELECT *, avg(y) OVER (PARTITION BY well_id) AS my FROM sm) t GROUP BY well_id)
-SELECT well_id, n, {r('rss', 4)} AS rss, {r('tss', 4)} AS tss, {r('1 - rss/nullif(tss,0)')} AS r2, {r(f'1 - (rss/nullif(tss,0))*({C(1)}*(n-1))/(n-8-1)')} AS r2_adjusted FROM q""", ["caliper_log", "fits"])
+q AS (SELECT well_id, sum((y-yhat)*(y-yhat)) AS rss, sum((y-my)*(y-my)) AS tss, count(*) AS n, max(p) AS p FROM (SELECT *, avg(y) OVER (PARTITION BY well_id) AS my FROM sm) t GROUP BY well_id)
+SELECT well_id, n, {r('rss', 4)} AS rss, {r('tss', 4)} AS tss, {r('1 - rss/nullif(tss,0)')} AS r2, {r(f'1 - (rss/nullif(tss,0))*({C(1)}*(n-1))/(n-p-1)')} AS r2_adjusted FROM q WHERE rss IS NOT NULL""", ["caliper_log", "fits"])
 def global_metrics(spark, sf):
-    rows = _samples(spark, sf).join(_fit3(spark, sf), "well_id").withColumn(
-        "yhat", hinge_value(F.col("depth_m"), F.col("const"), F.col("alpha1"), F.col("betas"), F.col("psis"))
-    )
-    out = segments.global_metrics(rows, KEYS, "caliper_cm", "yhat", 8)
+    rows = _samples(spark, sf).join(_best_fit(spark, sf), "well_id").withColumns({
+        "yhat": hinge_value(F.col("depth_m"), F.col("const"), F.col("alpha1"), F.col("betas"), F.col("psis")),
+        "predictors": 2 + 2 * F.col("size"),
+    })
+    out = segments.global_metrics(rows, KEYS, "caliper_cm", "yhat", "predictors")
     return out.select("well_id", "n", settle(F.col("rss"), 4).alias("rss"), settle(F.col("tss"), 4).alias("tss"),
                       settle(F.col("r2")).alias("r2"), settle(F.col("r2_adjusted")).alias("r2_adjusted"))
 
 
 @query("bps_12_assigned_segments", SAMPLES + f"SELECT well_id, {r('x')} AS depth_m, segment FROM sm", ["caliper_log", "fits"])
 def assigned_segments(spark, sf):
-    out = segments.assign_segments(_samples(spark, sf), _fit3(spark, sf), KEYS)
+    out = segments.assign_segments(_samples(spark, sf), _best_fit(spark, sf), KEYS)
     return out.select("well_id", settle(F.col("depth_m")).alias("depth_m"), "segment")
 
 
 @query("bps_13_segment_regressions", SAMPLES + f""",
-ln AS (SELECT well_id, segment, regr_slope(y, x) AS slope, regr_intercept(y, x) AS icept, avg(y) AS my, max(y)-min(y) AS rg FROM sm GROUP BY well_id, segment),
+ln AS (SELECT well_id, segment, regr_slope(y, x) AS slope, regr_intercept(y, x) AS icept, avg(y) AS my, max(y)-min(y) AS rg FROM sm WHERE segment IS NOT NULL GROUP BY well_id, segment),
 rs AS (SELECT sm.*, slope, icept, my, rg, y - (slope*x + icept) AS e FROM sm JOIN ln USING (well_id, segment))
 SELECT well_id, segment, count(*) AS n, {r('max(slope)', 5)} AS slope, {r('max(icept)', 5)} AS intercept, {r('sqrt(avg(e*e))')} AS rms, {r('100*sqrt(avg(e*e))/nullif(max(rg),0)', 5)} AS rms_pct_range,
  {r('100*sqrt(avg((e/nullif(y,0))*(e/nullif(y,0))))', 5)} AS rms_pct_value, {r('1 - sum(e*e)/nullif(sum((y-my)*(y-my)),0)', 5)} AS r2 FROM rs GROUP BY well_id, segment""", ["caliper_log", "fits"])
 def segment_regressions(spark, sf):
-    cut = segments.assign_segments(_samples(spark, sf), _fit3(spark, sf), KEYS)
+    cut = segments.assign_segments(_samples(spark, sf), _best_fit(spark, sf), KEYS)
     out = segments.segment_regressions(cut, KEYS, "depth_m", "caliper_cm")
     five = [settle(F.col(c), 5).alias(c) for c in ("slope", "intercept", "rms_pct_range", "rms_pct_value", "r2")]
     return out.select("well_id", "segment", "n", settle(F.col("rms")).alias("rms"), *five)
 
 
 @query("bps_14_model_segments", f"""
-WITH {FIT3},
-ex AS (SELECT *, list_concat([{C(0)}], psis, [{C(30)}]) AS cuts, unnest(range(1, len(psis)+2)) AS s FROM f3)
-SELECT well_id, CAST(s AS INT) AS segment, {r('cuts[s]')} AS x_start, {r('cuts[s+1]')} AS x_end, {r('alpha1 + coalesce(list_sum(betas[1:s-1]), 0)')} AS slope,
+WITH ex AS (SELECT *, list_concat([{C(0)}], psis, [{C(30)}]) AS cuts, unnest(range(1, len(psis)+2)) AS s FROM fits WHERE converged)
+SELECT well_id, trial, n_breakpoints, CAST(s AS INT) AS segment, {r('cuts[s]')} AS x_start, {r('cuts[s+1]')} AS x_end, {r('alpha1 + coalesce(list_sum(betas[1:s-1]), 0)')} AS slope,
  {r(model_sql('cuts[s]'))} AS y_start, {r(model_sql('cuts[s+1]'))} AS y_end FROM ex""", ["fits"])
 def model_segments(spark, sf):
-    rows = _fit3(spark, sf).withColumns({"x_min": F.lit(0.0), "x_max": F.lit(30.0)})
-    return settled(segments.model_segments(rows, KEYS), ["x_start", "x_end", "slope", "y_start", "y_end"], ["well_id", "segment"])
+    rows = fits(spark, sf).where("converged").withColumns({"x_min": F.lit(0.0), "x_max": F.lit(30.0)})
+    keys = ["well_id", "trial", "n_breakpoints"]
+    return settled(segments.model_segments(rows, keys), ["x_start", "x_end", "slope", "y_start", "y_end"], [*keys, "segment"])
 
 
 @query("bps_15_model_quality", SAMPLES + f""",
-rs AS (SELECT *, y - yhat AS e, avg(y) OVER (PARTITION BY well_id, segment) AS my, max(y) OVER (PARTITION BY well_id, segment) - min(y) OVER (PARTITION BY well_id, segment) AS rg FROM sm)
+rs AS (SELECT *, y - yhat AS e, avg(y) OVER (PARTITION BY well_id, segment) AS my, max(y) OVER (PARTITION BY well_id, segment) - min(y) OVER (PARTITION BY well_id, segment) AS rg FROM sm WHERE segment IS NOT NULL)
 SELECT well_id, segment, count(*) AS n, {r('100*sqrt(avg(e*e))/nullif(max(rg),0)', 4)} AS rms_pct_range, {r('1 - sum(e*e)/nullif(sum((y-my)*(y-my)),0)', 3)} AS r2 FROM rs GROUP BY well_id, segment""", ["caliper_log", "fits"])
 def model_quality(spark, sf):
-    out = segments.model_quality_per_segment(_samples(spark, sf), _fit3(spark, sf), KEYS, "depth_m", "caliper_cm")
+    out = segments.model_quality_per_segment(_samples(spark, sf), _best_fit(spark, sf), KEYS, "depth_m", "caliper_cm")
     return out.select("well_id", "segment", "n", settle(F.col("rms_pct_range"), 4).alias("rms_pct_range"), settle(F.col("r2"), 3).alias("r2"))
 
 
@@ -303,8 +310,9 @@ lim AS (SELECT well_id, coalesce(own, {C(LIMIT)}) AS lower FROM jobs),
 top AS (SELECT well_id, bp_index AS t FROM (SELECT *, row_number() OVER (PARTITION BY well_id ORDER BY a DESC, bp_index) AS k FROM ang WHERE a IS NOT NULL) q WHERE k = 1),
 bot AS (SELECT well_id, bp_index AS b FROM (SELECT ang.*, row_number() OVER (PARTITION BY ang.well_id ORDER BY a DESC, bp_index) AS k FROM ang JOIN lim USING (well_id) LEFT JOIN top USING (well_id)
   WHERE a IS NOT NULL AND pow(10, log10_sec) >= lower AND bp_index IS DISTINCT FROM t) q WHERE k = 1),
-fin AS (SELECT ang.well_id, max(bp_index) FILTER (rn = n AND n <= 3 AND n > 1 AND pow(10, log10_sec) >= lower) AS e, count(*) AS n FROM ang JOIN lim USING (well_id) GROUP BY ang.well_id)
-SELECT lim.well_id, coalesce(n, 0) AS n_points, t AS top_index, coalesce(b, e) AS bottom_index FROM lim LEFT JOIN fin USING (well_id) LEFT JOIN top USING (well_id) LEFT JOIN bot USING (well_id)""", ["breakpoints"])
+one AS (SELECT ang.*, lower, n = 2 AND rn = 1 OR n = 3 AND a IS NOT NULL AS lone FROM ang JOIN lim USING (well_id)),
+fin AS (SELECT well_id, max(bp_index) FILTER (lone) AS o, max(bp_index) FILTER (lone AND pow(10, log10_sec) >= lower) AS e, count(*) AS n FROM one GROUP BY well_id)
+SELECT lim.well_id, coalesce(n, 0) AS n_points, coalesce(o, t) AS top_index, CASE WHEN o IS NULL THEN b ELSE e END AS bottom_index FROM lim LEFT JOIN fin USING (well_id) LEFT JOIN top USING (well_id) LEFT JOIN bot USING (well_id)""", ["breakpoints"])
 def job_slopes(spark, sf):
     jobs = catalogue.job_settings(_jobs(spark, sf), {"bottom": LIMIT}, {"bottom": 40_000.0})
     rows = breakpoints(spark, sf).join(jobs.select("well_id", F.col("bottom").alias("lower")), "well_id")

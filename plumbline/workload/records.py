@@ -1,16 +1,13 @@
 """Datum, ledger, catalogue, note and resistivity queries, and the file round trips."""
 
-import uuid
-
 from pyspark.sql import functions as F
 
 from plumbline.functions.numeric import settle
 from plumbline.operators import catalogue, datum, ert, geometry, ledger, notes as note_ops, sweep
-from plumbline.plans.session import ensure_checkpoint_dir
 from plumbline.sources import names, readers, sinks
 from plumbline.workload import views
 from plumbline.workload.registry import query, r
-from plumbline.workload.views import breakpoints, cast_samples, ert_samples, fits, table
+from plumbline.workload.views import breakpoints, cast_samples, ert_samples, fits, shared_folder, stored, table
 
 C = "CAST({} AS DOUBLE)".format
 
@@ -19,12 +16,6 @@ def settled(df, reals, others=()):
     return df.select(*others, *[settle(F.col(c)).alias(c) for c in reals])
 
 
-def shared_folder(spark):
-    """A fresh folder beside the checkpoints, where every executor can write."""
-    ensure_checkpoint_dir(spark)
-    return f"{spark.sparkContext.getCheckpointDir()}/files-{uuid.uuid4().hex}"
-
-
 # ---- datum: a cast per (user, day); ground depth is offset by a well constant, with faults
 
 OFFSETS = f"""
@@ -109,11 +100,11 @@ def extraction_issues(spark, sf):
 
 UPSERT = f"""
 WITH old AS (SELECT {WELL} AS well_id, campaign, vadose_m, source FROM ({META}) t WHERE c_mktsegment <> 'MACHINERY'),
-new AS (SELECT {WELL} AS well_id, campaign, {C(9)} + c_custkey % 7 AS v FROM ({META}) t WHERE c_mktsegment <> 'BUILDING'),
+new AS (SELECT {WELL} AS well_id, campaign, {C(9)} + c_custkey % 7 AS v, CASE c_custkey % 5 WHEN 0 THEN 'no_samples' WHEN 1 THEN 'inconsistent' ELSE 'ok' END AS st FROM ({META}) t WHERE c_mktsegment <> 'BUILDING'),
 j AS (SELECT coalesce(old.well_id, new.well_id) AS well_id, coalesce(old.campaign, new.campaign) AS campaign, old.vadose_m AS o, old.source AS os, old.well_id IS NOT NULL AS has, v,
-  coalesce(old.source = 'manual', false) AND old.vadose_m IS NOT NULL AS man FROM old FULL JOIN new ON old.well_id = new.well_id AND old.campaign = new.campaign)
-SELECT well_id, campaign, {r('CASE WHEN man THEN o ELSE coalesce(v, o) END')} AS vadose_m, CASE WHEN man THEN os WHEN v IS NOT NULL THEN 'computed' ELSE os END AS source,
- CASE WHEN man THEN 'kept_manual' WHEN NOT has THEN 'added' WHEN v IS NULL THEN 'kept' ELSE 'updated' END AS action FROM j"""
+  coalesce(old.source = 'manual', false) AND old.vadose_m IS NOT NULL AS man FROM old FULL JOIN (SELECT * FROM new WHERE st IN ('ok', 'inconsistent')) new ON old.well_id = new.well_id AND old.campaign = new.campaign)
+SELECT well_id, campaign, {r('coalesce(v, o)')} AS vadose_m, CASE WHEN v IS NOT NULL THEN 'computed' ELSE os END AS source,
+ CASE WHEN NOT has THEN 'added' WHEN v IS NOT NULL THEN 'updated' WHEN man THEN 'kept_manual' ELSE 'kept' END AS action FROM j"""
 
 
 def _upserted(spark, sf):
@@ -121,7 +112,9 @@ def _upserted(spark, sf):
     well = F.concat(F.lit("M"), F.floor(F.col("c_custkey") / 4).cast("string"), F.char(F.col("c_custkey") % 4 + 65))
     wells = datum.well_metadata(_metadata(spark, sf)).join(customers.withColumn("well_id", well), "well_id")
     extracted = wells.where("c_mktsegment <> 'BUILDING'").select(
-        "well_id", "campaign", (9.0 + F.col("c_custkey") % 7).alias("vadose_m")
+        "well_id", "campaign", (9.0 + F.col("c_custkey") % 7).alias("vadose_m"),
+        F.when(F.col("c_custkey") % 5 == 0, "no_samples").when(F.col("c_custkey") % 5 == 1, "inconsistent")
+        .otherwise("ok").alias("offset_status"),
     )
     existing = wells.where("c_mktsegment <> 'MACHINERY'").select("well_id", "campaign", "vadose_m", "source")
     return datum.upsert_offsets(existing, extracted, ["well_id", "campaign"])
@@ -205,19 +198,31 @@ def parameter_ids(spark, sf):
 
 
 @query("prj_15_method_signature", "WITH " + LEDGER.strip() + """
-SELECT run_id, CASE method WHEN 'savgol' THEN concat('savgol_w', CAST("window" AS VARCHAR), '_p3') WHEN 'lowess' THEN concat('lowess_f0.05_it', CAST(passes AS VARCHAR)) ELSE method END AS method_signature FROM lg""")
+SELECT run_id, CASE method WHEN 'savgol' THEN concat('savgol_w', CAST("window" AS VARCHAR), '_p3') WHEN 'lowess' THEN concat('lowess_f0.05_it', CAST(passes AS VARCHAR)) ELSE concat('raw_frac0.05_order3_passes', CAST(passes AS VARCHAR), '_window', CAST("window" AS VARCHAR)) END AS method_signature,
+ CASE method WHEN 'savgol' THEN concat('breakpoints_n', CAST(passes AS VARCHAR), CASE WHEN "window" > 12 THEN '_segmented' ELSE '' END) ELSE concat(CASE method WHEN 'lowess' THEN 'convergence_d0.5' ELSE 'raw_delta0.5_size' || CAST(passes AS VARCHAR) END, CASE WHEN "window" > 12 THEN '_segmented' ELSE '' END) END AS stage_signature,
+ concat(well_id, '_', stage, '_', method, '.csv') AS output_name FROM lg""")
 def method_signature(spark, sf):
-    return _ledger(spark, sf).select("run_id", "method_signature")
+    method = F.split_part("method_signature", F.lit("_"), F.lit(1))
+    wide, number = F.get_json_object("params_json", "$.window").cast("int") > 12, F.get_json_object("params_json", "$.passes")
+    kind = F.when(method == "savgol", "breakpoints").when(method == "lowess", "convergence").otherwise(method)
+    return _ledger(spark, sf).select(
+        "run_id", "method_signature",
+        ledger.method_signature(kind, size=number, delta=F.lit("0.5"), segmented=wide).alias("stage_signature"),
+        ledger.output_filename(F.col("well_id"), F.lit(None).cast("string"), method, F.col("stage")).alias("output_name"),
+    )
 
 
 @query("prj_16_name_repair", """
 SELECT o_orderkey, CASE WHEN o_orderkey % 2 = 0 THEN strftime(o_orderdate, '%Y_%m') ELSE strftime(o_orderdate, '%Y_%m') END AS campaign,
- CASE WHEN o_orderkey % 7 = 6 THEN NULL ELSE CAST(o_orderkey % 7 AS INT) END AS trial_index FROM orders""")
+ CASE WHEN o_orderkey % 7 = 6 THEN 1 ELSE CAST(o_orderkey % 7 AS INT) END AS trial_index FROM orders""")
 def name_repair(spark, sf):
     key = F.col("o_orderkey")
     month = F.when(key % 2 == 0, F.date_format("o_orderdate", "yyyyMM")).otherwise(F.date_format("o_orderdate", "yyyy_MM"))
     number = (key % 7).cast("string")
-    trial = F.when(key % 7 == 6, "final").when(key % 7 > 3, number).otherwise(F.concat(F.lit("trial_"), number))
+    trial = (
+        F.when(key % 7 == 6, "final").when(key % 7 > 3, number)
+        .otherwise(F.concat(F.when(key % 2 == 0, "trial_").otherwise("x_"), number))
+    )
     return table(spark, sf, "orders").select(
         "o_orderkey", catalogue.normalise_campaign(month).alias("campaign"), catalogue.trial_index(trial).alias("trial_index")
     )
@@ -225,7 +230,7 @@ def name_repair(spark, sf):
 
 @query("src_20_ledger_scan", "WITH " + LEDGER.strip() + "SELECT stage, count(*) AS n_runs, min(timestamp) AS first_run, max(timestamp) AS last_run FROM lg GROUP BY stage")
 def ledger_scan(spark, sf):
-    rows = readers.require(_ledger(spark, sf), ledger.LEDGER_COLUMNS, "ledger")
+    rows = readers.read_table(spark, stored(_ledger(spark, sf), "parquet"), ledger.LEDGER_COLUMNS, "ledger")
     return rows.groupBy("stage").agg(F.count("*").alias("n_runs"), F.min("timestamp").alias("first_run"), F.max("timestamp").alias("last_run"))
 
 
@@ -298,14 +303,15 @@ def depth_tokens(spark, sf):
 
 
 MERGED = "WITH " + PARSED.strip() + f""",
-gp AS (SELECT *, count(dt) OVER (PARTITION BY sheet ORDER BY row_no) AS entry, count(*) OVER (PARTITION BY sheet) AS c FROM pn),
+tn AS (SELECT sheet, row_no, dt, db, regexp_replace(note, '^\\s+|\\s+$', '', 'g') AS note FROM pn),
+gp AS (SELECT *, count(dt) OVER (PARTITION BY sheet ORDER BY row_no) AS entry FROM tn WHERE length(note) > 0),
 lx AS (SELECT *, lead(entry) OVER (PARTITION BY sheet ORDER BY row_no) IS DISTINCT FROM entry AS is_last FROM gp),
 mg AS (SELECT sheet, CAST(entry AS INT) AS entry, min(dt) AS depth_top, max(coalesce(db, dt)) AS depth_bottom,
  string_agg(CASE WHEN is_last THEN note ELSE regexp_replace(note, '[. ]+$', '') END, '; ' ORDER BY row_no) AS note FROM lx WHERE entry > 0 GROUP BY sheet, entry)
 """
 
 
-@query("txt_03_merged_notes", MERGED + f"SELECT *, {r('(depth_top+depth_bottom)/2')} AS centre FROM mg", ["notes"])
+@query("txt_03_merged_notes", MERGED + f"SELECT *, {r('(depth_top+depth_bottom)/2')} AS centre, CAST(row_number() OVER (PARTITION BY sheet ORDER BY (depth_top+depth_bottom)/2, entry) AS INT) AS position FROM mg", ["notes"])
 def merged_notes(spark, sf):
     out = note_ops.merge_continuations(views.notes(spark, sf), ["sheet"], layout=views.sized(spark, sf, "notes"))
     return out.withColumn("centre", settle(F.col("centre")))
@@ -313,7 +319,8 @@ def merged_notes(spark, sf):
 
 @query("src_17_note_table", "SELECT sheet, count(*) AS n_rows, count(depth_token) AS n_depths, max(length(note)) AS longest FROM notes GROUP BY sheet", ["notes"])
 def note_table(spark, sf):
-    rows = readers.require(views.notes(spark, sf), ["sheet", "row_no", "depth_token", "note"], "notes")
+    folder = stored(views.notes(spark, sf), "parquet")
+    rows = readers.read_table(spark, folder, ["sheet", "row_no", "depth_token", "note"], "notes")
     return rows.groupBy("sheet").agg(F.count("*").alias("n_rows"), F.count("depth_token").alias("n_depths"), F.max(F.length("note")).cast("long").alias("longest"))
 
 
@@ -382,8 +389,12 @@ ERT_KEYS = ["transect", "x"]
 @query("src_12_resistivity_profiles", f"""
 SELECT transect, x, {r('-depth')} AS depth_bgl_m, {r('resist_ohm_m')} AS resist_ohm_m, CASE WHEN max(x) OVER (PARTITION BY transect) - min(x) OVER (PARTITION BY transect) <= {C(1e-9)} THEN 'ok' ELSE 'x_varies' END AS x_status FROM ert_samples""", ["ert_samples"])
 def resistivity_profiles(spark, sf):
-    rows = ert_samples(spark, sf)
-    checked = ert.to_positive_depth(rows).join(ert.constant_position(rows, ["transect"]), "transect")
+    raw = ert_samples(spark, sf).select(
+        F.col("x").alias("x_requested"), F.col("x").alias("x_extracted"), "depth", F.col("resist_ohm_m").alias("resist"),
+        F.log10("resist_ohm_m").alias("resistlog10"), "transect",
+    )
+    rows = readers.read_ert(spark, stored(raw, "csv", by="transect"), F.col("transect"))
+    checked = rows.join(ert.constant_position(rows, ["transect"]), "transect")
     return settled(checked, ["depth_bgl_m", "resist_ohm_m"], ["transect", "x", "x_status"])
 
 
@@ -432,9 +443,9 @@ def _rho_zone():
 ok AS (SELECT *, CASE WHEN n >= 3 THEN a END AS aa FROM ang),
 top AS (SELECT transect, x, rn AS t FROM (SELECT *, row_number() OVER (PARTITION BY transect, x ORDER BY aa DESC, rn) AS k FROM ok WHERE aa IS NOT NULL) q WHERE k = 1),
 bot AS (SELECT transect, x, rn AS b FROM (SELECT ok.*, row_number() OVER (PARTITION BY ok.transect, ok.x ORDER BY aa DESC, rn) AS k FROM ok LEFT JOIN top USING (transect, x) WHERE aa IS NOT NULL AND rho <= {C(RHO_LIMIT)} AND rn IS DISTINCT FROM t) q WHERE k = 1),
-fin AS (SELECT transect, x, max(rn) FILTER (rn = n AND n = 3 AND rho <= {C(RHO_LIMIT)}) AS e, max(n) AS n FROM ok GROUP BY transect, x)
-SELECT ok.transect, ok.x, CAST(rn AS INT) AS bp_index, coalesce(rn = t, false) AS is_top_of_mixing, coalesce(rn = coalesce(b, e), false) AS is_bottom_of_mixing,
- CASE WHEN fin.n < 3 THEN 'too_few_points' WHEN coalesce(b, e) IS NULL THEN 'no_bottom_candidate' ELSE 'ok' END AS mz_status
+fin AS (SELECT transect, x, max(n) AS n FROM ok GROUP BY transect, x)
+SELECT ok.transect, ok.x, CAST(rn AS INT) AS bp_index, coalesce(rn = t, false) AS is_top_of_mixing, coalesce(rn = b, false) AS is_bottom_of_mixing,
+ CASE WHEN fin.n < 3 THEN 'too_few_points' WHEN b IS NULL THEN 'no_bottom_candidate' ELSE 'ok' END AS mz_status
 FROM ok JOIN fin USING (transect, x) LEFT JOIN top USING (transect, x) LEFT JOIN bot USING (transect, x)"""
 
 

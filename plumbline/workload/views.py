@@ -3,10 +3,13 @@
 Every view reads all rows of its base table, so its size grows with the data.
 """
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from plumbline.functions.numeric import settle
 from plumbline.plans.layout import Layout, lay, row_number
+from plumbline.plans.session import ensure_checkpoint_dir
 
 # Base table and profile key of each view.
 PROFILE_KEYS = {
@@ -22,6 +25,20 @@ PROFILE_KEYS = {
 _SIZES = {}
 
 
+def shared_folder(spark):
+    """A fresh folder beside the checkpoints, where every executor can write."""
+    ensure_checkpoint_dir(spark)
+    return f"{spark.sparkContext.getCheckpointDir()}/files-{uuid.uuid4().hex}"
+
+
+def stored(df, kind, by=None):
+    """Write rows derived from the tables as files for a reader; returns their folder."""
+    folder = f"{shared_folder(df.sparkSession)}.{kind}"
+    writer = df.hint("rebalance", by).write.partitionBy(by) if by else df.write
+    (writer.option("header", True).csv if kind == "csv" else writer.parquet)(folder)
+    return folder
+
+
 def sized(spark, sf, view):
     """Layout of a view's profiles, counted once per session on the narrow base column."""
     name, keys = PROFILE_KEYS[view]

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from plumbline.functions.numeric import hinge_value, overlap_length, shift_probe
-from plumbline.operators import baseline, clean, cluster, converge, detect, geometry, noise, notes, smooth
+from plumbline.operators import baseline, catalogue, clean, cluster, converge, datum, detect, geometry, ledger, noise, notes, smooth
 from plumbline.sources import names, readers
 
 SAMPLE = "k string, z double, v double"
@@ -183,12 +183,78 @@ def test_transition_zone_special_cases(spark):
     df = spark.createDataFrame(rows, "well_id string, bp_index int, depth_m double, log10_sec double")
     out = {(r.well_id, r.bp_index): r for r in geometry.transition_zone(df, ["well_id"]).collect()}
     assert out["s", 2].is_top_of_mixing and out["s", 3].is_bottom_of_mixing and out["s", 1].mz_status == "ok"
-    assert out["two", 2].is_bottom_of_mixing
+    assert out["two", 1].is_top_of_mixing and not out["two", 1].is_bottom_of_mixing
+    assert not out["two", 2].is_top_of_mixing and not out["two", 2].is_bottom_of_mixing
     assert out["flat", 1].mz_status == "flat" and not any(out["flat", i].is_top_of_mixing for i in (1, 2, 3))
 
 
+@pytest.mark.parametrize("first,middle,last,bottom", [(2.5, 2.6, 4.9, False), (2.5, 4.7, 4.9, True), (4.9, 4.7, 2.0, True)])
+def test_three_points_have_one_candidate(spark, first, middle, last, bottom):
+    rows = [("s", 1, 0.0, first), ("s", 2, 5.0, middle), ("s", 3, 8.0, last)]
+    df = spark.createDataFrame(rows, "well_id string, bp_index int, depth_m double, log10_sec double")
+    out = {r.bp_index: r for r in geometry.transition_zone(df, ["well_id"]).collect()}
+    assert [out[i].is_top_of_mixing for i in (1, 2, 3)] == [False, True, False]
+    assert [out[i].is_bottom_of_mixing for i in (1, 2, 3)] == [False, bottom, False]
+
+
+def test_two_points_and_chords_without_length(spark):
+    rows = [("two", 1, 0.0, 4.8), ("two", 2, 5.0, 2.0), ("z", 1, 0.0, 2.0), ("z", 2, 1.0, 4.7), ("z", 3, 1.0, 4.7), ("z", 4, 2.0, 4.8)]
+    df = spark.createDataFrame(rows, "well_id string, bp_index int, depth_m double, log10_sec double")
+    out = {(r.well_id, r.bp_index): r for r in geometry.transition_zone(df, ["well_id"]).collect()}
+    assert out["two", 1].is_top_of_mixing and out["two", 1].is_bottom_of_mixing
+    angles = {(r.well_id, r.bp_index): r.turning_angle for r in geometry.turning_angles(df, ["well_id"]).collect()}
+    assert angles["z", 2] == angles["z", 3] == 0.0 and angles["z", 1] is None
+
+
+def test_resistivity_zone_of_three_points_has_no_bottom(spark):
+    df = spark.createDataFrame([("e", 1.0, 90.0), ("e", 4.0, 80.0), ("e", 9.0, 2.0)], "t string, depth_bgl_m double, resist_ohm_m double")
+    out = geometry.resistivity_zone(df, ["t"]).orderBy("depth_bgl_m").collect()
+    assert [r.is_top_of_mixing for r in out] == [False, True, False] and not any(r.is_bottom_of_mixing for r in out)
+
+
+def test_severity_limits_belong_to_the_higher_class(spark):
+    rule = detect.DetectionRule(offset_cm=0.5, k_sigma=1.0, sigma_inst_cm=0.25, mild_max_excess_cm=2.0, moderate_max_excess_cm=5.0)
+    rows = [("w", float(i), 10.0 + e, 10.0, "all") for i, e in enumerate([0.0, 2.0, 2.5, 3.0, 5.5])]
+    df = spark.createDataFrame(rows, "k string, depth_m double, caliper_cm double, baseline_cm double, zone_label string")
+    flagged = detect.flag_samples(df, rule)
+    assert [r.severity_per_sample for r in flagged.orderBy("depth_m").collect()] == ["none", "mild", "moderate", "moderate", "severe"]
+    zone = detect.zone_table(flagged, ["k"], rule).first()
+    assert (zone.peak_excess_cm, zone.peak_excess_over_threshold_cm, zone.severity) == (5.5, 5.0, "severe")
+
+
+def test_trailing_digits_give_the_trial(spark):
+    df = spark.createDataFrame([("trial_3",), ("x_12",), ("7",), ("final",), (None,)], "n string")
+    assert [r[0] for r in df.select(catalogue.trial_index(F.col("n"))).collect()] == [3, 12, 7, 1, 1]
+
+
+def test_method_texts_and_output_names(spark):
+    lit = F.lit
+    row = spark.range(1).select(
+        ledger.method_signature(lit("savgol"), lit(11), lit(3), segmented=lit(True), monotone=lit(False)).alias("a"),
+        ledger.method_signature(lit("breakpoints"), size=lit(4), trial=lit(None).cast("int")).alias("b"),
+        ledger.method_signature(lit("own"), beta=lit(2), alpha=lit("x")).alias("c"),
+        ledger.output_filename(lit("W1D"), lit("2022/02"), lit("savgol_w11"), lit("smooth")).alias("d"),
+    ).first()
+    assert tuple(row) == ("savgol_w11_p3_segmented", "breakpoints_n4", "own_alphax_beta2", "W1D_2022-02_smooth_savgol_w11.csv")
+
+
+def test_extractions_replace_manual_rows(spark):
+    old = spark.createDataFrame([("a", 1.0, "manual"), ("b", 2.0, "manual"), ("c", 3.0, "computed"), ("d", 4.0, "manual")], "k string, vadose_m double, source string")
+    new = spark.createDataFrame([("a", 9.0, "ok"), ("b", None, "no_samples"), ("d", 7.0, "inconsistent"), ("e", 5.0, "ok")], "k string, vadose_m double, offset_status string")
+    got = {r.k: (r.vadose_m, r.source, r.action) for r in datum.upsert_offsets(old, new, ["k"]).collect()}
+    assert got == {"a": (9.0, "computed", "updated"), "b": (2.0, "manual", "kept_manual"), "c": (3.0, "computed", "kept"),
+                   "d": (7.0, "computed", "updated"), "e": (5.0, "computed", "added")}
+
+
+def test_repeated_metadata_does_not_multiply_requests(spark):
+    ask = spark.createDataFrame([("a", "x")], "well_id string, campaign string")
+    known = spark.createDataFrame([("a", "x", 2.0), ("a", "x", 1.0), ("a", "y", 3.0)], "well_id string, campaign string, vadose_m double")
+    none = spark.createDataFrame([], "well_id string, campaign string, offset_m double, offset_status string")
+    assert [r.vadose_m for r in datum.resolve_offsets(ask, known, none, "y").collect()] == [1.0]
+
+
 def test_no_top_candidate_is_a_status(spark):
-    rows = [("s", 1, 0.0, 3.0), ("s", 2, 5.0, 3.1), ("s", 3, 8.0, 4.0)]
+    rows = [("s", 1, 0.0, 3.0), ("s", 2, 5.0, 3.1), ("s", 3, 8.0, 4.0), ("s", 4, 9.0, 4.1)]
     df = spark.createDataFrame(rows, "well_id string, bp_index int, depth_m double, log10_sec double")
     assert geometry.transition_zone(df, ["well_id"], top=10.0).first().mz_status == "no_top_candidate"
 
@@ -229,10 +295,11 @@ def test_alias_resolution(spark):
 
 
 def test_names(spark):
-    df = spark.createDataFrame([("AB12D_YSI_A_20220201.csv",), ("20220201_YSI_AB12S.csv",), ("readme.txt",)], "n string")
+    df = spark.createDataFrame([("AB12D_YSI_A_20220201.csv",), ("20220201_YSI_AB12S.csv",), ("readme.txt",),
+                                ("AB12_D_YSI_20220201.csv",), ("AB12D_YSI_20220201_B.csv",)], "n string")
     rows = df.select(*[c.alias(k) for k, c in names.parse_cast_name(F.col("n")).items()]).collect()
-    assert [r.well_id for r in rows] == ["AB12D", "AB12S", None]
-    assert [r.suffix for r in rows] == ["A", None, None] and rows[1].cast_date == "20220201"
+    assert [r.well_id for r in rows] == ["AB12D", "AB12S", None, "AB12D", "AB12D"]
+    assert [r.suffix for r in rows] == ["A", None, None, None, "B"] and rows[1].cast_date == "20220201"
     variant, x = names.parse_ert_name(F.lit("inv_x_robust_x_-12.5.csv"))
     assert tuple(spark.range(1).select(variant, x).first()) == ("inv_x_robust", -12.5)
 
@@ -254,3 +321,48 @@ def test_nan_is_not_greatest(spark):
 
     df = clean_nan(spark.createDataFrame([(math.nan,), (1.0,)], "v double"), "v")
     assert df.where("v >= 1").count() == 1
+
+
+def test_savgol_keeps_the_place_of_nulls(spark):
+    values = [float(i * i) if i != 12 else None for i in range(30)]
+    got = [r.v for r in smooth.savgol(frame(spark, values), ["k"], "z", "v", 7, 2).orderBy("z").collect()]
+    for i, v in enumerate(got):
+        start = max(0, min(i - 3, 23))
+        assert (v is None) == (start <= 12 < start + 7)
+        assert v is None or abs(v - i * i) < 1e-8
+
+
+@pytest.mark.parametrize("spacing,step", [("p95", 3.7), ("median", 1.0), ("mean", 2.0), ("min", 1.0)])
+def test_spacing_of_the_grid(spark, spacing, step):
+    from plumbline.operators.resample import resample
+
+    df = spark.createDataFrame([("a", z, z) for z in (0.0, 1.0, 2.0, 6.0)], SAMPLE)
+    got = [r.z for r in resample(df, ["k"], "z", "v", "linear", spacing=spacing).orderBy("z").collect()]
+    assert got[1] == pytest.approx(step)
+
+
+def test_fence_can_be_switched_off(spark):
+    from plumbline.plans.layout import lay
+
+    df = frame(spark, [10.0, 10.1, 10.2, 10.1, 5.0])
+    valid = lambda k: [r.is_valid for r in baseline.valid_samples(lay(df, ["k"], ["z"]), "v", F.lit(4.0), k).df.orderBy("z").collect()]
+    assert valid(1.5) == [True] * 4 + [False] and valid(None) == [True] * 5
+
+
+def test_rows_at_one_depth_have_one_order(spark):
+    rows = [("a", 1.0, float(v)) for v in (5, 3, 4)] + [("a", 2.0, 2.0)]
+    runs = [column(baseline.running_minimum(spark.createDataFrame(x, SAMPLE), ["k"], "z", "v"), "running_min") for x in (rows, rows[::-1])]
+    assert sorted(runs[0]) == sorted(runs[1]) == [2.0, 3.0, 3.0, 3.0]
+
+
+def test_pool_of_a_size_range(spark):
+    df = spark.createDataFrame([("w", "savgol", "trial_1", n, [float(i) for i in range(n)]) for n in (1, 2, 3)],
+                               "well_id string, smoothing string, trial string, n_breakpoints int, psis array<double>")
+    assert {r.n_breakpoints for r in cluster.pool_breakpoints(df, ["well_id"], sizes=(2, 3)).collect()} == {2, 3}
+
+
+def test_notes_without_text_open_no_entry(spark):
+    rows = [("s", 1, "1", " sand. "), ("s", 2, "2", None), ("s", 3, None, "wet "), ("s", 4, "0.5", "clay"), ("s", 5, None, "  ")]
+    df = spark.createDataFrame(rows, "sheet string, row_no int, depth_token string, note string")
+    got = notes.merge_continuations(df, ["sheet"], replacements={"clay": "loam"}).orderBy("position").collect()
+    assert [(r.entry, r.depth_top, r.note) for r in got] == [(2, 0.5, "loam"), (1, 1.0, "sand; wet")]
