@@ -26,7 +26,7 @@ def task_file(folder, sequence, suffix):
 def create(path):
     system, place = open_path(path)
     system.create_dir(place.rsplit("/", 1)[0], recursive=True)
-    return system.open_output_stream(place)
+    return system.open_output_stream(place, compression=None)  # the name would have it compressed again
 
 
 def spread(manifest, most=20_000):

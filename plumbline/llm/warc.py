@@ -148,7 +148,7 @@ def read_warc(manifest, with_payload=False):
             for path in batch.column(batch.schema.get_field_index("path")).to_pylist():
                 system, place = open_path(path)
                 rows = []
-                with system.open_input_stream(place) as stream:
+                with system.open_input_stream(place, compression=None) as stream:
                     for record in members(stream):
                         head, block = parse(record)
                         if head["warc-type"] in ("response", "revisit"):

@@ -47,7 +47,8 @@ def test_one_member_per_record(spark, tmp_path):
     data = open(path, "rb").read()
     found = list(warc.members(io.BytesIO(data), 7))
     assert b"".join(found) == gzip.decompress(data)
-    assert all(m.startswith(b"WARC/1.1\r\n") and m.endswith(b"\r\n\r\n") for m in found)
+    assert [m[:10] for m in found] == [b"WARC/1.1\r\n"] * len(found)
+    assert [m[-4:] for m in found] == [b"\r\n\r\n"] * len(found)
 
 
 def test_damage_is_found():
