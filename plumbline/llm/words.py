@@ -32,7 +32,7 @@ PLAIN = separators((0x00, 0x2F), (0x3A, 0x60), (0x7B, 0x7F))
 
 
 def _powers(n):
-    if len(_TABLES.get("up", ())) < n:
+    if "up" not in _TABLES or len(_TABLES["up"]) < n:
         size = max(n, SEGMENT + 1)
         _TABLES["up"] = np.cumprod(np.full(size, _BASE))
         _TABLES["down"] = np.cumprod(np.full(size, _INVERSE))
