@@ -53,7 +53,7 @@ def segments(data, size=SEGMENT):
     """Pieces of bytes (separators are spaces already), cut at spaces."""
     start = 0
     while len(data) - start > size:
-        cut = data.rfind(b" ", start, start + size)
+        cut = data.rfind(b" ", start + 1, start + size)
         if cut < 0:
             cut = data.find(b" ", start + size)
             if cut < 0:
