@@ -86,7 +86,7 @@ def fit(rows, labels, epochs=12, batch=128, rate=0.02, decay=1e-4, seed=7):
             picked = order[at:at + batch]
             x = dense([rows[i] for i in picked])
             inner = x @ model[2]
-            g = (1 / (1 + np.exp(-margin(x, model))) - y[picked]) / len(picked)
+            g = (1 / (1 + np.exp(-np.clip(margin(x, model), -40, 40))) - y[picked]) / len(picked)
             grads = [g.sum(keepdims=True), x.T @ g + decay * model[1],
                      x.T @ (g[:, None] * inner) - model[2] * ((x * x).T @ g)[:, None] + decay * model[2]]
             step += 1

@@ -101,7 +101,7 @@ def op5_factorisation_machine(spark, sf_dir):
 @_query("op6_covering_simhash")
 def op6_covering_simhash(spark, sf_dir):
     """Fingerprints of all documents and the components of those within four bits."""
-    found = simhash.simhash_groups(_table(spark, sf_dir, "documents"))
+    found = simhash.simhash_groups(_table(spark, sf_dir, "documents")).drop("text_hash")
     return found.withColumnsRenamed({"id": "doc_id", "component": "component_id"})
 
 

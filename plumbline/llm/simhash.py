@@ -46,16 +46,17 @@ def fingerprint(text, words=SHINGLE):
 
 
 def fingerprints(docs, id_column="doc_id", text_column="text", words=SHINGLE):
-    """(id, fp): one row per row of docs, fp the fingerprint's bits as a signed long."""
-    picked = docs.select(F.col(id_column).cast("long").alias("id"), F.col(text_column).cast("string").alias("text"))
+    """(id, text_hash, fp): one row per row of docs, fp the fingerprint's bits as a signed long."""
+    text = F.col(text_column).cast("string")
+    picked = docs.select(F.col(id_column).cast("long").alias("id"), F.xxhash64(text).alias("text_hash"), text.alias("text"))
 
     def run(batches):
         for part in slices(batches):
-            prints = [fingerprint(t or "", words) for t in part.column(1).to_pylist()]
+            prints = [fingerprint(t or "", words) for t in part.column(2).to_pylist()]
             signed = np.array(prints, "<u8").view("<i8")
-            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(signed, pa.int64())], ["id", "fp"])
+            yield pa.RecordBatch.from_arrays([*part.columns[:2], pa.array(signed, pa.int64())], ["id", "text_hash", "fp"])
 
-    return picked.mapInArrow(run, "id long, fp long")
+    return picked.mapInArrow(run, "id long, text_hash long, fp long")
 
 
 def covering_masks(radius=RADIUS, bits=64):
@@ -102,11 +103,12 @@ def near_links(prints, radius=RADIUS, block=BLOCK):
 
 
 def simhash_groups(docs, id_column="doc_id", text_column="text", words=SHINGLE, radius=RADIUS):
-    """One row per row of docs: (id, fingerprint, component).
+    """One row per row of docs: (id, text_hash, fingerprint, component).
 
     A null text has no words, like an empty one: fingerprint zero, linked like any other.  A null id takes part
     but never names a component; where all ids of a component are null, so is the component.  Repeated rows give
-    repeated rows.  Other columns of docs, whatever their names, are not read.
+    repeated rows; `text_hash` (xxhash64 of the text) tells rows that share an id apart.  Other columns of docs,
+    whatever their names, are not read.
     """
     prints = settle(fingerprints(docs, id_column, text_column, words), "fingerprints")
     distinct = prints.where("id IS NOT NULL").groupBy("fp").agg(F.min("id").alias("rep"))
@@ -115,4 +117,4 @@ def simhash_groups(docs, id_column="doc_id", text_column="text", words=SHINGLE,
     classes = distinct.join(joined, distinct["rep"] == joined["node"], "left").select(
         F.col("fp").alias("fp_"), F.coalesce("component", "rep").alias("component"))
     return prints.join(classes, prints["fp"] == classes["fp_"], "left").select(
-        "id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component")
+        "id", "text_hash", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component")

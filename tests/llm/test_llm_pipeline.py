@@ -73,6 +73,13 @@ def test_null_ids_and_all_awkward_rows_pass(spark, tmp_path):
     assert got.where("sequence_id IS NULL OR offset < 0").count() == 0 and got.count() > 5
 
 
+def test_simhash_stage_keeps_one_of_each_group(spark):
+    a, b, c = prose(41), prose(42), prose(43)
+    docs = frame(spark, [row(5, a), row(2, a), row(2, a), row(None, a), row(None, b), row(None, b), row(None, c), row(9, None), row(8, "")])
+    got = corpus_pipeline.keep_one_of_group(spark, docs, "").collect()
+    assert sorted(((r.doc_id, r.text) for r in got), key=str) == sorted([(2, a), (None, b), (None, c), (8, "")], key=str)
+
+
 def test_entry_works_without_the_subpackage(tmp_path):
     root = os.path.dirname(os.path.abspath(corpus_pipeline.__file__))
     code = ("import sys; sys.modules['corpus_pipeline'] = None\n"
