@@ -38,12 +38,16 @@ def drop_repeated_lines(spark, docs, sf_dir):
 def keep_one_of_group(spark, docs, sf_dir):
     """Keeps the document with the smallest id of each SimHash group; rows that repeat it are dropped but one.
 
-    Documents without an id stay only if no document of their group has one.
+    Of several texts under that id the one with the smallest hash stays.  Documents without an id stay only if no document
+    with an id has their fingerprint, one for each fingerprint.
     """
-    found = simhash.simhash_groups(docs)
-    kept = found.where(F.col("id").eqNullSafe(F.col("component"))).select(F.col("id").alias("kept_id_")).distinct()
-    stay = docs.join(kept, F.col("doc_id").cast("long").eqNullSafe(F.col("kept_id_")), "left_semi")
-    return stay.dropDuplicates(["doc_id"])
+    found = simhash.simhash_groups(docs).where(F.col("id").eqNullSafe(F.col("component")))
+    nameless = F.when(F.col("id").isNull(), F.col("fingerprint")).alias("print_")
+    kept = found.groupBy(F.col("id").alias("id_"), nameless).agg(F.min("text_hash").alias("hash_")).drop("print_")
+    mark = _free(docs, "text_hash")
+    same = F.col("doc_id").cast("long").eqNullSafe(F.col("id_")) & (F.col(mark) == F.col("hash_"))
+    stay = docs.withColumn(mark, F.xxhash64("text")).join(kept, same, "left_semi")
+    return stay.dropDuplicates(["doc_id", mark]).drop(mark)
 
 
 def drop_contaminated(spark, docs, sf_dir):
