@@ -104,16 +104,19 @@ def _one_pass(fitted, targets, pairs, keys, degree, size):
     ])
 
     def partial(left, right):
-        right = right.sort_values("s_i")
+        # Neighbouring windows overlap: a slice of targets reads only the sources their windows span.
+        left, right = left.sort_values(["left", "_i"]), right.sort_values("s_i")
         j, x, y, weight = (right[c].to_numpy() for c in ("s_i", "s_x", "s_y", "s_weight"))
         total = np.zeros((len(left), len(names)))
-        step = max(1, 1_000_000 // max(len(right), 1))
+        longest = int(left["_k"].max())
+        step = max(1, min(longest, 1_000_000 // longest))
         for a in range(0, len(left), step):
             part = left.iloc[a:a + step]
-            first = part["left"].to_numpy()[:, None]
-            inside = (j >= first) & (j < first + part["_k"].to_numpy()[:, None])
-            dx = np.where(inside, x - part["x"].to_numpy()[:, None], 0.0)
-            total[a:a + step] = tricube_moments(dx, part["reach"].to_numpy(), weight * inside, y, degree)
+            first, size = part["left"].to_numpy()[:, None], part["_k"].to_numpy()[:, None]
+            low, high = np.searchsorted(j, [first.min(), (first + size).max()])
+            inside = (j[low:high] >= first) & (j[low:high] < first + size)
+            dx = np.where(inside, x[low:high] - part["x"].to_numpy()[:, None], 0.0)
+            total[a:a + step] = tricube_moments(dx, part["reach"].to_numpy(), weight[low:high] * inside, y[low:high], degree)
         return pd.concat(
             [left[[*keys, "_i"]].reset_index(drop=True), pd.DataFrame(total, columns=names)], axis=1
         )

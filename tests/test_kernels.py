@@ -366,3 +366,13 @@ def test_notes_without_text_open_no_entry(spark):
     df = spark.createDataFrame(rows, "sheet string, row_no int, depth_token string, note string")
     got = notes.merge_continuations(df, ["sheet"], replacements={"clay": "loam"}).orderBy("position").collect()
     assert [(r.entry, r.depth_top, r.note) for r in got] == [(2, 0.5, "loam"), (1, 1.0, "sand; wet")]
+
+
+def test_lowess_with_vanishing_residuals_is_the_same_in_both_plans(spark):
+    from plumbline.plans.layout import Layout
+
+    df = frame(spark, [2.0 * i + (9.0 if i == 17 else 0.0) for i in range(40)])
+    whole = column(smooth.lowess(df, ["k"], "z", "v", 0.2), "v")
+    split = column(smooth.lowess(df, ["k"], "z", "v", 0.2, layout=Layout(True, 4, 12)), "v")
+    assert split == pytest.approx(whole, abs=1e-6)
+    assert whole[5] == pytest.approx(10.0, abs=1e-6)
