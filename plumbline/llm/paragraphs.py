@@ -70,21 +70,15 @@ def paragraphs(docs, id_column="doc_id", text_column="text", words=WORDS, shingl
     return rows.mapInArrow(run, "id long, paragraph long, begin long, end long, n_words long, content binary, line string")
 
 
-def _sets(classes, shingle):
-    """(rep, bands, set): band keys and the sorted distinct shingle hashes of every class."""
-    kinds = pa.schema([("rep", pa.int64()), ("bands", pa.list_(pa.int64())), ("set", pa.binary())])
+def _of_lines(classes, shingle, make, kind, column):
+    """(rep, column): what `make` gives for the distinct shingle hashes of every class's line."""
 
     def run(batches):
         for part in slices(batches, 1024):
-            keys, sets = [], []
-            for line in part.column(1).to_pylist():
-                found = np.unique(shingles(word_hashes(encode(line), WHITE)[0], shingle))
-                keys.append(bands_of(found).view(np.int64))
-                sets.append(found.tobytes())
-            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(keys, kinds.types[1]), pa.array(sets, pa.binary())],
-                                             schema=kinds)
+            made = [make(np.unique(shingles(word_hashes(encode(line), WHITE)[0], shingle))) for line in part.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(made, kind)], ["rep", column])
 
-    return classes.mapInArrow(run, "rep long, bands array<long>, set binary")
+    return classes.mapInArrow(run, f"rep long, {column} {'binary' if kind == pa.binary() else 'array<long>'}")
 
 
 def _verify(batches, similar):
@@ -137,11 +131,12 @@ def repeated_paragraphs(docs, id_column="doc_id", text_column="text", words=WORD
     classes = found.groupBy("content").agg(F.min(place).alias("first"), F.count("*").alias("n"), F.min("line").alias("line"))
     # the numbers are written once with the classes, so they stay what they are
     classes = settle(classes.withColumn("rep", F.monotonically_increasing_id()), "classes")
-    sets = settle(_sets(classes.select("rep", "line"), shingle), "sets")
+    lines = classes.select("rep", "line")
+    bands = settle(_of_lines(lines, shingle, lambda h: bands_of(h).view(np.int64), pa.list_(pa.int64()), "bands"), "bands")
 
-    keyed = sets.select("rep", F.posexplode("bands").alias("band", "key"))
-    lowest = keyed.groupBy("band", "key").agg(F.min("rep").alias("low"), F.count("*").alias("c")).where("c > 1")
-    collided = keyed.join(lowest, ["band", "key"]).where("rep <> low").select(F.col("rep").alias("a"), F.col("low").alias("b"))
+    keyed = bands.select("rep", F.explode("bands").alias("key"))  # a key starts from its band's number
+    lowest = keyed.groupBy("key").agg(F.min("rep").alias("low"), F.count("*").alias("c")).where("c > 1")
+    collided = keyed.join(lowest, "key").where("rep <> low").select(F.col("rep").alias("a"), F.col("low").alias("b"))
     near = components(collided.distinct())
     roots = near.select(F.col("component").alias("rep"), F.col("component").alias("g")).distinct()
     groups = near.select(F.col("node").alias("rep"), F.col("component").alias("g")).unionByName(roots)
@@ -149,7 +144,10 @@ def repeated_paragraphs(docs, id_column="doc_id", text_column="text", words=WORD
     spread = groups.join(sizes, "g").withColumn("own", F.pmod(F.xxhash64("rep"), F.col("nb")))
     dealt = spread.select("g", "rep", "own", F.explode(F.expr("sequence(0L, nb - 1)")).alias("other"))
     dealt = dealt.select("g", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "rep")
-    dealt = dealt.join(sets.select("rep", "set"), "rep").select("g", "i", "j", "rep", "set")
+    # shingle sets of candidates only: most classes collide with none
+    candidates = lines.join(groups.select("rep").distinct(), "rep", "left_semi")
+    sets = settle(_of_lines(candidates, shingle, lambda h: h.tobytes(), pa.binary(), "set"), "sets")
+    dealt = dealt.join(sets, "rep").select("g", "i", "j", "rep", "set")
     links = dealt.repartition("g", "i", "j").sortWithinPartitions("g", "i", "j").mapInArrow(
         lambda b: _verify(b, similar), "a long, b long")
     linked = components(links)
