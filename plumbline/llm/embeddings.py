@@ -91,7 +91,8 @@ def _placed(classes, fitted, reach):
                 yield pa.RecordBatch.from_arrays([*taken.columns, pa.array(cell.astype(np.int32)), pa.array(home)],
                                                  names=[*taken.schema.names, "cell", "home"])
 
-    return classes.mapInArrow(run, "label string, dim int, rep long, n long, v array<double>, cell int, home boolean")
+    v = dict(classes.dtypes)["v"]
+    return classes.mapInArrow(run, f"label string, dim int, rep long, n long, v {v}, cell int, home boolean")
 
 
 def _compare(batches, threshold):
@@ -101,8 +102,8 @@ def _compare(batches, threshold):
     def close():
         table = pa.Table.from_batches(held)
         x = unit(_vectors(table.column("v").combine_chunks()))
-        side, reps, n = (table.column(c).to_numpy(zero_copy_only=False) for c in ("member", "rep", "n"))
-        m, r = np.flatnonzero(side), np.flatnonzero(~side)
+        member, resident, reps, n = (table.column(c).to_numpy() for c in ("member", "resident", "rep", "n"))
+        m, r = np.flatnonzero(member), np.flatnonzero(resident)
         if not len(m) or not len(r):
             return
         near = (x[m] @ x[r].T >= threshold) & (reps[m][:, None] != reps[r][None, :])
@@ -141,7 +142,8 @@ def near_vectors(vectors, id_column="vec_id", vector_column="embedding", label_c
     null id).  Rows that repeat are vectors of their own and link with each other; rows that share an id but not the
     vector share links and component.  Other columns are not read.
     """
-    v = F.col(vector_column).cast("array<double>")
+    kept = dict(vectors.select(F.col(vector_column).alias("v")).dtypes)["v"]  # single precision is moved as such
+    v = F.col(vector_column).cast(kept if kept == "array<float>" else "array<double>")
     bad = F.exists(v, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
     rows = vectors.select(F.col(id_column).cast("long").alias("id"), F.col(label_column).cast("string").alias("label"),
                           F.size(v).alias("dim"), v.alias("v"),
@@ -168,14 +170,17 @@ def near_vectors(vectors, id_column="vec_id", vector_column="embedding", label_c
     counts = counts.where("members > 1 AND residents > 0").select(
         *group, ceil_div(F.col("members"), block).alias("mb"), ceil_div(F.col("residents"), block).alias("rb"))
     sized = placed.join(counts, group).withColumn("spot", F.xxhash64("rep"))
-    members = sized.select(*group, F.explode(F.expr("sequence(0L, rb - 1)")).alias("i"),
-                           F.pmod("spot", F.col("mb")).alias("j"), F.lit(True).alias("member"), "rep", "n", "v")
-    residents = sized.where("home").select(*group, F.pmod("spot", F.col("rb")).alias("i"),
-                                           F.explode(F.expr("sequence(0L, mb - 1)")).alias("j"),
-                                           F.lit(False).alias("member"), "rep", "n", "v")
+    # a row is compared as a member of its block j with every block i of residents; a resident of block i also meets
+    # every block j of members, and is both at once where the two cross
+    sized = sized.withColumns({"i0": F.pmod("spot", F.col("rb")), "j0": F.pmod("spot", F.col("mb"))})
+    places = F.expr("""
+        concat(transform(sequence(0L, rb - 1), x -> named_struct('i', x, 'j', j0, 'member', true, 'resident', home AND x = i0)),
+               transform(filter(sequence(0L, mb - 1), x -> home AND x <> j0),
+                         x -> named_struct('i', i0, 'j', x, 'member', false, 'resident', true)))""")
     keys = [*group, "i", "j"]
-    dealt = members.unionByName(residents).repartition(*keys).sortWithinPartitions(*keys)
-    dealt = dealt.select(*keys, "member", "rep", "n", "v")
+    dealt = sized.select(*group, "rep", "n", "v", F.explode(places).alias("x")).select(
+        *group, "x.i", "x.j", "x.member", "x.resident", "rep", "n", "v")
+    dealt = dealt.repartition(*keys).sortWithinPartitions(*keys)
     found = settle(dealt.mapInArrow(lambda b: _compare(b, threshold), "kind int, a long, b long"), "found")
 
     links = found.where("kind = 0").groupBy("a").agg(F.sum("b").alias("others"))
