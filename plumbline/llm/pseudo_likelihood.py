@@ -5,8 +5,14 @@ Every token is predicted from the tokens on both sides:
     h = tanh(c + sum_j s_j * E[token at offset j]),   offsets -2, -1, 1, 2
     P(token | both sides) = P(class | h) P(member | h, class)
 
-The vocabulary is the most frequent words of the corpus; a token is (class, member) by rank, so the two softmaxes cost
-twice the square root of its size.  A document's score is the sum of its tokens' conditional log-probabilities.
+The network's tokens are the most frequent words of the corpus; a token is (class, member) by rank, so the two softmaxes
+cost twice the square root of their number.  Every other counted word is told apart inside the token OTHER:
+
+    P(word | both sides) = P(OTHER | both sides) count(word) / count(OTHER)
+
+so the probabilities of all counted words sum to one, however many there are.  Those counts never reach the driver: they
+lie on the cluster in shards by hash, and the words of the texts are looked up there.  A document's score is the sum of
+its words' conditional log-probabilities.
 
 Training covers all documents: counts over every word give the vocabulary and the first biases, and a fixed share of
 the positions of every document (chosen by a hash) are masked and predicted.  Each partition trains from the same network;
@@ -33,6 +39,10 @@ ROUNDS = 2
 OTHER, EDGE = 0, 1
 #: Distinct words a task counts before it hands them on.
 GATHERED = 1 << 20
+#: Words outside the network's tokens that a shard looks up, about.
+SHARD = 1 << 20
+#: Log-counts are added as whole numbers of this fraction, so a sum does not depend on its order.
+_FRACTION = 1 << 30
 _CHUNK = 1 << 13
 
 
@@ -61,7 +71,7 @@ def word_counts(texts):
 
 
 def vocabulary(texts, size=VOCABULARY):
-    """(sorted word hashes, their token ids, count of each token); ids follow the frequency, ties the hash."""
+    """(sorted word hashes, their token ids, count of each token, (h, n) of all words); ids follow the frequency, ties the hash."""
     counts = word_counts(texts)
     if size <= 2:
         raise ValueError("a vocabulary needs words")
@@ -73,18 +83,69 @@ def vocabulary(texts, size=VOCABULARY):
     n[2:2 + len(hashes)] = top.column("n").to_numpy()
     n[OTHER] = max(0, total - n.sum())
     order = np.argsort(hashes)
-    return hashes[order], (order + 2).astype(np.int64), n
+    return hashes[order], (order + 2).astype(np.int64), n, counts
 
 
 def token_ids(text, known):
-    """Token ids of all words of a text."""
+    """(token ids of all words of a text, hashes of those that are OTHER)."""
     hashes, ids = known
     found = word_hashes(encode(text), WHITE)[0]
     if not len(found) or not len(hashes):
-        return np.full(len(found), OTHER, np.int64)
+        return np.full(len(found), OTHER, np.int64), found
     at = np.searchsorted(hashes, found)
     at[at == len(hashes)] = 0
-    return np.where(hashes[at] == found, ids[at], OTHER)
+    same = hashes[at] == found
+    return np.where(same, ids[at], OTHER), found[~same]
+
+
+def other_log_shares(encoded, counts, total):
+    """(row, share): the sum of log(count / total) over the words of a row that are OTHER, in units of 1 / _FRACTION.
+
+    A task sends its words to the shards of their hashes, packed; a shard holds the counts of its words only.
+    """
+    shards = 1 << int(np.ceil(np.log2(max(16, total / SHARD))))
+
+    def ask(batches):
+        held, size = [], 0
+        for part in slices(batches):
+            for row, raw in zip(part.column(0).to_pylist(), part.column(1).to_pylist()):
+                held.append((row, np.frombuffer(raw, np.uint64)))
+                size += len(held[-1][1])
+            if size > GATHERED:
+                yield packed(held)
+                held, size = [], 0
+        if held:
+            yield packed(held)
+
+    def packed(held):
+        rows = np.repeat(np.array([r for r, _ in held], np.int64), [len(h) for _, h in held])
+        words = np.concatenate([h for _, h in held])
+        shard = (words & np.uint64(shards - 1)).astype(np.int64)
+        order = np.argsort(shard, kind="stable")
+        used, starts = np.unique(shard[order], return_index=True)
+        cuts = [order[a:b] for a, b in zip(starts, np.append(starts[1:], len(order)))]
+        return pa.RecordBatch.from_arrays([pa.array(used), pa.array([rows[c].tobytes() for c in cuts], pa.binary()),
+                                           pa.array([words[c].tobytes() for c in cuts], pa.binary())], ["shard", "rows", "words"])
+
+    def answer(asked, known):
+        h = known.column("h").to_numpy().view(np.uint64)
+        order = np.argsort(h)
+        h, n = np.append(h[order], np.uint64(0)), np.append(known.column("n").to_numpy()[order], 1)
+        out = [(np.empty(0, np.int64), np.empty(0, np.int64))]
+        for rows, words in zip(asked.column("rows").to_pylist(), asked.column("words").to_pylist()):
+            rows, words = np.frombuffer(rows, np.int64), np.frombuffer(words, np.uint64)
+            at = np.searchsorted(h[:-1], words)
+            share = np.rint(np.log(np.where(h[at] == words, n[at], 1) / total) * _FRACTION).astype(np.int64)
+            heads = np.flatnonzero(np.diff(rows, prepend=rows[0] - 1))  # a row's words stand together
+            out.append((rows[heads], np.add.reduceat(share, heads)))
+        return pa.table({"row": np.concatenate([r for r, _ in out]), "share": np.concatenate([x for _, x in out])})
+
+    asked = encoded.select("row", "others").where(F.octet_length("others") > 0).mapInArrow(
+        ask, "shard long, rows binary, words binary")
+    # a word that is not sent was counted once
+    known = counts.where("n > 1").select(F.col("h").bitwiseAND(F.lit(shards - 1)).alias("shard"), "h", "n")
+    found = asked.groupBy("shard").cogroup(known.groupBy("shard")).applyInArrow(answer, "row long, share long")
+    return found.groupBy("row").agg(F.sum("share").alias("share"))
 
 
 def new_network(counts, width=WIDTH, seed=11):
@@ -238,23 +299,33 @@ def log_likelihood(docs, id_column="doc_id", text_column="text", size=VOCABULARY
     how the rows lie in partitions, as every averaged training does; for one layout it is deterministic.
     """
     rows = docs.select(F.col(id_column).cast("long").alias("id"), F.col(text_column).cast("string").alias("text"))
-    hashes, ids, counts = vocabulary(rows.select("text"), size)
+    hashes, ids, counts, words = vocabulary(rows.select("text"), size)
 
     def tokens(batches):
         for part in slices(batches):
-            made = [token_ids(t, (hashes, ids)).astype(np.uint16).tobytes() for t in part.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(made, pa.binary())], ["id", "tokens"])
-
-    encoded = settle(rows.mapInArrow(tokens, "id long, tokens binary"), "encoded")
+            made = [token_ids(t, (hashes, ids)) for t in part.column(2).to_pylist()]
+            yield pa.RecordBatch.from_arrays(
+                [*part.columns[:2], pa.array([t.astype(np.uint16).tobytes() for t, _ in made], pa.binary()),
+                 pa.array([o.tobytes() for _, o in made], pa.binary())], ["id", "row", "tokens", "others"])
+
+    # the row numbers are written once, so they stay what they are
+    numbered = rows.select("id", F.monotonically_increasing_id().alias("row"), "text")
+    encoded = settle(numbered.mapInArrow(tokens, "id long, row long, tokens binary, others binary"), "encoded")
     packed = pickle.dumps(train(encoded.where(F.octet_length("tokens") > 0), new_network(counts), rounds, masked))
 
     def score(batches):
         net = pickle.loads(packed)
         for part in slices(batches):
-            made = [np.frombuffer(t, np.uint16).astype(np.int64) for t in part.column(1).to_pylist()]
+            made = [np.frombuffer(t, np.uint16).astype(np.int64) for t in part.column(2).to_pylist()]
             sums = [float(log_probabilities(net, t).sum()) if len(t) else 0.0 for t in made]
-            yield pa.RecordBatch.from_arrays([part.column(0), pa.array([len(t) for t in made], pa.int64()),
-                                              pa.array(sums, pa.float64())], ["id", "n_tokens", "log_prob"])
-
-    scored = encoded.mapInArrow(score, "id long, n_tokens long, log_prob double")
+            yield pa.RecordBatch.from_arrays([*part.columns[:2], pa.array([len(t) for t in made], pa.int64()),
+                                              pa.array(sums, pa.float64())], ["id", "row", "n_tokens", "network"])
+
+    scored = encoded.select("id", "row", "tokens").mapInArrow(score, "id long, row long, n_tokens long, network double")
+    if counts[OTHER] > 0:
+        scored = scored.join(other_log_shares(encoded, words, float(counts[OTHER])), "row", "left")
+    else:
+        scored = scored.withColumn("share", F.lit(0))
+    log_prob = F.col("network") + F.coalesce("share", F.lit(0)) / F.lit(float(_FRACTION))
+    scored = scored.select("id", "n_tokens", log_prob.alias("log_prob"))
     return scored.withColumn("mean_log_prob", F.when(F.col("n_tokens") > 0, F.col("log_prob") / F.col("n_tokens")))

@@ -91,3 +91,21 @@ def test_counts_cover_all_words(spark):
 def test_nothing_to_learn_from(spark, rows):
     got = lm.log_likelihood(frame(spark, rows), size=16).collect()
     assert len(got) == len(rows) and all(r["n_tokens"] == 0 for r in got)
+
+
+def test_words_outside_the_network_are_told_apart(spark):
+    common = [row(i, "ka lo mi ser " * 20) for i in range(20)]
+    rare = [row(100, "ka lo often mi ser"), row(101, "ka lo once mi ser"), row(102, "often " * 9), row(103, "often once2")]
+    df = frame(spark, common + rare)
+    got = {r["id"]: r["log_prob"] for r in lm.log_likelihood(df, size=4, rounds=2, masked=2).collect()}
+    assert got[100] - got[101] == pytest.approx(np.log(11), abs=1e-6)  # 11 against 1 in the corpus, both OTHER
+
+
+def test_shares_of_all_words_outside_the_network_sum_to_one(spark):
+    words = [w for i, w in enumerate("abcdefgh") for _ in range(i + 1)]
+    df = spark.createDataFrame([(w,) for w in words], "t string").repartition(3)
+    hashes, ids, counts, known = lm.vocabulary(df, 4)
+    made = [lm.token_ids(w, (hashes, ids)) for w in sorted(set(words))]
+    rows = [(i, bytearray(o.tobytes())) for i, (_, o) in enumerate(made)]
+    found = lm.other_log_shares(spark.createDataFrame(rows, "row long, others binary"), known, counts[lm.OTHER]).collect()
+    assert len(found) == 6 and sum(np.exp(r["share"] / lm._FRACTION) for r in found) == pytest.approx(1)
