@@ -14,8 +14,8 @@ so the probabilities of all counted words sum to one, however many there are.  T
 lie on the cluster in shards by hash, and the words of the texts are looked up there.  A document's score is the sum of
 its words' conditional log-probabilities.
 
-Training covers all documents: counts over every word give the vocabulary and the first biases, and a fixed share of
-the positions of every document (chosen by a hash) are masked and predicted.  Each partition trains from the same network;
+Training covers all documents: counts over every word give the vocabulary and the first biases, and every position of
+every document is masked and predicted once in `masked` rounds (a round takes every `masked`-th position).  Each partition trains from the same network;
 their parameters are averaged with the numbers of targets as weights, in two steps so that no task sees
 all of them, and the next round starts from the average.
 """
@@ -33,8 +33,8 @@ SIDE = 64
 VOCABULARY = SIDE * SIDE
 OFFSETS = (-2, -1, 1, 2)
 WIDTH = 24
-#: One position in so many is masked in training.
-MASKED = 8
+#: One position in so many is masked in a round; as many rounds mask every position once.
+MASKED = 2
 ROUNDS = 2
 OTHER, EDGE = 0, 1
 #: Distinct words a task counts before it hands them on.
@@ -101,7 +101,8 @@ def token_ids(text, known):
 def other_log_shares(encoded, counts, total):
     """(row, share): the sum of log(count / total) over the words of a row that are OTHER, in units of 1 / _FRACTION.
 
-    A task sends its words to the shards of their hashes, packed; a shard holds the counts of its words only.
+    A task sends its words to the shards of their hashes, packed; a shard holds the counts of its words only and answers
+    each parcel in one row, and a parcel's answers are added up in one place.
     """
     shards = 1 << int(np.ceil(np.log2(max(16, total / SHARD))))
 
@@ -124,28 +125,40 @@ def other_log_shares(encoded, counts, total):
         order = np.argsort(shard, kind="stable")
         used, starts = np.unique(shard[order], return_index=True)
         cuts = [order[a:b] for a, b in zip(starts, np.append(starts[1:], len(order)))]
-        return pa.RecordBatch.from_arrays([pa.array(used), pa.array([rows[c].tobytes() for c in cuts], pa.binary()),
-                                           pa.array([words[c].tobytes() for c in cuts], pa.binary())], ["shard", "rows", "words"])
+        parcel = [held[0][0]] * len(cuts)  # a row is in one parcel only
+        return pa.RecordBatch.from_arrays([pa.array(used), pa.array(parcel, pa.int64()),
+                                           pa.array([rows[c].tobytes() for c in cuts], pa.binary()),
+                                           pa.array([words[c].tobytes() for c in cuts], pa.binary())],
+                                          ["shard", "parcel", "rows", "words"])
 
     def answer(asked, known):
         h = known.column("h").to_numpy().view(np.uint64)
         order = np.argsort(h)
         h, n = np.append(h[order], np.uint64(0)), np.append(known.column("n").to_numpy()[order], 1)
-        out = [(np.empty(0, np.int64), np.empty(0, np.int64))]
+        out = []
         for rows, words in zip(asked.column("rows").to_pylist(), asked.column("words").to_pylist()):
             rows, words = np.frombuffer(rows, np.int64), np.frombuffer(words, np.uint64)
             at = np.searchsorted(h[:-1], words)
             share = np.rint(np.log(np.where(h[at] == words, n[at], 1) / total) * _FRACTION).astype(np.int64)
             heads = np.flatnonzero(np.diff(rows, prepend=rows[0] - 1))  # a row's words stand together
-            out.append((rows[heads], np.add.reduceat(share, heads)))
-        return pa.table({"row": np.concatenate([r for r, _ in out]), "share": np.concatenate([x for _, x in out])})
+            out.append((rows[heads].tobytes(), np.add.reduceat(share, heads).tobytes()))
+        return pa.table({"parcel": asked.column("parcel"), "rows": pa.array([r for r, _ in out], pa.binary()),
+                         "shares": pa.array([x for _, x in out], pa.binary())})
+
+    def add(table):
+        rows, shares = (np.frombuffer(b"".join(table.column(c).to_pylist()), np.int64) for c in ("rows", "shares"))
+        rows, at = np.unique(rows, return_inverse=True)
+        total = np.zeros(len(rows), np.int64)
+        np.add.at(total, at, shares)
+        return pa.table({"row": rows, "share": total})
 
     asked = encoded.select("row", "others").where(F.octet_length("others") > 0).mapInArrow(
-        ask, "shard long, rows binary, words binary")
+        ask, "shard long, parcel long, rows binary, words binary")
     # a word that is not sent was counted once
     known = counts.where("n > 1").select(F.col("h").bitwiseAND(F.lit(shards - 1)).alias("shard"), "h", "n")
-    found = asked.groupBy("shard").cogroup(known.groupBy("shard")).applyInArrow(answer, "row long, share long")
-    return found.groupBy("row").agg(F.sum("share").alias("share"))
+    found = asked.groupBy("shard").cogroup(known.groupBy("shard")).applyInArrow(
+        answer, "parcel long, rows binary, shares binary")
+    return found.groupBy("parcel").applyInArrow(add, "row long, share long")
 
 
 def new_network(counts, width=WIDTH, seed=11):
@@ -217,9 +230,12 @@ def step(net, moments, around, target, rate):
 
 
 def _masked(ids, turn, masked):
-    """Positions of a text that are targets in a round: one in `masked`, by a hash of place and text length."""
-    places = np.arange(len(ids), dtype=np.uint64)
-    return np.flatnonzero(mix(places + np.uint64(len(ids) * 1000003 + turn)) % np.uint64(masked) == 0)
+    """Positions of a text that are targets in a round: every `masked`-th, from a start that the text's length deals.
+
+    Any `masked` rounds that follow one another have every position once.
+    """
+    start = int(mix(np.array([len(ids)], np.uint64))[0] % np.uint64(masked))
+    return np.arange((start + turn) % masked, len(ids), masked)
 
 
 def _average(parts, shapes):
@@ -245,6 +261,8 @@ def _average(parts, shapes):
 
 def train(encoded, net, rounds=ROUNDS, masked=MASKED, batch=2048, rate=0.05, block=1 << 14):
     """Rounds of local training and averaging over (tokens binary) rows; returns the network."""
+    if rounds < masked:
+        raise ValueError("fewer rounds than `masked` leave positions out of training")
     shapes = [(k, v.shape) for k, v in net.items()]
 
     def run_with(start, turn):
@@ -257,8 +275,9 @@ def train(encoded, net, rounds=ROUNDS, masked=MASKED, batch=2048, rate=0.05, blo
 
             def learn():
                 around, target = (np.concatenate(x) for x in zip(*held))
-                for at in range(0, len(target), batch):
-                    step(mine, moments, around[at:at + batch], target[at:at + batch], rate)
+                few = -(-len(target) // batch)  # even batches: no step rests on a few left over
+                for x, t in zip(np.array_split(around, few), np.array_split(target, few)):
+                    step(mine, moments, x, t, rate)
 
             waiting = 0
             for part in slices(batches):

@@ -109,3 +109,14 @@ def test_shares_of_all_words_outside_the_network_sum_to_one(spark):
     rows = [(i, bytearray(o.tobytes())) for i, (_, o) in enumerate(made)]
     found = lm.other_log_shares(spark.createDataFrame(rows, "row long, others binary"), known, counts[lm.OTHER]).collect()
     assert len(found) == 6 and sum(np.exp(r["share"] / lm._FRACTION) for r in found) == pytest.approx(1)
+
+
+@pytest.mark.parametrize("length", [1, 2, 5, 1000])
+def test_default_rounds_train_on_every_position(length):
+    spots = [lm._masked(np.zeros(length), turn, lm.MASKED) for turn in range(lm.ROUNDS)]
+    assert sorted(np.concatenate(spots).tolist()) == sorted(list(range(length)) * (lm.ROUNDS // lm.MASKED))
+
+
+def test_rounds_that_leave_positions_out_are_refused(spark):
+    with pytest.raises(ValueError):
+        lm.log_likelihood(frame(spark, awkward()), size=16, rounds=2, masked=3)
