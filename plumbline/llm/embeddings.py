@@ -2,9 +2,8 @@
 
 Only vectors with equal labels and dimensions are compared.  Equal vectors are one class.  A class lives in the cell
 of its nearest centroid and is a guest in every other cell whose border with any nearer cell it stands close to: a partner
-y of x lies in cell c only if x is at most |x - y| behind each border of c.  With `reach` = |x - y| at the
-threshold the search is exact; the default is a part of it, as the difference of two vectors seldom points
-straight across a border.  Links of x are counted in the home cells of its partners, so no link counts twice.  Large
+y of x lies in cell c only if x is at most |x - y| behind each border of c.  `reach` is |x - y| at the threshold and a
+margin for rounding, so no link is lost.  Links of x are counted in the home cells of its partners, so no link counts twice.  Large
 cells are products of blocks in separate groups, and only counts and a spanning forest leave a task.
 """
 
@@ -17,8 +16,8 @@ from plumbline.llm.components import components
 from plumbline.llm.runs import forest
 
 THRESHOLD = 0.98
-#: How far behind a border a guest may stand, in units of the unit sphere (the exact bound at 0.98 is 0.2).
-REACH = 0.1
+#: Added to the exact reach for rounding.
+MARGIN = 1e-6
 #: Vectors a cell should hold over all labels, and the most centroids.
 CELL = 2000
 MOST_CELLS = 4096
@@ -134,14 +133,17 @@ def _compare(batches, threshold):
 
 
 def near_vectors(vectors, id_column="vec_id", vector_column="embedding", label_column="label", threshold=THRESHOLD,
-                 reach=REACH, cell=CELL, block=BLOCK):
+                 reach=None, cell=CELL, block=BLOCK):
     """One row per row of vectors: (id, n_links, component, kept).
 
     Linked: equal labels and dimensions, cosine in double precision of at least the threshold.  A null label, a null,
     empty or zero vector, a null or non-finite component, or a null id: no links, a component of its own (null for a
     null id).  Rows that repeat are vectors of their own and link with each other; rows that share an id but not the
-    vector share links and component.  Other columns are not read.
+    vector share links and component.  Other columns are not read.  `reach` is how far behind a border a guest may stand:
+    by default as far as a partner can be, which is exact at every size.
     """
+    if reach is None:
+        reach = float(np.sqrt(max(0.0, 2 - 2 * threshold))) + MARGIN
     kept = dict(vectors.select(F.col(vector_column).alias("v")).dtypes)["v"]  # single precision is moved as such
     v = F.col(vector_column).cast(kept if kept == "array<float>" else "array<double>")
     bad = F.exists(v, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))

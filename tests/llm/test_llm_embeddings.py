@@ -66,5 +66,12 @@ def test_recall_against_brute_force_in_64_dimensions(spark):
     assert embeddings.near_vectors(df, cell=100).agg({"n_links": "sum"}).first()[0] >= 0.99 * true
 
 
+def test_default_reach_loses_no_link_straight_across_a_border(spark):
+    rng = np.random.default_rng(5)
+    angle = np.sort(rng.uniform(0, 2 * np.pi, 400))  # in a plane every difference points across a border
+    rows = [(i, [float(np.cos(a)), float(np.sin(a))], 1) for i, a in enumerate(angle)]
+    assert got(spark, rows, cell=10) == plain(rows)
+
+
 def test_empty_table(spark):
     assert got(spark, []) == []
