@@ -7,8 +7,9 @@ and empty tables pass as the stages' operators define it; a stage that drops row
 
 from pyspark.sql import functions as F
 
-from plumbline.llm import decontaminate, line_dedup, packing, quality, simhash
+from plumbline.llm import decontaminate, line_dedup, packing, paragraphs, quality, simhash
 from plumbline.llm.common import settle
+from plumbline.llm.components import components
 
 #: SQL cannot express the classifier, the fingerprints or the token ids; tests hold run() against plain Python.
 ORACLE_SQL = None
@@ -35,15 +36,34 @@ def drop_repeated_lines(spark, docs, sf_dir):
     return line_dedup.dedup_lines(docs, removed=name).drop(name).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
+def _near_texts(prints, texts):
+    """Links (a, b) between hashes of texts that are near: by fingerprint, by word shingles, or by a shared id."""
+    by_print = prints.groupBy("fp").agg(F.min("text_hash").alias("rep"))
+    by_print = settle(by_print, "classes")
+    equal = prints.select("text_hash", "fp").distinct().join(by_print, "fp").select(
+        F.col("text_hash").alias("a"), F.col("rep").alias("b"))
+    by_id = prints.where("id IS NOT NULL").select("id", "text_hash").distinct()
+    least = by_id.groupBy("id").agg(F.min("text_hash").alias("low"), F.count("*").alias("n")).where("n > 1")
+    shared = by_id.join(least, "id").select(F.col("text_hash").alias("a"), F.col("low").alias("b"))
+    return (equal.unionByName(simhash.near_links(by_print)).unionByName(paragraphs.alike(texts)).unionByName(shared)
+            .where("a <> b"))
+
+
 def keep_one_of_group(spark, docs, sf_dir):
-    """Keeps the document with the smallest id of each SimHash group; rows that repeat it are dropped but one.
+    """Keeps the document with the smallest id of each group of near texts; rows that repeat it are dropped but one.
 
-    Of several texts under that id the one with the smallest hash stays.  Documents without an id stay only if no document
-    with an id has their fingerprint, one for each fingerprint.
+    Near: SimHash fingerprints within four bits, or a Jaccard similarity of at least 0.8 over distinct five-word
+    shingles, or a chain of such.  Of several texts under the smallest id the one with the smallest hash stays.
+    A document without an id stays only if no document with an id is in its group, one for each group.
     """
-    found = simhash.simhash_groups(docs).where(F.col("id").eqNullSafe(F.col("component")))
-    nameless = F.when(F.col("id").isNull(), F.col("fingerprint")).alias("print_")
-    kept = found.groupBy(F.col("id").alias("id_"), nameless).agg(F.min("text_hash").alias("hash_")).drop("print_")
+    prints = settle(simhash.fingerprints(docs), "fingerprints")
+    texts = docs.select(F.xxhash64("text").alias("rep"), F.col("text").cast("string").alias("line")).where("line IS NOT NULL")
+    texts = settle(texts.dropDuplicates(["rep"]), "texts")
+    near = components(_near_texts(prints, texts)).select("node", F.col("component").alias("group_"))
+    grouped = prints.select("id", "text_hash").distinct().join(near, F.col("text_hash") == F.col("node"), "left")
+    order = F.struct(F.col("id").isNull().alias("none_"), F.col("id").alias("id_"), F.col("text_hash").alias("hash_"))
+    kept = grouped.groupBy(F.coalesce("group_", "text_hash").alias("group_")).agg(F.min(order).alias("k"))
+    kept = kept.select("k.id_", "k.hash_")
     mark = _free(docs, "text_hash")
     same = F.col("doc_id").cast("long").eqNullSafe(F.col("id_")) & (F.col(mark) == F.col("hash_"))
     stay = docs.withColumn(mark, F.xxhash64("text")).join(kept, same, "left_semi")

@@ -117,22 +117,12 @@ def _verify(batches, similar):
         yield from close()
 
 
-def repeated_paragraphs(docs, id_column="doc_id", text_column="text", words=WORDS, shingle=SHINGLE, similar=SIMILAR,
-                        block=BLOCK):
-    """One row per paragraph that has a like: (id, paragraph, begin, end, n_words, kept_id, kept_paragraph, removed).
+def alike(lines, shingle=SHINGLE, similar=SIMILAR, block=BLOCK):
+    """(rep, line) -> links (a, b) between reps whose components are those of all pairs of that similarity found by bands.
 
-    Alike: a Jaccard similarity of at least `similar` over distinct word shingles, or a chain of such.  The first
-    paragraph of a chain by (id, paragraph) stays (`removed` false, kept_id its own); null ids come last.  Documents without a
-    repeated paragraph do not appear.  A null or empty text has no paragraphs.  Rows that repeat a document repeat its
-    paragraphs: rows at the first place of all stay together.  Other columns are not read.
+    Lines shorter than a shingle have no links.
     """
-    found = settle(paragraphs(docs, id_column, text_column, words, shingle), "paragraphs")
-    place = F.struct(F.col("id").isNull().alias("none"), "id", "paragraph")
-    classes = found.groupBy("content").agg(F.min(place).alias("first"), F.count("*").alias("n"), F.min("line").alias("line"))
-    # the numbers are written once with the classes, so they stay what they are
-    classes = settle(classes.withColumn("rep", F.monotonically_increasing_id()), "classes")
-    lines = classes.select("rep", "line")
-    bands = settle(_of_lines(lines, shingle, lambda h: bands_of(h).view(np.int64), pa.list_(pa.int64()), "bands"), "bands")
+    bands = settle(_of_lines(lines, shingle, lambda h: bands_of(h).view(np.int64) if len(h) else [], pa.list_(pa.int64()), "bands"), "bands")
 
     keyed = bands.select("rep", F.explode("bands").alias("key"))  # a key starts from its band's number
     lowest = keyed.groupBy("key").agg(F.min("rep").alias("low"), F.count("*").alias("c")).where("c > 1")
@@ -148,8 +138,25 @@ def repeated_paragraphs(docs, id_column="doc_id", text_column="text", words=WORD
     candidates = lines.join(groups.select("rep").distinct(), "rep", "left_semi")
     sets = settle(_of_lines(candidates, shingle, lambda h: h.tobytes(), pa.binary(), "set"), "sets")
     dealt = dealt.join(sets, "rep").select("g", "i", "j", "rep", "set")
-    links = dealt.repartition("g", "i", "j").sortWithinPartitions("g", "i", "j").mapInArrow(
+    return dealt.repartition("g", "i", "j").sortWithinPartitions("g", "i", "j").mapInArrow(
         lambda b: _verify(b, similar), "a long, b long")
+
+
+def repeated_paragraphs(docs, id_column="doc_id", text_column="text", words=WORDS, shingle=SHINGLE, similar=SIMILAR,
+                        block=BLOCK):
+    """One row per paragraph that has a like: (id, paragraph, begin, end, n_words, kept_id, kept_paragraph, removed).
+
+    Alike: a Jaccard similarity of at least `similar` over distinct word shingles, or a chain of such.  The first
+    paragraph of a chain by (id, paragraph) stays (`removed` false, kept_id its own); null ids come last.  Documents without a
+    repeated paragraph do not appear.  A null or empty text has no paragraphs.  Rows that repeat a document repeat its
+    paragraphs: rows at the first place of all stay together.  Other columns are not read.
+    """
+    found = settle(paragraphs(docs, id_column, text_column, words, shingle), "paragraphs")
+    place = F.struct(F.col("id").isNull().alias("none"), "id", "paragraph")
+    classes = found.groupBy("content").agg(F.min(place).alias("first"), F.count("*").alias("n"), F.min("line").alias("line"))
+    # the numbers are written once with the classes, so they stay what they are
+    classes = settle(classes.withColumn("rep", F.monotonically_increasing_id()), "classes")
+    links = alike(classes.select("rep", "line"), shingle, similar, block)
     linked = components(links)
 
     named = classes.join(linked, classes["rep"] == linked["node"], "left").select(

@@ -9,7 +9,7 @@ from test_llm_lines import plain as plain_lines
 from test_llm_simhash import plain_groups
 from test_llm_tokens import check_packing
 
-from plumbline.llm import quality, queries
+from plumbline.llm import quality, queries, simhash
 
 JUNK = "BUY NOW!! " * 40
 
@@ -80,6 +80,25 @@ def test_simhash_stage_keeps_one_of_each_group(spark):
     assert sorted(((r.doc_id, r.text) for r in got), key=str) == sorted([(2, a), (None, b), (None, c), (8, "")], key=str)
 
 
+def test_simhash_stage_drops_copies_of_jaccard_above_the_threshold(spark):
+    def shingles(text):
+        w = text.lower().split()
+        return {tuple(w[i:i + 5]) for i in range(len(w) - 4)}
+
+    rows, beyond = [], 0
+    for i in range(40):
+        one = prose(500 + i)
+        two = " ".join(one.split()[:-7]) + " changed"
+        a, b = shingles(one), shingles(two)
+        assert len(a & b) >= 0.8 * len(a | b)
+        beyond += (simhash.fingerprint(one) ^ simhash.fingerprint(two)).bit_count() > 4
+        rows += [row(2 * i, one), row(2 * i + 1, two)]
+    assert beyond > 5
+    rows += [row(1000 + i, w) for i, w in enumerate(["few words", "other few words", "one"])] + [row(None, rows[1][1])]
+    got = corpus_pipeline.keep_one_of_group(spark, frame(spark, rows), "").collect()
+    assert sorted(r.doc_id for r in got) == [*range(0, 80, 2), 1000, 1001, 1002]
+
+
 def test_entry_works_without_the_subpackage(tmp_path):
     root = os.path.dirname(os.path.abspath(corpus_pipeline.__file__))
     code = ("import sys; sys.modules['corpus_pipeline'] = None\n"
