@@ -5,8 +5,10 @@ from functools import wraps
 from pyspark.sql import functions as F
 
 from plumbline.llm import (
+    conversations,
     decontaminate,
     embeddings,
+    lexical,
     line_dedup,
     packing,
     paragraphs,
@@ -169,6 +171,107 @@ def op10_best_fit(spark, sf_dir):
     return packing.pack(_table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
 
 
+def _step(state, cost, letter):
+    """SQL: a lattice state (cost in nine digits, then the audit) after an edit; null stays null."""
+    return f"(printf('%09d', CAST(substr({state}, 1, 9) AS INTEGER) + ({cost})) || substr({state}, 10) || '{letter}')"
+
+
+def _lattice(q0, qs, qu, qa):
+    """SQL: the four states after any inserts; more than two in a row only come back to where they began."""
+    for _ in range(2):
+        to_user = [_step(q, 3, "I") for q in (q0, qs, qa)]
+        q0, qs, qu, qa = "q0", "qs", f"least(qu, {', '.join(to_user)})", f"least(qa, {_step(qu, 3, 'I')})"
+        yield f"SELECT * REPLACE ({qu} AS qu, {qa} AS qa)"
+        q0, qs, qu, qa = "q0", "qs", "qu", "qa"
+
+
+_CLOSE = list(_lattice("q0", "qs", "qu", "qa"))
+_KEEP = "CASE WHEN NOT gone THEN extra END"
+_REROLE = "CASE WHEN NOT gone THEN 3 + extra END"
+_MOVE = f"""
+  SELECT l.conv, l.n, l.i + 1 AS i, {_step('q0', 4, 'D')} AS q0,
+    least({_step('qs', 4, 'D')}, CASE WHEN ini = 's' THEN {_step('q0', _KEEP, 'K')} END) AS qs,
+    least({_step('qu', 4, 'D')}, CASE WHEN ini = 'u' THEN least({_step('q0', _KEEP, 'K')}, {_step('qs', _KEEP, 'K')}, {_step('qa', _KEEP, 'K')}) END,
+          {_step('q0', _REROLE, 'R')}, {_step('qs', _REROLE, 'R')}, {_step('qa', _REROLE, 'R')}) AS qu,
+    least({_step('qa', 4, 'D')}, CASE WHEN ini = 'a' THEN {_step('qu', _KEEP, 'K')} END, {_step('qu', _REROLE, 'R')}) AS qa
+  FROM lat l JOIN r ON l.conv IS NOT DISTINCT FROM r.conv AND l.i + 1 = r.pos WHERE l.i < l.n"""
+_SPACES = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
+
+
+@_query("op12_bidirectional_dijkstra", f"""
+WITH RECURSIVE crc AS (
+  SELECT list(list_reduce([i, 0, 0, 0, 0, 0, 0, 0, 0], lambda c, x: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)
+              ORDER BY i) AS tab FROM range(256) t(i)),
+src AS (
+  SELECT conv_id AS conv, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+         coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' ') AS name FROM conversations),
+hit AS (
+  SELECT src.*, xor(list_reduce(list_prepend(4294967295, list_transform(string_split(name, ''), lambda x: CAST(ord(x) AS BIGINT))),
+                                lambda c, b: xor(tab[(xor(c, b) & 255) + 1], c >> 8)), 4294967295) % 20 AS kind FROM src, crc),
+d AS (
+  SELECT conv, turn, CASE WHEN kind = 4 THEN 'user' ELSE role END AS role,
+         CASE kind WHEN 1 THEN '' WHEN 2 THEN translate(text, '.!?', '') ELSE text END AS text
+  FROM hit, range(2) c(k) WHERE kind <> 0 AND (k = 0 OR kind = 3)),
+p AS (SELECT *, row_number() OVER (PARTITION BY conv ORDER BY turn NULLS FIRST, role, text) AS pos FROM d),
+o AS (
+  SELECT *, pos > min(pos) OVER (PARTITION BY conv, role, text) AS again,
+         rtrim(text, {_SPACES}) AS body, substr(role, 1, 1) AS ini FROM p),
+r AS (
+  SELECT *, body = '' AS blank, body <> '' AND again AS dup, body <> '' AND NOT again AND right(body, 1) NOT IN ('.', '!', '?') AS cut,
+         body = '' OR again AS gone, CASE WHEN right(body, 1) NOT IN ('.', '!', '?') THEN 3 ELSE 0 END AS extra,
+         lag(ini) OVER (PARTITION BY conv ORDER BY pos) || ini AS pair FROM o),
+per AS (
+  SELECT conv, count(*) AS n, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps,
+         count(*) FILTER (blank) AS blank, count(*) FILTER (dup) AS duplicate, count(*) FILTER (cut) AS truncated,
+         count(*) FILTER (pair NOT IN ('su', 'ua', 'au')) AS illegal FROM r GROUP BY conv),
+lat AS (
+  {_CLOSE[1]} FROM ({_CLOSE[0]} FROM (
+    SELECT conv, n, CAST(0 AS BIGINT) AS i, '000000000' AS q0, CAST(NULL AS VARCHAR) AS qs, CAST(NULL AS VARCHAR) AS qu,
+           CAST(NULL AS VARCHAR) AS qa FROM per))
+  UNION ALL
+  {_CLOSE[1]} FROM ({_CLOSE[0]} FROM ({_MOVE}))),
+fin AS (SELECT conv, least(q0, qa) AS best FROM lat WHERE i = n),
+fix AS (
+  SELECT conv, substr(best, 10) AS audit, CAST(1 AS BIGINT) AS j, CAST(1 AS BIGINT) AS i, '' AS state, CAST(NULL AS VARCHAR) AS body FROM fin
+  UNION ALL
+  SELECT f.conv, f.audit, j + 1, i + CASE e WHEN 'I' THEN 0 ELSE 1 END,
+         CASE e WHEN 'D' THEN state WHEN 'K' THEN ini ELSE CASE state WHEN 'u' THEN 'a' ELSE 'u' END END,
+         CASE e WHEN 'D' THEN f.body ELSE coalesce(f.body || chr(10), '') || CASE e WHEN 'K' THEN role
+           ELSE CASE state WHEN 'u' THEN 'assistant' ELSE 'user' END END || ':' || CASE e WHEN 'I' THEN '' ELSE text END END
+  FROM (SELECT *, substr(audit, j, 1) AS e FROM fix WHERE j <= length(audit)) f
+  LEFT JOIN (SELECT conv, pos, ini, role, text FROM r) t ON f.conv IS NOT DISTINCT FROM t.conv AND f.i = t.pos),
+done AS (SELECT conv, body FROM fix WHERE j = length(audit) + 1),
+ids AS (SELECT DISTINCT conv_id AS conv FROM conversations)
+SELECT ids.conv AS conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate,
+       coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal, coalesce(CAST(substr(best, 1, 9) AS BIGINT), 0) AS cost,
+       coalesce(substr(best, 10), '') AS audit, sha256(coalesce(done.body, '')) AS repaired_sha256
+FROM ids LEFT JOIN per ON ids.conv IS NOT DISTINCT FROM per.conv LEFT JOIN fin ON ids.conv IS NOT DISTINCT FROM fin.conv
+LEFT JOIN done ON ids.conv IS NOT DISTINCT FROM done.conv""")
+def op12_bidirectional_dijkstra(spark, sf_dir):
+    """Repairs of all damaged conversations."""
+    return conversations.repaired_digests(_table(spark, sf_dir, "conversations"))
+
+
+@_query("op13_best_position", f"""
+WITH dw AS (SELECT doc_id, {_WORDS} AS w FROM documents),
+d AS (SELECT doc_id, row_number() OVER () AS r, w, CAST(len(w) AS HUGEINT) AS n FROM dw WHERE len(w) > 0),
+t AS (SELECT count(*) AS n_docs, CAST(sum(n) AS HUGEINT) AS n_terms FROM d),
+iw AS (SELECT DISTINCT item_id, text, list_distinct({_WORDS}) AS w FROM benchmark),
+q AS (SELECT item_id, text, unnest(w) AS term FROM iw),
+p AS (SELECT r, term, count(*) AS tf FROM (SELECT r, unnest(w) AS term FROM d) GROUP BY r, term),
+f AS (SELECT term, CAST(floor(1000 * ln((2 * any_value(n_docs) + 2) / (2 * count(*) + 1))) AS BIGINT) AS weight
+      FROM p, t WHERE term IN (SELECT term FROM q) GROUP BY term),
+s AS (SELECT item_id, text, doc_id, r,
+             CAST(sum(weight * ((1000000000 * tf) // (1000 * tf + 8 * (10 + (90 * n * n_docs) // n_terms)))) AS BIGINT) AS score
+      FROM q JOIN f USING (term) JOIN p USING (term) JOIN d USING (r), t GROUP BY ALL),
+k AS (SELECT *, row_number() OVER (PARTITION BY item_id, text ORDER BY score DESC, doc_id) AS rank FROM s WHERE score > 0)
+SELECT item_id, CAST(rank AS INTEGER) AS rank, doc_id, score FROM k WHERE rank <= {lexical.BEST}""")
+def op13_best_position(spark, sf_dir):
+    """The ten best documents of every benchmark item."""
+    found = lexical.search(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark")).drop("text_hash")
+    return found.withColumnsRenamed({"item": "item_id", "id": "doc_id"})
+
+
 @_query("pipeline")
 def pipeline(spark, sf_dir):
     """The corpus pipeline over all documents."""
