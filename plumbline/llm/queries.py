@@ -12,6 +12,7 @@ from plumbline.llm import (
     line_dedup,
     packing,
     paragraphs,
+    personal,
     pseudo_likelihood,
     quality,
     simhash,
@@ -171,6 +172,12 @@ def op10_best_fit(spark, sf_dir):
     return packing.pack(_table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
 
 
+@_query("op11_semi_markov")
+def op11_semi_markov(spark, sf_dir):
+    """Personal data in all documents: spans of the patterns, and those that the field adds."""
+    return personal.digests(personal.find(_table(spark, sf_dir, "documents"))).withColumnRenamed("id", "doc_id")
+
+
 def _step(state, cost, letter):
     """SQL: a lattice state (cost in nine digits, then the audit) after an edit; null stays null."""
     return f"(printf('%09d', CAST(substr({state}, 1, 9) AS INTEGER) + ({cost})) || substr({state}, 10) || '{letter}')"
