@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from plumbline.functions.numeric import settle
 from plumbline.plans.layout import Layout, exact_quantiles, finish, lag, lay, row_number, running_sum
+from plumbline.plans.session import ensure_checkpoint_dir
 
 METHODS = ("savgol", "lowess")
 WIDE_M = 2.0
@@ -66,6 +67,11 @@ def summarise_clusters(clustered, keys, z="depth_bgl_m", methods=METHODS, layout
     ]
     wanted = {"depth_median": (F.col(z), 0.5), "_q1": (F.col(z), 0.25), "_q3": (F.col(z), 0.75)}
     summary = exact_quantiles(clustered, group, wanted, layout, counts)
+    return _shaped(summary, group, methods)
+
+
+def _shaped(summary, group, methods):
+    """Columns of a cluster table from its extremes, quartiles and counts."""
     each = [F.col(f"n_{m}") for m in methods]
     width = F.col("depth_max") - F.col("depth_min")
     return summary.select(
@@ -119,14 +125,42 @@ def robustness(records, keys=("well_id",), delta_m=0.5, tie=("record_id",), layo
     return summary.withColumn("delta_m", F.lit(float(delta_m)))
 
 
-def robustness_sensitivity(records, keys=("well_id",), deltas=DELTAS, tie=("record_id",), layout=None):
-    """Cluster tables at several deltas in one pass: delta is part of the key."""
-    layout = layout or Layout.of(records, keys)
-    grid = records.withColumn("delta_m", F.explode(F.array(*[F.lit(float(d)) for d in deltas])))
-    keys = [*keys, "delta_m"]
-    return summarise_clusters(
-        cluster_depths(grid, keys, delta_m="delta_m", tie=tie, layout=layout), keys, layout=layout
-    )
+def robustness_sensitivity(records, keys=("well_id",), deltas=DELTAS, tie=("record_id",), layout=None, z="depth_bgl_m",
+                           methods=METHODS):
+    """Cluster tables at several deltas from one scan of the gaps: delta is part of the key.
+
+    A cluster at a delta is a run of clusters at the smallest one, as a gap that parts the larger parts the smaller.  So the
+    records are scanned and aggregated once, at the smallest delta, and the few rows of that table are joined into runs for
+    every delta.  Medians and quartiles are values at known ranks of the scan, looked up in the records.
+    """
+    keys, deltas = [*keys], sorted({float(d) for d in deltas})
+    if deltas[0] <= 0:
+        raise ValueError("delta_m must be positive")
+    track = lay(records, keys, [z, *tie], layout).scan(_before=lag(F.col(z)), _rank=row_number())
+    gap = F.col(z) - F.col("_before")
+    ids = {f"_id{i}": running_sum(F.when(gap >= d, 1).otherwise(0)) for i, d in enumerate(deltas)}
+    scanned = finish(track.scan(**ids)).select(*keys, z, "_rank", *ids, "smoothing", "n_breakpoints")
+    ensure_checkpoint_dir(records.sparkSession)
+    scanned = scanned.checkpoint()
+    sizes = [F.collect_set(F.when(F.col("smoothing") == m, F.col("n_breakpoints"))).alias(f"_s_{m}") for m in methods]
+    finest = scanned.groupBy(*keys, *ids).agg(
+        F.min(z).alias("depth_min"), F.max(z).alias("depth_max"), F.count("*").alias("n_bp_total"), F.min("_rank").alias("_from"), *sizes)
+    each = F.explode(F.array(*[F.struct(F.lit(d).alias("delta_m"), F.col(f"_id{i}").cast("int").alias("cluster_id")) for i, d in enumerate(deltas)]))
+    merged = finest.withColumn("_d", each).groupBy(*keys, "_d.delta_m", "_d.cluster_id").agg(
+        F.min("depth_min").alias("depth_min"), F.max("depth_max").alias("depth_max"), F.sum("n_bp_total").alias("n_bp_total"),
+        F.min("_from").alias("_from"),
+        *[F.size(F.array_distinct(F.flatten(F.collect_list(f"_s_{m}")))).cast("long").alias(f"n_{m}") for m in methods])
+    group, top = [*keys, "delta_m", "cluster_id"], F.col("n_bp_total") - 1
+    asked = F.array(*[F.struct(F.lit(q).alias("q"), (F.lit(q) * top).alias("place")) for q in (0.25, 0.5, 0.75)])
+    wanted = merged.select(*group, "_from", F.explode(asked).alias("_a")).select(
+        *group, "_a.q", (F.col("_a.place") - F.floor("_a.place")).alias("share"),
+        F.explode(F.array_distinct(F.array(F.floor("_a.place"), F.ceil("_a.place")))).alias("step"),
+        (F.col("_from") + F.col("step")).alias("_rank"))
+    found = wanted.join(scanned.select(*keys, "_rank", F.col(z).alias("_v")), [*keys, "_rank"]).groupBy(*group, "q").agg(
+        F.min_by("_v", "step").alias("low"), F.max_by("_v", "step").alias("high"), F.max("share").alias("share"))
+    value = F.when(F.col("share") == 0, F.col("low")).otherwise((1 - F.col("share")) * F.col("low") + F.col("share") * F.col("high"))
+    at = {q: F.max(F.when(F.col("q") == q, value)).alias(n) for q, n in ((0.25, "_q1"), (0.5, "depth_median"), (0.75, "_q3"))}
+    return _shaped(merged.join(found.groupBy(*group).agg(*at.values()), group), group, methods)
 
 
 def depth_histogram(df, keys, z, width=0.5, low=None, high=None):

@@ -38,41 +38,80 @@ def _weight(column, weights):
     return out
 
 
+#: Cells of one size that make up a cell of the next, and the number of sizes.
+RADIX, SIZES = 16, 4
+
+
+def _cells(low, high, bucket_m):
+    """Cells (level, n) that tile an interval's buckets, large ones inside, and the larger cells around them.
+
+    Cells of level l are RADIX ** l buckets wide.  An interval of any length has at most 2 (RADIX - 1) cells of a
+    level, but for the largest, and three or so around them.
+    """
+    size = F.lit(float(bucket_m))
+    cell = "array<struct<l:int,n:bigint>>"
+
+    def run(level, first, past):
+        return f"if({first} < {past}, transform(sequence({first}, {past} - 1), n -> named_struct('l', {level}, 'n', n)), cast(array() as {cell}))"
+
+    up, down = f"({RADIX} * ceil(s.lo / {RADIX}))", f"({RADIX} * floor(s.hi / {RADIX}))"
+    split = f"named_struct('lo', cast({up} as bigint), 'hi', cast({down} as bigint))"
+    step = f"""if(s.lo >= s.hi, s, if(l = {SIZES - 1} OR {up} >= {down},
+      named_struct('lo', 0L, 'hi', 0L, 'out', concat(s.out, {run('l', 's.lo', 's.hi')})),
+      named_struct('lo', cast({up} div {RADIX} as bigint), 'hi', cast({down} div {RADIX} as bigint),
+        'out', concat(s.out, {run('l', 's.lo', f'cast({up} as bigint)')}, {run('l', f'cast({down} as bigint)', 's.hi')}))))"""
+    start = f"named_struct('lo', _first, 'hi', _past, 'out', cast(array() as {cell}))"
+    tiles = F.expr(f"aggregate(sequence(0, {SIZES - 1}), {start}, (s, l) -> {step}, s -> s.out)")
+    around = F.expr(f"""array_distinct(flatten(transform(_tiles, t -> transform(filter(sequence(1, {SIZES - 1}), l -> l > t.l),
+      l -> named_struct('l', l, 'n', cast(floor(t.n / power({RADIX}, l - t.l)) as bigint))))))""")
+    first = F.floor(low / size).cast("long")
+    past = (F.floor(high / size) + 1).cast("long")
+    return first, past, tiles, around
+
+
+def _in_cells(df, columns, low, high, bucket_m, names):
+    """Rows with their own cells (`_own`) and the cells around them, one row per cell."""
+    first, past, tiles, around = _cells(F.col(low), F.col(high), bucket_m)
+    rows = df.select(*columns, low, high, first.alias("_first"), past.alias("_past")).withColumn("_tiles", tiles)
+    rows = rows.withColumn("_around", around)
+    both = F.concat(F.transform("_tiles", lambda t: F.struct(t["l"].alias("l"), t["n"].alias("n"), F.lit(True).alias("own"))),
+                    F.transform("_around", lambda t: F.struct(t["l"].alias("l"), t["n"].alias("n"), F.lit(False).alias("own"))))
+    return rows.select(*columns, low, high, F.explode(both).alias("_c")).select(
+        *columns, low, high, F.col("_c.l").alias("_level"), F.col("_c.n").alias("_cell"), F.col("_c.own").alias(names))
+
+
 def find_matches(clusters, zones, keys=("well_id",), rule="hybrid", tolerance_m=0.5, bucket_m=BUCKET_M):
     """Pairs of cluster and zone that overlap, lie close by, or either.
 
-    Both sides are spread over depth buckets and joined on (well, bucket), so a well with
-    very many clusters and zones is many small joins and not one large one.  A pair that
-    meets in several buckets counts in the first it shares.
+    Both sides are tiled by depth cells of several sizes and joined on (well, cell): two intervals meet exactly where a cell
+    of one is a cell of the other or lies around one of its cells.  A well with very many clusters and zones is many small
+    joins, and an interval of any length is tens of rows.  A pair counts in the cell that holds the start of what it shares.
     """
     check_options(rule, tolerance_m=tolerance_m)
     keys = [*keys]
     near = 0.0 if rule == "overlap" else float(tolerance_m)
-    size = F.lit(float(bucket_m))
-
-    def buckets(low, high):
-        return F.sequence(F.floor(low / size).cast("long"), F.floor(high / size).cast("long"))
-
     # The centre rule compares centres: a zone's reach must include its stated centre.
-    c_low = F.least("depth_min", "depth_max", "depth_median") - near
-    c_high = F.greatest("depth_min", "depth_max", "depth_median") + near
-    z_low, z_high = F.least("z_bot", "z_top", "z_centre"), F.greatest("z_bot", "z_top", "z_centre")
     left = clusters.select(
         *keys, "cluster_id", "depth_min", "depth_max", "depth_median",
-        c_low.alias("_c_low"), F.explode(buckets(c_low, c_high)).alias("_bucket"),
-    )
+        (F.least("depth_min", "depth_max", "depth_median") - near).alias("_c_low"),
+        (F.greatest("depth_min", "depth_max", "depth_median") + near).alias("_c_high"))
     right = zones.select(
-        *keys, *ZONE_COLUMNS, z_low.alias("_z_low"), F.explode(buckets(z_low, z_high)).alias("_bucket")
-    )
-    first = F.floor(F.greatest("_c_low", "_z_low") / size)
+        *keys, *ZONE_COLUMNS, F.least("z_bot", "z_top", "z_centre").alias("_z_low"),
+        F.greatest("z_bot", "z_top", "z_centre").alias("_z_high"))
+    left = _in_cells(left, [*keys, "cluster_id", "depth_min", "depth_max", "depth_median"], "_c_low", "_c_high", bucket_m, "_c_own")
+    right = _in_cells(right, [*keys, *ZONE_COLUMNS], "_z_low", "_z_high", bucket_m, "_z_own")
     overlap = overlap_length(F.col("depth_min"), F.col("depth_max"), F.col("z_bot"), F.col("z_top"))
     distance = F.abs(F.col("depth_median") - F.col("z_centre"))
     met = {
         "overlap": overlap > 0, "center_distance": distance <= tolerance_m,
         "hybrid": (overlap > 0) | (distance <= tolerance_m),
     }[rule]
-    pairs = left.join(right, [*keys, "_bucket"]).where((F.col("_bucket") == first) & met)
-    return pairs.select(
+    bucket = F.floor(F.greatest("_c_low", "_z_low") / F.lit(float(bucket_m)))
+    first = F.floor(bucket / F.pow(F.lit(float(RADIX)), F.col("_level")))
+    place = [*keys, "_level", "_cell"]
+    # cells that only lie around both never meet, so the two joins leave that product out
+    pairs = left.where("_c_own").join(right, place).unionByName(left.where("NOT _c_own").join(right.where("_z_own"), place))
+    return pairs.where((F.col("_cell") == first) & met).select(
         *keys, "cluster_id", *ZONE_COLUMNS, overlap.alias("overlap_m"),
         distance.alias("center_distance_m"),
     )

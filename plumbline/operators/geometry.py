@@ -71,8 +71,9 @@ def transition_zone(df, keys, index="bp_index", z="depth_m", y="log10_sec",
     TOP has the largest turning angle (among values below `top` when given); BOTTOM has
     the largest angle among the other points with value >= `bottom`.  End points never
     bend, so short profiles have one candidate: the interior one of three points, the first
-    of two (it opens the only pair).  It is TOP, whatever `top` says, and BOTTOM as well
-    if it reaches the threshold.  `bottom` and `top` may be columns.
+    of two (it opens the only pair).  It is TOP, and BOTTOM as well if it reaches the threshold.  A
+    candidate that `top` rules out leaves such a profile without flags, status no_top_candidate.
+    `bottom` and `top` may be columns.
     """
     track = _angles(lay(df, keys, [index], layout), z, y).scan(_i=row_number())
     value = F.pow(F.lit(10.0), F.col(y))
@@ -90,8 +91,8 @@ def _flag_zone(track, index, value, side, bottom, top, lone=False):
     )
     single = ((F.col("_n") == 2) & (F.col("_i") == 0)) | ((F.col("_n") == 3) & F.col("turning_angle").isNotNull())
     single = F.coalesce(single, F.lit(False)) & F.lit(lone)
-    track = track.with_columns(_single=single).per_profile(
-        _best=_first_max("turning_angle", index, F.col("_may_top")), _bent=F.count("turning_angle"),
+    track = track.with_columns(_single=single & F.col("_may_top"), _ruled=single & ~F.col("_may_top")).per_profile(
+        _refused=F.max("_ruled"), _best=_first_max("turning_angle", index, F.col("_may_top")), _bent=F.count("turning_angle"),
         _lone=F.min(F.when(F.col("_single"), F.struct(F.col(index).alias("i"), (~F.col("_eligible")).alias("dry")))),
     )
     track = track.with_columns(_top=F.coalesce(F.col("_lone.i"), F.col("_best.i")))
@@ -99,7 +100,8 @@ def _flag_zone(track, index, value, side, bottom, top, lone=False):
     track = track.with_columns(_other=other).per_profile(
         _bottom=_first_max("turning_angle", index, F.col("_other")),
     )
-    bottom_index = F.when(F.col("_lone").isNull(), F.col("_bottom.i")).when(~F.col("_lone.dry"), F.col("_lone.i"))
+    bottom_index = F.when(F.col("_refused"), None).when(F.col("_lone").isNull(), F.col("_bottom.i")).when(
+        ~F.col("_lone.dry"), F.col("_lone.i"))
     close = (
         F.col("_other") & (F.col(index) != F.col("_bottom.i"))
         & (F.abs(F.col("turning_angle") - F.col("_bottom.a")) <= TIE * F.abs(F.col("_bottom.a")))
@@ -107,6 +109,7 @@ def _flag_zone(track, index, value, side, bottom, top, lone=False):
     track = track.with_columns(_close=F.coalesce(close, F.lit(False))).per_profile(_ties=F.count_if("_close"))
     status = (
         F.when(F.col("_n") < 2, "too_few_points")
+        .when(F.col("_refused"), "no_top_candidate")
         .when((F.col("_span") == 0) & F.col("_lone").isNull(), "flat")
         .when(F.col("_top").isNull() & (F.col("_bent") > 0), "no_top_candidate")
         .when(bottom_index.isNull(), "no_bottom_candidate").otherwise("ok")
@@ -114,9 +117,9 @@ def _flag_zone(track, index, value, side, bottom, top, lone=False):
     return track.with_columns(
         is_top_of_mixing=F.coalesce(F.col(index) == F.col("_top"), F.lit(False)),
         is_bottom_of_mixing=F.coalesce(F.col(index) == bottom_index, F.lit(False)),
-        bot_tie=F.col("_ties") > 0,
+        bot_tie=(F.col("_ties") > 0) & ~F.col("_refused"),
         mz_status=status,
-    ).on_drop("_top", "_best", "_bent", "_lone", "_single", "_bottom", "_ties", "_close", "_other",
+    ).on_drop("_top", "_best", "_bent", "_lone", "_single", "_ruled", "_refused", "_bottom", "_ties", "_close", "_other",
               "_eligible", "_may_top", "_n", "_span", "_i")
 
 

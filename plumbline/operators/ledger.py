@@ -2,6 +2,8 @@
 
 from pyspark.sql import functions as F
 
+from plumbline.sources.publish import publish
+
 LEDGER_COLUMNS = ("run_id", "timestamp", "stage", "well_id", "date", "method_signature",
                   "input_file", "output_file", "params_json", "notes")
 
@@ -58,6 +60,19 @@ def write_and_register(output, output_folder, entries, ledger_folder, mode="erro
     append_run(entries, ledger_folder)
 
 
+def publish_run(spark, store, table, output, entries, mode="replace"):
+    """Write a result and its ledger rows as one version of a store: both are seen, or neither.
+
+    The result replaces `table` or, with mode `append`, adds to it; the ledger rows add to `ledger`.
+    """
+    if mode not in ("replace", "append"):
+        raise ValueError(f"unknown mode {mode!r}")
+    rows = {"ledger": entries.select(*LEDGER_COLUMNS)}
+    if mode == "append":
+        return publish(spark, store, append={table: output, **rows})
+    return publish(spark, store, replace={table: output}, append=rows)
+
+
 def latest_artefact(ledger, keys, pinned_run=None):
     """Newest ledger row per key, or the rows of one run."""
     if pinned_run is not None:

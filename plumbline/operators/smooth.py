@@ -1,16 +1,18 @@
 """Profile smoothers: Savitzky-Golay (plain, segmented), LOWESS, isotonic."""
 
+import math
+
 import numpy as np
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from plumbline.operators.clean import add_log10, clean_casts
-from plumbline.operators.lowess_long import SCALE_FLOOR, local_values, lowess_long, tricube_moments
+from plumbline.operators.isotonic_long import isotonic_long, pool_adjacent
+from plumbline.operators.lowess_long import DIRECT, SCALE_FLOOR, PowerSums, local_values, lowess_long, tricube_moments
 from plumbline.operators.resample import resample
 from plumbline.plans.layout import (
-    Layout, finish, lag, last_known, lay, lead, next_known, row_number, running_max, running_sum,
-    spread,
+    Layout, finish, lay, lead, next_known, row_number, running_max, running_sum, spread,
 )
 
 
@@ -35,28 +37,89 @@ def savgol(df, keys, z, v, window=11, order=3, out=None, layout=None):
     return finish(_savgol(track, [*keys], v, odd_window(window), order, out or v)).drop("_i", "_n")
 
 
+def _window_powers(v, index, window, order):
+    """Names and columns of a row's terms: its value times powers of its place, by which third run of rows it lies in.
+
+    Places count from the middle of aligned runs of one window length, so they are at most one half; a window touches two
+    such runs, and three classes tell them and their neighbours apart.  Sums of these terms over a window give all that a polynomial
+    fit needs, and their number depends on the order alone.
+    """
+    run = F.floor(index / window)
+    place = (index - run * window - window // 2) / F.lit(float(max(window // 2, 1)))
+    terms = {}
+    for third in range(3):
+        for p in range(order + 1):
+            power = F.lit(1.0) if p == 0 else F.pow(place, F.lit(float(p)))
+            terms[f"_t{third}_{p}"] = F.when(run % 3 == third, F.col(v) * power).otherwise(F.when(F.col(v).isNull(), None).otherwise(0.0))
+    return terms
+
+
+def _about(sums, shifts, order):
+    """Sums of value times (place - centre)^p over a window, from the sums of its runs' terms and the runs' shifts."""
+    out = []
+    for p in range(order + 1):
+        total = None
+        for third in range(3):
+            inner = sums[f"_t{third}_0"]  # Horner's rule in the shift: sums of (term + shift)^p
+            for q in range(1, p + 1):
+                inner = inner * shifts[third] + F.lit(float(math.comb(p, q))) * sums[f"_t{third}_{q}"]
+            total = inner if total is None else total + inner
+        out.append(total)
+    return out
+
+
 def _savgol(track, group, v, window, order, out):
-    """Smooth rows indexed _i of _n inside `group`, a refinement of the profile key."""
+    """Smooth rows indexed _i of _n inside `group`, a refinement of the profile key.
+
+    A window's fit is a matrix times the sums of its values by powers of their places.  The sums are moving ones, so a
+    row carries a number of terms that follows the order and not the window's length.  Rows near an end read the fit of the
+    first or last full window off at their own place.
+    """
     if not window > order:
         raise ValueError("the window must be longer than the polynomial order")
     h = window // 2
-    matrix = F.array(*[F.array(*[F.lit(float(c)) for c in row]) for row in hat_matrix(window, order)])
     rows, parts, own = track.neighbourhood("_row" if "_row" in track.df.columns else "_i", window)
     if track.layout.split:
         parts = [*group, *[p for p in parts if p not in group]]
     else:
         parts = [*group]
-    frame = Window.partitionBy(*parts).orderBy("_i").rowsBetween(-(window - 1), window - 1)
-    base = Window.partitionBy(*parts).orderBy("_i").rowsBetween(-(window - 1), 0)
+    near = Window.partitionBy(*parts).orderBy("_i").rowsBetween(-h, h)
+    every = Window.partitionBy(*parts)
+    terms = _window_powers(v, F.col("_i"), window, order)
+    rows = rows.withColumns({**terms, "_own": own})
+    # a null makes the sums of every window that holds it null
+    whole = F.count(F.when(F.col(v).isNull(), 1)).over(near) == 0
+    rows = rows.withColumns({**{f"{t}s": F.sum(t).over(near) for t in terms}, "_whole": whole})
+    sums = F.struct(*[F.when(F.col("_whole"), F.col(f"{t}s")).alias(t) for t in terms])
+    rows = rows.withColumn("_sums", sums).drop(*terms, *[f"{t}s" for t in terms], "_whole")
     rows = rows.withColumns({
-        "_around": F.collect_list(F.struct(F.col(v).alias("v"))).over(frame), "_head": F.min("_i").over(base), "_own": own,
+        "_head": F.max(F.when(F.col("_i") == h, F.col("_sums"))).over(every),
+        "_tail": F.max(F.when(F.col("_i") == F.col("_n") - 1 - h, F.col("_sums"))).over(every),
     }).where("_own")
-    start = F.greatest(F.lit(0), F.least(F.col("_i") - h, F.col("_n") - window))
-    values = F.slice("_around", (start - F.col("_head") + 1).cast("int"), window)
-    weights = F.try_element_at(matrix, (F.col("_i") - start + 1).cast("int"))
-    smooth = F.aggregate(F.zip_with(weights, values, lambda a, b: a * b["v"]), F.lit(0.0), lambda s, t: s + t)
+    # steps of their own, so that no expression is repeated inside another
+    rows = rows.withColumn("_centre", F.greatest(F.lit(h), F.least(F.col("_i"), F.col("_n") - 1 - h)))
+    rows = rows.withColumn("_run", F.floor(F.col("_centre") / window))
+    step = lambda third: (third - F.col("_run") % 3 + 4) % 3 - 1  # -1, 0 or 1: the run before, this one, the next
+    rows = rows.withColumns({
+        "_used": F.when(F.col("_i") < h, F.col("_head")).when(F.col("_i") > F.col("_n") - 1 - h, F.col("_tail")).otherwise(F.col("_sums")),
+        **{f"_shift{k}": ((F.col("_run") + step(k)) * window + h - F.col("_centre")) / F.lit(float(max(h, 1))) for k in range(3)}})
+    moments = _about({t: F.col(f"_used.{t}") for t in terms}, [F.col(f"_shift{k}") for k in range(3)], order)
+    rows = rows.withColumns({f"_m{p}": m for p, m in enumerate(moments)})
+    # value at place t: t's powers times the inverse of the places' power sums times the moments
+    places = (np.arange(window) - h) / max(h, 1)
+    design = np.vander(places, order + 1, increasing=True)
+    inverse = np.linalg.inv(design.T @ design)
+    rows = rows.withColumn("_place", (F.col("_i") - F.col("_centre")) / F.lit(float(max(h, 1))))
+    smooth = F.lit(0.0)
+    for p in range(order, -1, -1):
+        factor = F.lit(0.0)
+        for q in range(order + 1):
+            if inverse[p, q]:
+                factor = factor + F.lit(float(inverse[p, q])) * F.col(f"_m{q}")
+        smooth = smooth * F.col("_place") + factor
     rows = rows.withColumn(out, F.when(F.col("_n") >= window, smooth).otherwise(F.col(v)))
-    return track.on(rows.drop("_around", "_head", "_own", "_block"))
+    return track.on(rows.drop(*[f"_shift{k}" for k in range(3)], *[f"_m{p}" for p in range(order + 1)], "_centre", "_run", "_place",
+                              "_sums", "_head", "_tail", "_used", "_own", "_block"))
 
 
 def segmented_savgol(df, keys, z, v, window=11, order=3, gradient_factor=20.0,
@@ -95,6 +158,13 @@ def _tricube_fit(x, y, k, degree, robust):
     # The window moves right while the row beyond its end is nearer than its first row.
     left = np.searchsorted(x[k:] + x[:n - k], 2 * x, side="left")
     out = np.empty(n)
+    if k > DIRECT:
+        power = PowerSums(x, robust, y, degree)
+        for a in range(0, n, 1 << 16):
+            low, at = left[a:a + (1 << 16)], x[a:a + (1 << 16)]
+            reach = np.maximum(np.abs(x[low] - at), np.abs(x[low + k - 1] - at))
+            out[a:a + (1 << 16)] = local_values(power.moments(low, low + k, at, reach), y[a:a + (1 << 16)], degree)
+        return out
     step = max(1, 2_000_000 // k)
     for a in range(0, n, step):
         cols = left[a:a + step, None] + np.arange(k)
@@ -121,7 +191,7 @@ def lowess_values(x, y, frac=0.05, degree=1, robust_passes=2):
 
 
 def lowess(df, keys, z, v, frac=0.05, degree=1, robust_passes=2, out=None, layout=None):
-    """Cleveland's LOWESS per profile.
+    """Cleveland's LOWESS per profile; rows at one depth follow the order of their values.
 
     Whole profiles run in one grouped-map pass; see `lowess_long` for the others.
     """
@@ -129,7 +199,7 @@ def lowess(df, keys, z, v, frac=0.05, degree=1, robust_passes=2, out=None, layou
     layout = layout or Layout.of(df, keys)
     if not layout.split:
         def fit(pdf):
-            pdf = pdf.sort_values(z, kind="stable")
+            pdf = pdf.sort_values([z, v], kind="stable")
             x, y = pdf[z].to_numpy(float), pdf[v].to_numpy(float)
             return pdf.assign(**{out: lowess_values(x, y, frac, degree, robust_passes)})
 
@@ -144,73 +214,25 @@ def _with_double(schema, name):
     )
 
 
-def pool_adjacent(y, weight):
-    """Weighted non-decreasing least-squares fit by pooling adjacent violators."""
-    level, mass, size = [], [], []
-    for value, w in zip(y, weight):
-        level.append(value)
-        mass.append(w)
-        size.append(1)
-        while len(level) > 1 and level[-2] > level[-1]:
-            total = mass[-2] + mass[-1]
-            level[-2] = (level[-2] * mass[-2] + level[-1] * mass[-1]) / total
-            mass[-2], size[-2] = total, size[-2] + size[-1]
-            level.pop(), mass.pop(), size.pop()
-    return np.repeat(level, size)
-
-
 def isotonic(df, keys, z, v, out=None, layout=None):
     """Non-decreasing fit in depth; was_changed marks rows moved by more than 1e-9.
 
-    Violators may be pooled in any order.  Long profiles are therefore pooled in runs of
-    bounded length; the cuts move by half a run between rounds, until no violator is left.
+    Rows at one depth follow the order of their values.  Whole profiles are pooled in one task; see
+    `isotonic_long` for the others.
     """
     out = out or v
     layout = layout or Layout.of(df, keys)
-    if not layout.split:
-        def fit(pdf):
-            pdf = pdf.sort_values(z, kind="stable")
-            y = pdf[v].to_numpy(float)
-            new = pool_adjacent(y, np.ones(len(y)))
-            return pdf.assign(**{out: new, "was_changed": np.abs(new - y) > 1e-9})
-
-        schema = _with_double(df.schema, out).add("was_changed", T.BooleanType())
-        return spread(df, keys).groupBy(*keys).applyInPandas(fit, schema)
-    track = lay(df, keys, [z], layout).scan(_i=row_number())
-    blocks = track.df.select(
-        *keys, F.col("_i").alias("_from"), F.col(v).cast("double").alias("_level"),
-        F.lit(1.0).alias("_mass"),
-    )
-    schema = blocks.schema
-
-    def pool(pdf):
-        pdf = pdf.sort_values("_from")
-        mass = pdf["_mass"].to_numpy(float)
-        new = pool_adjacent(pdf["_level"].to_numpy(float), mass)
-        head = np.concatenate([[True], np.diff(new) > 0])
-        return pdf[head].assign(_level=new[head], _mass=np.bincount(np.cumsum(head) - 1, mass))[
-            schema.names
-        ]
-
-    size, shift = F.lit(layout.rows_per_split), 0
-    while True:
-        ranked = lay(blocks, keys, ["_from"], layout).scan(
-            _rank=row_number(), _before=lag(F.col("_level"))
-        ).df
-        if ranked.where("_before > _level").isEmpty():
-            break
-        ranked = ranked.withColumn("_run", F.floor((F.col("_rank") + shift) / size))
-        runs = spread(ranked, [*keys, "_run"]).groupBy(*keys, "_run")
-        blocks = runs.applyInPandas(pool, schema).checkpoint()
-        shift = layout.rows_per_split // 2 - shift
-    starts = blocks.select(*keys, F.col("_from").alias("_i"), "_level")
-    joined = track.on(track.df.join(starts, [*keys, "_i"], "left")).scan(
-        _new=last_known(F.col("_level"))
-    )
-    changed = F.abs(F.col("_new") - F.col(v)) > 1e-9
-    return finish(joined.with_columns(was_changed=changed).with_columns(
-        **{out: F.col("_new")}
-    ).on_drop("_new", "_level", "_i"))
+    if layout.split:
+        return isotonic_long(df, keys, z, v, out, layout)
+
+    def fit(pdf):
+        pdf = pdf.sort_values([z, v], kind="stable")
+        y = pdf[v].to_numpy(float)
+        new = pool_adjacent(y, np.ones(len(y)))
+        return pdf.assign(**{out: new, "was_changed": np.abs(new - y) > 1e-9})
+
+    schema = _with_double(df.schema, out).add("was_changed", T.BooleanType())
+    return spread(df, keys).groupBy(*keys).applyInPandas(fit, schema)
 
 
 def savgol_profiles(df, keys, z="depth_m", v="sec_us_cm", seq="seq", window=11, order=3,
@@ -235,25 +257,35 @@ def lowess_profiles(df, keys, z="depth_m", v="sec_us_cm", seq="seq", frac=0.05,
     return add_log10(isotonic(smooth, keys, z, v, layout=layout).drop("was_changed"), v)
 
 
-def window_sensitivity(grid, keys, windows, z="depth_m", v="sec_us_cm", order=3, delta_m=0.5,
-                       layout=None, **sweep_options):
-    """Robustness of breakpoints to the smoothing window: the window is a column of the result.
-
-    Every window smooths the same resampled profiles, and its own fits feed its clusters.
-    """
-    from plumbline.operators.cluster import robustness
-    from plumbline.operators.sweep import sweep
-
+def window_profiles(grid, keys, windows, z="depth_m", v="sec_us_cm", order=3, layout=None):
+    """The resampled profiles smoothed with every window, which is a column of the result."""
     keys = [*keys]
     layout = layout or Layout.of(grid, keys)
     stacked = None
     for window in windows:
         one = savgol(grid, keys, z, v, window, order, layout=layout).withColumn("window", F.lit(window))
         stacked = one if stacked is None else stacked.unionByName(one)
+    return add_log10(stacked, v)
+
+
+def window_robustness(fits, keys, delta_m=0.5, layout=None):
+    """Clusters of the breakpoints of all converged fits per profile and window."""
+    from plumbline.operators.cluster import robustness
+
     group = [*keys, "window"]
-    fits = sweep(add_log10(stacked, v), group, z, "log10_sec", layout=layout, **sweep_options)
     records = fits.where("converged").select(
         *group, F.lit("savgol").alias("smoothing"), "n_breakpoints",
         F.posexplode("psis").alias("record_id", "depth_bgl_m"),
     )
     return robustness(records, group, delta_m, tie=("n_breakpoints", "record_id"), layout=layout)
+
+
+def window_sensitivity(grid, keys, windows, z="depth_m", v="sec_us_cm", order=3, delta_m=0.5,
+                       layout=None, **sweep_options):
+    """Robustness of breakpoints to the smoothing window: every window's own fits feed its clusters."""
+    from plumbline.operators.sweep import sweep
+
+    layout = layout or Layout.of(grid, keys)
+    profiles = window_profiles(grid, keys, windows, z, v, order, layout)
+    fits = sweep(profiles, [*keys, "window"], z, "log10_sec", layout=layout, **sweep_options)
+    return window_robustness(fits, keys, delta_m, layout)

@@ -54,13 +54,13 @@ def hash_longs(values, seed):
     return h ^ (h >> np.uint64(32))
 
 
-def bootstrap_weights(n, seed, restart):
-    """Poisson weights of the rows of rank 0..n-1."""
+def bootstrap_weights(n, seed, restart, first=0):
+    """Poisson weights of the n rows from rank `first` on."""
     with np.errstate(over="ignore"):
         h = np.array([42], np.uint64)
         for part in (seed, restart):
             h = hash_longs(np.array([part], np.int64).view(np.uint64), h[0])
-        h = hash_longs(np.arange(n, dtype=np.uint64), h[0])
+        h = hash_longs(np.arange(first, first + n, dtype=np.uint64), h[0])
     return np.searchsorted(POISSON, (h >> np.uint64(11)) / 2.0**53, side="right").astype(float)
 
 
@@ -134,7 +134,19 @@ def muggeo_steps(moments, psi):
     with np.errstate(divide="ignore", invalid="ignore"):
         moved = psi + full[:, 2 + n:] / full[:, 2:2 + n]
     rss = np.maximum(moments[:, 0, 5] - (line * right[:, :2 + n]).sum(axis=1), 0.0)
-    return {"gram": gram, "full": full, "line": line, "rss": rss, "moved": moved}
+    return {"gram": gram, "full": full, "line": line, "rss": rss, "moved": moved, "identified": identified(moments)}
+
+
+def identified(moments):
+    """Per fit: rows at two depths or more in every segment.
+
+    The design with steps is a line of its own per segment.  A segment with a single depth leaves it singular: its
+    breakpoint could be anywhere between two rows, and a fit that stops there has not found one.
+    """
+    ends = np.concatenate([moments[:, :, :3], np.zeros_like(moments[:, :1, :3])], axis=1)
+    count, first, second = (ends[:, :-1] - ends[:, 1:]).transpose(2, 0, 1)
+    spread = second - first**2 / np.where(count > 0, count, 1.0)
+    return ((count > 0) & (spread > 1e-10 * count)).all(axis=1)
 
 
 def next_breakpoints(psi, moved, low, high):
@@ -157,10 +169,15 @@ def damping(turn):
     return 0.5 ** (turn // FULL_STEPS)
 
 
-def at_rest(psi, new, rss, before, tolerance):
-    """Breakpoints at rest, or a residual sum that no longer changes (Muggeo's criterion)."""
-    still = np.abs(new - psi).max(axis=1) < tolerance
-    return still | (np.abs(before - rss) <= tolerance * rss)
+def at_rest(psi, proposed, rss, before, tolerance, turn):
+    """Breakpoints that a full step leaves where they are, or hardly moves while the residual sum stays.
+
+    Shortened steps always change little, so they prove nothing: what counts is the step that was proposed.  Two
+    residual sums can be alike by chance while the breakpoints jump, so these must be near rest as well.
+    """
+    step = np.abs(proposed - psi).max(axis=1)
+    flat = (damping(turn) == 1) & (np.abs(before - rss) <= tolerance * rss)
+    return (step < tolerance) | (flat & (step < np.sqrt(tolerance)))
 
 
 def iterate(x, sums, psi, tolerance, min_gap, most=MAX_ITERATIONS):
@@ -176,7 +193,8 @@ def iterate(x, sums, psi, tolerance, min_gap, most=MAX_ITERATIONS):
         good = np.isfinite(step["full"]).all(axis=1) & np.isfinite(step["rss"])
         moved = psi + (step["moved"] - psi) * damping(turn)
         new = next_breakpoints(psi, moved, x[0], x[-1])
-        rest = good & at_rest(psi, new, step["rss"], before, tolerance)
+        proposed = next_breakpoints(psi, step["moved"], x[0], x[-1])
+        rest = good & step["identified"] & at_rest(psi, proposed, step["rss"], before, tolerance, turn)
         keep = rest & apart(psi, x[0], x[-1], min_gap)
         out[live[keep]] = psi[keep]
         going = good & ~rest
@@ -218,8 +236,13 @@ def fit_size(x, y, n, seeds, restarts, tolerance, min_distance, starts=None, mos
         keep(range(count), np.empty((count, 0)))
     elif starts is not None:
         first = np.stack([(np.sort(np.asarray(s, float)) - x[0]) / span for s in starts])
-        found, moving = iterate(u, sums, first, tolerance, gap, most)
-        keep(range(count), found)
+        # a breakpoint saved on a row may come back on its other side, so a start that fails is tried a hair off
+        for nudge in (0.0, 1e-12, -1e-12):
+            todo = [i for i in range(count) if best[i] is None]
+            if todo:
+                found, late = iterate(u, sums, first[todo] + nudge, tolerance, gap, most)
+                keep(todo, found)
+                moving[todo] = late
     else:
         first = np.stack([random_start(seed, n) for seed in seeds])
         found, moving = iterate(u, sums, first, tolerance, gap, most)
@@ -291,8 +314,8 @@ def sweep(df, keys, x="depth_m", y="log10_sec", max_breakpoints=10, trials=3, re
     """Fit sizes 0..max_breakpoints for every trial of every profile.
 
     Fits that do not converge stay as rows without estimates; `status` says why.  Profiles too
-    long for one task, and only those, go through `sweep_long`, where each iteration is one
-    aggregate over their rows; starts and restarts are the same.
+    long for one task, and only those, go through `sweep_long`, which reads the blocks around
+    the breakpoints; starts and restarts are the same.
     """
     rows = df.select(*keys, F.col(x).cast("double").alias("_x"), F.col(y).cast("double").alias("_y"))
     rows = rows.where("_x is not null and _y is not null")
@@ -335,7 +358,7 @@ def refit(df, fits, keys, x="depth_m", y="log10_sec", tolerance=1e-5, min_distan
           max_iterations=MAX_ITERATIONS, layout=None):
     """Warm start: refit saved breakpoints (column psis of `fits`) without restarts.
 
-    Long profiles are refitted by aggregates, as in `sweep`.
+    Long profiles are refitted over block moments, as in `sweep`.
     """
     keys = [*keys]
     rows = df.select(*keys, F.col(x).cast("double").alias("_x"), F.col(y).cast("double").alias("_y"))
@@ -367,7 +390,7 @@ def refit(df, fits, keys, x="depth_m", y="log10_sec", tolerance=1e-5, min_distan
         rows, long = by_length(rows, keys, layout.rows_per_split)
         far = saved.join(long.select(*keys).distinct(), keys, "left_semi")
         saved = saved.join(long.select(*keys).distinct(), keys, "left_anti")
-        others = refit_long(long, far, keys, tolerance, min_distance, max_iterations)
+        others = refit_long(long, far, keys, tolerance, min_distance, max_iterations, layout)
     left, right = spread(rows, keys), spread(saved, keys)
     done = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(fit, schema)
     return done if others is None else done.unionByName(others)

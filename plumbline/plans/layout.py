@@ -276,8 +276,7 @@ def exact_quantiles(df, by, wanted, layout: Layout | None = None, also=()) -> Da
     `also` lists named plain aggregates to take in the same pass.
 
     Small groups use the built-in `percentile`.  It keeps a group's distinct values in
-    one task, so large groups are ranked in split order instead and the two ranks that
-    surround each quantile are picked out.
+    one task, so for large groups the ranks are narrowed down by counts instead.
     """
     by = list(by)
     layout = layout or Layout.of(df, by)
@@ -285,32 +284,60 @@ def exact_quantiles(df, by, wanted, layout: Layout | None = None, also=()) -> Da
         packs, picks = _packed(wanted)
         out = df.groupBy(*by).agg(*[p.alias(n) for n, p in packs.items()], *also)
         return out.withColumns(picks).drop(*packs)
-    out = df.groupBy(*by).agg(*also) if also else df.select(*by).distinct()
+    return _narrowed(df, by, wanted, also)
+
+
+#: Rank accuracy of the sketches that bracket a quantile: one part in so many.
+ACCURACY = 10_000
+
+
+def _narrowed(df, by, wanted, also):
+    """Exact quantiles without sorting rows, all fractions of a column at once.
+
+    Mergeable sketches give every fraction a bracket of values that must hold its two ranks.  One counting
+    aggregate then keeps the distinct values inside the brackets, and one row for all rows between two
+    brackets; running counts over those few rows give the ranks.  Groups smaller than the sketch's accuracy are all bracket.
+    """
+    columns = {}
     for name, (x, q) in wanted.items():
-        ranked = (
-            lay(df.select(*by, x.cast("double").alias("_v")).where("_v is not null"),
-                by, ["_v"], layout)
-            .scan(_rank=row_number())
-        )
-        sizes = ranked.df.groupBy(*by).agg((F.count("*") - 1).alias("_top"))
-        place = F.col("_top") * F.lit(float(q))
-        low, high = F.floor(place), F.ceil(place)
-        picked = (
-            ranked.df.join(sizes, by)
-            .groupBy(*by)
-            .agg(
-                F.max(F.when(F.col("_rank") == low, F.col("_v"))).alias("_low"),
-                F.max(F.when(F.col("_rank") == high, F.col("_v"))).alias("_high"),
-                F.max(place - low).alias("_share"),
-            )
-            .select(
-                *by,
-                F.when(F.col("_share") == 0, F.col("_low"))
-                .otherwise((1 - F.col("_share")) * F.col("_low") + F.col("_share") * F.col("_high"))
-                .alias(name),
-            )
-        )
-        out = out.join(picked, by, "left")
+        columns.setdefault(str(x), (x.cast("double"), []))[1].append((name, float(q)))
+    columns = list(columns.values())
+    sketches = []
+    for i, (x, items) in enumerate(columns):
+        ends = [F.lit(min(1.0, max(0.0, q + side * 4 / ACCURACY))) for _, q in items for side in (-1, 1)]
+        sketches += [F.percentile_approx(x, F.array(*ends), ACCURACY).alias(f"_ends{i}"), F.count(x).alias(f"_n{i}"),
+                     F.min(x).alias(f"_min{i}"), F.max(x).alias(f"_max{i}")]
+    known = df.groupBy(*by).agg(*sketches, *also)
+    ensure_checkpoint_dir(df.sparkSession)
+    known = known.checkpoint()
+    out = known.drop(*[f"{c}{i}" for i in range(len(columns)) for c in ("_ends", "_n", "_min", "_max")])
+    for i, (x, items) in enumerate(columns):
+        few = F.col(f"_n{i}") <= ACCURACY
+        low = F.array(*[F.when(few, F.col(f"_min{i}")).otherwise(F.col(f"_ends{i}")[2 * k]) for k in range(len(items))])
+        high = F.array(*[F.when(few, F.col(f"_max{i}")).otherwise(F.col(f"_ends{i}")[2 * k + 1]) for k in range(len(items))])
+        brackets = known.select(*by, F.arrays_zip(low.alias("low"), high.alias("high")).alias("_brackets"), (F.col(f"_n{i}") - 1).alias("_top"))
+        rows = df.select(*by, x.alias("_v")).where("_v is not null").join(brackets, by)
+        inside = F.exists("_brackets", lambda b: (b["low"] <= F.col("_v")) & (F.col("_v") <= b["high"]))
+        passed = F.array_max(F.transform(F.filter("_brackets", lambda b: b["high"] < F.col("_v")), lambda b: b["high"]))
+        mark = F.when(inside, F.struct(F.col("_v").alias("v"), F.lit(False).alias("between"))).otherwise(
+            F.struct(passed.alias("v"), F.lit(True).alias("between")))
+        counts = rows.groupBy(*by, "_top", mark.alias("_mark")).agg(F.count("*").alias("_c"))
+        upto = F.sum("_c").over(Window.partitionBy(*by).orderBy("_mark").rowsBetween(_FIRST, 0))
+        ranked = counts.withColumn("_upto", upto).where("NOT _mark.between")
+
+        def held(rank):
+            return F.max(F.when((rank < F.col("_upto")) & (rank >= F.col("_upto") - F.col("_c")), F.col("_mark.v")))
+
+        aggregates, picks = [], {}
+        for name, q in items:
+            place = F.col("_top") * F.lit(q)
+            aggregates += [held(F.floor(place)).alias(f"_low_{name}"), held(F.ceil(place)).alias(f"_high_{name}")]
+            share = place - F.floor(place)
+            value = F.when(share == 0, F.col(f"_low_{name}")).otherwise((1 - share) * F.col(f"_low_{name}") + share * F.col(f"_high_{name}"))
+            lost = F.raise_error(F.lit(f"a bracket missed the ranks of {name}")).cast("double")
+            picks[name] = F.when(F.col(f"_low_{name}").isNull() | F.col(f"_high_{name}").isNull(), lost).otherwise(value)
+        picked = ranked.groupBy(*by, "_top").agg(*aggregates)
+        out = out.join(picked.select(*by, *[p.alias(n) for n, p in picks.items()]), by, "left")
     return out
 
 

@@ -1,7 +1,11 @@
 """Readers: files in, one typed DataFrame of many profiles out."""
 
+import csv
+from collections import Counter
+
 from pyspark.sql import Column, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 from plumbline.functions.numeric import clean_nan
 from plumbline.sources.names import parse_cast_name, parse_ert_name, well_of_source
@@ -81,29 +85,105 @@ def read_casts(spark, paths_by_header, aliases=ALIASES, name=None):
     for paths, schema in paths_by_header.values():
         reader = spark.read.option("header", True).option("recursiveFileLookup", True)
         reader = reader.schema(schema) if schema else reader.option("inferSchema", True)
-        raw = reader.csv(paths)
-        picked = {
-            "depth_m": F.col(f"`{resolve_column(raw.columns, 'depth', aliases)}`").cast("double"),
-            "sec_us_cm": F.col(f"`{resolve_column(raw.columns, 'conductivity', aliases)}`").cast("double"),
-        }
-        for concept in ("time", "time_frac"):
-            column = resolve_column(raw.columns, concept, aliases, strict=False)
-            picked[concept] = (F.lit(None) if column is None else F.col(f"`{column}`")).cast(
-                "string" if concept == "time" else "double"
-            )
-        ground = resolve_column(raw.columns, "ground_depth", DATUM_ALIASES, strict=False, trim=True)
-        picked["depth_gl_m"] = (F.lit(None) if ground is None else F.col(f"`{ground}`")).cast("double")
-        part = raw.select(
-            name.alias("file_name"), F.col("_metadata.file_path").alias("file_path"),
-            F.col("_metadata.file_block_start").alias("block_start"),
-            F.monotonically_increasing_id().alias("row_no"),
-            *[c.alias(n) for n, c in picked.items()],
-        )
+        part = _picked_casts(reader.csv(paths), aliases, name)
         stacked = part if stacked is None else stacked.unionByName(part)
-    keyed = stacked.withColumns(parse_cast_name(F.col("file_name")))
+    return stacked
+
+
+def _picked_casts(raw, aliases, name, in_files=True):
+    """Canonical columns of one header variant, with keys from the file name; numbers that do not parse are null."""
+    number = lambda column: F.col(f"`{column}`").try_cast("double")
+    picked = {c: number(resolve_column(raw.columns, concept, aliases)) for concept, c in CANONICAL.items()}
+    for concept in ("time", "time_frac"):
+        column = resolve_column(raw.columns, concept, aliases, strict=False)
+        if column is None:
+            picked[concept] = F.lit(None).cast("string" if concept == "time" else "double")
+        else:
+            picked[concept] = F.col(f"`{column}`").cast("string") if concept == "time" else number(column)
+    ground = resolve_column(raw.columns, "ground_depth", DATUM_ALIASES, strict=False, trim=True)
+    picked["depth_gl_m"] = F.lit(None).cast("double") if ground is None else number(ground)
+    part = raw.select(
+        name.alias("file_name"),
+        (F.col("_metadata.file_path") if in_files else F.lit(None).cast("string")).alias("file_path"),
+        (F.col("_metadata.file_block_start") if in_files else F.lit(None).cast("long")).alias("block_start"),
+        F.monotonically_increasing_id().alias("row_no"),
+        *[c.alias(n) for n, c in picked.items()],
+    )
+    keyed = part.withColumns(parse_cast_name(F.col("file_name")))
     return clean_nan(keyed, "depth_m", "sec_us_cm", "depth_gl_m", "time_frac")
 
 
+#: Header variants of one folder; instruments have a handful.
+MOST_HEADERS = 10_000
+
+
+def cast_headers(spark, path):
+    """(file_path, header, n_bytes) of every file below `path`: its first line that is not blank, null for none.
+
+    One scan with map-side combine finds the first lines, however the files are split; names and lengths come from the
+    listing alone, so files without a line are there as well.
+    """
+    listed = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
+    listed = listed.select(F.col("path").alias("file_path"), F.col("length").alias("n_bytes"), F.col("_metadata.file_path").alias("_path"))
+    lines = spark.read.option("recursiveFileLookup", True).text(path).select(
+        F.col("_metadata.file_path").alias("_path"), F.col("_metadata.file_block_start").alias("_block"),
+        F.monotonically_increasing_id().alias("_line"), F.regexp_replace("value", "^\ufeff", "").alias("value"))
+    first = lines.where(F.length(F.trim("value")) > 0).groupBy("_path").agg(F.min_by("value", F.struct("_block", "_line")).alias("header"))
+    return listed.join(first, "_path", "left").select("file_path", "header", "n_bytes")
+
+
+def header_columns(header, aliases=ALIASES):
+    """(column names, None) of a header line, or (None, why it cannot be read)."""
+    if header is None:
+        return None, "empty"
+    if "\ufffd" in header or any(c < " " and c != "\t" for c in header):
+        return None, "not text"
+    names = [n.strip().strip('"').strip() for n in next(csv.reader([header]))]
+    for concept in ("depth", "conductivity"):
+        if resolve_column(names, concept, aliases, strict=False) is None:
+            return None, f"no column for {concept}"
+    seen = Counter()
+    for i, n in enumerate(names):  # a repeated spelling counts where it stands first
+        seen[n.lower()] += 1
+        if seen[n.lower()] > 1 or not n:
+            names[i] = f"_c{i}"
+    return names, None
+
+
+def read_cast_folder(spark, path, aliases=ALIASES, name=None):
+    """(casts, quarantine): every cast file below a folder, whatever headers they have.
+
+    Files are grouped by their header line, each group is one scan with that header's columns as text, and the
+    groups are read as `read_casts` does.  Files whose header names no depth or no conductivity, that are no text or have no
+    lines are left out and listed with a reason, so an odd file does not fail the others.  The number of different
+    headers is bounded (`MOST_HEADERS`); the paths of the files pass through the driver, as with any file scan.
+    """
+    found = cast_headers(spark, path)
+    kinds = [r["header"] for r in found.select("header").distinct().limit(MOST_HEADERS + 1).collect()]
+    if len(kinds) > MOST_HEADERS:
+        raise ValueError(f"more than {MOST_HEADERS} headers below {path}")
+    groups, reasons = {}, {}
+    for header in kinds:
+        columns, reason = header_columns(header, aliases)
+        if reason is None:
+            files = [r["file_path"] for r in found.where(F.col("header") == header).select("file_path").collect()]
+            groups[header] = (sorted(files), StructType([StructField(c, StringType()) for c in columns]))
+        else:
+            reasons[header] = reason
+    listed = F.lit("empty")
+    for header, reason in reasons.items():
+        if header is not None:
+            listed = F.when(F.col("header") == header, reason).otherwise(listed)
+    odd = F.col("header").isNull()
+    if any(h is not None for h in reasons):
+        odd = odd | F.col("header").isin([h for h in reasons if h is not None])
+    quarantine = found.where(odd).select("file_path", listed.alias("reason"), "header", "n_bytes")
+    if not groups:
+        none = spark.createDataFrame([], StructType([StructField("Depth (m)", StringType()), StructField("Conductivity", StringType())]))
+        return _picked_casts(none, aliases, F.lit(None).cast("string"), False), quarantine
+    return read_casts(spark, groups, aliases, name), quarantine
+
+
 def casts_of(casts, well_id, campaign=None, probe=None):
     """Casts of one well, optionally one campaign and probe letter, by (date, probe)."""
     out = casts.where(F.col("well_id") == well_id)

@@ -3,11 +3,11 @@
 from pyspark.sql import functions as F
 
 from plumbline.functions.numeric import log10_positive, settle
-from plumbline.operators import catalogue, clean, cluster, datum, resample, smooth, sweep
+from plumbline.operators import catalogue, certificate, clean, cluster, datum, resample, smooth, sweep
 from plumbline.sources import names, readers
 from plumbline.workload.registry import query, r
 from plumbline.workload.shared_sql import hermite, pchip_knots
-from plumbline.workload.views import cast_samples, sized, table
+from plumbline.workload.views import cast_samples, fits, sized, stored, table
 
 KEYS = ["well_id", "campaign"]
 C = "CAST({} AS DOUBLE)".format
@@ -336,13 +336,13 @@ def lowess_sql(source, z, v, frac, passes):
     """CTEs ending in f{passes}: first and robust passes of degree-1 LOWESS."""
     k = "well_id, campaign"
     out = f"""
-l0 AS (SELECT {k}, {z} AS x, {v} AS y, row_number() OVER (PARTITION BY {k} ORDER BY {z}) - 1 AS i, count(*) OVER (PARTITION BY {k}) AS n FROM {source}),
+l0 AS (SELECT {k}, {z} AS x, {v} AS y, row_number() OVER (PARTITION BY {k} ORDER BY {z}, {v}) - 1 AS i, count(*) OVER (PARTITION BY {k}) AS n FROM {source}),
 l1 AS (SELECT *, least(n, greatest(CAST(floor({C(frac)}*n) AS BIGINT), 3)) AS k FROM l0),
 lk AS (SELECT a.{k.split(', ')[0]}, a.campaign, a.x + b.x AS sx FROM l1 a JOIN l1 b ON a.well_id = b.well_id AND a.campaign = b.campaign AND b.i = a.i + a.k),
 l2 AS (SELECT l1.*, (SELECT count(*) FROM lk WHERE lk.well_id = l1.well_id AND lk.campaign = l1.campaign AND lk.sx < 2*l1.x) AS lo FROM l1),
 l3 AS (SELECT l2.well_id, l2.campaign, l2.i, l2.y AS y0, b.i AS j, b.x - l2.x AS dx, b.y, max(abs(b.x - l2.x)) OVER (PARTITION BY l2.well_id, l2.campaign, l2.i) AS reach
   FROM l2 JOIN l2 b ON b.well_id = l2.well_id AND b.campaign = l2.campaign AND b.i >= l2.lo AND b.i < l2.lo + l2.k),
-l4 AS (SELECT *, pow(greatest(0, 1 - pow(abs(dx)/reach, 3)), 3) AS w0, dx/reach AS u FROM l3),
+l4 AS (SELECT *, pow(greatest(0, 1 - pow(abs(dx)/CASE WHEN reach > 0 THEN reach ELSE 1 END, 3)), 3) AS w0, dx/CASE WHEN reach > 0 THEN reach ELSE 1 END AS u FROM l3),
 r0 AS (SELECT {k}, i AS j, {C(1)} AS rw FROM l0)"""
     for turn in range(passes + 1):
         out += f""",
@@ -376,6 +376,36 @@ def isotonic(spark, sf):
     return out.select(*KEYS, settle(F.col("depth_m")).alias("depth_m"), settle(F.col("sec_us_cm"), 4).alias("sec_us_cm"), "was_changed")
 
 
+# Depths rounded to half a metre, so that several samples share one: their order must follow the values.
+TIED = f"""
+WITH tied AS (SELECT well_id, campaign, floor(depth_m*{C(2)})/{C(2)} AS z, sec_us_cm AS sec FROM cast_samples)"""
+
+
+def _tied(spark, sf):
+    half = F.floor(F.col("depth_m") * 2.0).cast("double") / 2.0
+    return cast_samples(spark, sf).select(*KEYS, half.alias("z"), F.col("sec_us_cm").alias("sec"))
+
+
+@query("smo_07_tied_depths", TIED + f""",
+c AS (SELECT *, row_number() OVER w AS i, sum(sec) OVER (w ROWS UNBOUNDED PRECEDING) AS cs FROM tied WINDOW w AS (PARTITION BY well_id, campaign ORDER BY z, sec)),
+jk AS (SELECT a.well_id, a.campaign, a.i AS j, b.i AS k, (b.cs - a.cs + a.sec)/(b.i - a.i + 1) AS m FROM c a JOIN c b ON a.well_id = b.well_id AND a.campaign = b.campaign AND b.i >= a.i),
+mm AS (SELECT well_id, campaign, k AS i, min(m) OVER (PARTITION BY well_id, campaign, j ORDER BY k DESC) AS lo FROM jk),
+g AS (SELECT well_id, campaign, i, max(lo) AS fit FROM mm GROUP BY ALL)
+SELECT well_id, campaign, {r('z')} AS depth_m, {r('sec')} AS sec_us_cm, {r('fit', 4)} AS fit_us_cm FROM g JOIN c USING (well_id, campaign, i)""", ["cast_samples"])
+def isotonic_tied(spark, sf):
+    """Monotone fit where depths repeat."""
+    out = smooth.isotonic(_tied(spark, sf), KEYS, "z", "sec", out="fit", layout=layout_of(spark, sf))
+    return out.select(*KEYS, settle(F.col("z")).alias("depth_m"), settle(F.col("sec")).alias("sec_us_cm"), settle(F.col("fit"), 4).alias("fit_us_cm"))
+
+
+@query("smo_06_tied_depths", TIED + "," + lowess_sql("tied", "z", "sec", 0.4, 1) + f"""
+SELECT l0.well_id, l0.campaign, {r('x')} AS depth_m, {r('y')} AS sec_us_cm, {r('fit', 3)} AS fit_us_cm FROM f1 JOIN l0 USING (well_id, campaign, i)""", ["cast_samples"])
+def lowess_tied(spark, sf):
+    """LOWESS where depths repeat, also all those of a window."""
+    out = smooth.lowess(_tied(spark, sf), KEYS, "z", "sec", 0.4, 1, 1, out="fit", layout=layout_of(spark, sf))
+    return out.select(*KEYS, settle(F.col("z")).alias("depth_m"), settle(F.col("sec")).alias("sec_us_cm"), settle(F.col("fit"), 3).alias("fit_us_cm"))
+
+
 @query("smo_08_savgol_profiles", CLEAN + PCHIP + "," + segmented_sql("pc", "g", "sec", 11, 20, 1000) + f"""
 SELECT well_id, campaign, grid_index, {r('g')} AS depth_m, {r('fit', 4)} AS sec_us_cm, {r('CASE WHEN fit > 0 THEN log10(fit) END')} AS log10_sec FROM seg""", ["cast_samples"])
 def savgol_profiles(spark, sf):
@@ -432,6 +462,91 @@ def warm_refit(spark, sf):
     return sweep.refit(smoothed, fits, KEYS, layout=layout_of(spark, sf)).select(*KEYS, "trial", "n_breakpoints", "converged", "rss")
 
 
+def proof_sql(source, keys, trials=3, most=10):
+    """One row per profile, trial and size: what plain regression knows of it, and that its fit must prove itself.
+
+    `source` has x and y.  Every fit must be certified: breakpoints in order, normal equations, residual sum, BIC.
+    """
+    return f"""
+shape AS (SELECT {keys}, count(*) AS n, max(x) > min(x) AND max(y) > min(y) AS bent,
+  greatest(regr_syy(y, x) - coalesce(regr_sxy(y, x)*regr_sxy(y, x)/nullif(regr_sxx(y, x), 0), 0), 0) AS line FROM {source} GROUP BY {keys}),
+sizes AS (SELECT t, k FROM range(1, {trials + 1}) a(t), range(0, {most + 1}) b(k))
+SELECT {keys}, concat('trial_', CAST(t AS VARCHAR)) AS trial, CAST(k AS INT) AS n_breakpoints, n AS n_obs, n >= 2*k + 3 AND bent AS possible,
+  {r('line', 4)} AS line_rss, true AS certified FROM shape, sizes"""
+
+
+def _proved(certified, keys):
+    return certified.select(*keys, "trial", "n_breakpoints", "n_obs", "possible", settle(F.col("line_rss"), 4).alias("line_rss"), "certified")
+
+
+_SMOOTHED = CLEAN + PCHIP + "," + segmented_sql("pc", "g", "sec", 11, 20, 1000) + """,
+xy AS (SELECT well_id, campaign, g AS x, log10(fit) AS y FROM seg WHERE fit > 0)"""
+
+
+@query("bps_01_certified_sweep", _SMOOTHED + "," + proof_sql("xy", "well_id, campaign"), ["cast_samples"])
+def certified_sweep(spark, sf):
+    """Every fit of the sweep with its proof."""
+    profiles, layout = stored(_smoothed(spark, sf), "parquet"), layout_of(spark, sf)
+    profiles = spark.read.parquet(profiles)
+    return _proved(certificate.certify(profiles, sweep.sweep(profiles, KEYS, layout=layout), KEYS), KEYS)
+
+
+@query("bps_11_certified_refit", _SMOOTHED + "," + proof_sql("xy", "well_id, campaign"), ["cast_samples"])
+def certified_refit(spark, sf):
+    """Warm refits of all converged fits: proved, and no worse than what they began from; the others prove that there is nothing."""
+    profiles, layout = spark.read.parquet(stored(_smoothed(spark, sf), "parquet")), layout_of(spark, sf)
+    fits = spark.read.parquet(stored(sweep.sweep(profiles, KEYS, layout=layout), "parquet"))
+    again = sweep.refit(profiles, fits, KEYS, layout=layout)
+    names = [*KEYS, "trial", "seed", "n_breakpoints"]
+    begun = fits.where("converged").select(*names, F.col("rss").alias("begun"))
+    both = again.join(begun, names).withColumn("kept", F.col("converged") & (F.col("rss") <= F.col("begun") * (1 + 1e-3) + 1e-9))
+    rest = fits.where("NOT converged").withColumn("kept", F.lit(True))
+    proved = certificate.certify(profiles, both.drop("begun").unionByName(rest), KEYS)
+    return _proved(proved.withColumn("certified", F.col("certified") & F.col("kept")), KEYS)
+
+
+WINDOWS = (7, 11, 15)
+
+
+def _windows_sql():
+    """CTEs ending in xy: the resampled profiles smoothed with every window."""
+    out = "ix AS (SELECT *, row_number() OVER (PARTITION BY well_id, campaign ORDER BY g) - 1 AS i, count(*) OVER (PARTITION BY well_id, campaign) AS n FROM pc)"
+    parts = []
+    for w in WINDOWS:
+        out += f""",
+{_matrix_sql(w, 3).replace('hat(', f'hat{w}(', 1)},
+st{w} AS (SELECT *, greatest(0, least(i - {w // 2}, n - {w})) AS s FROM ix),
+sg{w} AS (SELECT a.well_id, a.campaign, a.g, sum(h*b.sec) AS fit FROM st{w} a JOIN hat{w} ON hat{w}.p = a.i - a.s
+  JOIN ix b ON b.well_id = a.well_id AND b.campaign = a.campaign AND b.i = a.s + hat{w}.j WHERE a.n >= {w} GROUP BY ALL)"""
+        parts.append(f"SELECT ix.well_id, ix.campaign, {w} AS window, ix.g AS x, coalesce(fit, sec) AS v FROM ix LEFT JOIN sg{w} ON ix.well_id = sg{w}.well_id AND ix.campaign = sg{w}.campaign AND ix.g = sg{w}.g")
+    return out + ", xy AS (SELECT well_id, campaign, \"window\", x, log10(v) AS y FROM (" + " UNION ALL ".join(parts).replace("AS window", 'AS "window"') + ") u WHERE v > 0)"
+
+
+@query("smo_10_certified_windows", CLEAN + PCHIP + "," + _windows_sql() + "," + proof_sql("xy", 'well_id, campaign, "window"', 1, 6), ["cast_samples"])
+def certified_windows(spark, sf):
+    """The fits of the window scan with their proofs."""
+    grid, layout = _grid(spark, sf)
+    group = [*KEYS, "window"]
+    profiles = spark.read.parquet(stored(smooth.window_profiles(grid, KEYS, WINDOWS, layout=layout), "parquet"))
+    fits = sweep.sweep(profiles, group, max_breakpoints=6, trials=1, layout=layout)
+    return _proved(certificate.certify(profiles, fits, group), group)
+
+
+@query("smo_10_stored_fits", """
+WITH stored AS (SELECT well_id, CASE trial WHEN 'trial_1' THEN 7 WHEN 'trial_2' THEN 11 ELSE 15 END AS w, n_breakpoints, psis FROM fits WHERE converged),
+rec AS (SELECT well_id, w, n_breakpoints, p, psis[p] AS depth FROM (SELECT *, unnest(range(1, n_breakpoints + 1)) AS p FROM stored) t),
+gap AS (SELECT *, CASE WHEN depth - lag(depth) OVER v >= CAST(0.5 AS DOUBLE) THEN 1 ELSE 0 END AS opens FROM rec
+  WINDOW v AS (PARTITION BY well_id, w ORDER BY depth, n_breakpoints, p)),
+cl AS (SELECT *, sum(opens) OVER (PARTITION BY well_id, w ORDER BY depth, n_breakpoints, p ROWS UNBOUNDED PRECEDING) AS c FROM gap)
+SELECT well_id, w AS "window", CAST(c AS INT) AS cluster_id, """ + f"{r('quantile_cont(depth, 0.5)')} AS depth_median, {r('max(depth) - min(depth)')} AS cluster_diameter_m," + """
+  count(DISTINCT n_breakpoints) AS persistence, count(*) AS n_bp_total FROM cl GROUP BY well_id, w, c""", ["fits"])
+def stored_windows(spark, sf):
+    """The window scan's clusters from saved fits: each trial stands for the window it was smoothed with."""
+    saved = fits(spark, sf).withColumn("window", F.when(F.col("trial") == "trial_1", 7).when(F.col("trial") == "trial_2", 11).otherwise(15))
+    out = smooth.window_robustness(saved, ["well_id"], layout=sized(spark, sf, "fits"))
+    return settled(out, ["depth_median", "cluster_diameter_m"], ["well_id", "window", "cluster_id", "persistence", "n_bp_total"])
+
+
 @query("bps_07_profile_accessor", CLEAN + "," + VADOSE.strip() + f"""
 SELECT f.well_id, f.campaign, {r('z')} AS depth_m, {r('sec', 5)} AS sec_us_cm, {r('z + vadose_m')} AS depth_bgl_m FROM flat f LEFT JOIN vadose v ON f.well_id = v.well_id AND f.campaign = v.campaign""", ["cast_samples"])
 def profile_accessor(spark, sf):

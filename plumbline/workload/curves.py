@@ -54,27 +54,64 @@ def turning_angles(spark, sf):
     return out.select("well_id", "bp_index", settle(F.col("turning_angle"), 5).alias("turning_angle"))
 
 
-ZONE = "WITH " + angle_sql("breakpoints", "bp_index", "depth_m", "log10_sec").strip() + f""",
-top AS (SELECT well_id, bp_index AS t FROM (SELECT *, row_number() OVER (PARTITION BY well_id ORDER BY a DESC, bp_index) AS k FROM ang WHERE a IS NOT NULL AND pow(10, log10_sec) < 150000) q WHERE k = 1),
-bot AS (SELECT well_id, bp_index AS b FROM (SELECT ang.*, row_number() OVER (PARTITION BY ang.well_id ORDER BY a DESC, bp_index) AS k FROM ang LEFT JOIN top USING (well_id)
-  WHERE a IS NOT NULL AND pow(10, log10_sec) >= {C(LIMIT)} AND bp_index IS DISTINCT FROM t) q WHERE k = 1),
+def zone_sql(source, keys, bottom, top):
+    """CTEs from `source` to mz (t, b, n, no: a lone candidate above `top`) and fl (flags and status of every point)."""
+    value = "pow(10, log10_sec)"
+    first = f"PARTITION BY {keys} ORDER BY a DESC, bp_index"
+    return angle_sql(source, "bp_index", "depth_m", "log10_sec", keys).strip() + f""",
+top AS (SELECT {keys}, bp_index AS t FROM (SELECT *, row_number() OVER ({first}) AS k FROM ang WHERE a IS NOT NULL AND {value} < {C(top)}) q WHERE k = 1),
+bot AS (SELECT {keys}, bp_index AS b FROM (SELECT *, row_number() OVER ({first}) AS k FROM ang LEFT JOIN top USING ({keys})
+  WHERE a IS NOT NULL AND {value} >= {C(bottom)} AND bp_index IS DISTINCT FROM t) q WHERE k = 1),
 one AS (SELECT *, n = 2 AND rn = 1 OR n = 3 AND a IS NOT NULL AS lone FROM ang),
-fin AS (SELECT well_id, max(bp_index) FILTER (lone) AS o, max(bp_index) FILTER (lone AND pow(10, log10_sec) >= {C(LIMIT)}) AS e, max(n) AS n FROM one GROUP BY well_id),
-mz AS (SELECT well_id, coalesce(o, t) AS t, CASE WHEN o IS NULL THEN b ELSE e END AS b, n FROM fin LEFT JOIN top USING (well_id) LEFT JOIN bot USING (well_id)),
-fl AS (SELECT p.well_id, p.bp_index, coalesce(p.bp_index = t, false) AS is_top_of_mixing, coalesce(p.bp_index = b, false) AS is_bottom_of_mixing,
-  CASE WHEN n < 2 THEN 'too_few_points' WHEN b IS NULL THEN 'no_bottom_candidate' ELSE 'ok' END AS mz_status FROM breakpoints p JOIN mz USING (well_id))
+fin AS (SELECT {keys}, max(bp_index) FILTER (lone AND {value} < {C(top)}) AS o, bool_or(lone AND {value} >= {C(top)}) AS no,
+  max(bp_index) FILTER (lone AND {value} >= {C(bottom)}) AS e, max(n) AS n, count(a) AS bent FROM one GROUP BY {keys}),
+mz AS (SELECT {keys}, coalesce(o, t) AS t, CASE WHEN no THEN NULL WHEN o IS NULL THEN b ELSE e END AS b, n, no, bent
+  FROM fin LEFT JOIN top USING ({keys}) LEFT JOIN bot USING ({keys})),
+fl AS (SELECT p.*, coalesce(p.bp_index = t, false) AS is_top_of_mixing, coalesce(p.bp_index = b, false) AS is_bottom_of_mixing,
+  CASE WHEN n < 2 THEN 'too_few_points' WHEN no OR t IS NULL AND bent > 0 THEN 'no_top_candidate'
+       WHEN b IS NULL THEN 'no_bottom_candidate' ELSE 'ok' END AS mz_status FROM {source} p JOIN mz USING ({keys}))
 """
 
 
+ZONE = "WITH " + zone_sql("breakpoints", "well_id", LIMIT, 150_000)
+
+
 def _flags(spark, sf):
     return geometry.transition_zone(breakpoints(spark, sf), KEYS, bottom=LIMIT, top=150_000.0, layout=layout_of(spark, sf))
 
 
-@query("win_15_transition_zone", ZONE + "SELECT * FROM fl", ["breakpoints"])
+@query("win_15_transition_zone", ZONE + "SELECT well_id, bp_index, is_top_of_mixing, is_bottom_of_mixing, mz_status FROM fl", ["breakpoints"])
 def transition_zone(spark, sf):
     return _flags(spark, sf).select("well_id", "bp_index", "is_top_of_mixing", "is_bottom_of_mixing", "mz_status")
 
 
+#: Limits that some points pass and some do not: 10**log10_sec lies between 316 and 63,000.
+SHORT_BOTTOM, SHORT_TOP = 1_000.0, 3_000.0
+
+
+def _short(points):
+    """Profiles of three points and what is left over: every point of every well, in pieces."""
+    return points.withColumn("piece", F.floor((F.col("bp_index") - 1) / 3).cast("int"))
+
+
+@query("win_15_short_profiles", "WITH pieces AS (SELECT *, (bp_index - 1) // 3 AS piece FROM breakpoints)," + zone_sql(
+    "pieces", "well_id, piece", SHORT_BOTTOM, SHORT_TOP) + """
+SELECT well_id, piece, bp_index, is_top_of_mixing, is_bottom_of_mixing, mz_status FROM fl""", ["breakpoints"])
+def short_zones(spark, sf):
+    """One, two and three points per profile under an upper limit of TOP."""
+    rows = _short(breakpoints(spark, sf))
+    out = geometry.transition_zone(rows, ["well_id", "piece"], bottom=SHORT_BOTTOM, top=SHORT_TOP, layout=layout_of(spark, sf))
+    return out.select("well_id", "piece", "bp_index", "is_top_of_mixing", "is_bottom_of_mixing", "mz_status")
+
+
+@query("win_15_upper_limit", "WITH " + zone_sql("breakpoints", "well_id", LIMIT, SHORT_TOP) + """
+SELECT well_id, bp_index, is_top_of_mixing, is_bottom_of_mixing, mz_status FROM fl""", ["breakpoints"])
+def limited_zones(spark, sf):
+    """Whole profiles under an upper limit of TOP that rules points out."""
+    out = geometry.transition_zone(breakpoints(spark, sf), KEYS, bottom=LIMIT, top=SHORT_TOP, layout=layout_of(spark, sf))
+    return out.select("well_id", "bp_index", "is_top_of_mixing", "is_bottom_of_mixing", "mz_status")
+
+
 @query("win_16_promoted_flags", ZONE + """
 SELECT well_id, bp_index, is_top_of_mixing AND bp_index < n AS is_top_of_mixing, is_bottom_of_mixing AND bp_index < n AS is_bottom_of_mixing FROM fl JOIN (SELECT well_id, n FROM mz) q USING (well_id)""", ["breakpoints"])
 def promoted_flags(spark, sf):
@@ -325,6 +362,24 @@ def job_slopes(spark, sf):
     return jobs.select("well_id").join(found, "well_id", "left").fillna(0, ["n_points"])
 
 
+@query("bps_17_upper_limit", "WITH " + JOBS.strip() + f""",
+pieces AS (SELECT b.*, (bp_index - 1) // 3 AS piece, coalesce(own, {C(LIMIT)}) AS lower FROM breakpoints b JOIN jobs USING (well_id)),
+""" + zone_sql("pieces", "well_id, piece", "lower", SHORT_TOP).replace("CAST(lower AS DOUBLE)", "lower") + """
+SELECT well_id, piece, count(*) AS n_points, max(bp_index) FILTER (is_top_of_mixing) AS top_index,
+  max(bp_index) FILTER (is_bottom_of_mixing) AS bottom_index, max(mz_status) AS mz_status FROM fl GROUP BY well_id, piece""", ["breakpoints"])
+def limited_job_slopes(spark, sf):
+    """Jobs whose settings carry an upper limit of TOP, over short profiles."""
+    jobs = catalogue.job_settings(_jobs(spark, sf), {"bottom": LIMIT, "top": SHORT_TOP}, {"bottom": 40_000.0, "top": 150_000.0})
+    limits = jobs.select("well_id", F.col("bottom").alias("lower"), F.col("top").alias("upper"))
+    rows = _short(breakpoints(spark, sf)).join(limits, "well_id")
+    flagged = geometry.transition_zone(rows, ["well_id", "piece"], bottom=F.col("lower"), top=F.col("upper"), layout=layout_of(spark, sf))
+    return flagged.groupBy("well_id", "piece").agg(
+        F.count("*").alias("n_points"),
+        F.max(F.when(F.col("is_top_of_mixing"), F.col("bp_index"))).alias("top_index"),
+        F.max(F.when(F.col("is_bottom_of_mixing"), F.col("bp_index"))).alias("bottom_index"), F.max("mz_status").alias("mz_status"),
+    )
+
+
 @query("bps_18_canonical_summary", ZONE + f"""
 SELECT fl.well_id, fl.bp_index, {r('p.depth_m')} AS depth_wt_m, {r(f"p.depth_m + {C(2)} + {C(0.5)}*length(fl.well_id)")} AS depth_bgl_m,
  is_top_of_mixing AND fl.bp_index < mz.n AS is_top_of_mixing, is_bottom_of_mixing AND fl.bp_index < mz.n AS is_bottom_of_mixing, CASE WHEN mz.n > 1 THEN 'ok' ELSE 'artefacts_differ' END AS check_status

@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from plumbline.functions.numeric import settle
 from plumbline.operators import catalogue, datum, ert, geometry, ledger, notes as note_ops, sweep
-from plumbline.sources import names, readers, sinks
+from plumbline.sources import names, publish, readers, sinks
 from plumbline.workload import views
 from plumbline.workload.registry import query, r
 from plumbline.workload.views import breakpoints, cast_samples, ert_samples, fits, shared_folder, stored, table
@@ -107,7 +107,7 @@ SELECT well_id, campaign, {r('coalesce(v, o)')} AS vadose_m, CASE WHEN v IS NOT
  CASE WHEN NOT has THEN 'added' WHEN v IS NOT NULL THEN 'updated' WHEN man THEN 'kept_manual' ELSE 'kept' END AS action FROM j"""
 
 
-def _upserted(spark, sf):
+def _upsert_sides(spark, sf):
     customers = table(spark, sf, "customer").select("c_custkey", "c_mktsegment")
     well = F.concat(F.lit("M"), F.floor(F.col("c_custkey") / 4).cast("string"), F.char(F.col("c_custkey") % 4 + 65))
     wells = datum.well_metadata(_metadata(spark, sf)).join(customers.withColumn("well_id", well), "well_id")
@@ -117,7 +117,11 @@ def _upserted(spark, sf):
         .otherwise("ok").alias("offset_status"),
     )
     existing = wells.where("c_mktsegment <> 'MACHINERY'").select("well_id", "campaign", "vadose_m", "source")
-    return datum.upsert_offsets(existing, extracted, ["well_id", "campaign"])
+    return existing, extracted
+
+
+def _upserted(spark, sf):
+    return datum.upsert_offsets(*_upsert_sides(spark, sf), ["well_id", "campaign"])
 
 
 @query("dat_06_metadata_upsert", UPSERT)
@@ -132,6 +136,18 @@ def metadata_rewrite(spark, sf):
     return settled(spark.read.parquet(folder), ["vadose_m"], ["well_id", "campaign", "source", "action"])
 
 
+@query("snk_05_published_upsert", UPSERT)
+def published_upsert(spark, sf):
+    """The metadata table replaced by an upsert over itself."""
+    store = shared_folder(spark)
+    existing, extracted = _upsert_sides(spark, sf)
+    publish.publish(spark, store, replace={"metadata": existing})
+    before = publish.read_published(spark, store, "metadata")
+    publish.publish(spark, store, replace={"metadata": datum.upsert_offsets(before, extracted, ["well_id", "campaign"])})
+    back = publish.read_published(spark, store, "metadata")
+    return settled(back, ["vadose_m"], ["well_id", "campaign", "source", "action"])
+
+
 @query("jon_06_resolved_offsets", "WITH " + OFFSETS.strip() + f""",
 req AS (SELECT well_id, campaign, max(cast_no) AS last_cast FROM st GROUP BY well_id, campaign),
 exp AS (SELECT DISTINCT well_id, CASE WHEN length(well_id) % 2 = 0 THEN campaign ELSE '2022_02' END AS campaign, {C(3)} + length(well_id) AS v FROM st WHERE right(well_id, 1) IN ('A', 'C')),
@@ -250,6 +266,20 @@ def ledger_append(spark, sf):
     return spark.read.parquet(f"{folder}/ledger").groupBy("stage", method.alias("method")).agg(F.count("*").alias("n_runs"))
 
 
+@query("snk_04_published_runs", "WITH " + LEDGER.strip() + """
+SELECT stage, method, count(*) AS n_runs FROM lg GROUP BY stage, method UNION ALL SELECT 'output', NULL, count(DISTINCT well_id) FROM lg""")
+def published_runs(spark, sf):
+    """Results and their ledger rows as versions of one store."""
+    store, entries = shared_folder(spark), _ledger(spark, sf)
+    output = entries.groupBy("well_id").agg(F.count("*").alias("n"))
+    ledger.publish_run(spark, store, "output", output, entries.where("stage = 'sweep'"))
+    ledger.publish_run(spark, store, "output", output, entries.where("stage = 'smooth'"))
+    method = F.split_part("method_signature", F.lit("_"), F.lit(1))
+    runs = publish.read_published(spark, store, "ledger").groupBy("stage", method.alias("method")).agg(F.count("*").alias("n_runs"))
+    kept = publish.read_published(spark, store, "output")
+    return runs.unionByName(kept.agg(F.lit("output").alias("stage"), F.lit(None).cast("string").alias("method"), F.count_distinct("well_id").alias("n_runs")))
+
+
 # ---- catalogue
 
 @query("src_22_available_runs", """
@@ -523,6 +553,31 @@ def cast_index(spark, sf):
     return settled(out, ["depth_min", "depth_max"], ["well_id", "cast_date", "instrument", "cast_no", "n_rows"])
 
 
+@query("src_01_mixed_headers", f"""
+WITH c AS (SELECT *, CASE WHEN seq % 3 = 0 THEN 'a' WHEN seq % 3 = 1 THEN 'b' ELSE 'c' END AS variant FROM cast_samples)
+SELECT well_id, '20220201' AS cast_date, 'read' AS outcome, count(*) AS n_rows, {r('sum(depth_m)', 3)} AS depth_sum FROM c GROUP BY well_id
+UNION ALL SELECT site, NULL, 'no column for conductivity', NULL, NULL FROM cast_samples GROUP BY site""", ["cast_samples"])
+def mixed_headers(spark, sf):
+    """One folder with three header variants, and files per site that lack a column: read in one call."""
+    folder, rows = shared_folder(spark), cast_samples(spark, sf)
+    heads = {"a": ("Depth (m)", "SpCond (uS/cm)"), "b": ("vertical position M", "Corrected Conductivity"), "c": ("time", "depth_m", "sec_us_cm")}
+    file = F.concat("well_id", F.lit("_YSI_20220201.csv")).alias("file")
+    for k, (variant, names) in enumerate(heads.items()):
+        part = rows.where(F.col("seq") % 3 == k).select(file, F.lit("10:00").alias("time"), "depth_m", "sec_us_cm")
+        part = part.select("file", *[F.col(c).alias(n) for c, n in zip(["time", "depth_m", "sec_us_cm"][-len(names):], names)])
+        part.hint("rebalance", "file").write.partitionBy("file").option("header", True).csv(f"{folder}/in/{variant}")
+    lost = rows.groupBy(F.concat("site", F.lit("_YSI_20220201.csv")).alias("file")).agg(F.max("depth_m").alias("Depth (m)"), F.count("*").alias("Battery"))
+    lost.hint("rebalance", "file").write.partitionBy("file").option("header", True).csv(f"{folder}/in/lost")
+    path = lambda column: F.regexp_extract(column, r"file=([^/]+)/", 1)
+    casts, odd = readers.read_cast_folder(spark, f"{folder}/in", name=path(F.col("_metadata.file_path")))
+    read = casts.groupBy("well_id", "cast_date").agg(
+        F.lit("read").alias("outcome"), F.count("*").alias("n_rows"), settle(F.sum("depth_m"), 3).alias("depth_sum"))
+    site = F.regexp_extract(path(F.col("file_path")), "^([^_]+)_", 1)
+    left = odd.select(site.alias("well_id"), F.lit(None).cast("string").alias("cast_date"), F.col("reason").alias("outcome"),
+                      F.lit(None).cast("long").alias("n_rows"), F.lit(None).cast("double").alias("depth_sum"))
+    return read.unionByName(left.distinct())
+
+
 @query("src_18_sweep_documents", f"""
 SELECT well_id, trial, n_breakpoints, {r('bic')} AS bic, {r('rss')} AS rss, converged, {r('CASE WHEN converged THEN const END')} AS const, {r('CASE WHEN converged THEN psis[1] END')} AS first_position FROM fits""", ["fits"])
 def sweep_documents(spark, sf):
