@@ -52,7 +52,7 @@ def _pool(schema):
 def isotonic_long(df, keys, z, v, out, layout):
     """See `smooth.isotonic`; rows are ordered by depth, then value."""
     keys = [*keys]
-    track = lay(df, keys, [z, v], layout).scan(_i=row_number())
+    track = lay(df, keys, [z, v], layout).scan(_i=row_number()).reorder("_i")
     single = track.df.select(*keys, PART, F.col("_i").alias("_from"), F.col(v).cast("double").alias("_level"), F.lit(1.0).alias("_mass"))
     schema = single.schema
     blocks = spread(single, [*keys, PART]).groupBy(*keys, PART).applyInPandas(_pool(schema), schema).checkpoint()

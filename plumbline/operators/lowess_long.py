@@ -169,9 +169,9 @@ def lowess_long(df, keys, z, v, frac, degree, robust_passes, out, layout):
                 "weight", F.coalesce(F.when(bell > 0, bell ** 2).when(bell <= 0, 0.0), F.lit(1.0))
             ).drop("miss", "half")
         fitted = _one_pass(fitted, targets, pairs, keys, degree, size).checkpoint()
-    done = rows.join(fitted.select(*keys, "_i", "fit"), [*keys, "_i"])
-    value = F.when(F.col("_n") < degree + 2, F.col(v)).otherwise(F.col("fit"))
-    return done.withColumn(out, value).drop("_i", "_n", "_k", "fit")
+    done = rows.join(fitted.select(*keys, "_i", F.col("fit").alias("_fit")), [*keys, "_i"])
+    value = F.when(F.col("_n") < degree + 2, F.col(v)).otherwise(F.col("_fit"))
+    return done.withColumn(out, value).drop("_i", "_n", "_k", "_fit")
 
 
 def _windows(samples, keys, layout):

@@ -131,7 +131,7 @@ def segmented_savgol(df, keys, z, v, window=11, order=3, gradient_factor=20.0,
     guards is smoothed on its own when it is at least one window long.
     """
     window, h = odd_window(window), odd_window(window) // 2
-    track = lay(df, keys, [z, v], layout).scan(_row=row_number(), _next=lead(F.col(v)))
+    track = lay(df, keys, [z, v], layout).scan(_row=row_number(), _next=lead(F.col(v))).reorder("_row")
     track = track.with_columns(_jump=F.abs(F.col("_next") - F.col(v)))
     track = track.quantiles(_mid=(F.col("_jump"), 0.5))
     limit = F.greatest(F.col("_mid") * F.lit(float(gradient_factor)), F.lit(float(min_gradient)))

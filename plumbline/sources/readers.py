@@ -2,6 +2,7 @@
 
 import csv
 from collections import Counter
+from urllib.parse import unquote
 
 from pyspark.sql import Column, Window
 from pyspark.sql import functions as F
@@ -118,18 +119,20 @@ MOST_HEADERS = 10_000
 
 
 def cast_headers(spark, path):
-    """(file_path, header, n_bytes) of every file below `path`: its first line that is not blank, null for none.
+    """(file_path, header) of every file below `path`: its first line that is not blank, null for none.
 
-    One scan with map-side combine finds the first lines, however the files are split; names and lengths come from the
-    listing alone, so files without a line are there as well.
+    One scan with map-side combine finds the first lines, however the files are split.  The names come from the scan's own
+    list of files, so those without a line are there as well.
     """
-    listed = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
-    listed = listed.select(F.col("path").alias("file_path"), F.col("length").alias("n_bytes"), F.col("_metadata.file_path").alias("_path"))
-    lines = spark.read.option("recursiveFileLookup", True).text(path).select(
-        F.col("_metadata.file_path").alias("_path"), F.col("_metadata.file_block_start").alias("_block"),
+    text = spark.read.option("recursiveFileLookup", True).text(path)
+    short = lambda column: F.regexp_replace(column, "^([A-Za-z0-9+.-]+):/+", "$1:/")
+    files = [(unquote(f), f) for f in text.inputFiles()]
+    listed = spark.createDataFrame(files, "file_path string, _path string").withColumn("_path", short("_path"))
+    lines = text.select(
+        short(F.col("_metadata.file_path")).alias("_path"), F.col("_metadata.file_block_start").alias("_block"),
         F.monotonically_increasing_id().alias("_line"), F.regexp_replace("value", "^\ufeff", "").alias("value"))
     first = lines.where(F.length(F.trim("value")) > 0).groupBy("_path").agg(F.min_by("value", F.struct("_block", "_line")).alias("header"))
-    return listed.join(first, "_path", "left").select("file_path", "header", "n_bytes")
+    return listed.join(first, "_path", "left").select("file_path", "header")
 
 
 def header_columns(header, aliases=ALIASES):
@@ -177,9 +180,9 @@ def read_cast_folder(spark, path, aliases=ALIASES, name=None):
     odd = F.col("header").isNull()
     if any(h is not None for h in reasons):
         odd = odd | F.col("header").isin([h for h in reasons if h is not None])
-    quarantine = found.where(odd).select("file_path", listed.alias("reason"), "header", "n_bytes")
+    quarantine = found.where(odd).select("file_path", listed.alias("reason"), "header")
     if not groups:
-        none = spark.createDataFrame([], StructType([StructField("Depth (m)", StringType()), StructField("Conductivity", StringType())]))
+        none = spark.createDataFrame([], StructType([StructField(aliases[c][0], StringType()) for c in ("depth", "conductivity")]))
         return _picked_casts(none, aliases, F.lit(None).cast("string"), False), quarantine
     return read_casts(spark, groups, aliases, name), quarantine
 

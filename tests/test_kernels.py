@@ -376,3 +376,15 @@ def test_lowess_with_vanishing_residuals_is_the_same_in_both_plans(spark):
     split = column(smooth.lowess(df, ["k"], "z", "v", 0.2, layout=Layout(True, 4, 12)), "v")
     assert split == pytest.approx(whole, abs=1e-6)
     assert whole[5] == pytest.approx(10.0, abs=1e-6)
+
+
+@pytest.mark.parametrize("points,refused", [
+    ([(0.0, 5.0), (5.0, 2.0)], True), ([(0.0, 2.0), (5.0, 5.0)], False),
+    ([(0.0, 2.0), (5.0, 4.9), (8.0, 5.0)], True), ([(0.0, 2.0), (5.0, 2.1), (8.0, 5.0)], False)])
+def test_an_upper_limit_rules_the_only_candidate_out(spark, points, refused):
+    rows = [("s", i + 1, z, y) for i, (z, y) in enumerate(points)]
+    df = spark.createDataFrame(rows, "well_id string, bp_index int, depth_m double, log10_sec double")
+    out = geometry.transition_zone(df, ["well_id"], bottom=100.0, top=1000.0).collect()
+    assert {r.mz_status for r in out} == {"no_top_candidate" if refused else "ok"}
+    assert sum(r.is_top_of_mixing for r in out) == (0 if refused else 1)
+    assert sum(r.is_bottom_of_mixing for r in out) == (0 if refused else 1)

@@ -16,8 +16,11 @@ SHORT = [
     "win_17_resistivity_zone", "bps_13_segment_regressions", "bps_14_model_segments",
     "dat_06_metadata_upsert", "jon_06_resolved_offsets", "jon_09_interpolated_resistivity",
     "txt_03_merged_notes", "src_05_file_names", "src_18_sweep_documents",
+    "win_15_short_profiles", "bps_17_upper_limit", "smo_07_tied_depths", "smo_06_tied_depths", "bps_01_certified_sweep",
+    "smo_10_stored_fits", "agg_06_delta_sensitivity", "snk_04_published_runs", "snk_05_published_upsert",
 ]
-LONG = ["cal_05_sample_severity", "smo_07_isotonic", "smo_05_segmented_savgol", "smo_06_lowess", "txt_03_merged_notes"]
+LONG = ["cal_05_sample_severity", "smo_07_isotonic", "smo_05_segmented_savgol", "smo_06_lowess", "txt_03_merged_notes",
+        "smo_07_tied_depths", "smo_06_tied_depths"]
 
 
 @pytest.fixture(scope="module")

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from plumbline.operators import ert, ledger
-from plumbline.sources import readers, sinks
+from plumbline.sources import publish, readers, sinks
 
 
 def write(path, text):
@@ -88,3 +88,71 @@ def test_text_export_and_partitions(spark, tmp_path):
     profiles = spark.range(4).withColumns({"campaign": F.lit("2022_02"), "smoothing": F.when(F.col("id") < 2, "savgol").otherwise("lowess")})
     sinks.write_profiles(profiles, str(tmp_path / "p"))
     assert spark.read.parquet(str(tmp_path / "p")).where("smoothing = 'savgol'").count() == 2
+
+
+def test_folder_with_three_headers_and_broken_files(spark, tmp_path):
+    write(tmp_path / "in/a/AB1D_YSI_A_20220201.csv", "Depth (m),SpCond (uS/cm),Time (HH:mm:ss)\n5.0,310,09:00:00\n4.0,bad,09:00:01\n")
+    write(tmp_path / "in/b b/20220401_YSI_AB1D.csv", "﻿Vertical Position m,Conductivity,Depth from GL (m) \n3.0,320,4.5\n")
+    write(tmp_path / "in/c/AB2D_YSI_B_20220301.csv", "\n\"sec_us_cm\",note,depth_m,depth_m\n1,\"x, y\",2.5,9\n")
+    write(tmp_path / "in/c/AB3D_YSI_B_20220301.csv", "Battery,Depth (m)\n12,1.0\n")
+    write(tmp_path / "in/c/AB4D_YSI_B_20220301.csv", "")
+    (tmp_path / "in/c/AB5D_YSI_B_20220301.csv").write_bytes(b"\x00\x01\xff\xfe\n\x00")
+    casts, odd = readers.read_cast_folder(spark, str(tmp_path / "in"))
+    rows = {(r.well_id, r.depth_m): r for r in casts.collect()}
+    assert set(rows) == {("AB1D", 5.0), ("AB1D", 4.0), ("AB1D", 3.0), ("AB2D", 2.5)}
+    assert rows["AB1D", 4.0].sec_us_cm is None and rows["AB1D", 3.0].depth_gl_m == 4.5 and rows["AB2D", 2.5].sec_us_cm == 1.0
+    reasons = {r.file_path.rsplit("/", 1)[1][:4]: r.reason for r in odd.collect()}
+    assert reasons == {"AB3D": "no column for conductivity", "AB4D": "empty", "AB5D": "not text"}
+    nothing, all_odd = readers.read_cast_folder(spark, str(tmp_path / "in/c"), aliases={**readers.ALIASES, "depth": ["no such"]})
+    assert nothing.count() == 0 and all_odd.count() == 4
+
+
+# ---- published versions
+
+ENTRY = {c: c for c in ledger.LEDGER_COLUMNS}
+
+
+def entries(spark, *runs):
+    return spark.createDataFrame([tuple({**ENTRY, "run_id": r}[c] for c in ledger.LEDGER_COLUMNS) for r in runs],
+                                 ", ".join(f"{c} string" for c in ledger.LEDGER_COLUMNS))
+
+
+def test_a_failure_between_the_writes_leaves_neither(spark, tmp_path, monkeypatch):
+    store = str(tmp_path / "store")
+    assert publish.manifest(spark, store) == {} and publish.read_published(spark, store, "output") is None
+    assert ledger.publish_run(spark, store, "output", spark.range(3), entries(spark, "one")) == 1
+    bad = entries(spark, "two").withColumn("notes", F.raise_error(F.lit("the ledger write fails")).cast("string"))
+    with pytest.raises(Exception, match="ledger write fails"):
+        ledger.publish_run(spark, store, "output", spark.range(50), bad)
+    monkeypatch.setattr(publish, "_mark", lambda *a: (_ for _ in ()).throw(OSError("the driver dies")))
+    with pytest.raises(OSError):
+        ledger.publish_run(spark, store, "output", spark.range(60), entries(spark, "three"))
+    monkeypatch.undo()
+    assert publish.read_published(spark, store, "output").count() == 3
+    assert [r.run_id for r in publish.read_published(spark, store, "ledger").collect()] == ["one"]
+    assert ledger.publish_run(spark, store, "output", spark.range(5), entries(spark, "four"), mode="append") == 2
+    assert publish.read_published(spark, store, "output").count() == 8
+    assert sorted(r.run_id for r in publish.read_published(spark, store, "ledger").collect()) == ["four", "one"]
+    assert publish.read_published(spark, store, "output", 1).count() == 3
+    assert publish.drop_leftovers(spark, store) > 0
+    assert publish.versions(spark, store) == [2] and publish.read_published(spark, store, "output").count() == 8
+    with pytest.raises(ValueError):
+        publish.read_published(spark, store, "output", 1)
+
+
+def test_a_table_replaced_by_a_query_over_itself(spark, tmp_path):
+    store = str(tmp_path / "store")
+    publish.publish(spark, store, replace={"t": spark.range(10)})
+    for _ in range(2):
+        now = publish.read_published(spark, store, "t")
+        publish.publish(spark, store, replace={"t": now.select((F.col("id") + 1).alias("id"))})
+    assert publish.read_published(spark, store, "t").agg(F.min("id"), F.max("id"), F.count("*")).first() == (2, 11, 10)
+
+
+def test_of_two_writers_one_fails(spark, tmp_path):
+    store = str(tmp_path / "store")
+    publish.publish(spark, store, replace={"t": spark.range(1)})
+    publish.publish(spark, store, replace={"t": spark.range(2)}, base=1)
+    with pytest.raises(publish.Conflict):
+        publish.publish(spark, store, replace={"t": spark.range(3)}, base=1)
+    assert publish.read_published(spark, store, "t").count() == 2
