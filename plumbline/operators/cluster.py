@@ -140,8 +140,9 @@ def robustness_sensitivity(records, keys=("well_id",), deltas=DELTAS, tie=("reco
     gap = F.col(z) - F.col("_before")
     ids = {f"_id{i}": running_sum(F.when(gap >= d, 1).otherwise(0)) for i, d in enumerate(deltas)}
     scanned = finish(track.scan(**ids)).select(*keys, z, "_rank", *ids, "smoothing", "n_breakpoints")
-    ensure_checkpoint_dir(records.sparkSession)
-    scanned = scanned.checkpoint()
+    if track.layout.split:  # a scan of parts is not one to run twice
+        ensure_checkpoint_dir(records.sparkSession)
+        scanned = scanned.checkpoint()
     sizes = [F.collect_set(F.when(F.col("smoothing") == m, F.col("n_breakpoints"))).alias(f"_s_{m}") for m in methods]
     finest = scanned.groupBy(*keys, *ids).agg(
         F.min(z).alias("depth_min"), F.max(z).alias("depth_max"), F.count("*").alias("n_bp_total"), F.min("_rank").alias("_from"), *sizes)

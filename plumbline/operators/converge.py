@@ -98,8 +98,13 @@ def find_matches(clusters, zones, keys=("well_id",), rule="hybrid", tolerance_m=
     right = zones.select(
         *keys, *ZONE_COLUMNS, F.least("z_bot", "z_top", "z_centre").alias("_z_low"),
         F.greatest("z_bot", "z_top", "z_centre").alias("_z_high"))
+    # Cells that only lie around an interval must meet the other side's own cells, but not each other: a cluster's
+    # stand in a room of their own, which zones enter with their own cells only.
     left = _in_cells(left, [*keys, "cluster_id", "depth_min", "depth_max", "depth_median"], "_c_low", "_c_high", bucket_m, "_c_own")
+    left = left.withColumn("_room", F.when(F.col("_c_own"), 0).otherwise(1)).drop("_c_own")
     right = _in_cells(right, [*keys, *ZONE_COLUMNS], "_z_low", "_z_high", bucket_m, "_z_own")
+    rooms = F.when(F.col("_z_own"), F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))
+    right = right.withColumn("_room", F.explode(rooms)).drop("_z_own")
     overlap = overlap_length(F.col("depth_min"), F.col("depth_max"), F.col("z_bot"), F.col("z_top"))
     distance = F.abs(F.col("depth_median") - F.col("z_centre"))
     met = {
@@ -108,9 +113,7 @@ def find_matches(clusters, zones, keys=("well_id",), rule="hybrid", tolerance_m=
     }[rule]
     bucket = F.floor(F.greatest("_c_low", "_z_low") / F.lit(float(bucket_m)))
     first = F.floor(bucket / F.pow(F.lit(float(RADIX)), F.col("_level")))
-    place = [*keys, "_level", "_cell"]
-    # cells that only lie around both never meet, so the two joins leave that product out
-    pairs = left.where("_c_own").join(right, place).unionByName(left.where("NOT _c_own").join(right.where("_z_own"), place))
+    pairs = left.join(right, [*keys, "_level", "_cell", "_room"])
     return pairs.where((F.col("_cell") == first) & met).select(
         *keys, "cluster_id", *ZONE_COLUMNS, overlap.alias("overlap_m"),
         distance.alias("center_distance_m"),

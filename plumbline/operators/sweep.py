@@ -20,6 +20,8 @@ from plumbline.plans.layout import Layout, spread
 
 MAX_ITERATIONS = 100
 FULL_STEPS = 40
+#: Steps from breakpoints that the rows do not identify, after which a fit is given up.
+MOST_LOST = 10
 ROOM = 0.45
 BATCH_VALUES = 20_000_000
 FIT_FIELDS = [
@@ -186,7 +188,7 @@ def iterate(x, sums, psi, tolerance, min_gap, most=MAX_ITERATIONS):
     Second result: the fits that still move after `most` iterations.
     """
     out = np.full_like(psi, np.nan)
-    live, before = np.arange(len(psi)), np.full(len(psi), np.nan)
+    live, before, lost = np.arange(len(psi)), np.full(len(psi), np.nan), np.zeros(len(psi), int)
     for turn in range(most):
         table = sums if sums.ndim == 2 else sums[live]
         step = muggeo_steps(tails_at(x, table, psi), psi)
@@ -197,8 +199,9 @@ def iterate(x, sums, psi, tolerance, min_gap, most=MAX_ITERATIONS):
         rest = good & step["identified"] & at_rest(psi, proposed, step["rss"], before, tolerance, turn)
         keep = rest & apart(psi, x[0], x[-1], min_gap)
         out[live[keep]] = psi[keep]
-        going = good & ~rest
-        live, psi, before = live[going], new[going], step["rss"][going]
+        lost = lost + ~step["identified"]
+        going = good & ~rest & (lost < MOST_LOST)
+        live, psi, before, lost = live[going], new[going], step["rss"][going], lost[going]
         if not len(live):
             break
     moving = np.zeros(len(out), bool)

@@ -14,7 +14,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from plumbline.operators.sweep import (
-    NO_FIT, apart, at_rest, bootstrap_weights, damping, fit_schema, muggeo_steps, next_breakpoints,
+    MOST_LOST, NO_FIT, apart, at_rest, bootstrap_weights, damping, fit_schema, muggeo_steps, next_breakpoints,
     random_start, running_sums, unscale,
 )
 from plumbline.plans.layout import finish, lay, row_number
@@ -55,7 +55,7 @@ def sweep_long(rows, keys, grid, restarts, tolerance, min_distance, most, layout
         known = begin.select(*names, F.col("psi").alias("begin"))
         psi = F.when(F.col("state") == "done", F.col("psi")).otherwise(F.col("begin"))
         fresh = moved.join(known, names).withColumns(
-            {"psi": psi, "state": F.lit("active"), "rss": F.lit(None).cast("double"), "turn": F.lit(0)}
+            {"psi": psi, "state": F.lit("active"), "rss": F.lit(None).cast("double"), "turn": F.lit(0), "lost": F.lit(0)}
         ).select(*begin.columns)
         tried = first.unionByName(_run(index, fresh, tolerance, min_distance, most))
     return _reported(index, rows, first, tried)
@@ -187,6 +187,7 @@ def _opened(fits):
     fit = (F.col("span") > 0) & (F.col("unit") > 0) & (F.col("n_obs") >= 2 * F.col("n_breakpoints") + 3)
     return fits.withColumns({
         "restart": F.lit(-1), "state": F.when(fit, "active").otherwise("unfit"), "rss": F.lit(None).cast("double"), "turn": F.lit(0),
+        "lost": F.lit(0),
     })
 
 
@@ -197,7 +198,7 @@ def _begin(batches):
             psi if state == "done" else random_start((seed, restart + 1), n)
             for psi, state, seed, restart, n in zip(pdf["psi"], pdf["state"], pdf["seed"], pdf["restart"], pdf["n_breakpoints"])
         ]
-        pdf["state"], pdf["rss"], pdf["turn"] = "active", None, 0
+        pdf["state"], pdf["rss"], pdf["turn"], pdf["lost"] = "active", None, 0, 0
         yield pdf
 
 
@@ -210,7 +211,7 @@ def _run(index, fits, tolerance, min_distance, most, weighted=False):
         for pdf in batches:
             moved = [_advance(row, tolerance, min_distance, most, weighted) for row in pdf.to_dict("records")]
             pdf = pdf.drop(columns="parts")
-            for place, column in enumerate(("psi", "state", "rss", "turn")):
+            for place, column in enumerate(("psi", "state", "rss", "turn", "lost")):
                 pdf[column] = [m[place] for m in moved]
             yield pdf[schema.names]
 
@@ -223,12 +224,12 @@ def _run(index, fits, tolerance, min_distance, most, weighted=False):
 
 
 def _advance(row, tolerance, min_distance, most, weighted):
-    """Breakpoints, state, residual sum and age of a task after all steps that its blocks allow."""
-    psi, state, rss, turn = np.asarray(row["psi"], float), row["state"], row["rss"], row["turn"]
+    """Breakpoints, state, residual sum, age and unidentified steps of a task after all steps that its blocks allow."""
+    psi, state, rss, turn, lost = np.asarray(row["psi"], float), row["state"], row["rss"], row["turn"], row["lost"]
     if state != "active" or row["parts"] is None:
-        return psi, state, rss, turn
+        return psi, state, rss, turn, lost
     if len(psi) == 0:
-        return psi, "done", 0.0, turn
+        return psi, "done", 0.0, turn, lost
     held = Held(row["parts"], row["seed"], row["restart"] if weighted else -1)
     while turn < most:
         moments = held.moments(psi)
@@ -236,7 +237,7 @@ def _advance(row, tolerance, min_distance, most, weighted):
             break
         step = _step(moments, psi)
         if step is None:
-            return psi, "failed", None, turn
+            return psi, "failed", None, turn, lost
         moved = psi + (step["moved"] - psi) * damping(turn)
         new = next_breakpoints(psi[None], moved[None], 0.0, 1.0)
         proposed = next_breakpoints(psi[None], step["moved"][None], 0.0, 1.0)
@@ -244,9 +245,12 @@ def _advance(row, tolerance, min_distance, most, weighted):
         rss = float(step["rss"])
         if step["identified"] and at_rest(psi[None], proposed, np.array([rss]), before, tolerance, turn)[0]:
             good = apart(psi[None], 0.0, 1.0, min_distance / row["span"])[0]
-            return psi, "done" if good else "failed", rss, turn
+            return psi, "done" if good else "failed", rss, turn, lost
+        lost += not step["identified"]
+        if lost >= MOST_LOST:
+            return psi, "failed", None, turn, lost
         psi, turn = new[0], turn + 1
-    return psi, "active", rss, turn
+    return psi, "active", rss, turn, lost
 
 
 def _step(moments, psi):
