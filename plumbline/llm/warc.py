@@ -46,17 +46,18 @@ def page_record(page, url, payload, digest, n_bytes, refers_to, date):
 
 def members(stream, size=_READ):
     """Decompressed gzip members of a stream, one after the other, from reads of `size` bytes."""
-    unpacker, parts, rest = zlib.decompressobj(31), [], b""
+    unpacker, parts, rest, begun = zlib.decompressobj(31), [], b"", False
     while True:
         data = rest or stream.read(size)
         if not data:
             break
+        begun = True  # even one byte of a member that does not end is a record lost
         parts.append(unpacker.decompress(data))
         rest = unpacker.unused_data
         if unpacker.eof:
             yield b"".join(parts)
-            unpacker, parts = zlib.decompressobj(31), []
-    if any(parts):
+            unpacker, parts, begun = zlib.decompressobj(31), [], False
+    if begun:
         raise ValueError("the last record is cut off")
 
 
@@ -140,22 +141,29 @@ _ROW = pa.schema([("id", pa.int64()), ("payload_bytes", pa.int64()), ("payload_d
 
 
 def read_warc(manifest, with_payload=False):
-    """(id, payload_bytes, payload_digest, record_type, refers_to[, payload]) of every page record of the archives."""
+    """(id, payload_bytes, payload_digest, record_type, refers_to[, payload]) of every page record of the archives.
+
+    `manifest` lists path and records, as `write_warc` returns them.  A damaged archive fails the job: a member that is cut
+    off or does not unpack, a wrong length or digest, or a number of page records that is not the listed one (null: any).
+    """
     fields = _ROW if with_payload else pa.schema(list(_ROW)[:5])
 
     def run(batches):
         for batch in batches:
-            for path in batch.column(batch.schema.get_field_index("path")).to_pylist():
+            for path, listed in zip(*(batch.column(batch.schema.get_field_index(c)).to_pylist() for c in ("path", "records"))):
                 system, place = open_path(path)
-                rows = []
+                rows, found = [], 0
                 with system.open_input_stream(place, compression=None) as stream:
                     for record in members(stream):
                         head, block = parse(record)
                         if head["warc-type"] in ("response", "revisit"):
                             rows.append(dict(zip(_ROW.names, page_of(head, block))))
+                            found += 1
                         if len(rows) >= 256:
                             yield pa.RecordBatch.from_pylist(rows, fields)
                             rows = []
+                if listed is not None and found != listed:
+                    raise ValueError(f"{path} holds {found} page records and not {listed}")
                 if rows:
                     yield pa.RecordBatch.from_pylist(rows, fields)
 

@@ -66,3 +66,31 @@ def test_damage_is_found():
 
 def test_empty_table(spark):
     assert warc.warc_round_trip(pages(spark, [])).count() == 0
+
+
+def test_an_archive_cut_anywhere_is_found(spark, tmp_path):
+    first = warc.write_warc(pages(spark, ROWS[:4]).coalesce(1), str(tmp_path)).first()
+    data = open(first["path"].removeprefix("file:"), "rb").read()
+    whole = len(list(warc.members(io.BytesIO(data))))
+    for n in range(1, len(data)):
+        try:
+            assert len(list(warc.members(io.BytesIO(data[:n]), 64))) < whole  # cut between two records: fewer, and counted below
+        except ValueError:
+            pass
+    borders = sum(1 for n in range(1, len(data)) if _reads(data[:n]))
+    assert borders == whole - 1
+    short = data[:next(n for n in range(len(data) - 1, 0, -1) if _reads(data[:n]))]
+    path = tmp_path / "short.warc.gz"
+    path.write_bytes(short)
+    listed = spark.createDataFrame([(f"file:{path}", first["records"])], "path string, records long")
+    with pytest.raises(Exception, match="page records and not"):
+        warc.read_warc(listed).collect()
+    assert warc.read_warc(listed.withColumn("records", listed["records"] - 1)).count() == first["records"] - 1
+
+
+def _reads(data):
+    try:
+        list(warc.members(io.BytesIO(data)))
+        return True
+    except ValueError:
+        return False
