@@ -107,21 +107,22 @@ _SLICE = 1 << 13
 
 def _of_text(text, words, shingle):
     """(rows, band keys) of a text's paragraphs: (first line, begin, end, words, content)."""
-    lines = text.split("\n")
-    counts, sums, offsets, hashes, at, data = [], [0], [], [], 0, []
-    for line in lines:
-        octets = encode(line)
-        marks = word_hashes(octets, WHITE)[0] if octets else np.empty(0, np.uint64)
-        counts.append(len(marks))
-        sums.append(sums[-1] + len(marks))
-        hashes.append(int(marks.sum() % (1 << 63)) if len(marks) else 0)
-        data.append(marks)
-        offsets.append(at)
-        at += len(line) + 1
-    spans = [(i, j) for i, j in spans_of(counts, hashes, words) if sums[j + 1] - sums[i] >= shingle]
+    data = encode(text)
+    marks, starts, ends, plain = word_hashes(data, WHITE)
+    if len(marks) < shingle:
+        return [], np.empty((0, KEYS), np.uint64)
+    breaks = np.flatnonzero(np.frombuffer(data, np.uint8) == 10)
+    sums = np.concatenate(([0], np.searchsorted(starts, breaks), [len(marks)]))  # words before every line
+    total = np.concatenate((np.zeros(1, np.uint64), np.cumsum(marks)))
+    hashes = ((total[sums[1:]] - total[sums[:-1]]) & np.uint64((1 << 63) - 1)).tolist()
+    spans = spans_of(np.diff(sums).tolist(), hashes, words)
+    sums = sums.tolist()
+    spans = [(i, j) for i, j in spans if sums[j + 1] - sums[i] >= shingle]
     if not spans:
         return [], np.empty((0, KEYS), np.uint64)
-    every = shingles(np.concatenate(data), shingle)
+    lengths = np.array([len(line) for line in text.split("\n")])
+    offsets = np.concatenate(([0], np.cumsum(lengths + 1))).tolist()
+    every = shingles(marks, shingle)
     low = np.full((len(spans), KEYS * KEY_ROWS), np.iinfo(np.uint64).max, np.uint64)
     rows = []
     place = 0
@@ -143,8 +144,8 @@ def _of_text(text, words, shingle):
                 low[k] = values[sums[i] - begin:sums[j + 1] - shingle + 1 - begin].min(axis=0)
         place = last + 1
     for i, j in spans:
-        content = hashlib.md5(b" ".join(encode(" ".join(lines[i:j + 1])).translate(WHITE).split())).digest()
-        rows.append((i, offsets[i], offsets[j] + len(lines[j]), sums[j + 1] - sums[i], content))
+        octets = plain[starts[sums[i]]:ends[sums[j + 1] - 1]]
+        rows.append((i, offsets[i], offsets[j + 1] - 1, sums[j + 1] - sums[i], hashlib.md5(b" ".join(octets.split())).digest()))
     return rows, _keys(low, KEYS, KEY_ROWS)
 
 

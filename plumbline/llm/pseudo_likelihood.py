@@ -181,7 +181,7 @@ def contexts(ids):
 
 def _hidden(net, around):
     x = net["E"][around]
-    return x, np.tanh(net["c"] + (x * net["s"]).sum(axis=1))
+    return x, np.tanh(net["c"] + np.einsum("njw,jw->nw", x, net["s"]))
 
 
 def _log_softmax(z):
@@ -189,39 +189,82 @@ def _log_softmax(z):
     return z - np.log(np.exp(z).sum(axis=1, keepdims=True))
 
 
+def _log_share(z, chosen):
+    """Logarithm of the chosen column's share in every row."""
+    z -= z.max(axis=1, keepdims=True)
+    own = z[np.arange(len(z)), chosen]
+    np.exp(z, out=z)
+    return own - np.log(z.sum(axis=1))
+
+
 def log_probabilities(net, ids):
     """Conditional log-probability of every token of a document, given the tokens on both sides."""
-    side, out, around = net["A"].shape[1], np.empty(len(ids)), contexts(ids)
+    return _log_probabilities(net, ids, contexts(ids))
+
+
+def _log_probabilities(net, ids, around):
+    side, out = net["A"].shape[1], np.empty(len(ids))
     for at in range(0, len(ids), _CHUNK):
         target = ids[at:at + _CHUNK]
         group, member = target // side, target % side
         _, h = _hidden(net, around[at:at + _CHUNK])
-        rows = np.arange(len(target))
-        out[at:at + _CHUNK] = (_log_softmax(h @ net["A"] + net["a"])[rows, group]
-                               + _log_softmax(h @ net["U"] + net["B"][group])[rows, member])
+        out[at:at + _CHUNK] = (_log_share(h @ net["A"] + net["a"], group)
+                               + _log_share(h @ net["U"] + net["B"][group], member))
     return out
 
 
+def text_scores(net, texts):
+    """Summed log-probabilities of many texts' tokens; short texts share the network's calls."""
+    out, waiting, size = np.zeros(len(texts)), [], 0
+
+    def close():
+        sums = _log_probabilities(net, np.concatenate([texts[i] for i in waiting]), np.concatenate([contexts(texts[i]) for i in waiting]))
+        starts = np.cumsum([0, *[len(texts[i]) for i in waiting[:-1]]])
+        out[waiting] = np.add.reduceat(sums, starts)
+
+    for i, text in enumerate(texts):
+        if len(text):
+            waiting.append(i)
+            size += len(text)
+        if size >= _CHUNK:
+            close()
+            waiting, size = [], 0
+    if waiting:
+        close()
+    return out.tolist()
+
+
+def _softmax(z):
+    """In place: shares of every row."""
+    z -= z.max(axis=1, keepdims=True)
+    np.exp(z, out=z)
+    z /= z.sum(axis=1, keepdims=True)
+    return z
+
+
 def step(net, moments, around, target, rate):
     """One AdaGrad step on a batch of masked positions."""
     side, n = net["A"].shape[1], len(target)
     group, member, rows = target // side, target % side, np.arange(n)
     x, h = _hidden(net, around)
-    p = np.exp(_log_softmax(h @ net["A"] + net["a"]))
-    q = np.exp(_log_softmax(h @ net["U"] + net["B"][group]))
+    p = _softmax(h @ net["A"] + net["a"])
+    q = _softmax(h @ net["U"] + net["B"][group])
     p[rows, group] -= 1
     q[rows, member] -= 1
-    p, q = p / n, q / n
+    p /= n
+    q /= n
     back = ((p @ net["A"].T + q @ net["U"].T) * (1 - h * h)).astype(np.float32)
-    bias = np.zeros_like(net["B"])
-    np.add.at(bias, group, q)
-    grads = {"A": h.T @ p, "a": p.sum(axis=0), "U": h.T @ q, "B": bias, "c": back.sum(axis=0),
-             "s": (x * back[:, None, :]).sum(axis=0)}
-    used, inverse = np.unique(around, return_inverse=True)
-    order = np.argsort(inverse.reshape(-1), kind="stable")
-    flat = (back[:, None, :] * net["s"]).reshape(-1, back.shape[1])[order]
-    heads = np.flatnonzero(np.diff(np.append(-1, inverse.reshape(-1)[order])))
-    pulled = np.add.reduceat(flat, heads, axis=0)
+    classes = np.zeros((n, side), q.dtype)
+    classes[rows, group] = 1
+    grads = {"A": h.T @ p, "a": p.sum(axis=0), "U": h.T @ q, "B": classes.T @ q, "c": back.sum(axis=0),
+             "s": np.einsum("njw,nw->jw", x, back)}
+    flat = around.reshape(-1)
+    order = np.argsort(flat, kind="stable")
+    ranked = flat[order]
+    heads = np.flatnonzero(np.diff(ranked, prepend=-1))
+    used = ranked[heads]
+    position, offset = np.divmod(order, around.shape[1])
+    pulled = np.add.reduceat(back[position] * net["s"][offset], heads, axis=0)
     moments["E"][used] += pulled ** 2
     net["E"][used] -= rate * pulled / (np.sqrt(moments["E"][used]) + 1e-6)
     for k, g in grads.items():
@@ -336,7 +379,7 @@ def log_likelihood(docs, id_column="doc_id", text_column="text", size=VOCABULARY
         net = pickle.loads(packed)
         for part in slices(batches):
             made = [np.frombuffer(t, np.uint16).astype(np.int64) for t in part.column(2).to_pylist()]
-            sums = [float(log_probabilities(net, t).sum()) if len(t) else 0.0 for t in made]
+            sums = text_scores(net, made)
             yield pa.RecordBatch.from_arrays([*part.columns[:2], pa.array([len(t) for t in made], pa.int64()),
                                               pa.array(sums, pa.float64())], ["id", "row", "n_tokens", "network"])
 

@@ -120,3 +120,45 @@ def test_default_rounds_train_on_every_position(length):
 def test_rounds_that_leave_positions_out_are_refused(spark):
     with pytest.raises(ValueError):
         lm.log_likelihood(frame(spark, awkward()), size=16, rounds=2, masked=3)
+
+
+def test_log_prob_equals_a_plain_loop(spark, monkeypatch):
+    """Whole scores, rare words and their shares included, word by word from the counts; the network is held fixed."""
+    rng = np.random.default_rng(8)
+    held = {}
+
+    def fixed(encoded, net, rounds, masked):
+        held.update({k: (v if k in "aB" else rng.normal(0, 0.4, v.shape)).astype(np.float32) for k, v in net.items()})
+        return held
+
+    monkeypatch.setattr(lm, "train", fixed)
+    rows = awkward() + [row(200 + i, prose(i, 1, 3 + 40 * (i % 3))) for i in range(30)]
+    got = {(r["id"], r["n_tokens"]): r["log_prob"] for r in lm.log_likelihood(frame(spark, rows), size=16).collect()}
+    words = {r[0]: (r[1] or "").lower().split() for r in rows}
+    counts = {}
+    for r in rows:
+        for w in (r[1] or "").lower().split():
+            counts[w] = counts.get(w, 0) + 1
+    mark = {w: int(lm.word_hashes(lm.encode(w), lm.WHITE)[0][0]) for w in counts}
+    ranked = sorted(counts, key=lambda w: (-counts[w], np.uint64(mark[w]).view(np.int64)))[:14]
+    token = {w: i + 2 for i, w in enumerate(ranked)}
+    rest = sum(n for w, n in counts.items() if w not in token)
+    for (name, n), score in got.items():
+        text = next((r[1] or "").lower().split() for r in rows if r[0] == name and len((r[1] or "").split()) == n)
+        ids = [token.get(w, lm.OTHER) for w in text]
+        wide, total = [lm.EDGE, lm.EDGE, *ids, lm.EDGE, lm.EDGE], 0.0
+        for i, (w, t) in enumerate(zip(text, ids)):
+            h = np.tanh(held["c"] + sum(held["s"][k] * held["E"][wide[i + 2 + j]] for k, j in enumerate(lm.OFFSETS)))
+            a, b = h @ held["A"] + held["a"], h @ held["U"] + held["B"][t // 4]
+            total += a[t // 4] - np.log(np.exp(a).sum()) + b[t % 4] - np.log(np.exp(b).sum())
+            total += np.log(counts[w] / rest) if t == lm.OTHER else 0.0
+        assert score == pytest.approx(total, rel=2e-4, abs=1e-4)
+    assert words and len(got) > 40
+
+
+def test_short_texts_share_a_call():
+    net, rng = network(), np.random.default_rng(2)
+    texts = [rng.integers(0, 16, n) for n in (0, 1, 7, 0, 300, 9000, 2, 0)]
+    want = [float(lm.log_probabilities(net, t).sum()) for t in texts]
+    assert lm.text_scores(net, texts) == pytest.approx(want, rel=1e-5)
+    assert lm.text_scores(net, []) == []
