@@ -181,7 +181,9 @@ def _sets(docs, text_column, wanted, shingle):
     text = F.col(text_column).cast("string")
     asked = wanted.groupBy("text_hash").agg(F.collect_list(F.struct("rep", "begin", "end", "content", "g", "i", "j")).alias("asked"))
     texts = docs.select(F.xxhash64(text).alias("text_hash"), text.alias("text")).where("text IS NOT NULL")
-    joined = texts.join(asked.select("text_hash"), "text_hash", "left_semi").dropDuplicates(["text_hash"]).join(asked, "text_hash")
+    # these tables grow with the texts: merge joins at every size, nothing is sent to all tasks
+    asked = asked.hint("merge")
+    joined = texts.join(asked.select("text_hash").hint("merge"), "text_hash", "left_semi").dropDuplicates(["text_hash"]).join(asked, "text_hash")
 
     def run(batches):
         for part in slices(batches, 64):
@@ -228,7 +230,7 @@ def _bucket_links(docs, text_column, classes, keyed, shingle, similar, block):
                                      F.bit_xor(F.xxhash64("rep")).alias("x")).where("low <> high")
     # buckets with the same members are one
     kept = settle(shared.groupBy("n", "x", "low", "high").agg(F.min("key").alias("key")).select("key", "n", "low"), "buckets")
-    members = settle(held.join(kept, "key").join(classes, "rep"), "members").withColumnRenamed("key", "g")
+    members = settle(held.join(kept.hint("merge"), "key").join(classes.hint("merge"), "rep"), "members").withColumnRenamed("key", "g")
     zero = F.lit(0).cast("long")
     places = ["rep", "text_hash", "begin", "end", "content", "g", "i", "j"]
     dealt = members.where(F.col("n") <= block).withColumns({"i": zero, "j": zero}).select(*places)
@@ -363,16 +365,18 @@ def repeated_paragraphs(docs, id_column="doc_id", text_column="text", words=WORD
     classes = settle(found.groupBy("content").agg(
         F.min("pid").alias("rep"), F.min(place).alias("first"), F.count("*").alias("n"),
         F.min(F.struct("text_hash", "begin", "end")).alias("at")).select("content", "rep", "first", "n", "at.*"), "classes")
-    copies = found.select("content", "pid").join(classes.where("n > 1").select("content", "rep"), "content").where("pid <> rep").select("pid")
+    several = classes.where("n > 1").select("content", "rep").hint("merge")
+    copies = found.select("content", "pid").join(several, "content").where("pid <> rep").select("pid").hint("merge")
     keyed = found.select("pid", "bands").join(copies, "pid", "left_anti").select(F.col("pid").alias("rep"), F.explode("bands").alias("key"))
     links = _bucket_links(docs, text_column, classes.select("rep", "text_hash", "begin", "end", "content"), keyed, shingle, similar, block)
     linked = components(links)
 
-    named = classes.join(linked, classes["rep"] == linked["node"], "left").select(
+    named = classes.join(linked.hint("merge"), classes["rep"] == linked["node"], "left").select(
         "content", "first", "n", F.coalesce("component", "rep").alias("component"))
     firsts = named.groupBy("component").agg(F.min("first").alias("kept"), F.sum("n").alias("all"))
-    known = named.join(firsts.where("all > 1"), "component").select(
+    known = named.join(firsts.where("all > 1").hint("merge"), "component").select(
         F.col("content").alias("content_"), F.col("kept.id").alias("kept_id"), F.col("kept.paragraph").alias("kept_paragraph"))
-    out = found.select("id", "paragraph", "begin", "end", "n_words", "content").join(known, F.col("content") == F.col("content_"))
+    out = found.select("id", "paragraph", "begin", "end", "n_words", "content").join(
+        known.hint("merge"), F.col("content") == F.col("content_"))
     stays = F.col("id").eqNullSafe(F.col("kept_id")) & (F.col("paragraph") == F.col("kept_paragraph"))
     return out.select("id", "paragraph", "begin", "end", "n_words", "kept_id", "kept_paragraph", (~stays).alias("removed"))
