@@ -235,10 +235,10 @@ def text_scores(net, texts):
 
 
 def _softmax(z):
-    """In place: shares of every row."""
-    z -= z.max(axis=1, keepdims=True)
+    """In place: shares of every column."""
+    z -= z.max(axis=0)
     np.exp(z, out=z)
-    z /= z.sum(axis=1, keepdims=True)
+    z /= z.sum(axis=0)
     return z
 
 
@@ -247,21 +247,21 @@ def step(net, moments, around, target, rate):
     side, n = net["A"].shape[1], len(target)
     group, member, rows = target // side, target % side, np.arange(n)
     x, h = _hidden(net, around)
-    p = _softmax(h @ net["A"] + net["a"])
-    q = _softmax(h @ net["U"] + net["B"][group])
-    p[rows, group] -= 1
-    q[rows, member] -= 1
+    p = _softmax(net["A"].T @ h.T + net["a"][:, None])  # a column per position
+    q = _softmax(net["U"].T @ h.T + net["B"].T[:, group])
+    p[group, rows] -= 1
+    q[member, rows] -= 1
     p /= n
     q /= n
-    back = ((p @ net["A"].T + q @ net["U"].T) * (1 - h * h)).astype(np.float32)
-    classes = np.zeros((n, side), q.dtype)
-    classes[rows, group] = 1
-    grads = {"A": h.T @ p, "a": p.sum(axis=0), "U": h.T @ q, "B": classes.T @ q, "c": back.sum(axis=0),
+    back = ((net["A"] @ p + net["U"] @ q).T * (1 - h * h)).astype(np.float32)
+    classes = np.zeros((side, n), q.dtype)
+    classes[group, rows] = 1
+    grads = {"A": (p @ h).T, "a": p.sum(axis=1), "U": (q @ h).T, "B": classes @ q.T, "c": back.sum(axis=0),
              "s": np.einsum("njw,nw->jw", x, back)}
-    flat = around.reshape(-1)
+    flat = around.reshape(-1).astype(np.uint16 if len(net["E"]) <= 1 << 16 else np.int64)  # short numbers sort by radix
     order = np.argsort(flat, kind="stable")
     ranked = flat[order]
-    heads = np.flatnonzero(np.diff(ranked, prepend=-1))
+    heads = np.flatnonzero(np.concatenate(([True], ranked[1:] != ranked[:-1])))
     used = ranked[heads]
     position, offset = np.divmod(order, around.shape[1])
     pulled = np.add.reduceat(back[position] * net["s"][offset], heads, axis=0)
