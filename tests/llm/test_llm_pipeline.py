@@ -2,6 +2,8 @@ import os
 import subprocess
 import sys
 
+import pytest
+
 import corpus_pipeline
 from llm_data import awkward, frame, prose, row, table_folder
 from test_llm_decontaminate import plain as plain_hits
@@ -99,9 +101,13 @@ def test_simhash_stage_drops_copies_of_jaccard_above_the_threshold(spark):
     assert sorted(r.doc_id for r in got) == [*range(0, 80, 2), 1000, 1001, 1002]
 
 
-def test_entry_works_without_the_subpackage(tmp_path):
+@pytest.mark.parametrize("lost,operators", [("'plumbline.llm', 'corpus_pipeline'", False), ("'plumbline.llm'", False), ("'corpus_pipeline'", True)])
+def test_entry_works_without_the_subpackage_or_the_pipeline(lost, operators):
+    """The operators go with their folder; the pipeline goes with either, and alone it takes no operator along."""
     root = os.path.dirname(os.path.abspath(corpus_pipeline.__file__))
-    code = ("import sys; sys.modules['corpus_pipeline'] = None\n"
-            "import __spark_entry__ as e; assert not any(k.startswith('op1') for k in e.queries()); print(len(e.queries()))")
+    code = (f"import sys; sys.modules.update(dict.fromkeys([{lost}]))\n"
+            "import __spark_entry__ as e; names = set(e.queries())\n"
+            f"assert any(k.startswith('op1') for k in names) == {operators} and 'pipeline' not in names\n"
+            "assert set(e.oracle_sql()) <= names; print(len(names))")
     done = subprocess.run([sys.executable, "-c", code], cwd=root, capture_output=True, text=True, timeout=120)
     assert done.returncode == 0 and int(done.stdout) > 100, done.stderr
