@@ -388,3 +388,27 @@ def test_an_upper_limit_rules_the_only_candidate_out(spark, points, refused):
     assert {r.mz_status for r in out} == {"no_top_candidate" if refused else "ok"}
     assert sum(r.is_top_of_mixing for r in out) == (0 if refused else 1)
     assert sum(r.is_bottom_of_mixing for r in out) == (0 if refused else 1)
+
+
+def test_resampled_values_equal_their_sql_before_rounding(spark):
+    import duckdb
+    from conftest import SF
+    from plumbline.workload import casts, views
+
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW events AS SELECT * FROM '{SF}/events.parquet'")
+    sql = views.with_views(["cast_samples"], casts.CLEAN + casts.PCHIP + "SELECT well_id, campaign, grid_index, g, sec FROM pc")
+    grid, _ = casts._grid(spark, SF)
+    got = {tuple(r) for r in grid.select("well_id", "campaign", "grid_index", "depth_m", "sec_us_cm").collect()}
+    assert got == set(con.execute(sql).fetchall())
+
+
+def test_blend_rounds_once(spark):
+    import math
+
+    from plumbline.functions.numeric import blend
+
+    rows = [(0.1 * i, 0.37 * i * i + 0.01, (0.95 * i) % 1.0) for i in range(1, 60)]
+    df = spark.createDataFrame(rows, "a double, b double, s double")
+    got = [r[0] for r in df.select(blend(F.col("a"), F.col("b"), F.col("s"))).collect()]
+    assert sorted(got) == sorted(math.fma(a, 1 - s, b * s) for a, b, s in rows)
