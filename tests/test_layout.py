@@ -80,3 +80,17 @@ def test_layout_of_counts_the_largest_profile(spark):
     assert not Layout.of(df, ["k"], 70).split
     assert Layout.of(df, ["k"], 69) == Layout(True, 2, 69)
     assert not Layout.of(df.limit(0), ["k"], 1).split
+
+
+def test_tasks_follow_the_number_of_rows(spark, monkeypatch):
+    from plumbline.plans import layout as plans
+
+    rows = spark.range(400).selectExpr("id % 50 AS k", "id AS z")
+    assert plans.deal(rows, ["k"], plans.Layout.of(rows, ["k"])) is rows
+    monkeypatch.setattr(plans, "ROWS_PER_TASK", 20)
+    found = plans.Layout.of(rows, ["k"])
+    dealt = plans.deal(rows, ["k"], found)
+    assert found.tasks == 20 and dealt.rdd.getNumPartitions() == 20
+    scanned = plans.lay(dealt, ["k"], ["z"], found).scan(rn=plans.row_number()).df
+    assert scanned._jdf.queryExecution().executedPlan().toString().count("Exchange") == 1
+    assert sorted(r.rn for r in scanned.collect()) == sorted(list(range(8)) * 50)
