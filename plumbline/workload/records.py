@@ -459,8 +459,10 @@ def _association(spark, sf):
 @query("src_15_well_association", "WITH " + ASSOC.strip() + f"""
 SELECT aw.well_id, aw.transect, aw.x, count(depth) AS n_rows FROM aw LEFT JOIN ert_samples e ON e.transect = aw.transect AND e.x = aw.x GROUP BY ALL""", ["ert_samples"])
 def well_association(spark, sf):
-    joined = _association(spark, sf).join(ert_samples(spark, sf), ERT_KEYS, "left")
-    return joined.groupBy("well_id", *ERT_KEYS).agg(F.count("depth").alias("n_rows"))
+    # rows are counted per trace before wells meet them: wells times rows of a trace would grow with their product
+    traces = ert_samples(spark, sf).groupBy(*ERT_KEYS).agg(F.count("depth").alias("n"))
+    joined = _association(spark, sf).join(traces, ERT_KEYS, "left")
+    return joined.groupBy("well_id", *ERT_KEYS).agg(F.coalesce(F.sum("n"), F.lit(0).cast("long")).alias("n_rows"))
 
 
 RHO_LIMIT = 40.0

@@ -62,3 +62,9 @@ def test_entry_has_rows(spark):
 
 def test_every_oracle_has_a_query():
     assert set(oracle_sql()) <= set(queries())
+
+
+def test_wells_meet_counts_of_traces_and_not_their_rows(spark, duck):
+    compare(spark, duck, "src_15_well_association")
+    plan = queries()["src_15_well_association"](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Aggregate" in plan.split("Join", 1)[1]  # below the join
