@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
 from plumbline.functions.numeric import clean_nan
+from plumbline.plans.session import ensure_checkpoint_dir
 from plumbline.sources.names import parse_cast_name, parse_ert_name, well_of_source
 
 # Column spellings, first match wins; callers pass their own table for other firmware.
@@ -76,7 +77,8 @@ def require(df, columns, what):
 def read_casts(spark, paths_by_header, aliases=ALIASES, name=None):
     """Raw cast CSV files, grouped by header variant: {name: (path or paths, schema or None)}.
 
-    Each variant is one scan over all its files; the file name gives site, type, probe and
+    Each variant is one scan over all its files, without another to guess types: values are text until a column is picked, and
+    without a schema the first file names the columns.  The file name gives site, type, probe and
     date.  Names that do not parse stay in the result with null keys for `unparsed_casts`.
     `name` replaces the file name by another expression over `_metadata`.  The source order
     of a file's rows is (block_start, row_no): ids rise within a block, blocks by offset.
@@ -85,15 +87,46 @@ def read_casts(spark, paths_by_header, aliases=ALIASES, name=None):
     stacked = None
     for paths, schema in paths_by_header.values():
         reader = spark.read.option("header", True).option("recursiveFileLookup", True)
-        reader = reader.schema(schema) if schema else reader.option("inferSchema", True)
-        part = _picked_casts(reader.csv(paths), aliases, name)
+        schema = schema or _first_header(spark, paths)
+        part = _picked_casts((reader.schema(schema) if schema else reader).csv(paths), aliases, name)
         stacked = part if stacked is None else stacked.unionByName(part)
     return stacked
 
 
-def _picked_casts(raw, aliases, name, in_files=True):
+def _first_header(spark, paths):
+    """Text columns that the first file names; Spark would list every file once more to find them.  None if there is no line."""
+    lines = spark.read.option("recursiveFileLookup", True).text(paths)
+    line = lines.where((F.col("_metadata.file_block_start") == 0) & (F.length(F.trim("value")) > 0)).first()
+    if line is None:
+        return None
+    return StructType([StructField(n, StringType()) for n in _distinct(next(csv.reader([line["value"].removeprefix("\ufeff")])))])
+
+
+def _distinct(names):
+    """Column names of a header; a repeated spelling counts where it stands first."""
+    seen = Counter()
+    out = []
+    for i, n in enumerate(names):
+        seen[n.lower()] += 1
+        out.append(f"_c{i}" if seen[n.lower()] > 1 or not n else n)
+    return out
+
+
+def _number(value):
+    return value.try_cast("double")
+
+
+def _source(name):
+    """File and place of a row."""
+    return [
+        name.alias("file_name"), F.col("_metadata.file_path").alias("file_path"),
+        F.col("_metadata.file_block_start").alias("block_start"), F.monotonically_increasing_id().alias("row_no"),
+    ]
+
+
+def _picked_casts(raw, aliases, name):
     """Canonical columns of one header variant, with keys from the file name; numbers that do not parse are null."""
-    number = lambda column: F.col(f"`{column}`").try_cast("double")
+    number = lambda column: _number(F.col(f"`{column}`"))
     picked = {c: number(resolve_column(raw.columns, concept, aliases)) for concept, c in CANONICAL.items()}
     for concept in ("time", "time_frac"):
         column = resolve_column(raw.columns, concept, aliases, strict=False)
@@ -103,13 +136,10 @@ def _picked_casts(raw, aliases, name, in_files=True):
             picked[concept] = F.col(f"`{column}`").cast("string") if concept == "time" else number(column)
     ground = resolve_column(raw.columns, "ground_depth", DATUM_ALIASES, strict=False, trim=True)
     picked["depth_gl_m"] = F.lit(None).cast("double") if ground is None else number(ground)
-    part = raw.select(
-        name.alias("file_name"),
-        (F.col("_metadata.file_path") if in_files else F.lit(None).cast("string")).alias("file_path"),
-        (F.col("_metadata.file_block_start") if in_files else F.lit(None).cast("long")).alias("block_start"),
-        F.monotonically_increasing_id().alias("row_no"),
-        *[c.alias(n) for n, c in picked.items()],
-    )
+    return _keyed(raw.select(*_source(name), *[c.alias(n) for n, c in picked.items()]))
+
+
+def _keyed(part):
     keyed = part.withColumns(parse_cast_name(F.col("file_name")))
     return clean_nan(keyed, "depth_m", "sec_us_cm", "depth_gl_m", "time_frac")
 
@@ -124,15 +154,24 @@ def cast_headers(spark, path):
     One scan with map-side combine finds the first lines, however the files are split.  The names come from the scan's own
     list of files, so those without a line are there as well.
     """
+    return _headers(spark, path).select("file_path", "header")
+
+
+def _bare(path):
+    """A path with one slash behind its scheme: Spark's list of files and its rows write it differently."""
+    return F.regexp_replace(path, "^([A-Za-z0-9+.-]+):/+", "$1:/")
+
+
+def _headers(spark, path):
+    """The files of `cast_headers` with `_path`, by which their rows are known."""
     text = spark.read.option("recursiveFileLookup", True).text(path)
-    short = lambda column: F.regexp_replace(column, "^([A-Za-z0-9+.-]+):/+", "$1:/")
     files = [(unquote(f), f) for f in text.inputFiles()]
-    listed = spark.createDataFrame(files, "file_path string, _path string").withColumn("_path", short("_path"))
+    listed = spark.createDataFrame(files, "file_path string, _path string").withColumn("_path", _bare("_path"))
     lines = text.select(
-        short(F.col("_metadata.file_path")).alias("_path"), F.col("_metadata.file_block_start").alias("_block"),
+        _bare(F.col("_metadata.file_path")).alias("_path"), F.col("_metadata.file_block_start").alias("_block"),
         F.monotonically_increasing_id().alias("_line"), F.regexp_replace("value", "^\ufeff", "").alias("value"))
     first = lines.where(F.length(F.trim("value")) > 0).groupBy("_path").agg(F.min_by("value", F.struct("_block", "_line")).alias("header"))
-    return listed.join(first, "_path", "left").select("file_path", "header")
+    return listed.join(first, "_path", "left").select("_path", "file_path", "header")
 
 
 def header_columns(header, aliases=ALIASES):
@@ -145,46 +184,45 @@ def header_columns(header, aliases=ALIASES):
     for concept in ("depth", "conductivity"):
         if resolve_column(names, concept, aliases, strict=False) is None:
             return None, f"no column for {concept}"
-    seen = Counter()
-    for i, n in enumerate(names):  # a repeated spelling counts where it stands first
-        seen[n.lower()] += 1
-        if seen[n.lower()] > 1 or not n:
-            names[i] = f"_c{i}"
-    return names, None
+    return _distinct(names), None
 
 
 def read_cast_folder(spark, path, aliases=ALIASES, name=None):
     """(casts, quarantine): every cast file below a folder, whatever headers they have.
 
-    Files are grouped by their header line, each group is one scan with that header's columns as text, and the
-    groups are read as `read_casts` does.  Files whose header names no depth or no conductivity, that are no text or have no
+    One scan finds the files' header lines, which are kept, and one more reads all files as text columns; each row takes its values
+    from the places that its file's header gives.  Files whose header names no depth or no conductivity, that are no text or have no
     lines are left out and listed with a reason, so an odd file does not fail the others.  The number of different
     headers is bounded (`MOST_HEADERS`); the paths of the files pass through the driver, as with any file scan.
     """
-    found = cast_headers(spark, path)
+    ensure_checkpoint_dir(spark)
+    found = _headers(spark, path).checkpoint()
     kinds = [r["header"] for r in found.select("header").distinct().limit(MOST_HEADERS + 1).collect()]
     if len(kinds) > MOST_HEADERS:
         raise ValueError(f"more than {MOST_HEADERS} headers below {path}")
-    groups, reasons = {}, {}
+    concepts = {"depth": aliases, "conductivity": aliases, "time": aliases, "time_frac": aliases, "ground_depth": DATUM_ALIASES}
+    places, reasons, width = [], [], 1
     for header in kinds:
         columns, reason = header_columns(header, aliases)
-        if reason is None:
-            files = [r["file_path"] for r in found.where(F.col("header") == header).select("file_path").collect()]
-            groups[header] = (sorted(files), StructType([StructField(c, StringType()) for c in columns]))
-        else:
-            reasons[header] = reason
-    listed = F.lit("empty")
-    for header, reason in reasons.items():
-        if header is not None:
-            listed = F.when(F.col("header") == header, reason).otherwise(listed)
-    odd = F.col("header").isNull()
-    if any(h is not None for h in reasons):
-        odd = odd | F.col("header").isin([h for h in reasons if h is not None])
-    quarantine = found.where(odd).select("file_path", listed.alias("reason"), "header")
-    if not groups:
-        none = spark.createDataFrame([], StructType([StructField(aliases[c][0], StringType()) for c in ("depth", "conductivity")]))
-        return _picked_casts(none, aliases, F.lit(None).cast("string"), False), quarantine
-    return read_casts(spark, groups, aliases, name), quarantine
+        if reason is not None:
+            reasons.append((header, reason))
+            continue
+        width = max(width, len(columns))
+        named = [resolve_column(columns, c, table, strict=False, trim=c == "ground_depth") for c, table in concepts.items()]
+        places.append((header, *[None if n is None else columns.index(n) for n in named]))
+    reasons = spark.createDataFrame(reasons, "header string, reason string")
+    quarantine = found.join(reasons, found["header"].eqNullSafe(reasons["header"])).select("file_path", "reason", found["header"])
+    places = spark.createDataFrame(places, "header string, " + ", ".join(f"_{c} int" for c in concepts))
+    name = F.col("_metadata.file_name") if name is None else name
+    schema = StructType([StructField(f"_{i}", StringType()) for i in range(width)])
+    raw = spark.read.option("header", True).option("recursiveFileLookup", True).schema(schema).csv(path)
+    rows = raw.select(*_source(name), _bare(F.col("_metadata.file_path")).alias("_path"), F.array(*schema.names).alias("_values"))
+    rows = rows.join(found.join(places, "header").drop("file_path"), "_path")
+    value = lambda concept: F.get("_values", F.col(f"_{concept}"))
+    return _keyed(rows.select(
+        "file_name", "file_path", "block_start", "row_no",
+        _number(value("depth")).alias("depth_m"), _number(value("conductivity")).alias("sec_us_cm"), value("time").alias("time"),
+        _number(value("time_frac")).alias("time_frac"), _number(value("ground_depth")).alias("depth_gl_m"))), quarantine
 
 
 def casts_of(casts, well_id, campaign=None, probe=None):

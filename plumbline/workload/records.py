@@ -529,16 +529,32 @@ CAST_FILES = """
 SELECT concat(well_id) AS well_id, count(*) AS n_rows, {0} AS depth_sum, '20220201' AS cast_date FROM cast_samples GROUP BY well_id"""
 
 
+#: Folders over which the files of a variant are dealt, so that they are listed by as many tasks.
+SHELVES = 64
+
+
+def _cast_file(stem):
+    """Path of a cast's file below its variant's folder."""
+    name = F.concat(stem, F.lit("_YSI_20220201.csv"))
+    return F.concat(F.pmod(F.hash(name), F.lit(SHELVES)).cast("string"), F.lit("/"), name).alias("file")
+
+
+def _kept_samples(spark, sf):
+    """The samples, written once for the variants that are cut from them, and how many tasks write a variant's files."""
+    layout = views.sized(spark, sf, "cast_samples")
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 2 * spark.sparkContext.defaultParallelism, layout.tasks)
+    return spark.read.parquet(stored(cast_samples(spark, sf), "parquet")), tasks
+
+
 def _cast_files(spark, sf):
-    """Two header variants of the casts as CSV files, one folder per cast name."""
-    folder, rows = shared_folder(spark), cast_samples(spark, sf)
-    file = F.concat("well_id", F.lit("_YSI_20220201.csv")).alias("file")
+    """Two header variants of the casts as CSV files, one per cast."""
+    folder, (rows, tasks) = shared_folder(spark), _kept_samples(spark, sf)
+    file = _cast_file(F.col("well_id"))
     first = rows.where("campaign = '2022_02'").select(file, F.col("depth_m").alias("Depth (m)"), F.col("sec_us_cm").alias("SpCond (uS/cm)"))
     second = rows.where("campaign = '2022_08'").select(file, F.col("depth_m").alias("Vertical Position m"), F.col("sec_us_cm").alias("Conductivity"))
-    for name, part in (("a", first), ("b", second)):
-        part.hint("rebalance", "file").write.partitionBy("file").option("header", True).csv(f"{folder}/{name}")
-    name = F.regexp_extract(F.col("_metadata.file_path"), r"file=([^/]+)/", 1)
-    return readers.read_casts(spark, {"a": (f"{folder}/a", None), "b": (f"{folder}/b", None)}, name=name)
+    kinds = {"a": first, "b": second}
+    written = [n for n, part in kinds.items() if sinks.write_named_files(part, f"{folder}/{n}", tasks=tasks)]
+    return readers.read_casts(spark, {n: (f"{folder}/{n}", None) for n in written})
 
 
 @query("src_01_raw_cast_files", CAST_FILES.format(r("sum(depth_m)", 3)), ["cast_samples"])
@@ -561,20 +577,18 @@ SELECT well_id, '20220201' AS cast_date, 'read' AS outcome, count(*) AS n_rows,
 UNION ALL SELECT site, NULL, 'no column for conductivity', NULL, NULL FROM cast_samples GROUP BY site""", ["cast_samples"])
 def mixed_headers(spark, sf):
     """One folder with three header variants, and files per site that lack a column: read in one call."""
-    folder, rows = shared_folder(spark), cast_samples(spark, sf)
+    folder, (rows, tasks) = shared_folder(spark), _kept_samples(spark, sf)
     heads = {"a": ("Depth (m)", "SpCond (uS/cm)"), "b": ("vertical position M", "Corrected Conductivity"), "c": ("time", "depth_m", "sec_us_cm")}
-    file = F.concat("well_id", F.lit("_YSI_20220201.csv")).alias("file")
     for k, (variant, names) in enumerate(heads.items()):
-        part = rows.where(F.col("seq") % 3 == k).select(file, F.lit("10:00").alias("time"), "depth_m", "sec_us_cm")
+        part = rows.where(F.col("seq") % 3 == k).select(_cast_file(F.col("well_id")), F.lit("10:00").alias("time"), "depth_m", "sec_us_cm")
         part = part.select("file", *[F.col(c).alias(n) for c, n in zip(["time", "depth_m", "sec_us_cm"][-len(names):], names)])
-        part.hint("rebalance", "file").write.partitionBy("file").option("header", True).csv(f"{folder}/in/{variant}")
-    lost = rows.groupBy(F.concat("site", F.lit("_YSI_20220201.csv")).alias("file")).agg(F.max("depth_m").alias("Depth (m)"), F.count("*").alias("Battery"))
-    lost.hint("rebalance", "file").write.partitionBy("file").option("header", True).csv(f"{folder}/in/lost")
-    path = lambda column: F.regexp_extract(column, r"file=([^/]+)/", 1)
-    casts, odd = readers.read_cast_folder(spark, f"{folder}/in", name=path(F.col("_metadata.file_path")))
+        sinks.write_named_files(part, f"{folder}/in/{variant}", tasks=tasks)
+    lost = rows.groupBy(_cast_file(F.col("site"))).agg(F.max("depth_m").alias("Depth (m)"), F.count("*").alias("Battery"))
+    sinks.write_named_files(lost, f"{folder}/in/lost", tasks=tasks)
+    casts, odd = readers.read_cast_folder(spark, f"{folder}/in")
     read = casts.groupBy("well_id", "cast_date").agg(
         F.lit("read").alias("outcome"), F.count("*").alias("n_rows"), settle(F.sum("depth_m"), 3).alias("depth_sum"))
-    site = F.regexp_extract(path(F.col("file_path")), "^([^_]+)_", 1)
+    site = F.regexp_extract("file_path", "([^/_]+)_[^/]*$", 1)
     left = odd.select(site.alias("well_id"), F.lit(None).cast("string").alias("cast_date"), F.col("reason").alias("outcome"),
                       F.lit(None).cast("long").alias("n_rows"), F.lit(None).cast("double").alias("depth_sum"))
     return read.unionByName(left.distinct())

@@ -107,6 +107,30 @@ def test_folder_with_three_headers_and_broken_files(spark, tmp_path):
     assert nothing.count() == 0 and all_odd.count() == 4
 
 
+def test_files_are_read_a_fixed_number_of_times(spark, tmp_path):
+    """Headers are found once and rows read once, however many headers there are; no scan guesses types."""
+    for k in range(12):
+        write(tmp_path / f"in/{k % 3}/AB{k}D_YSI_20220201.csv", f"Depth (m),note{k % 3},Conductivity\n{k}.5,1,30{k}\n")
+    seen = set(spark.sparkContext.statusTracker().getJobIdsForGroup(None))
+    casts, odd = readers.read_cast_folder(spark, str(tmp_path / "in"))
+    assert casts._jdf.queryExecution().optimizedPlan().toString().count("Relation [") == 1
+    assert "Relation [" not in odd._jdf.queryExecution().optimizedPlan().toString()
+    plain = readers.read_casts(spark, {"a": (str(tmp_path / "in/0"), None)})
+    assert sorted((r.depth_m, r.sec_us_cm) for r in plain.collect()) == [(0.5, 300.0), (3.5, 303.0), (6.5, 306.0), (9.5, 309.0)]
+    assert sorted((r.well_id, r.depth_m) for r in casts.collect()) == sorted((f"AB{k}D", k + 0.5) for k in range(12))
+    jobs = set(spark.sparkContext.statusTracker().getJobIdsForGroup(None)) - seen
+    assert len(jobs) < 20
+
+
+def test_named_files_have_all_rows_and_one_header(spark, tmp_path):
+    rows = spark.range(1000).selectExpr("concat(id % 3, '/F', id % 60, '.csv') AS file", "id AS `Depth (m)`", "'a, \"b\"' AS `x, y`")
+    assert sinks.write_named_files(rows, str(tmp_path / "out"), tasks=7) == 60
+    assert sorted(p.name for p in (tmp_path / "out").rglob("*") if p.is_file()) == sorted(f"F{k}.csv" for k in range(60))
+    back = spark.read.option("header", True).option("recursiveFileLookup", True).option("escape", '"').csv(str(tmp_path / "out"))
+    assert back.columns == ["Depth (m)", "x, y"] and sorted(int(r[0]) for r in back.collect()) == list(range(1000))
+    assert sinks.write_named_files(rows.limit(0), str(tmp_path / "none")) == 0
+
+
 # ---- published versions
 
 ENTRY = {c: c for c in ledger.LEDGER_COLUMNS}
