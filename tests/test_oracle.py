@@ -68,3 +68,18 @@ def test_wells_meet_counts_of_traces_and_not_their_rows(spark, duck):
     compare(spark, duck, "src_15_well_association")
     plan = queries()["src_15_well_association"](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
     assert "Aggregate" in plan.split("Join", 1)[1]  # below the join
+
+
+def test_ill_conditioned_local_line_matches_sql(duck):
+    """A cast of sf0.1 whose fit stands 1e-5 from a rounding step: lines are solved as the SQL has them."""
+    from plumbline.operators.smooth import lowess_values
+    from plumbline.workload import casts, views
+
+    con = duckdb.connect()
+    con.execute("CREATE VIEW events AS SELECT * FROM '/root/testdata/sf0.1/events.parquet' WHERE user_id = 1368")
+    con.execute("SET threads = 1")
+    body = casts.CLEAN + "," + casts.lowess_sql("flat", "z", "sec", 0.3, 2)
+    rows = con.execute(views.with_views(["cast_samples"], body + f" SELECT x, y, {casts.r('fit', 4)} FROM f2 JOIN l0 USING (well_id, campaign, i) ORDER BY i")).fetchall()
+    x, y, want = (pd.Series(c).to_numpy(float) for c in zip(*rows))
+    fit = lowess_values(x, y, 0.3, 1, 2)
+    assert 64503.6469 in want and list((fit * 1e4 + 0.4999) // 1 / 1e4) == list(want)
