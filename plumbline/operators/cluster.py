@@ -3,12 +3,14 @@
 from pyspark.sql import functions as F
 
 from plumbline.functions.numeric import settle
-from plumbline.plans.layout import Layout, exact_quantiles, finish, lag, lay, row_number, running_sum
-from plumbline.plans.session import ensure_checkpoint_dir
+from plumbline.plans.layout import (
+    Layout, deal, exact_quantiles, finish, lag, last_known, lay, lead, next_known, row_number, running_sum,
+)
 
 METHODS = ("savgol", "lowess")
 WIDE_M = 2.0
 DELTAS = (0.3, 0.5, 1.0)
+QUARTILES = {0.25: "_q1", 0.5: "depth_median", 0.75: "_q3"}
 
 
 def cluster_depths(df, keys, z="depth_bgl_m", delta_m=0.5, tie=(), layout=None):
@@ -131,37 +133,47 @@ def robustness_sensitivity(records, keys=("well_id",), deltas=DELTAS, tie=("reco
 
     A cluster at a delta is a run of clusters at the smallest one, as a gap that parts the larger parts the smaller.  So the
     records are scanned and aggregated once, at the smallest delta, and the few rows of that table are joined into runs for
-    every delta.  Medians and quartiles are values at known ranks of the scan, looked up in the records.
+    every delta.  The scan tells each record where its cluster begins and ends, so a record knows whether a median or quartile
+    lies on it: no join looks ranks up, and with whole profiles nothing is shuffled behind the scan.
     """
     keys, deltas = [*keys], sorted({float(d) for d in deltas})
     if deltas[0] <= 0:
         raise ValueError("delta_m must be positive")
-    track = lay(records, keys, [z, *tie], layout).scan(_before=lag(F.col(z)), _rank=row_number())
-    gap = F.col(z) - F.col("_before")
-    ids = {f"_id{i}": running_sum(F.when(gap >= d, 1).otherwise(0)) for i, d in enumerate(deltas)}
-    scanned = finish(track.scan(**ids)).select(*keys, z, "_rank", *ids, "smoothing", "n_breakpoints")
-    if track.layout.split:  # a scan of parts is not one to run twice
-        ensure_checkpoint_dir(records.sparkSession)
-        scanned = scanned.checkpoint()
+    layout = layout or Layout.of(records, keys)
+    narrow = records.select(*keys, z, *[t for t in tie if t not in keys and t != z], "smoothing", "n_breakpoints")
+    track = lay(deal(narrow, keys, layout), keys, [z, *tie], layout).scan(_before=lag(F.col(z)), _next=lead(F.col(z)), _rank=row_number())
+    ids, ends = {}, {}
+    for i, d in enumerate(deltas):
+        opens = F.col("_before").isNull() | (F.col(z) - F.col("_before") >= d)
+        closes = F.col("_next").isNull() | (F.col("_next") - F.col(z) >= d)
+        ids[f"_id{i}"] = running_sum(F.when(F.col("_before").isNotNull() & opens, 1).otherwise(0))
+        ends[f"_first{i}"] = last_known(F.when(opens, F.col("_rank")))
+        ends[f"_last{i}"] = next_known(F.when(closes, F.col("_rank")))
+    scanned = finish(track.scan(**ids, **ends))
+    values = []
+    for i in range(len(deltas)):
+        top, step = F.col(f"_last{i}") - F.col(f"_first{i}"), F.col("_rank") - F.col(f"_first{i}")
+        for q, name in QUARTILES.items():
+            place = F.lit(q) * top
+            values += [F.max(F.when(step == F.floor(place), F.col(z))).alias(f"_low{i}_{name}"),
+                       F.max(F.when(step == F.ceil(place), F.col(z))).alias(f"_high{i}_{name}")]
     sizes = [F.collect_set(F.when(F.col("smoothing") == m, F.col("n_breakpoints"))).alias(f"_s_{m}") for m in methods]
     finest = scanned.groupBy(*keys, *ids).agg(
-        F.min(z).alias("depth_min"), F.max(z).alias("depth_max"), F.count("*").alias("n_bp_total"), F.min("_rank").alias("_from"), *sizes)
-    each = F.explode(F.array(*[F.struct(F.lit(d).alias("delta_m"), F.col(f"_id{i}").cast("int").alias("cluster_id")) for i, d in enumerate(deltas)]))
+        F.min(z).alias("depth_min"), F.max(z).alias("depth_max"), F.count("*").alias("n_bp_total"), *sizes, *values)
+    each = F.explode(F.array(*[
+        F.struct(F.lit(d).alias("delta_m"), F.col(f"_id{i}").cast("int").alias("cluster_id"), *[
+            F.col(f"{side}{i}_{name}").alias(f"{side}_{name}") for name in QUARTILES.values() for side in ("_low", "_high")])
+        for i, d in enumerate(deltas)]))
+    at = [F.max(f"_d.{side}_{name}").alias(f"{side}_{name}") for name in QUARTILES.values() for side in ("_low", "_high")]
     merged = finest.withColumn("_d", each).groupBy(*keys, "_d.delta_m", "_d.cluster_id").agg(
         F.min("depth_min").alias("depth_min"), F.max("depth_max").alias("depth_max"), F.sum("n_bp_total").alias("n_bp_total"),
-        F.min("_from").alias("_from"),
-        *[F.size(F.array_distinct(F.flatten(F.collect_list(f"_s_{m}")))).cast("long").alias(f"n_{m}") for m in methods])
-    group, top = [*keys, "delta_m", "cluster_id"], F.col("n_bp_total") - 1
-    asked = F.array(*[F.struct(F.lit(q).alias("q"), (F.lit(q) * top).alias("place")) for q in (0.25, 0.5, 0.75)])
-    wanted = merged.select(*group, "_from", F.explode(asked).alias("_a")).select(
-        *group, "_a.q", (F.col("_a.place") - F.floor("_a.place")).alias("share"),
-        F.explode(F.array_distinct(F.array(F.floor("_a.place"), F.ceil("_a.place")))).alias("step"),
-        (F.col("_from") + F.col("step")).alias("_rank"))
-    found = wanted.join(scanned.select(*keys, "_rank", F.col(z).alias("_v")), [*keys, "_rank"]).groupBy(*group, "q").agg(
-        F.min_by("_v", "step").alias("low"), F.max_by("_v", "step").alias("high"), F.max("share").alias("share"))
-    value = F.when(F.col("share") == 0, F.col("low")).otherwise((1 - F.col("share")) * F.col("low") + F.col("share") * F.col("high"))
-    at = {q: F.max(F.when(F.col("q") == q, value)).alias(n) for q, n in ((0.25, "_q1"), (0.5, "depth_median"), (0.75, "_q3"))}
-    return _shaped(merged.join(found.groupBy(*group).agg(*at.values()), group), group, methods)
+        *[F.size(F.array_distinct(F.flatten(F.collect_list(f"_s_{m}")))).cast("long").alias(f"n_{m}") for m in methods], *at)
+    for q, name in QUARTILES.items():
+        place = F.lit(q) * (F.col("n_bp_total") - 1)
+        share = place - F.floor(place)
+        low, high = F.col(f"_low_{name}"), F.col(f"_high_{name}")
+        merged = merged.withColumn(name, F.when(share == 0, low).otherwise((1 - share) * low + share * high))
+    return _shaped(merged, [*keys, "delta_m", "cluster_id"], methods)
 
 
 def depth_histogram(df, keys, z, width=0.5, low=None, high=None):

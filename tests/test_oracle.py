@@ -83,3 +83,9 @@ def test_ill_conditioned_local_line_matches_sql(duck):
     x, y, want = (pd.Series(c).to_numpy(float) for c in zip(*rows))
     fit = lowess_values(x, y, 0.3, 1, 2)
     assert 64503.6469 in want and list((fit * 1e4 + 0.4999) // 1 / 1e4) == list(want)
+
+
+def test_delta_sensitivity_looks_no_rank_up(spark):
+    """Quartiles are read off the scan: the plan has no join and, for whole profiles, one shuffle."""
+    plan = queries()["agg_06_delta_sensitivity"](spark, SF)._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan and plan.count("Exchange") == 1
