@@ -8,7 +8,7 @@ from hypothesis import strategies as st
 from llm_data import awkward, frame, row
 
 from plumbline.llm import packing, token_output
-from plumbline.llm.tokens import encoder, vocabulary
+from plumbline.llm.tokens import Encoder, encoder, vocabulary
 
 SF = "/root/testdata/sf0.001"
 
@@ -28,6 +28,24 @@ def test_special_token_and_long_text():
         assert encoder(vocabulary()).ids([text, text]) == [whole(text).tobytes()] * 2
 
 
+@settings(max_examples=150, deadline=None)
+@given(st.lists(st.text(st.sampled_from("aZtsé×ÿßñ'.,9ı\t<|"), min_size=1, max_size=9), max_size=12), st.sampled_from([" ", "\n"]))
+def test_new_words_give_the_ids_of_whole_texts(words, between):
+    made, text = Encoder(vocabulary()) if len(words) == 12 else encoder(vocabulary()), between.join(words)
+    assert made.ids([text, "x " + text]) == [whole(text).tobytes(), whole("x " + text).tobytes()]
+
+
+def test_new_words_of_letters_are_encoded_without_the_pattern():
+    class Closed:
+        def encode_batch_fast(self, *args, **options):
+            raise AssertionError("the pattern was searched")
+
+    texts = ["Élan vital, und Grüße.\nNiño, fin.", "Élan vital nuevo."]
+    made = Encoder(vocabulary())
+    made.tokenizer = Closed()
+    assert made.ids(texts) == [whole(t).tobytes() for t in texts]
+
+
 @pytest.mark.parametrize("kind", ["byte", "bit"])
 @pytest.mark.parametrize("n", [0, 1, 7, 100])
 def test_planes_round_trip(kind, n):
