@@ -21,6 +21,7 @@ all of them, and the next round starts from the average.
 """
 
 import pickle
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -37,6 +38,8 @@ WIDTH = 24
 MASKED = 2
 ROUNDS = 2
 OTHER, EDGE = 0, 1
+#: Where the neighbours stand behind two edges.
+_PLACES = np.array(OFFSETS) + 2
 #: Distinct words a task counts before it hands them on.
 GATHERED = 1 << 20
 #: Words outside the network's tokens that a shard looks up, about.
@@ -173,14 +176,15 @@ def new_network(counts, width=WIDTH, seed=11):
             "U": np.zeros((width, side), np.float32), "B": (table - table.max(axis=1, keepdims=True)).astype(np.float32)}
 
 
-def contexts(ids):
-    """Neighbours of every position by offset; beyond the text stands EDGE."""
+def contexts(ids, spots=None):
+    """Neighbours of every position, or of those in `spots`, by offset; beyond the text stands EDGE."""
     wide = np.concatenate(([EDGE, EDGE], ids, [EDGE, EDGE]))
-    return np.stack([wide[2 + j:2 + j + len(ids)] for j in OFFSETS], axis=1)
+    spots = np.arange(len(ids)) if spots is None else spots
+    return wide.take(spots[:, None] + _PLACES)
 
 
 def _hidden(net, around):
-    x = net["E"][around]
+    x = net["E"].take(around, axis=0)
     return x, np.tanh(net["c"] + np.einsum("njw,jw->nw", x, net["s"]))
 
 
@@ -190,11 +194,20 @@ def _log_softmax(z):
 
 
 def _log_share(z, chosen):
-    """Logarithm of the chosen column's share in every row."""
-    z -= z.max(axis=1, keepdims=True)
-    own = z[np.arange(len(z)), chosen]
+    """Logarithm of the chosen row's share in every column; a column per position, so that sums run along the memory."""
+    z -= z.max(axis=0)
+    own = z[chosen, np.arange(z.shape[1])]
     np.exp(z, out=z)
-    return own - np.log(z.sum(axis=1))
+    return own - np.log(z.sum(axis=0))
+
+
+def _scores(net, h, group):
+    """Layers of classes and members as one; their values, classes above the members of the given ones, a column per position."""
+    both = np.concatenate((net["A"], net["U"]), axis=1)
+    z, side = both.T @ h.T, net["A"].shape[1]
+    z[:side] += net["a"][:, None]
+    z[side:] += np.ascontiguousarray(net["B"].T).take(group, axis=1)
+    return both, z
 
 
 def log_probabilities(net, ids):
@@ -208,8 +221,8 @@ def _log_probabilities(net, ids, around):
         target = ids[at:at + _CHUNK]
         group, member = target // side, target % side
         _, h = _hidden(net, around[at:at + _CHUNK])
-        out[at:at + _CHUNK] = (_log_share(h @ net["A"] + net["a"], group)
-                               + _log_share(h @ net["U"] + net["B"][group], member))
+        _, z = _scores(net, h, group)
+        out[at:at + _CHUNK] = _log_share(z[:side], group) + _log_share(z[side:], member)
     return out
 
 
@@ -247,24 +260,24 @@ def step(net, moments, around, target, rate):
     side, n = net["A"].shape[1], len(target)
     group, member, rows = target // side, target % side, np.arange(n)
     x, h = _hidden(net, around)
-    p = _softmax(net["A"].T @ h.T + net["a"][:, None])  # a column per position
-    q = _softmax(net["U"].T @ h.T + net["B"].T[:, group])
+    both, z = _scores(net, h, group)
+    p, q = _softmax(z[:side]), _softmax(z[side:])
     p[group, rows] -= 1
     q[member, rows] -= 1
-    p /= n
-    q /= n
-    back = ((net["A"] @ p + net["U"] @ q).T * (1 - h * h)).astype(np.float32)
+    back = np.ascontiguousarray((both @ z).T)
+    back *= (1 - h * h) / n
+    pulls = z @ h / n
     classes = np.zeros((side, n), q.dtype)
     classes[group, rows] = 1
-    grads = {"A": (p @ h).T, "a": p.sum(axis=1), "U": (q @ h).T, "B": classes @ q.T, "c": back.sum(axis=0),
+    grads = {"A": pulls[:side].T, "a": p.sum(axis=1) / n, "U": pulls[side:].T, "B": classes @ q.T / n, "c": back.sum(axis=0),
              "s": np.einsum("njw,nw->jw", x, back)}
     flat = around.reshape(-1).astype(np.uint16 if len(net["E"]) <= 1 << 16 else np.int64)  # short numbers sort by radix
     order = np.argsort(flat, kind="stable")
     ranked = flat[order]
     heads = np.flatnonzero(np.concatenate(([True], ranked[1:] != ranked[:-1])))
     used = ranked[heads]
-    position, offset = np.divmod(order, around.shape[1])
-    pulled = np.add.reduceat(back[position] * net["s"][offset], heads, axis=0)
+    pull = (back[:, None] * net["s"]).reshape(len(order), -1)
+    pulled = np.add.reduceat(pull.take(order, axis=0), heads, axis=0)
     moments["E"][used] += pulled ** 2
     net["E"][used] -= rate * pulled / (np.sqrt(moments["E"][used]) + 1e-6)
     for k, g in grads.items():
@@ -272,13 +285,17 @@ def step(net, moments, around, target, rate):
         net[k] -= (rate * g / (np.sqrt(moments[k]) + 1e-6)).astype(np.float32)
 
 
+@lru_cache(1 << 14)
+def _start(n, masked):
+    return int(mix(np.array([n], np.uint64))[0] % np.uint64(masked))
+
+
 def _masked(ids, turn, masked):
     """Positions of a text that are targets in a round: every `masked`-th, from a start that the text's length deals.
 
     Any `masked` rounds that follow one another have every position once.
     """
-    start = int(mix(np.array([len(ids)], np.uint64))[0] % np.uint64(masked))
-    return np.arange((start + turn) % masked, len(ids), masked)
+    return np.arange((_start(len(ids), masked) + turn) % masked, len(ids), masked)
 
 
 def _average(parts, shapes):
@@ -328,7 +345,7 @@ def train(encoded, net, rounds=ROUNDS, masked=MASKED, batch=2048, rate=0.05, blo
                     ids = np.frombuffer(raw, np.uint16).astype(np.int64)
                     spots = _masked(ids, turn, masked)
                     if len(spots):
-                        held.append((contexts(ids)[spots], ids[spots]))
+                        held.append((contexts(ids, spots), ids[spots]))
                         waiting += len(spots)
                         seen += len(spots)
                 if waiting >= 16 * batch:

@@ -27,6 +27,20 @@ def test_both_sides_matter_and_the_token_itself_does_not_predict_itself():
     assert around.tolist() == [[1, 1, 6, 7], [1, 5, 7, 1], [5, 6, 1, 1]]
 
 
+def test_targets_get_their_own_neighbours_only():
+    ids = np.random.default_rng(3).integers(2, 16, 41)
+    for spots in (np.arange(1, 41, 2), np.array([0, 40]), np.arange(0)):
+        assert (lm.contexts(ids, spots) == lm.contexts(ids)[spots]).all()
+
+
+def test_scores_lie_in_columns():
+    net, ids = network(), np.array([3, 9, 1, 14])
+    _, h = lm._hidden(net, lm.contexts(ids))
+    _, z = lm._scores(net, h, ids // 4)
+    assert z[:4] == pytest.approx((h @ net["A"] + net["a"]).T, rel=1e-5) and z[4:] == pytest.approx((h @ net["U"] + net["B"][ids // 4]).T, rel=1e-5)
+    assert lm._log_share(z[:4].copy(), ids // 4) == pytest.approx(lm._log_softmax(z[:4].T)[np.arange(4), ids // 4], rel=1e-4, abs=1e-5)
+
+
 def test_plain_loop_gives_the_same_score():
     net, ids = network(), np.array([3, 9, 1, 14, 2, 2])
     wide = [1, 1, *ids.tolist(), 1, 1]
