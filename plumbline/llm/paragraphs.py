@@ -5,7 +5,7 @@ Start lines are chosen by content, `APART` words from one another, so a passage
 and two overlapping paragraphs of one text share too little to be alike.  Equal paragraphs are one class.  Bands of MinHash
 values of the classes' shingle sets put similar ones into buckets; buckets with the same members are one.  In every bucket all
 pairs are verified by exact Jaccard in blocks; a large one is first compared with its lowest member, and only what is not like
-that one is compared with all.  Shingle sets are made from the texts where they are needed, once per class and bucket.  Of each
+that one is compared with all.  Shingle sets are made from the texts that hold them, once per class.  Of each
 component of verified links the first in the order (document, paragraph) stays and the others are to be removed.
 """
 
@@ -174,12 +174,12 @@ def paragraphs(docs, id_column="doc_id", text_column="text", words=WORDS, shingl
 
 
 def _sets(docs, text_column, wanted, shingle):
-    """wanted (rep, text_hash, begin, end, content, g, i, j) -> (g, i, j, rep, set) from the texts that hold them.
+    """wanted (rep, text_hash, begin, end, content) -> (rep, set) from the texts that hold them.
 
     Texts that repeat are read once.  A text of the same hash that is another one is told by the paragraph's content.
     """
     text = F.col(text_column).cast("string")
-    asked = wanted.groupBy("text_hash").agg(F.collect_list(F.struct("rep", "begin", "end", "content", "g", "i", "j")).alias("asked"))
+    asked = wanted.groupBy("text_hash").agg(F.collect_list(F.struct("rep", "begin", "end", "content")).alias("asked"))
     texts = docs.select(F.xxhash64(text).alias("text_hash"), text.alias("text")).where("text IS NOT NULL")
     # these tables grow with the texts: merge joins at every size, nothing is sent to all tasks
     asked = asked.hint("merge")
@@ -187,7 +187,7 @@ def _sets(docs, text_column, wanted, shingle):
 
     def run(batches):
         for part in slices(batches, 64):
-            out = [[], [], [], [], []]
+            out = [[], []]
             for text, asked in zip(part.column(1).to_pylist(), part.column(2).to_pylist()):
                 known = {}
                 for x in asked:
@@ -197,11 +197,11 @@ def _sets(docs, text_column, wanted, shingle):
                         same = hashlib.md5(b" ".join(octets.translate(WHITE).split())).digest() == x["content"]
                         known[place] = np.unique(shingles(word_hashes(octets, WHITE)[0], shingle)).tobytes() if same else None
                     if known[place] is not None:
-                        for column, value in zip(out, (x["g"], x["i"], x["j"], x["rep"], known[place])):
-                            column.append(value)
-            yield pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in out[:4]), pa.array(out[4], pa.binary())], ["g", "i", "j", "rep", "set"])
+                        out[0].append(x["rep"])
+                        out[1].append(known[place])
+            yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.binary())], ["rep", "set"])
 
-    return joined.select("text_hash", "text", "asked").mapInArrow(run, "g long, i long, j long, rep long, set binary")
+    return joined.select("text_hash", "text", "asked").mapInArrow(run, "rep long, set binary")
 
 
 def _with_pivot(batches, similar):
@@ -230,9 +230,12 @@ def _bucket_links(docs, text_column, classes, keyed, shingle, similar, block):
                                      F.bit_xor(F.xxhash64("rep")).alias("x")).where("low <> high")
     # buckets with the same members are one
     kept = settle(shared.groupBy("n", "x", "low", "high").agg(F.min("key").alias("key")).select("key", "n", "low"), "buckets")
-    members = settle(held.join(kept.hint("merge"), "key").join(classes.hint("merge"), "rep"), "members").withColumnRenamed("key", "g")
+    members = settle(held.join(kept.hint("merge"), "key").withColumnRenamed("key", "g"), "members")
+    # the texts are moved once, whatever the buckets' sizes: a second pass for the large ones would move all texts again
+    wanted = classes.join(members.select("rep").hint("merge"), "rep", "left_semi")
+    sets = settle(_sets(docs, text_column, wanted, shingle), "sets").hint("merge")
     zero = F.lit(0).cast("long")
-    places = ["rep", "text_hash", "begin", "end", "content", "g", "i", "j"]
+    places = ["rep", "g", "i", "j"]
     dealt = members.where(F.col("n") <= block).withColumns({"i": zero, "j": zero}).select(*places)
     links = None
     if members.where(F.col("n") > block).limit(1).count():
@@ -241,13 +244,9 @@ def _bucket_links(docs, text_column, classes, keyed, shingle, similar, block):
         own = F.pmod(F.xxhash64("rep"), blocks)
         # a large bucket's members meet its lowest in blocks, each with a copy of it
         pivots = large.where("rep = low").withColumn("i", F.explode(F.sequence(zero, blocks - 1)))
-        meet = large.where("rep <> low").withColumn("i", own).unionByName(pivots).withColumn("j", zero)
-        order = F.col("low_first")
-        first = meet.select("g", "rep", "low").distinct()
-        sets = _sets(docs, text_column, meet.select(*places), shingle).join(
-            first.select(F.col("g").alias("g_"), F.col("rep").alias("rep_"), (F.col("rep") == F.col("low")).alias("low_first")),
-            (F.col("g") == F.col("g_")) & (F.col("rep") == F.col("rep_")))
-        told = settle(sets.select("g", "i", order, "rep", "set").repartition("g", "i").sortWithinPartitions(
+        meet = large.where("rep <> low").withColumn("i", own).unionByName(pivots)
+        order = (F.col("rep") == F.col("low")).alias("low_first")
+        told = settle(meet.select("g", "i", order, "rep").join(sets, "rep").repartition("g", "i").sortWithinPartitions(
             "g", "i", F.desc("low_first"), "rep").select("g", "i", "rep", "set").mapInArrow(
                 lambda b: _with_pivot(b, similar), "g long, rep long, near boolean").distinct(), "pivots")
         named = large.select("g", "low").distinct()
@@ -260,8 +259,8 @@ def _bucket_links(docs, text_column, classes, keyed, shingle, similar, block):
         all_ = large.join(counts, "g").withColumns({"j": own, "i": F.explode(F.sequence(zero, F.col("parts") - 1))})
         both = probes.select(*places).unionByName(all_.select(*places)).distinct()
         dealt = dealt.unionByName(both)
-    sets = _sets(docs, text_column, dealt, shingle)
-    found = sets.repartition("g", "i", "j").sortWithinPartitions("g", "i", "j").mapInArrow(lambda b: _verify(b, similar), "a long, b long")
+    found = dealt.join(sets, "rep").select("g", "i", "j", "rep", "set").repartition("g", "i", "j").sortWithinPartitions(
+        "g", "i", "j").mapInArrow(lambda b: _verify(b, similar), "a long, b long")
     return found if links is None else found.unionByName(links)
 
 

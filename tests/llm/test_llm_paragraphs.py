@@ -140,3 +140,12 @@ def test_neighbouring_runs_of_one_text_are_not_alike():
 def test_large_buckets_meet_their_lowest_first(spark, block):
     rows = [row(i, f"{near(i, i % 7)}\n{prose(i, 1)}") for i in range(90)]
     assert got(spark, rows, block=block) == plain(rows)
+
+
+def test_texts_are_moved_once_whatever_the_buckets(spark, monkeypatch):
+    """Large buckets take a round of their own; it must not move the texts again."""
+    moved, sets = [], paragraphs._sets
+    monkeypatch.setattr(paragraphs, "_sets", lambda *a: moved.append(1) or sets(*a))
+    rows = [row(i, f"{near(i, i % 7)}\n{prose(i, 1)}") for i in range(60)]
+    assert got(spark, rows, block=4) == plain(rows)
+    assert len(moved) == 1
