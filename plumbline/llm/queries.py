@@ -12,6 +12,7 @@ from plumbline.llm import (
     line_dedup,
     packing,
     paragraphs,
+    passages,
     personal,
     pseudo_likelihood,
     quality,
@@ -46,8 +47,10 @@ def _table(spark, sf_dir, name):
 
 @_query("op1_paragraph_minhash")
 def op1_paragraph_minhash(spark, sf_dir):
-    """Paragraphs of 50 words or more that have a like, with the place of the one that stays."""
-    found = paragraphs.repeated_paragraphs(_table(spark, sf_dir, "documents"))
+    """Paragraphs of 50 words or more that have a like, and passages of as many words that stand elsewhere, with the
+    place of the one that stays: by `paragraph` its first line, by `word` its first word."""
+    docs = _table(spark, sf_dir, "documents")
+    found = paragraphs.repeated_paragraphs(docs).unionByName(passages.repeated_passages(docs), allowMissingColumns=True)
     return found.withColumnsRenamed({"id": "doc_id", "kept_id": "kept_doc_id"})
 
 

@@ -90,3 +90,11 @@ def shingles(hashes, width):
         h = (h ^ hashes[j:j + n]) * _ORDER
         h ^= h >> np.uint64(31)
     return h
+
+
+def run_hashes(hashes):
+    """Word hashes -> a function of (first words, ends): the hashes of those runs of words."""
+    up, down = _powers(len(hashes))
+    sums = np.zeros(len(hashes) + 1, np.uint64)
+    np.cumsum(hashes * up, out=sums[1:])
+    return lambda first, end: mix((sums[end] - sums[first]) * down[first])
