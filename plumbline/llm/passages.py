@@ -18,7 +18,10 @@ from plumbline.llm.words import WHITE, encode, run_hashes, word_hashes
 WORDS = 50
 
 _ANCHORS = "id long, th long, i int, n int, a long, c long"
-_PLACES = "th long, i int, a long, c long, h array<long>, begins array<int>, ends array<int>"
+_PLACES = "th long, i int, last int, a long, c long, h array<long>, begins array<int>, ends array<int>, fid long, fth long, fi int"
+_PLACES_NAMES = [x.split()[0] for x in _PLACES.split(", ")]
+_TYPES = [pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.list_(pa.int32()),
+          pa.int64(), pa.int64(), pa.int32()]
 
 
 def anchored(marks, words):
@@ -62,37 +65,43 @@ def _anchors(docs, id_column, text_column, words):
 
 
 def _places(docs, text_column, asked, words):
-    """asked (th, i, n, a, c, open, hashed) -> characters, and hashes where asked for, from the texts that hold them.
+    """asked (th, i, n, a, c, open, hashed, fid, fth, fi) -> characters, and hashes where asked for, from the texts that hold them.
 
-    Where all windows are repeated alike only the begin of the first and the end of the last are given.
+    Open ones get the places of all windows.  Of the others, whose first place is known, neighbours that are repeated from
+    neighbouring places are one row, with the begin of its first window and the end of its last.
     """
     text = F.col(text_column).cast("string")
-    asked = asked.groupBy("th").agg(F.collect_set(F.struct("i", "n", "a", "c", "open", "hashed")).alias("asked")).hint("merge")
+    names = ["i", "n", "a", "c", "open", "hashed", "fid", "fth", "fi"]
+    asked = asked.groupBy("th").agg(F.collect_set(F.struct(*names)).alias("asked")).hint("merge")
     texts = docs.select(F.xxhash64(text).alias("th"), text.alias("text")).where("text IS NOT NULL")
     # these tables grow with the texts: merge joins at every size, nothing is sent to all tasks
     joined = texts.join(asked.select("th").hint("merge"), "th", "left_semi").dropDuplicates(["th"]).join(asked, "th")
 
     def run(batches):
         for part in slices(batches, 64):
-            out = [[] for _ in range(7)]
+            out = []
             for th, text, asked in zip(*(c.to_pylist() for c in part.columns)):
                 data = encode(text)
                 marks, starts, ends, _ = word_hashes(data, WHITE)
                 of = run_hashes(marks)
                 chars = np.concatenate(([0], np.cumsum(np.frombuffer(data, np.uint8) & 0xC0 != 0x80, dtype=np.int32)))
                 begins, ends = chars[starts].astype(np.int32), chars[ends].astype(np.int32)
-                for x in asked:
-                    i, last = x["i"], x["i"] + x["n"]
-                    windows = np.arange(i, last)
-                    out[0].append(th)
-                    out[1].append(i)
-                    out[2].append(x["a"])
-                    out[3].append(x["c"])
-                    out[4].append(of(windows, windows + words).view(np.int64) if x["hashed"] else None)
-                    out[5].append(begins[i:last] if x["open"] else begins[i:i + 1])
-                    out[6].append(ends[i + words - 1:last + words - 1] if x["open"] else ends[last + words - 2:last + words - 1])
-            types = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.list_(pa.int32())]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, types)], ["th", "i", "a", "c", "h", "begins", "ends"])
+                held = None
+                for i, n, a, c, opened, hashed, *first in sorted((tuple(x.values()) for x in asked), key=lambda x: x[0]):
+                    last = i + n - 1
+                    if opened:
+                        windows = np.arange(i, last + 1)
+                        h = of(windows, windows + words).view(np.int64) if hashed else None
+                        out.append((th, i, last, a, c, h, begins[i:last + 1], ends[i + words - 1:last + words], None, None, None))
+                        continue
+                    line = (*first[:2], first[2] - i)
+                    if held and held[0] == line and held[1][2] == i - 1:
+                        held[1][2], held[1][7] = last, ends[last + words - 1:last + words]
+                    else:
+                        held = line, [th, i, last, None, None, None, begins[i:i + 1], ends[last + words - 1:last + words], *first]
+                        out.append(held[1])
+            columns = list(zip(*out)) if out else [[]] * len(_TYPES)
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, _TYPES)], _PLACES_NAMES)
 
     return joined.select("th", "text", "asked").mapInArrow(run, _PLACES)
 
@@ -126,9 +135,11 @@ def repeated_passages(docs, id_column="doc_id", text_column="text", words=WORDS)
     # the windows of an anchor's only class are repeated all or none
     classes = classes.join(several, "a", "left").withColumn("open", F.col("classes").isNotNull()).drop("classes")
     classes = settle(classes.where(F.col("open") | _twice("low", "high", words)), "classes")
-    members = settle(found.join(classes.select("a", "c", "open", "one").hint("merge"), ["a", "c"]).withColumn(
-        "hashed", F.col("open") & (F.col("one") == F.struct("th", "i"))).drop("one"), "members")
-    places = settle(_places(docs, text_column, members, words), "places")
+    known = [F.when(~F.col("open"), F.col(f"low.{x}")).alias(f"f{x}") for x in ("id", "th", "i")]
+    hashed = F.col("open") & (F.col("one") == F.struct("th", "i"))
+    members = found.join(classes.select("a", "c", "open", "one", "low").hint("merge"), ["a", "c"]).select(
+        "th", "i", "n", "a", "c", "open", hashed.alias("hashed"), *known)
+    places = settle(_places(docs, text_column, settle(members, "members"), words), "places")
 
     like = Window.partitionBy("a", "h")
     windows = places.where("h IS NOT NULL").select("a", "c", F.posexplode("h").alias("j", "h")).join(
@@ -137,17 +148,18 @@ def repeated_passages(docs, id_column="doc_id", text_column="text", words=WORDS)
     windows = windows.where(_twice("first", "last", words)).select("a", "c", "j", _moved("first", -F.col("j")).alias("first"))
     run = F.row_number().over(Window.partitionBy("a", "c", "first").orderBy("j")) - F.col("j")
     some = windows.withColumn("run", run).groupBy("a", "c", "first", "run").agg(F.min("j").alias("j"), F.max("j").alias("k")).drop("run")
-    every = classes.where("NOT open").select("a", "c", F.col("low").alias("first"), F.lit(0).alias("j"), F.lit(None).cast("int").alias("k"))
-    runs = some.unionByName(every)
-
-    held = members.select("id", "th", "i", "n", "a", "c").join(runs.hint("merge"), ["a", "c"]).join(
-        places.select("th", "i", "begins", "ends").hint("merge"), ["th", "i"])
-    own = F.col("id").eqNullSafe(F.col("first.id")) & (F.col("th") == F.col("first.th")) & (F.col("i") - F.col("first.i") < words)
+    some = places.where("a IS NOT NULL").select("th", "i", "a", "c", "begins", "ends").join(some.hint("merge"), ["a", "c"]).select(
+        "th", (F.col("i") + F.col("j")).alias("word"), (F.col("i") + F.col("k")).alias("last"), F.expr("begins[j]").alias("begin"),
+        F.expr("ends[k]").alias("end"), F.col("first.id").alias("fid"), F.col("first.th").alias("fth"), (F.col("first.i") - F.col("i")).alias("by"))
+    every = places.where("a IS NULL").select(
+        "th", F.col("i").alias("word"), "last", F.expr("begins[0]").alias("begin"), F.expr("ends[0]").alias("end"), "fid", "fth",
+        (F.col("fi") - F.col("i")).alias("by"))
+    # what holds for a text holds for all rows that have it
+    held = some.unionByName(every).join(found.select("id", "th").distinct().hint("merge"), "th")
+    own = F.col("id").eqNullSafe(F.col("fid")) & (F.col("th") == F.col("fth")) & (F.col("by") > -words)
     held = held.select(
-        "id", "th", (F.col("i") + F.col("j")).alias("word"), (F.col("i") + F.coalesce("k", F.col("n") - 1)).alias("last"),
-        F.expr("begins[j]").alias("begin"), F.expr("ends[coalesce(k, 0)]").alias("end"), (~own).alias("removed"),
-        F.when(own, F.col("id")).otherwise(F.col("first.id")).alias("kept_id"), F.when(own, F.col("th")).otherwise(F.col("first.th")).alias("kept_th"),
-        F.when(own, F.lit(0)).otherwise(F.col("first.i") - F.col("i")).alias("shift"))
+        "id", "th", "word", "last", "begin", "end", (~own).alias("removed"), F.when(own, F.col("id")).otherwise(F.col("fid")).alias("kept_id"),
+        F.when(own, F.col("th")).otherwise(F.col("fth")).alias("kept_th"), F.when(own, F.lit(0)).otherwise(F.col("by")).alias("shift"))
     line = ["id", "th", "kept_id", "kept_th", "shift", "removed"]
     order = Window.partitionBy(*line).orderBy("word")
     apart = F.coalesce(F.col("word") > F.lag("last").over(order) + 1, F.lit(False)).cast("int")
