@@ -94,7 +94,8 @@ def near_links(prints, radius=RADIUS, block=BLOCK):
                        for t, m in enumerate(covering_masks(radius))])
     rows = prints.select("fp", "rep", F.explode(tables).alias("x")).select("x.t", "x.k", "fp", "rep")
     sizes = rows.groupBy("t", "k").agg(F.count("*").alias("n")).where("n > 1")
-    blocks = rows.join(sizes, ["t", "k"]).withColumn("nb", ceil_div(F.col("n"), block))
+    # a merge join at every size: Spark takes the exploded rows for one per fingerprint, and would send all of them to the driver
+    blocks = rows.join(sizes.hint("merge"), ["t", "k"]).withColumn("nb", ceil_div(F.col("n"), block))
     blocks = blocks.withColumn("own", F.pmod(F.xxhash64("fp"), F.col("nb")))
     paired = blocks.select("t", "k", "fp", "rep", "own", F.explode(F.expr("sequence(0L, nb - 1)")).alias("other"))
     dealt = paired.select("t", "k", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "fp", "rep")
