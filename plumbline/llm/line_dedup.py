@@ -49,7 +49,8 @@ def repeated_lines(docs, id_column="doc_id", text_column="text", lines=LINES, wo
     spots = marked.join(often, "f", "left_semi").select("d", "th", F.explode("windows").alias("w"))
     spots = spots.select("d", "th", "w.*")
     first = spots.groupBy("l", "k", "k2").agg(F.min(F.struct("d", "th", "s")).alias("first"), F.count("*").alias("c"))
-    later = spots.join(first.where("c > 1"), ["l", "k", "k2"]).where(F.struct("d", "th", "s") > F.col("first"))
+    # a merge join at every size: Spark takes the exploded windows for one per fingerprint
+    later = spots.join(first.where("c > 1").hint("merge"), ["l", "k", "k2"]).where(F.struct("d", "th", "s") > F.col("first"))
     gone = later.select("d", "th", F.explode(F.expr("sequence(s, s + l - 1)")).alias("line")).distinct()
     return gone.groupBy("d", "th").agg(F.array_sort(F.collect_list("line")).alias("gone"))
 

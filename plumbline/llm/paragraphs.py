@@ -332,7 +332,8 @@ def alike(lines, shingle=SHINGLE, similar=SIMILAR, block=BLOCK):
 
     keyed = bands.select("rep", F.explode("bands").alias("key"))  # a key starts from its band's number
     lowest = keyed.groupBy("key").agg(F.min("rep").alias("low"), F.count("*").alias("c")).where("c > 1")
-    collided = keyed.join(lowest, "key").where("rep <> low").select(F.col("rep").alias("a"), F.col("low").alias("b"))
+    # a merge join at every size: Spark takes the exploded keys for one per line
+    collided = keyed.join(lowest.hint("merge"), "key").where("rep <> low").select(F.col("rep").alias("a"), F.col("low").alias("b"))
     near = components(collided.distinct())
     roots = near.select(F.col("component").alias("rep"), F.col("component").alias("g")).distinct()
     groups = near.select(F.col("node").alias("rep"), F.col("component").alias("g")).unionByName(roots)
