@@ -10,6 +10,7 @@ from pyspark.sql.types import StringType, StructField, StructType
 
 from plumbline.functions.numeric import clean_nan
 from plumbline.plans.session import ensure_checkpoint_dir
+from plumbline.sources import stores
 from plumbline.sources.names import parse_cast_name, parse_ert_name, well_of_source
 
 # Column spellings, first match wins; callers pass their own table for other firmware.
@@ -151,10 +152,10 @@ MOST_HEADERS = 10_000
 def cast_headers(spark, path):
     """(file_path, header) of every file below `path`: its first line that is not blank, null for none.
 
-    One scan with map-side combine finds the first lines, however the files are split.  The names come from the scan's own
-    list of files, so those without a line are there as well.
+    Tasks list the folders and open the files, so the driver holds neither names nor lines.
     """
-    return _headers(spark, path).select("file_path", "header")
+    files = stores.listed(spark, path)
+    return (_headers(spark, path) if files is None else stores.first_lines(files)).select("file_path", "header")
 
 
 def _bare(path):
@@ -163,7 +164,11 @@ def _bare(path):
 
 
 def _headers(spark, path):
-    """The files of `cast_headers` with `_path`, by which their rows are known."""
+    """The files of `cast_headers` with `_path`, by which their rows are known, in a store that only Spark's own scans read.
+
+    One scan with map-side combine finds the first lines, however the files are split.  The names come from the scan's own
+    list of files, which the driver holds, so those without a line are there as well.
+    """
     text = spark.read.option("recursiveFileLookup", True).text(path)
     files = [(unquote(f), f) for f in text.inputFiles()]
     listed = spark.createDataFrame(files, "file_path string, _path string").withColumn("_path", _bare("_path"))
@@ -190,13 +195,15 @@ def header_columns(header, aliases=ALIASES):
 def read_cast_folder(spark, path, aliases=ALIASES, name=None):
     """(casts, quarantine): every cast file below a folder, whatever headers they have.
 
-    One scan finds the files' header lines, which are kept, and one more reads all files as text columns; each row takes its values
+    One pass finds the files' header lines, which are kept, and one more reads all files as text columns; each row takes its values
     from the places that its file's header gives.  Files whose header names no depth or no conductivity, that are no text or have no
     lines are left out and listed with a reason, so an odd file does not fail the others.  The number of different
-    headers is bounded (`MOST_HEADERS`); the paths of the files pass through the driver, as with any file scan.
+    headers is bounded (`MOST_HEADERS`); files are listed and opened by tasks, so the driver holds none of their names.  Only in a
+    store that Spark alone can read (`stores.listed`) the names pass through the driver, as with any file scan.
     """
     ensure_checkpoint_dir(spark)
-    found = _headers(spark, path).checkpoint()
+    files = stores.listed(spark, path)
+    found = (_headers(spark, path) if files is None else stores.first_lines(files)).checkpoint()
     kinds = [r["header"] for r in found.select("header").distinct().limit(MOST_HEADERS + 1).collect()]
     if len(kinds) > MOST_HEADERS:
         raise ValueError(f"more than {MOST_HEADERS} headers below {path}")
@@ -211,13 +218,20 @@ def read_cast_folder(spark, path, aliases=ALIASES, name=None):
         named = [resolve_column(columns, c, table, strict=False, trim=c == "ground_depth") for c, table in concepts.items()]
         places.append((header, *[None if n is None else columns.index(n) for n in named]))
     reasons = spark.createDataFrame(reasons, "header string, reason string")
+    reasons = F.broadcast(reasons)  # at most MOST_HEADERS, while the files are many
     quarantine = found.join(reasons, found["header"].eqNullSafe(reasons["header"])).select("file_path", "reason", found["header"])
     places = spark.createDataFrame(places, "header string, " + ", ".join(f"_{c} int" for c in concepts))
     name = F.col("_metadata.file_name") if name is None else name
     schema = StructType([StructField(f"_{i}", StringType()) for i in range(width)])
-    raw = spark.read.option("header", True).option("recursiveFileLookup", True).schema(schema).csv(path)
-    rows = raw.select(*_source(name), _bare(F.col("_metadata.file_path")).alias("_path"), F.array(*schema.names).alias("_values"))
-    rows = rows.join(found.join(places, "header").drop("file_path"), "_path")
+    if files is None:
+        raw = spark.read.option("header", True).option("recursiveFileLookup", True).schema(schema).csv(path)
+        rows = raw.select(*_source(name), _bare(F.col("_metadata.file_path")).alias("_path"), F.array(*schema.names).alias("_values"))
+        rows = rows.join(found.join(places, "header").drop("file_path"), "_path")
+    else:
+        lines = stores.lines(files, found.join(F.broadcast(places), "header").drop("header"))  # at most MOST_HEADERS places
+        rows = lines.withColumn("_columns", F.from_csv("line", schema.simpleString()[7:-1].replace(":", " "))).select(
+            name.alias("file_name"), "_metadata.file_path", F.col("_metadata.file_block_start").alias("block_start"), "row_no",
+            F.array(*[F.col(f"_columns.{c}") for c in schema.names]).alias("_values"), *[f"_{c}" for c in concepts])
     value = lambda concept: F.get("_values", F.col(f"_{concept}"))
     return _keyed(rows.select(
         "file_name", "file_path", "block_start", "row_no",
